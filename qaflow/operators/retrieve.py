@@ -33,7 +33,7 @@ def embedding_log(vec: Column) -> Column:
 
 
 def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
-                      point_id: str = "id") -> DataFrame:
+                      point_id: str = "id", broadcast_hits: bool = False) -> DataFrame:
     """Join the payload back to the top-k hits (only k rows per question travel).
 
     Hits are a small, bounded side (k per question); hinting them as the build side
@@ -42,7 +42,8 @@ def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
     meta = FL.hit_metadata(F.col("payload")) if "payload" in points.columns else F.create_map()
     pay = points.select(F.col(point_id).alias("_pid"), F.col("doc_id").cast("string").alias("doc_id"), "text",
                         meta.alias("meta"))
-    j = hits.join(pay, hits[point_id] == pay["_pid"], "inner")
+    h = F.broadcast(hits) if broadcast_hits else hits
+    j = h.join(pay, h[point_id] == pay["_pid"], "inner")
     has_meta = F.coalesce(F.size("meta") > 0, F.lit(False))
     return j.select(
         key, "rank", "score", "doc_id", "text",

@@ -210,19 +210,16 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
         key, (F.col("_rn") - offset).alias("rank"), pid, "score")
 
 
-def _plan_broadcast_points(spark, questions, points, k, offset, threshold, key, qvec, spec_col,
-                           pid, vec, filter_keys, metric, dim):
+def _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, qvec, spec_col,
+                           pid, vec, filter_keys, metric, key_type, id_type):
     kk = k + offset
-    ppdf = points.select(pid, vec, *filter_keys).where(F.col(vec).isNotNull()).toPandas()
-    P = _matrix(ppdf[vec].tolist(), dim)
+    P = _matrix(ppdf[vec].tolist(), None)
     if metric == "cosine":
         P = _unit(P)
     bc = spark.sparkContext.broadcast({
         "P": P, "ids": ppdf[pid].to_numpy(dtype=np.int64),
         "cols": {c: ppdf[c].to_numpy() for c in filter_keys},
     })
-    key_type = questions.schema[key].dataType
-    id_type = points.schema[pid].dataType
     out_schema = T.StructType([T.StructField(key, key_type), T.StructField("rank", T.IntegerType()),
                                T.StructField(pid, id_type), T.StructField("score", T.DoubleType())])
     sel = [key, qvec] + ([spec_col] if spec_col else [])
@@ -236,7 +233,7 @@ def _plan_broadcast_points(spark, questions, points, k, offset, threshold, key,
             qpdf = qpdf[qpdf[qvec].notna()]
             if len(qpdf) == 0 or n == 0:
                 continue
-            Q = _matrix(qpdf[qvec].tolist(), Pm.shape[1])
+            Q = _matrix(qpdf[qvec].tolist(), Pm.shape[1] if n else None)
             if metric == "cosine":
                 Q = _unit(Q)
             specs = qpdf[spec_col].tolist() if spec_col else [None] * len(qpdf)
@@ -275,7 +272,7 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
                     query_vector: str = "qvec", metadata_filter: str | None = None,
                     point_id: str = "id", vector: str = "vector", filter_keys: list[str] | None = None,
                     must=(), should=(), search_params: dict | None = None, metric: str = "dot",
-                    max_broadcast_bytes: int = 64 << 20, side: str = "auto") -> DataFrame:
+                    max_broadcast_bytes: int = 64 << 20, side: str = "auto", dim_hint: int | None = None) -> DataFrame:
     """Top-k points per question: ``(key, rank, point_id, score)``; rank starts at 1.
 
     * ``metadata_filter``: column of canonical must-specs per question (see
@@ -291,21 +288,24 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
     if static is not None:
         points = points.where(static)
     filter_keys = [c for c in (filter_keys or []) if c in points.columns]
-    n_q, dim_q = _side_stats(questions.where(F.col(query_vector).isNotNull()), query_vector)
     empty_schema = T.StructType([T.StructField(key, questions.schema[key].dataType),
                                  T.StructField("rank", T.IntegerType()),
                                  T.StructField(point_id, points.schema[point_id].dataType),
                                  T.StructField("score", T.DoubleType())])
+    if side in ("auto", "points"):
+        # bounded probe: read at most budget/row-size + 1 points; if they all came back,
+        # the collection is broadcast as is, without a separate count
+        row_bytes = (dim_hint or 64) * 8 + _ROW_OVERHEAD + 16 * len(filter_keys)
+        cap = max(1, max_broadcast_bytes // row_bytes)
+        probe = points.select(point_id, vector, *filter_keys).where(F.col(vector).isNotNull())
+        ppdf = probe.limit(cap + 1).toPandas() if side == "auto" else probe.toPandas()
+        if side == "points" or len(ppdf) <= cap:
+            return _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, query_vector,
+                                          metadata_filter, point_id, vector, filter_keys, metric,
+                                          questions.schema[key].dataType, points.schema[point_id].dataType)
+    n_q, dim_q = _side_stats(questions.where(F.col(query_vector).isNotNull()), query_vector)
     if n_q == 0:
         return spark.createDataFrame([], empty_schema)
-    if side == "auto":
-        n_p, dim_p = _side_stats(points.where(F.col(vector).isNotNull()), vector)
-        p_bytes = n_p * (max(dim_p, dim_q) * 8 + _ROW_OVERHEAD + 16 * len(filter_keys))
-        q_bytes = n_q * (dim_q * 8 + _ROW_OVERHEAD)
-        side = "points" if (p_bytes <= max_broadcast_bytes and p_bytes <= q_bytes) else "questions"
-    if side == "points":
-        return _plan_broadcast_points(spark, questions, points, k, offset, threshold, key, query_vector,
-                                      metadata_filter, point_id, vector, filter_keys, metric, dim_q)
     out = _plan_broadcast_questions(spark, questions, points, k, offset, threshold, key, query_vector,
                                     metadata_filter, point_id, vector, filter_keys, metric,
                                     max_broadcast_bytes, n_q, dim_q)

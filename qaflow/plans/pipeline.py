@@ -221,20 +221,19 @@ class Pipeline:
 
     def initial_state(self, requests: DataFrame, first_stage: int) -> DataFrame:
         s = requests
+        base = {"metadata": F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
+                if "metadata" in s.columns else F.create_map().cast("map<string,string>")}
         if "qvec" not in s.columns:
-            s = s.withColumn("qvec", F.lit(None).cast("array<float>"))
-        if "metadata" not in s.columns:
-            s = s.withColumn("metadata", F.create_map().cast("map<string,string>"))
-        s = s.withColumn("metadata", F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")))
+            base["qvec"] = F.lit(None).cast("array<float>")
+        s = s.withColumns(base)
         s = start(s, first_stage)
-        s = s.withColumn("contexts", F.lit(None).cast(R.CONTEXTS_TYPE)) \
-            .withColumn("response", F.lit(None).cast("string")) \
-            .withColumn("token_count", F.lit(None).cast("int")) \
-            .withColumn("prompt_too_long", F.lit(None).cast("boolean")) \
-            .withColumn("cache_hit", F.lit(False))
-        for m in STATE_METRICS:
-            s = s.withColumn(m, F.lit(None).cast("string"))
-        return s
+        extra = {
+            "contexts": F.lit(None).cast(R.CONTEXTS_TYPE), "response": F.lit(None).cast("string"),
+            "token_count": F.lit(None).cast("int"), "prompt_too_long": F.lit(None).cast("boolean"),
+            "cache_hit": F.lit(False),
+        }
+        extra.update({m: F.lit(None).cast("string") for m in STATE_METRICS})
+        return s.withColumns(extra)
 
     def run(self, requests: DataFrame, timed: bool = False) -> tuple[DataFrame, dict]:
         """Returns the final state and per-stage wall seconds (``timed`` checkpoints each stage)."""

@@ -48,7 +48,7 @@ def empty_errors() -> Column:
 
 def start(df: DataFrame, first_stage: int) -> DataFrame:
     """Initial routing columns (the first configured stage runs first)."""
-    return df.withColumn("sentinel", F.lit(first_stage).cast("int")).withColumn("errors", empty_errors())
+    return df.withColumns({"sentinel": F.lit(first_stage).cast("int"), "errors": empty_errors()})
 
 
 @dataclass
@@ -87,14 +87,13 @@ def run_stages(state: DataFrame, stages: list[Stage], linked: bool = True,
 
 
 def gated(state: DataFrame, values: dict[str, Column], sentinel: Column | None = None) -> DataFrame:
-    """Set columns only on gated rows; ``sentinel`` is written last."""
+    """Set columns only on gated rows, in one projection (all values read the input row)."""
     gate = F.col(GATE)
     cols = {c: F.when(gate, v).otherwise(F.col(c)) if c in state.columns else F.when(gate, v)
             for c, v in values.items()}
-    out = state.withColumns(cols) if cols else state
     if sentinel is not None:
-        out = out.withColumn("sentinel", F.when(gate, sentinel.cast("int")).otherwise(F.col("sentinel")))
-    return out
+        cols["sentinel"] = F.when(gate, sentinel.cast("int")).otherwise(F.col("sentinel"))
+    return state.withColumns(cols) if cols else state
 
 
 def next_or_end(nxt: int | None) -> Column:
