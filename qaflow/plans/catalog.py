@@ -707,3 +707,86 @@ def validate_requests(spark, d):
     lines = c.select("conv_id", "turn", body.alias("value"))
     v = validate_json_requests(lines)
     return v.select("conv_id", "turn", "valid", "user_query")
+
+
+# ------------------------------------------------------------------------------ G2 and streams
+
+def _digit_points(spark, d):
+    docs = TB.table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("id"),
+                       TX.digit_encode(F.lpad(F.col("doc_id").cast("string"), 4, "0"), 4).alias("vector"),
+                       F.col("doc_id").cast("string").alias("doc_id"), "text",
+                       F.create_map().cast("map<string,string>").alias("payload"))
+
+
+_DIGITS4 = ", ".join(f"CAST(substr({{x}}, {i}, 1) AS DOUBLE)" for i in range(1, 5))
+
+
+@register("retrieve_error_fallback", f"""WITH pts AS (
+  SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS sdoc, [{_DIGITS4.format(x="lpad(CAST(doc_id AS VARCHAR), 4, '0')")}] AS vec
+  FROM documents),
+req AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS event_id, CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority AS uq
+        FROM orders),
+enc AS (SELECT event_id, CASE WHEN regexp_matches(substr(uq, 1, 4), '^[0-9]{{4}}$') THEN [{_DIGITS4.format(x="uq")}] END AS qv
+        FROM req),
+sc AS (SELECT e.event_id, p.id, p.sdoc, list_dot_product(e.qv, p.vec) AS score FROM enc e JOIN pts p ON e.qv IS NOT NULL),
+h AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, id ASC) AS rk FROM sc QUALIFY rk <= 2),
+agg AS (SELECT event_id, string_agg(sdoc, ',' ORDER BY rk) AS ids FROM h GROUP BY event_id)
+SELECT e.event_id, CASE WHEN e.qv IS NULL THEN '' ELSE coalesce(a.ids, '') END AS context_ids,
+       CASE WHEN e.qv IS NULL THEN {O.lit(K.EMBED_ERROR_PREFIX + K.FALLBACK_TAIL)} END AS fallback,
+       CASE WHEN e.qv IS NULL THEN {O.lit(K.EMBED_TIMEOUT_ERROR)} END AS error_type,
+       CAST(CASE WHEN e.qv IS NULL THEN {K.GENERATE} END AS INTEGER) AS sentinel
+FROM enc e LEFT JOIN agg a ON a.event_id = e.event_id""")
+def retrieve_error_fallback(spark, d):
+    """Order questions embedded by the digit encoder (4 leading digits); order keys
+    below 1000 cannot be embedded -> "Sorry, something went wrong. " context, jump to GENERATE."""
+    o = TB.table(spark, d, "orders")
+    req = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("event_id"),
+                   F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderpriority")).alias("user_query"))
+    p = Pipeline(points=_digit_points(spark, d), encoder=lambda c: TX.digit_encode(c, 4), stages=["RETRIEVE"])
+    s, _ = p.run(req)
+    failed = F.exists("errors", lambda e: e["error_type"] == K.EMBED_TIMEOUT_ERROR)
+    return s.select("event_id",
+                    F.when(failed, F.lit("")).otherwise(F.array_join(F.transform("contexts", lambda c: c["doc_id"]), ","))
+                    .alias("context_ids"),
+                    F.when(failed, F.element_at("contexts", 1)["text"]).alias("fallback"),
+                    F.when(failed, F.lit(K.EMBED_TIMEOUT_ERROR)).alias("error_type"), "sentinel")
+
+
+@register("retrieve_bad_search_option")
+def retrieve_bad_search_option(spark, d):
+    """G2, other error: a search option the store does not take -> every question gets the
+    "Sorry something went wrong. " context and goes on to the next stage (rows-only: the
+    SQL would be a constant per row)."""
+    cfg = PipelineConfig(retrieval=RetrievalConfig(search_params={"with_vectors": True}))
+    p = Pipeline(points=_points(spark, d), config=cfg, filter_keys=["label"], stages=["RETRIEVE", "CONSOLIDATE"])
+    s, _ = p.run(_questions(spark, d))
+    return s.select("event_id", F.element_at("contexts", 1)["text"].alias("context"), _error_types().alias("error_types"))
+
+
+@register("stream_answers")
+def stream_answers(spark, d):
+    """J1 + J2: questions arrive as JSON files; each micro-batch runs the pipeline and writes
+    answers and eval records keyed by batch id (rows-only)."""
+    from ..streaming.streams import answer_stream
+    src = shared_path(spark, "requests-in")
+    _questions(spark, d).repartition(4).write.json(src)
+    out, ev, ck = shared_path(spark, "answers"), shared_path(spark, "stream-eval"), shared_path(spark, "stream-ck")
+    q = answer_stream(spark, src, Pipeline(points=_points(spark, d), filter_keys=["label"]), out, ck, eval_path=ev)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "generated_text", "batch_id")
+
+
+@register("stream_patches")
+def stream_patches(spark, d):
+    """The article patch feed as a stream; each batch writes a new table version (rows-only)."""
+    from ..streaming.streams import latest_version, patch_stream
+    docs = TB.table(spark, d, "documents")
+    base = shared_path(spark, "articles-v0")
+    A.articles_from_documents(docs).write.parquet(base)
+    src = shared_path(spark, "patches-in")
+    A.patch_from_labels(docs, TB.table(spark, d, "labels"), TB.table(spark, d, "benchmark")) \
+        .withColumn("seq", F.col("seq").cast("long")).write.json(src)
+    versions, ck = shared_path(spark, "articles-versions"), shared_path(spark, "patch-ck")
+    patch_stream(spark, src, base, versions, ck).awaitTermination()
+    return latest_version(spark, base, versions).select("doc_id", "text", "created_by")
