@@ -65,16 +65,25 @@ def consolidate_long(contexts: DataFrame, strategy: str = "simple", token_limit:
         F.when(is_error, msg).alias("error"))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body`` (one-element transform)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def consolidate_array(ctx: Column, strategy: str = "simple", token_limit: int = 1000,
                       token_counter=char_tokens) -> Column:
     """Array form on ``array<struct<rank, doc_id, text, score, title, url, has_meta>>``.
 
-    Returns ``struct<contexts: array<same struct>, error: string>``.
+    Returns ``struct<contexts: array<same struct>, error: string>``. Each context is
+    formatted once, the array is sorted once and walked once (``aggregate``); the
+    intermediate arrays are bound with a one-element ``transform`` so nothing is
+    recomputed per reference.
     """
-    with_len = F.transform(ctx, lambda x: x.withField(
-        "_fmt", format_context(x["text"], x["title"], x["url"], x["has_meta"])))
-    with_len = F.transform(with_len, lambda x: x.withField("_flen", F.length(x["_fmt"]))
-                           .withField("_ntok", token_counter(x["_fmt"]).cast("long")))
+
+    def clean(x, text):
+        return F.struct(x["rank"].alias("rank"), x["doc_id"].alias("doc_id"), text.alias("text"),
+                        x["score"].alias("score"), x["title"].alias("title"), x["url"].alias("url"),
+                        x["has_meta"].alias("has_meta"))
 
     def cmp(a, b):
         if strategy == "score_weighted":
@@ -86,28 +95,40 @@ def consolidate_array(ctx: Column, strategy: str = "simple", token_limit: int =
         return F.when(first != 0, first).otherwise(
             F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0))
 
-    srt = F.array_sort(with_len, cmp)
-    cum = F.transform(srt, lambda x, i: F.aggregate(F.slice(srt, 1, i + 1), F.lit(0).cast("long"),
-                                                     lambda acc, y: acc + y["_ntok"]))
-    over = F.transform(cum, lambda v: v > token_limit)
-    fo = F.array_position(over, True)  # 1-based, 0 = everything fits
-    n = F.size(srt)
-
-    def clean(x, text):
-        return F.struct(x["rank"].alias("rank"), x["doc_id"].alias("doc_id"), text.alias("text"),
-                        x["score"].alias("score"), x["title"].alias("title"), x["url"].alias("url"),
-                        x["has_meta"].alias("has_meta"))
+    formatted = F.transform(ctx, lambda x: x.withField(
+        "_fmt", format_context(x["text"], x["title"], x["url"], x["has_meta"])))
+    with_len = F.transform(formatted, lambda x: x.withField("_flen", F.length(x["_fmt"]))
+                           .withField("_ntok", token_counter(x["_fmt"]).cast("long")))
 
-    kept_all = F.transform(srt, lambda x: clean(x, x["_fmt"]))
-    kept_head = F.slice(kept_all, 1, F.greatest(fo - 1, F.lit(0)))
-    placed = F.transform(F.slice(srt, 1, F.greatest(fo - 1, F.lit(0))), lambda x: x["rank"])
-    passthrough = F.transform(with_len, lambda x: clean(
-        x, F.when(F.array_contains(placed, x["rank"]), x["_fmt"]).otherwise(x["text"])))
-    pieces = F.transform(srt, lambda x: _overflow_piece(x["doc_id"], x["_ntok"]))
-    msg = F.concat(F.lit(f"token_limit={token_limit} Documents: "), F.array_join(pieces, ","))
-    is_error = (fo > 0) & (fo < n)
-    contexts = F.when(fo == 0, kept_all).when(fo == n, kept_head).otherwise(passthrough)
-    return F.struct(contexts.alias("contexts"), F.when(is_error, msg).alias("error"))
+    def body(w):
+        empty_ctx = F.slice(F.transform(w, lambda x: clean(x, x["_fmt"])), 1, 0)
+        acc0 = F.struct(empty_ctx.alias("kept"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("fo"),
+                        F.lit(0).alias("i"), F.array().cast("array<string>").alias("pieces"))
+
+        def step(acc, x):
+            i = acc["i"] + 1
+            fits = (acc["fo"] == 0) & (acc["total"] + x["_ntok"] <= token_limit)
+            return F.struct(
+                F.when(fits, F.concat(acc["kept"], F.array(clean(x, x["_fmt"])))).otherwise(acc["kept"]).alias("kept"),
+                F.when(fits, acc["total"] + x["_ntok"]).otherwise(acc["total"]).alias("total"),
+                F.when((acc["fo"] == 0) & ~fits, i).otherwise(acc["fo"]).alias("fo"),
+                i.alias("i"),
+                F.concat(acc["pieces"], F.array(_overflow_piece(x["doc_id"], x["_ntok"]))).alias("pieces"))
+
+        def finish(r):
+            n = r["i"]
+            fo = r["fo"]
+            placed = F.transform(r["kept"], lambda c: c["rank"])
+            passthrough = F.transform(w, lambda x: clean(
+                x, F.when(F.array_contains(placed, x["rank"]), x["_fmt"]).otherwise(x["text"])))
+            is_error = (fo > 0) & (fo < n)
+            msg = F.concat(F.lit(f"token_limit={token_limit} Documents: "), F.array_join(r["pieces"], ","))
+            return F.struct(F.when(is_error, passthrough).otherwise(r["kept"]).alias("contexts"),
+                            F.when(is_error, msg).alias("error"))
+
+        return F.aggregate(F.array_sort(w, cmp), acc0, step, finish)
+
+    return _let(with_len, body)
 
 
 CONTEXT_WINDOW_ERROR = K.CONTEXT_WINDOW_ERROR

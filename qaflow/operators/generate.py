@@ -90,7 +90,9 @@ def call_model(df: DataFrame, model, prompt_col: str = "prompt", out_col: str =
                                        else col.to_numpy(dtype=object))
             yield pdf
 
-    out = df.mapInPandas(run, schema)
+    from ..session import spread_for_cpu
+
+    out = spread_for_cpu(df).mapInPandas(run, schema)
     return out.withColumn(out_col, F.struct(*[F.col(f"_m_{f.name}").alias(f.name) for f in MODEL_RESULT.fields])) \
         .drop(*[f"_m_{f.name}" for f in MODEL_RESULT.fields])
 

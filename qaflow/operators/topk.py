@@ -142,7 +142,9 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
     sel = [key, qvec] + ([spec_col] if spec_col else [])
     staged = questions.select(*sel)
     if n_blocks > 1:
-        staged = staged.withColumn("_blk", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)))
+        # every block reads the questions again: materialise them once (reliable checkpoint
+        # in spark.checkpoint.dir, which also cuts the upstream lineage)
+        staged = staged.withColumn("_blk", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks))).checkpoint()
     results = []
     for b in range(n_blocks):
         part = staged.where(F.col("_blk") == b).drop("_blk") if n_blocks > 1 else staged

@@ -89,7 +89,8 @@ def run_stages(state: DataFrame, stages: list[Stage], linked: bool = True,
 def gated(state: DataFrame, values: dict[str, Column], sentinel: Column | None = None) -> DataFrame:
     """Set columns only on gated rows, in one projection (all values read the input row)."""
     gate = F.col(GATE)
-    cols = {c: F.when(gate, v).otherwise(F.col(c)) if c in state.columns else F.when(gate, v)
+    present = set(state.columns)
+    cols = {c: F.when(gate, v).otherwise(F.col(c)) if c in present else F.when(gate, v)
             for c, v in values.items()}
     if sentinel is not None:
         cols["sentinel"] = F.when(gate, sentinel.cast("int")).otherwise(F.col("sentinel"))

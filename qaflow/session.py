@@ -46,3 +46,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for written tables."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread_for_cpu(df):
+    """Give CPU-heavy Python stages at least one task per core.
+
+    A scan of one small file is one task; the Arrow-batched kernels (scoring, encoder,
+    model) would then use one core. Only when the input has fewer partitions than the
+    cluster's default parallelism is it round-robin repartitioned; at scale (many
+    files/row groups) this is a no-op and adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

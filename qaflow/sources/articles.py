@@ -48,8 +48,10 @@ def trim_articles(articles: DataFrame, order_col: str, head: int = 700, max_char
 
 def build_collection(articles: DataFrame, encoder, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A2: point per article: id from a stable key, vector = encoder(text), payload = the whole item."""
+    from ..session import spread_for_cpu
+
     payload_cols = [c for c in articles.columns if c not in (key,)]
-    return articles.select(
+    return spread_for_cpu(articles).select(
         F.col(key).cast("long").alias("id"), encoder(F.col(text)).alias("vector"),
         F.col(key).cast("string").alias("doc_id"), *[F.col(c) for c in payload_cols if c != "doc_id"])
 
@@ -89,7 +91,8 @@ def get_articles(articles: DataFrame, ids: DataFrame | str, key: str = "doc_id")
     cols = [c for c in ARTICLE_TYPE.fieldNames() if c in articles.columns]
     if isinstance(ids, str):
         return articles.where(F.col(key) == F.lit(ids)).select(*cols)
-    return articles.join(ids.select(F.col(key)), key, "left_semi").select(*cols)
+    # distinct first (map-side combined): a hot id repeated many times is not shuffled as such
+    return articles.join(ids.select(F.col(key)).distinct(), key, "left_semi").select(*cols)
 
 
 def articles_from_documents(documents: DataFrame) -> DataFrame:
