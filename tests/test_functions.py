@@ -66,6 +66,7 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<float>, b array<float>")
     r = df.select(V.dot(F.col("a"), F.col("b")).alias("d"), V.cosine_distance(F.col("a"), F.col("a")).alias("c")).first()
     assert r.d == 11.0 and abs(r.c) < 1e-12
-    enc = V.hash_encoder(16)
-    e = spark.createDataFrame([("hello world",), (None,)], "t string").select(enc(F.col("t")).alias("v")).collect()
-    assert len(e[0].v) == 16 and abs(sum(x * x for x in e[0].v) - 1) < 1e-5 and e[1].v is None
+    enc = V.hash_encoder(64)
+    e = spark.createDataFrame([("the quick brown fox jumps over the lazy dog",), (None,)], "t string") \
+        .select(enc(F.col("t")).alias("v")).collect()
+    assert len(e[0].v) == 64 and abs(sum(x * x for x in e[0].v) - 1) < 1e-5 and e[1].v is None
