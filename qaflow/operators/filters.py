@@ -26,16 +26,18 @@ def parse_literal(text):
 
 
 def _eq(df_columns: set, key: str, value) -> Column:
-    # a key the collection does not carry never matches
+    # a key the collection does not carry never matches; a NULL value never matches
+    # either (in a filter NULL drops the row), and the bare equality stays pushable
     if key not in df_columns:
         return F.lit(False)
-    return F.coalesce(F.col(key) == F.lit(value), F.lit(False))
+    return F.col(key) == F.lit(value)
 
 
 def must_should_predicate(df: DataFrame, must=(), should=()) -> Column | None:
     """Every ``must`` equal AND (no ``should`` OR at least one ``should`` equal).
 
-    Plain column equalities, so Catalyst pushes them into the parquet scan.
+    Plain column equalities, so Catalyst pushes them into the parquet scan. Use it as
+    a filter only (NULL comparisons drop the row there, as a missing key does).
     """
     cols = set(df.columns)
     parts = []

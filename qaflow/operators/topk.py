@@ -121,6 +121,12 @@ def _union_predicate(points: DataFrame, groups: dict):
     """Pushdown: a point can only match some question's spec (skipped if any spec is empty)."""
     if () in groups or len(groups) > _MAX_PUSHED_SPECS or not groups:
         return None
+    keys = {tuple(k for k, _ in spec) for spec in groups}
+    if len(keys) == 1 and len(next(iter(keys))) == 1:  # one key everywhere: key IN (...)
+        key = next(iter(keys))[0]
+        if key not in points.columns:
+            return F.lit(False)
+        return F.col(key).isin([spec[0][1] for spec in groups])
     preds = [FL.must_should_predicate(points, must=list(spec)) for spec in groups]
     out = preds[0]
     for p in preds[1:]:

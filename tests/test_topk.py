@@ -84,3 +84,22 @@ def test_plan_has_no_cartesian_product(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert "MapInPandas" in plan
+
+
+def test_filters_reach_the_collection_scan(spark):
+    from qaflow.sources import tables as TB
+    from tests.conftest import SF_SMALL
+    pts = TB.collection_points(spark, SF_SMALL)
+    q = TB.questions(spark, SF_SMALL).withColumn("spec", FL.metadata_must(F.col("metadata")))
+    out = similarity_topk(q, pts, 2, metadata_filter="spec", filter_keys=["label"], must=[("lang", "en")],
+                          should=[("source", "src1"), ("source", "src2")], side="questions")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan and "Or(EqualTo(source,src1),EqualTo(source,src2))" in plan
+    assert "In(label," in plan  # the union of the questions' must-filters
+    assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+    rows = out.collect()
+    got = {(r.event_id, r.rank): r.id for r in rows}
+    # same answer when the collection is broadcast instead
+    alt = similarity_topk(q, pts, 2, metadata_filter="spec", filter_keys=["label"], must=[("lang", "en")],
+                          should=[("source", "src1"), ("source", "src2")], side="points").collect()
+    assert got == {(r.event_id, r.rank): r.id for r in alt}
