@@ -303,7 +303,10 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
     if side in ("auto", "points"):
         # bounded probe: read at most budget/row-size + 1 points; if they all came back,
         # the collection is broadcast as is, without a separate count
-        row_bytes = (dim_hint or 64) * 8 + _ROW_OVERHEAD + 16 * len(filter_keys)
+        if dim_hint is None:  # the real width decides how many points fit the budget
+            first = points.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).first()
+            dim_hint = int(first["d"]) if first is not None else 0
+        row_bytes = max(dim_hint, 1) * 8 + _ROW_OVERHEAD + 16 * len(filter_keys)
         cap = max(1, max_broadcast_bytes // row_bytes)
         probe = points.select(point_id, vector, *filter_keys).where(F.col(vector).isNotNull())
         ppdf = probe.limit(cap + 1).toPandas() if side == "auto" else probe.toPandas()
