@@ -1,7 +1,7 @@
 """Semantic cache of answered questions.
 
 Cache table: ``cache_id bigint, cvec array<float>, user_query string,
-contexts array<context>, response string, ts timestamp``.
+contexts array<context>, response string, ts timestamp_ntz``.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def cache_misses(questions: DataFrame, hits: DataFrame) -> DataFrame:
 def cache_entries(state: DataFrame, ts_col=None) -> DataFrame:
     """Answered, non-fallback, non-hit rows of a pipeline state as cache entries."""
     bad = F.exists("errors", lambda e: e["stage"].isin(K.RETRIEVE, K.GENERATE))
-    ts = ts_col if ts_col is not None else F.current_timestamp()
+    ts = ts_col if ts_col is not None else F.localtimestamp()
     return state.where(F.col("response").isNotNull() & ~bad & ~F.col("cache_hit") & F.col("qvec").isNotNull()) \
         .select(F.xxhash64("event_id").alias("cache_id"), F.col("qvec").alias("cvec"), "user_query",
                 "contexts", "response", ts.alias("ts"))

@@ -477,7 +477,7 @@ def _cache_table(spark, d):
     return e.select(F.col("vec_id").alias("cache_id"), F.col("embedding").alias("cvec"),
                     F.lit(None).cast("string").alias("user_query"), F.lit(None).cast(R.CONTEXTS_TYPE).alias("contexts"),
                     F.concat(F.lit("cached answer "), F.col("vec_id").cast("string")).alias("response"),
-                    (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("vec_id").cast("double")))
+                    (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(secs=F.col("vec_id").cast("double")))
                     .alias("ts"))
 
 
@@ -509,7 +509,7 @@ def cache_write(spark, d):
     e = TB.table(spark, d, "embeddings").where("label >= 3")
     entries = e.select(F.col("vec_id").alias("cache_id"), F.col("embedding").alias("cvec"),
                        F.lit(None).cast("string").alias("user_query"), F.lit(None).cast(R.CONTEXTS_TYPE).alias("contexts"),
-                       F.lit("new answer").alias("response"), F.lit("2024-01-02").cast("timestamp").alias("ts"))
+                       F.lit("new answer").alias("response"), F.lit("2024-01-02").cast("timestamp_ntz").alias("ts"))
     return C.cache_write(cache, entries, size=300).select("cache_id", "ts")
 
 

@@ -91,7 +91,19 @@ def test_cache_hit_jumps_to_generate(spark):
     cache = spark.createDataFrame([(9, [1.0, 1.0, 1.0], "q", [(1, "c9", "cached text\n", 1.0, None, None, False)],
                                     "old", None)],
                                   f"cache_id long, cvec array<float>, user_query string, contexts {CONTEXTS_TYPE.simpleString()}, "
-                                  "response string, ts timestamp")
+                                  "response string, ts timestamp_ntz")
     p = Pipeline(points=coll, cache=cache, stages=["SECURITY", "RCACHE", "RETRIEVE", "CONSOLIDATE", "GENERATE", "WCACHE"])
     r = p.run(_requests(spark))[0].first()
     assert r.cache_hit and [c.doc_id for c in r.contexts] == ["c9"] and r.m_relevant_document_ids_scores is None
+
+
+def test_metadata_without_title_takes_the_error_path(spark):
+    arts = spark.createDataFrame([(1, "123text1")], "doc_id long, text string")
+    coll = A.build_collection(arts, lambda t: digit_encode(t, 3)) \
+        .withColumn("payload", F.create_map(F.lit("url"), F.lit("u1")))
+    p = Pipeline(points=coll, stages=["RETRIEVE", "CONSOLIDATE", "GENERATE"])
+    r = p.run(_requests(spark))[0].first()
+    assert r.errors[0].stage == K.RETRIEVE and r.errors[0].error_type == "KeyError"
+    assert r.m_relevant_document_ids_scores == "1:6.000000"
+    # the other-error fallback goes on to CONSOLIDATE (formatted there), then GENERATE
+    assert r.contexts[0].text == K.OTHER_ERROR_PREFIX + K.FALLBACK_TAIL + "\n"
