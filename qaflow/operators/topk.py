@@ -117,6 +117,26 @@ def _side_stats(df: DataFrame, vec_col: str) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["d"] or 0)
 
 
+def _bounded_probe(probe: DataFrame, vector: str, budget: int, extra_bytes: int, dim_hint: int | None):
+    """Collect the collection only if it fits ``budget``; never more than ~budget bytes.
+
+    The first read assumes wide vectors (``dim_hint`` or 1024 floats), so it returns at
+    most ``budget / row`` rows; if it came back whole, the collection fits. Otherwise the
+    real width of the returned rows sizes a second bounded read.
+    """
+    dim = dim_hint or 1024
+    for _ in range(2):
+        cap = max(1, budget // (dim * 8 + _ROW_OVERHEAD + extra_bytes))
+        pdf = probe.limit(cap + 1).toPandas()
+        real = max((len(v) for v in pdf[vector].head(16)), default=0)
+        if len(pdf) <= cap:
+            return pdf if len(pdf) * (real * 8 + _ROW_OVERHEAD + extra_bytes) <= budget else None
+        if real >= dim:
+            return None
+        dim = max(real, 1)
+    return None
+
+
 def _union_predicate(points: DataFrame, groups: dict):
     """Pushdown: a point can only match some question's spec (skipped if any spec is empty)."""
     if () in groups or len(groups) > _MAX_PUSHED_SPECS or not groups:
@@ -301,16 +321,12 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
                                  T.StructField(point_id, points.schema[point_id].dataType),
                                  T.StructField("score", T.DoubleType())])
     if side in ("auto", "points"):
-        # bounded probe: read at most budget/row-size + 1 points; if they all came back,
-        # the collection is broadcast as is, without a separate count
-        if dim_hint is None:  # the real width decides how many points fit the budget
-            first = points.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).first()
-            dim_hint = int(first["d"]) if first is not None else 0
-        row_bytes = max(dim_hint, 1) * 8 + _ROW_OVERHEAD + 16 * len(filter_keys)
-        cap = max(1, max_broadcast_bytes // row_bytes)
         probe = points.select(point_id, vector, *filter_keys).where(F.col(vector).isNotNull())
-        ppdf = probe.limit(cap + 1).toPandas() if side == "auto" else probe.toPandas()
-        if side == "points" or len(ppdf) <= cap:
+        if side == "points":
+            ppdf = probe.toPandas()
+        else:
+            ppdf = _bounded_probe(probe, vector, max_broadcast_bytes, 16 * len(filter_keys), dim_hint)
+        if ppdf is not None:
             return _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, query_vector,
                                           metadata_filter, point_id, vector, filter_keys, metric,
                                           questions.schema[key].dataType, points.schema[point_id].dataType)
