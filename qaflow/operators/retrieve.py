@@ -82,10 +82,20 @@ def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: s
     if metadata is not None:
         q = q.withColumn("_spec", FL.metadata_must(F.col(metadata)))
         spec = "_spec"
+    info: dict = {}
     hits = similarity_topk(q, points, k, key=key, query_vector=query_vector, metadata_filter=spec,
                            filter_keys=filter_keys, must=must, should=should, search_params=search_params,
-                           metric=metric, max_broadcast_bytes=max_broadcast_bytes)
-    return contexts_per_event(hits_with_payload(hits, points, key=key), key=key)
+                           metric=metric, max_broadcast_bytes=max_broadcast_bytes, info=info)
+    return contexts_per_event(hits_with_payload(hits, points, key=key,
+                                                broadcast_hits=hits_fit(info, k, max_broadcast_bytes)), key=key)
+
+
+def hits_fit(info: dict, k: int, budget: int) -> bool:
+    """Hits are provably small when the question count is known: ``n * k`` rows of
+    (key, id, rank, score). Broadcasting them keeps a large collection from being
+    shuffled for the payload join; a small (broadcast) collection is left to the planner."""
+    n = info.get("n_questions")
+    return n is not None and n * k * 96 <= budget
 
 
 def zip_hits(documents: Column, ids: Column, scores: Column) -> Column:

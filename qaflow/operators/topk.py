@@ -300,14 +300,18 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
                     query_vector: str = "qvec", metadata_filter: str | None = None,
                     point_id: str = "id", vector: str = "vector", filter_keys: list[str] | None = None,
                     must=(), should=(), search_params: dict | None = None, metric: str = "dot",
-                    max_broadcast_bytes: int = 64 << 20, side: str = "auto", dim_hint: int | None = None) -> DataFrame:
+                    max_broadcast_bytes: int = 64 << 20, side: str = "auto", dim_hint: int | None = None,
+                    info: dict | None = None) -> DataFrame:
     """Top-k points per question: ``(key, rank, point_id, score)``; rank starts at 1.
 
     * ``metadata_filter``: column of canonical must-specs per question (see
       :func:`filters.metadata_must`), matched against ``filter_keys`` columns of points.
     * ``must`` / ``should``: static filters for every question (pushed to the scan).
     * ``search_params``: ``offset`` and ``score_threshold`` (others raise).
+    * ``info``: filled with the chosen plan and, for the block plan, the question count
+      (an upper bound for the hits is then ``n_questions * k``).
     """
+    info = info if info is not None else {}
     if k <= 0:
         raise ValueError("k must be positive")
     offset, threshold = FL.search_options(search_params)
@@ -327,10 +331,12 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
         else:
             ppdf = _bounded_probe(probe, vector, max_broadcast_bytes, 16 * len(filter_keys), dim_hint)
         if ppdf is not None:
+            info.update(plan="broadcast_points", n_points=len(ppdf))
             return _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, query_vector,
                                           metadata_filter, point_id, vector, filter_keys, metric,
                                           questions.schema[key].dataType, points.schema[point_id].dataType)
     n_q, dim_q = _side_stats(questions.where(F.col(query_vector).isNotNull()), query_vector)
+    info.update(plan="broadcast_questions", n_questions=n_q)
     if n_q == 0:
         return spark.createDataFrame([], empty_schema)
     out = _plan_broadcast_questions(spark, questions, points, k, offset, threshold, key, query_vector,

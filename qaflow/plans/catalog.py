@@ -51,7 +51,9 @@ def _hits(spark, d, k, label_filter=True, **kw):
 
 def _ctx_long(spark, d, k, **kw):
     pts = _points(spark, d)
-    return R.hits_with_payload(_hits(spark, d, k, points=pts, **kw), pts)
+    info: dict = {}
+    hits = _hits(spark, d, k, points=pts, info=info, **kw)
+    return R.hits_with_payload(hits, pts, broadcast_hits=R.hits_fit(info, k, 64 << 20))
 
 
 def _pipeline_state(spark, d, cfg=None, **kw):
