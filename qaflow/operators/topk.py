@@ -67,6 +67,8 @@ def _eq_mask(values: np.ndarray, value) -> np.ndarray:
         return values == value
     if kind == "b":
         return values == value if isinstance(value, bool) else np.zeros(len(values), dtype=bool)
+    if isinstance(value, str):  # object column: only equal strings match (vectorised)
+        return np.asarray(values == value, dtype=bool)
     return np.fromiter(((type(x) is type(value)) and x == value for x in values), dtype=bool, count=len(values))
 
 

@@ -53,7 +53,8 @@ def _ctx_long(spark, d, k, **kw):
     pts = _points(spark, d)
     info: dict = {}
     hits = _hits(spark, d, k, points=pts, info=info, **kw)
-    return R.hits_with_payload(hits, pts, broadcast_hits=R.hits_fit(info, k, 64 << 20))
+    fit = R.hits_fit(info, k, 64 << 20, _questions(spark, d))
+    return R.hits_with_payload(hits, pts, broadcast_hits=fit)
 
 
 def _pipeline_state(spark, d, cfg=None, **kw):
