@@ -45,7 +45,10 @@ def cache_write(cache: DataFrame, entries: DataFrame, size: int | None = None) -
 
     The size cut is a distributed top-N (``TakeOrderedAndProject``), bounded by ``size``.
     """
-    new = entries.dropDuplicates(["cache_id"]).join(cache.select("cache_id"), "cache_id", "left_anti")
+    from ..sources.articles import last_per_key
+
+    new = last_per_key(entries, "cache_id", "ts").select(*entries.columns) \
+        .join(cache.select("cache_id"), "cache_id", "left_anti")
     out = cache.unionByName(new)
     if size is not None:
         out = out.orderBy(F.col("ts").desc(), F.col("cache_id").asc()).limit(int(size))

@@ -57,14 +57,16 @@ def build_collection(articles: DataFrame, encoder, key: str = "doc_id", text: st
 
 
 def last_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """The row with the highest ``order_col`` per key, as an aggregate (``max_by``).
+    """The row with the highest ``order_col`` per key, as an aggregate.
 
-    Hash aggregation combines map-side, so a key that holds a third of all rows is
-    reduced inside each task before the shuffle instead of landing in one task.
+    ``max(struct(order_col, other columns...))`` is combined map-side, so a key that
+    holds a third of all rows is reduced inside each task before the shuffle instead of
+    landing in one task; ties on ``order_col`` are broken by the other columns, so a
+    recomputed partition (after an executor loss) picks the same row.
     """
-    others = [c for c in df.columns if c != key]
-    picked = F.max_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_last")
-    return df.groupBy(key).agg(picked).select(key, *[F.col(f"_last.{c}").alias(c) for c in others])
+    others = [c for c in df.columns if c not in (key, order_col)]
+    picked = F.max(F.struct(F.col(order_col), *[F.col(c) for c in others])).alias("_last")
+    return df.groupBy(key).agg(picked).select(key, *[F.col(f"_last.{c}").alias(c) for c in [order_col] + others])
 
 
 def load_points(points: DataFrame, order_col: str, key: str = "id") -> DataFrame:

@@ -61,3 +61,18 @@ def test_request_validation(spark):
     assert got[0] == (True, "hi", {})
     assert got[1][0] is False and got[2][0] is False and got[4][0] is False and got[5][0] is False
     assert got[3] == (True, "x", {"region": "NZ", "n": "1"})
+
+
+def test_hot_key_patch_is_combined_map_side(spark):
+    # one doc id holds a third of the patch rows; the last one (highest seq) must win
+    rows = [("hot", f"v{i}", "u", None, i) for i in range(300)] + \
+           [(f"d{i}", f"t{i}", "u", None, 1) for i in range(600)]
+    patch = spark.createDataFrame(rows, "doc_id string, text string, created_by string, created_date timestamp, seq int") \
+        .repartition(6)
+    cur = spark.createDataFrame([("hot", "old", None, None)],
+                                "doc_id string, text string, created_by string, created_date timestamp")
+    out = A.apply_patch(cur, patch)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got["hot"] == "v299" and len(got) == 601
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max" in plan
