@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,3 +66,22 @@ def hash_encoder(dim: int = 64):
         return _hash_embed_batch(texts, dim)
 
     return _encode
+
+
+def model_encoder(factory, dim: int):
+    """K2 plug point for a real sentence model: ``factory()`` builds an object with
+    ``encode(list[str]) -> array (n, dim)``; it is called once per task (iterator pandas
+    UDF), then every Arrow batch of the partition is encoded with it."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for texts in batches:
+            valid = texts.notna().to_numpy()
+            out = [None] * len(texts)
+            if valid.any():
+                vecs = np.asarray(model.encode(texts[valid].tolist()), dtype=np.float32).reshape(-1, dim)
+                for j, i in enumerate(np.flatnonzero(valid)):
+                    out[i] = vecs[j]
+            yield pd.Series(out)
+
+    return _encode

@@ -76,13 +76,16 @@ def call_model(df: DataFrame, model, prompt_col: str = "prompt", out_col: str =
     schema = T.StructType(df.schema.fields + flat)
 
     def run(batches):
+        active = None
         for pdf in batches:
+            if active is None:  # a factory builds the model once per task, then serves every batch
+                active = model.build() if isinstance(model, ModelFactory) else model
             pdf = pdf.reset_index(drop=True)
             live = pdf[prompt_col].notna().to_numpy()
             res = pd.DataFrame({"text": None, "token_count": None, "error_type": None, "error_message": None},
                                index=pdf.index, dtype=object)
             if live.any():
-                got = _call_rows(model, pdf.loc[live, prompt_col].reset_index(drop=True))
+                got = _call_rows(active, pdf.loc[live, prompt_col].reset_index(drop=True))
                 res.loc[live, :] = got.to_numpy(dtype=object)
             for f in MODEL_RESULT.fields:
                 col = res[f.name]
@@ -97,6 +100,16 @@ def call_model(df: DataFrame, model, prompt_col: str = "prompt", out_col: str =
         .drop(*[f"_m_{f.name}" for f in MODEL_RESULT.fields])
 
 
+class ModelFactory:
+    """Wrap ``factory() -> callable`` so a heavy model is loaded once per task, not per batch."""
+
+    def __init__(self, factory):
+        self.factory = factory
+
+    def build(self):
+        return self.factory()
+
+
 def echo_model(answer: str = "The answer is 42.", max_length: int | None = None):
     """A deterministic stand-in model that echoes its prompt like a causal LM,
     then strips the echo (H10); token count = characters, capped at ``max_length``."""

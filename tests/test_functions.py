@@ -70,3 +70,34 @@ def test_vectors(spark):
     e = spark.createDataFrame([("the quick brown fox jumps over the lazy dog",), (None,)], "t string") \
         .select(enc(F.col("t")).alias("v")).collect()
     assert len(e[0].v) == 64 and abs(sum(x * x for x in e[0].v) - 1) < 1e-5 and e[1].v is None
+
+
+def test_model_encoder_loads_once_per_task(spark):
+    import numpy as np
+
+    class Fake:
+        loads = 0
+
+        def __init__(self):
+            Fake.loads += 1
+
+        def encode(self, texts):
+            return np.array([[len(t), 1.0] for t in texts])
+
+    enc = V.model_encoder(Fake, 2)
+    df = spark.createDataFrame([("ab",), (None,), ("abcd",)], "t string").coalesce(1)
+    got = [r.v for r in df.select(enc(F.col("t")).alias("v")).collect()]
+    assert got == [[2.0, 1.0], None, [4.0, 1.0]]
+
+
+def test_model_factory_in_generation(spark):
+    import pandas as pd
+
+    from qaflow.operators.generate import ModelFactory, call_model
+
+    def factory():
+        return lambda prompts: pd.DataFrame({"text": prompts.str.upper(), "token_count": prompts.str.len()})
+
+    df = spark.createDataFrame([("a",), (None,), ("bc",)], "prompt string")
+    got = [(r.llm.text, r.llm.token_count) for r in call_model(df, ModelFactory(factory)).collect()]
+    assert got == [("A", 1), (None, None), ("BC", 2)]
