@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 
@@ -25,10 +26,25 @@ def parse_literal(text):
         return text
 
 
-def _eq(df_columns: set, key: str, value) -> Column:
-    # a key the collection does not carry never matches; a NULL value never matches
-    # either (in a filter NULL drops the row), and the bare equality stays pushable
-    if key not in df_columns:
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def type_matches(data_type: T.DataType, value) -> bool:
+    """Typed match rule: ``1`` never equals ``"1"`` and ``True`` never equals ``1``."""
+    if isinstance(value, bool):
+        return isinstance(data_type, T.BooleanType)
+    if isinstance(value, (int, float)):
+        return isinstance(data_type, _NUMERIC)
+    if isinstance(value, str):
+        return isinstance(data_type, T.StringType)
+    return False
+
+
+def _eq(schema: T.StructType, key: str, value) -> Column:
+    # a key the collection does not carry, or a value of another type, never matches
+    # (and is never cast: no ANSI cast errors); NULL drops the row in a filter, and the
+    # bare equality stays pushable to the scan
+    if key not in schema.fieldNames() or not type_matches(schema[key].dataType, value):
         return F.lit(False)
     return F.col(key) == F.lit(value)
 
@@ -39,12 +55,12 @@ def must_should_predicate(df: DataFrame, must=(), should=()) -> Column | None:
     Plain column equalities, so Catalyst pushes them into the parquet scan. Use it as
     a filter only (NULL comparisons drop the row there, as a missing key does).
     """
-    cols = set(df.columns)
+    schema = df.schema
     parts = []
     if must:
-        parts.append(reduce(lambda a, b: a & b, [_eq(cols, k, v) for k, v in must]))
+        parts.append(reduce(lambda a, b: a & b, [_eq(schema, k, v) for k, v in must]))
     if should:
-        parts.append(reduce(lambda a, b: a | b, [_eq(cols, k, v) for k, v in should]))
+        parts.append(reduce(lambda a, b: a | b, [_eq(schema, k, v) for k, v in should]))
     if not parts:
         return None
     return reduce(lambda a, b: a & b, parts)

@@ -148,7 +148,9 @@ def _union_predicate(points: DataFrame, groups: dict):
         key = next(iter(keys))[0]
         if key not in points.columns:
             return F.lit(False)
-        return F.col(key).isin([spec[0][1] for spec in groups])
+        dtype = points.schema[key].dataType
+        values = [spec[0][1] for spec in groups if FL.type_matches(dtype, spec[0][1])]
+        return F.col(key).isin(values) if values else F.lit(False)
     preds = [FL.must_should_predicate(points, must=list(spec)) for spec in groups]
     out = preds[0]
     for p in preds[1:]:

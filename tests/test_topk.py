@@ -103,3 +103,13 @@ def test_filters_reach_the_collection_scan(spark):
     alt = similarity_topk(q, pts, 2, metadata_filter="spec", filter_keys=["label"], must=[("lang", "en")],
                           should=[("source", "src1"), ("source", "src2")], side="points").collect()
     assert got == {(r.event_id, r.rank): r.id for r in alt}
+
+
+@pytest.mark.parametrize("side", SIDES)
+def test_mismatched_filter_types_never_match_and_never_fail(spark, side):
+    pts, q = points_df(spark), query_df(spark)
+    assert similarity_topk(q, pts, 5, must=[("chunk", "1")], side=side).count() == 0
+    assert similarity_topk(q, pts, 5, must=[("topic", 1)], side=side).count() == 0
+    q2 = spark.createDataFrame([("a", QUERY, {"chunk": '"x"'})], "event_id string, qvec array<float>, metadata map<string,string>") \
+        .withColumn("spec", FL.metadata_must(F.col("metadata")))
+    assert similarity_topk(q2, pts, 5, metadata_filter="spec", filter_keys=["chunk"], side=side).count() == 0
