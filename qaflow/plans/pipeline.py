@@ -203,6 +203,7 @@ class Pipeline:
     rewriter: object | None = None
     rerank_scorer: object | None = None
     stages: list[str] | None = None  # names; default = the shipped four
+    stage_rows: dict = field(default_factory=dict)  # filled by timed runs
 
     def build(self) -> list[Stage]:
         cfg = self.config
@@ -251,7 +252,11 @@ class Pipeline:
             clock[0] = now
             return df
 
-        return run_stages(state, stages, linked=True, after_stage=after), seconds
+        observations: dict | None = {} if timed else None
+        out = run_stages(state, stages, linked=True, after_stage=after, observations=observations)
+        # rows each stage processed (timed runs: every stage was materialised once)
+        self.stage_rows = {n: int(o.get.get("rows") or 0) for n, o in (observations or {}).items()}
+        return out, seconds
 
 
 def answers(state: DataFrame) -> DataFrame:

@@ -76,11 +76,23 @@ def links(stages: list[Stage], linked: bool = True) -> list[int | None]:
 
 
 def run_stages(state: DataFrame, stages: list[Stage], linked: bool = True,
-               after_stage: Callable[[Stage, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Fold the stages over the state; a stage runs only where ``sentinel == stage``."""
+               after_stage: Callable[[Stage, DataFrame], DataFrame] | None = None,
+               observations: dict | None = None) -> DataFrame:
+    """Fold the stages over the state; a stage runs only where ``sentinel == stage``.
+
+    With ``observations`` (a dict), each stage's processed-row count is attached as a
+    Spark ``Observation`` (name -> Observation), filled by the first action over it.
+    """
+    from pyspark.sql import Observation
+
     for st, nxt in zip(stages, links(stages, linked)):
         state = state.withColumn(GATE, F.coalesce(F.col("sentinel") == F.lit(st.stage), F.lit(False)))
-        state = st.apply(state, nxt).drop(GATE)
+        state = st.apply(state, nxt)
+        if observations is not None:
+            obs = Observation(f"stage_{st.name}")
+            state = state.observe(obs, F.sum(F.col(GATE).cast("long")).alias("rows"))
+            observations[st.name] = obs
+        state = state.drop(GATE)
         if after_stage is not None:
             state = after_stage(st, state)
     return state
