@@ -6,11 +6,10 @@ holds the DuckDB SQL with the same column names for the keys that have one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..config import ConsolidateConfig, GenerateConfig, PipelineConfig, RetrievalConfig
+from ..config import GenerateConfig, PipelineConfig, RetrievalConfig
 from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import cache as C
