@@ -755,33 +755,35 @@ def retrieve_error_fallback(spark, d):
                     F.when(failed, F.lit(K.EMBED_TIMEOUT_ERROR)).alias("error_type"), "sentinel")
 
 
-@register("retrieve_bad_search_option")
+@register("retrieve_bad_search_option", f"WITH {O.QUESTIONS.strip()}\n"
+          f"SELECT event_id, {O.lit(K.OTHER_ERROR_PREFIX + K.FALLBACK_TAIL + chr(10))} AS context, "
+          f"{O.lit(K.SEARCH_ARGUMENTS_ERROR)} AS error_types FROM questions")
 def retrieve_bad_search_option(spark, d):
     """G2, other error: a search option the store does not take -> every question gets the
-    "Sorry something went wrong. " context and goes on to the next stage (rows-only: the
-    SQL would be a constant per row)."""
+    "Sorry something went wrong. " context and goes on to the next stage (CONSOLIDATE formats it)."""
     cfg = PipelineConfig(retrieval=RetrievalConfig(search_params={"with_vectors": True}))
     p = Pipeline(points=_points(spark, d), config=cfg, filter_keys=["label"], stages=["RETRIEVE", "CONSOLIDATE"])
     s, _ = p.run(_questions(spark, d))
     return s.select("event_id", F.element_at("contexts", 1)["text"].alias("context"), _error_types().alias("error_types"))
 
 
-@register("stream_answers")
+@register("stream_answers", O.pipeline() + "\nSELECT event_id, generated_text FROM pipe")
 def stream_answers(spark, d):
     """J1 + J2: questions arrive as JSON files; each micro-batch runs the pipeline and writes
-    answers and eval records keyed by batch id (rows-only)."""
+    answers and eval records keyed by batch id; the answers equal the batch pipeline's."""
     from ..streaming.streams import answer_stream
     src = shared_path(spark, "requests-in")
     _questions(spark, d).repartition(4).write.json(src)
     out, ev, ck = shared_path(spark, "answers"), shared_path(spark, "stream-eval"), shared_path(spark, "stream-ck")
     q = answer_stream(spark, src, Pipeline(points=_points(spark, d), filter_keys=["label"]), out, ck, eval_path=ev)
     q.awaitTermination()
-    return spark.read.parquet(out).select("event_id", "generated_text", "batch_id")
+    return spark.read.parquet(out).select("event_id", "generated_text")
 
 
-@register("stream_patches")
+@register("stream_patches", _ARTICLES_SQL + "SELECT doc_id, text, created_by FROM newv")
 def stream_patches(spark, d):
-    """The article patch feed as a stream; each batch writes a new table version (rows-only)."""
+    """The article patch feed as a stream; each batch writes a new table version, the
+    last of which equals the batch patch result."""
     from ..streaming.streams import latest_version, patch_stream
     docs = TB.table(spark, d, "documents")
     base = shared_path(spark, "articles-v0")
