@@ -174,7 +174,10 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
     if n_blocks > 1:
         # every block reads the questions again: materialise them once (reliable checkpoint
         # in spark.checkpoint.dir, which also cuts the upstream lineage)
-        staged = staged.withColumn("_blk", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks))).checkpoint()
+        # blocks hash the row, not only the key, so even a key repeated on a third of the
+        # rows spreads evenly; the checkpoint fixes the assignment for every later read
+        row = F.monotonically_increasing_id()
+        staged = staged.withColumn("_blk", F.pmod(F.xxhash64(F.col(key), row), F.lit(n_blocks))).checkpoint()
     results = []
     for b in range(n_blocks):
         part = staged.where(F.col("_blk") == b).drop("_blk") if n_blocks > 1 else staged
@@ -330,10 +333,9 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
                                  T.StructField("score", T.DoubleType())])
     if side in ("auto", "points"):
         probe = points.select(point_id, vector, *filter_keys).where(F.col(vector).isNotNull())
-        if side == "points":
-            ppdf = probe.toPandas()
-        else:
-            ppdf = _bounded_probe(probe, vector, max_broadcast_bytes, 16 * len(filter_keys), dim_hint)
+        ppdf = _bounded_probe(probe, vector, max_broadcast_bytes, 16 * len(filter_keys), dim_hint)
+        if ppdf is None and side == "points":
+            raise MemoryError("the collection does not fit max_broadcast_bytes; use side='questions'")
         if ppdf is not None:
             info.update(plan="broadcast_points", n_points=len(ppdf))
             return _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, query_vector,
