@@ -139,6 +139,15 @@ def _bounded_probe(probe: DataFrame, vector: str, budget: int, extra_bytes: int,
     return None
 
 
+def _fewer_scan_tasks(scan: DataFrame, per_core: int = 4) -> DataFrame:
+    """Each scan task emits up to k candidates per question of the block, so candidates
+    grow with the number of tasks. A collection split into far more tasks than cores is
+    coalesced (no shuffle) to ``per_core`` tasks per core: the same work in bigger tasks,
+    whose running top-k then covers more rows before anything is shuffled."""
+    target = per_core * scan.sparkSession.sparkContext.defaultParallelism
+    return scan.coalesce(target) if scan.rdd.getNumPartitions() > target else scan
+
+
 def _union_predicate(points: DataFrame, groups: dict):
     """Pushdown: a point can only match some question's spec (skipped if any spec is empty)."""
     if () in groups or len(groups) > _MAX_PUSHED_SPECS or not groups:
@@ -195,6 +204,7 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
         pushed = _union_predicate(scan, groups)
         if pushed is not None:
             scan = scan.where(pushed)
+        scan = _fewer_scan_tasks(scan)
 
         def kernel(batches, bc=bc):
             data = bc.value

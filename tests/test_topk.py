@@ -113,3 +113,14 @@ def test_mismatched_filter_types_never_match_and_never_fail(spark, side):
     q2 = spark.createDataFrame([("a", QUERY, {"chunk": '"x"'})], "event_id string, qvec array<float>, metadata map<string,string>") \
         .withColumn("spec", FL.metadata_must(F.col("metadata")))
     assert similarity_topk(q2, pts, 5, metadata_filter="spec", filter_keys=["chunk"], side=side).count() == 0
+
+
+def test_oversplit_collection_is_coalesced_without_changing_results(spark):
+    pts = points_df(spark)
+    many = pts.repartition(200)
+    q = spark.createDataFrame([(f"e{i}", [float(x) for x in np.random.RandomState(i).rand(4)]) for i in range(30)],
+                              "event_id string, qvec array<float>")
+    a = similarity_topk(q, pts, 3, side="questions").orderBy("event_id", "rank").collect()
+    out = similarity_topk(q, many, 3, side="questions")
+    assert out.orderBy("event_id", "rank").collect() == a
+    assert "Coalesce" in out._jdf.queryExecution().executedPlan().toString()
