@@ -86,24 +86,24 @@ def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: s
     hits = similarity_topk(q, points, k, key=key, query_vector=query_vector, metadata_filter=spec,
                            filter_keys=filter_keys, must=must, should=should, search_params=search_params,
                            metric=metric, max_broadcast_bytes=max_broadcast_bytes, info=info)
-    fit = hits_fit(info, k, max_broadcast_bytes, q)
+    fit = hits_fit(info, k, max_broadcast_bytes)
     return contexts_per_event(hits_with_payload(hits, points, key=key, broadcast_hits=fit), key=key)
 
 
 _HIT_BYTES = 96
 
 
-def hits_fit(info: dict, k: int, budget: int, questions: DataFrame | None = None) -> bool:
-    """Hits are provably small when the question count is bounded: ``n * k`` rows of
-    (key, id, rank, score). Broadcasting them keeps the collection (with its texts) from
-    being shuffled for the payload join. The block plan knows ``n``; otherwise a bounded
-    probe (``limit(cap + 1).count()``, which stops after ``cap + 1`` rows) decides."""
-    cap = budget // (_HIT_BYTES * k)
+def hits_fit(info: dict, k: int, budget: int) -> bool:
+    """Broadcast the hits into the collection scan when they are provably small.
+
+    The block plan (large collection) knows the question count, so the hits are at most
+    ``n * k`` rows of (key, rank, id, score): broadcasting them keeps the large collection
+    and its texts from being shuffled for the payload join. In the broadcast-collection
+    plan the collection is small by construction (its row count passed the bounded probe)
+    and the question side may be huge, so the join is left to the planner and AQE.
+    """
     n = info.get("n_questions")
-    if n is None and questions is not None:
-        n = questions.limit(cap + 1).count()
-        info["n_questions_probe"] = n
-    return n is not None and n <= cap
+    return n is not None and n * k * _HIT_BYTES <= budget
 
 
 def zip_hits(documents: Column, ids: Column, scores: Column) -> Column:

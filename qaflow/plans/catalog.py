@@ -52,7 +52,7 @@ def _ctx_long(spark, d, k, **kw):
     pts = _points(spark, d)
     info: dict = {}
     hits = _hits(spark, d, k, points=pts, info=info, **kw)
-    fit = R.hits_fit(info, k, 64 << 20, _questions(spark, d))
+    fit = R.hits_fit(info, k, 64 << 20)
     return R.hits_with_payload(hits, pts, broadcast_hits=fit)
 
 
