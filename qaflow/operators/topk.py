@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread_for_cpu
 from . import filters as FL
 
 # rows x questions score cells held at once by one task (float64)
 _CELL_BUDGET = 1 << 22
 _ROW_OVERHEAD = 64
 _MAX_PUSHED_SPECS = 256
+# broadcast collections at least this large spread narrow question inputs over all cores
+_SPREAD_MIN_POINTS = 4096
 
 
 # ----------------------------------------------------------------------------- numpy kernels
@@ -94,12 +97,26 @@ def _select_topk(q: np.ndarray, ids: np.ndarray, s: np.ndarray, kk: int):
 
 
 def _candidates(S: np.ndarray, kk: int):
-    """Cells that can be in a column's top-kk (ties at the cut included)."""
+    """Exactly the top-``kk`` cells of every column (score desc, then row order).
+
+    Rows must be in ascending point-id order, so the row order breaks score ties like
+    the id does. Cells above the column's kk-th score are taken, and among cells equal
+    to it only the first ones needed (a running count down the column), so heavy ties
+    never blow up the candidate set.
+    """
     S[np.isnan(S)] = -np.inf
     n = S.shape[0]
     if n > kk:
-        kth = np.partition(S, n - kk, axis=0)[n - kk]
-        cand = (S >= kth[None, :]) & (S > -np.inf)
+        kth = np.partition(S, n - kk, axis=0)[n - kk][None, :]
+        above = S > kth
+        tie = S == kth
+        need = kk - above.sum(axis=0)
+        cand = above | tie
+        excess = np.flatnonzero(tie.sum(axis=0) > need)  # columns with more ties than slots
+        if len(excess):
+            sub = tie[:, excess]
+            cand[:, excess] = above[:, excess] | (sub & (np.cumsum(sub, axis=0) <= need[excess][None, :]))
+        cand &= S > -np.inf
     else:
         cand = S > -np.inf
     return np.nonzero(cand)
@@ -217,6 +234,8 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
                 pdf_p = pdf_p[pdf_p[vec].notna()]
                 if len(pdf_p) == 0:
                     continue
+                order = np.argsort(pdf_p[pid].to_numpy(dtype=np.int64), kind="stable")
+                pdf_p = pdf_p.iloc[order]
                 P = _matrix(pdf_p[vec].tolist(), Qm.shape[1])
                 if metric == "cosine":
                     P = _unit(P)
@@ -258,6 +277,7 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
 def _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, qvec, spec_col,
                            pid, vec, filter_keys, metric, key_type, id_type):
     kk = k + offset
+    ppdf = ppdf.iloc[np.argsort(ppdf[pid].to_numpy(dtype=np.int64), kind="stable")]
     P = _matrix(ppdf[vec].tolist(), None)
     if metric == "cosine":
         P = _unit(P)
@@ -310,7 +330,12 @@ def _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, qv
                 pid: np.concatenate(out_id)[keep], "score": np.concatenate(out_s)[keep],
             })
 
-    return questions.select(*sel).mapInPandas(kernel, out_schema)
+    scored = questions.select(*sel)
+    if len(ppdf) >= _SPREAD_MIN_POINTS:
+        # every question costs a pass over a sizeable collection: give the scoring at
+        # least one task per core even when the question input is a single file
+        scored = spread_for_cpu(scored)
+    return scored.mapInPandas(kernel, out_schema)
 
 
 def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str = "event_id",

@@ -124,3 +124,20 @@ def test_oversplit_collection_is_coalesced_without_changing_results(spark):
     out = similarity_topk(q, many, 3, side="questions")
     assert out.orderBy("event_id", "rank").collect() == a
     assert "Coalesce" in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("side", SIDES)
+def test_heavy_ties_break_on_id(spark, side):
+    rnd = np.random.RandomState(3)
+    ids = rnd.permutation(400) + 1000
+    pts = spark.createDataFrame([(int(i), [float(x) for x in rnd.randint(0, 2, 3)]) for i in ids],
+                                "id long, vector array<float>").repartition(3)
+    qs = [(f"q{j}", [float(x) for x in rnd.randint(0, 2, 3)]) for j in range(25)]
+    q = spark.createDataFrame(qs, "event_id string, qvec array<float>")
+    got = {}
+    for r in similarity_topk(q, pts, 7, side=side).collect():
+        got.setdefault(r.event_id, []).append((r.rank, r.id))
+    P = {int(r.id): np.array(r.vector) for r in pts.collect()}
+    for e, qv in qs:
+        exp = sorted(P, key=lambda i: (-float(P[i] @ np.array(qv)), i))[:7]
+        assert [i for _, i in sorted(got[e])] == exp
