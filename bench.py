@@ -23,7 +23,7 @@ HEADLINE = [
     "rag_pipeline", "topk_dot", "topk_must", "topk_must_should", "contexts", "consolidate_simple",
     "consolidate_overflow", "fallback_references", "redact_documents", "redact_requests", "cache_hits",
     "rerank_by_score", "patch_articles", "eval_log_read", "eval_log_delete", "validate_requests",
-    "stage_trace", "build_collection",
+    "stage_trace", "build_collection", "retrieve_error_fallback",
 ]
 
 
