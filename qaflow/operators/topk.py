@@ -96,29 +96,44 @@ def _select_topk(q: np.ndarray, ids: np.ndarray, s: np.ndarray, kk: int):
     return q[keep], ids[keep], s[keep], pos[keep]
 
 
+_PROBE_ROWS = 1024
+
+
 def _candidates(S: np.ndarray, kk: int):
     """Exactly the top-``kk`` cells of every column (score desc, then row order).
 
     Rows must be in ascending point-id order, so the row order breaks score ties like
-    the id does. Cells above the column's kk-th score are taken, and among cells equal
-    to it only the first ones needed (a running count down the column), so heavy ties
-    never blow up the candidate set.
+    the id does. Fast path: the kk-th best score among the first rows is a lower bound of
+    the column's true kk-th score, so one comparison pass keeps a small superset that is
+    then cut exactly. Heavy ties (or tiny blocks) take the exact path: cells above the
+    kk-th score plus the first tied cells needed (running count down the column).
     """
+    n, m = S.shape
+    if n > 2 * _PROBE_ROWS and n > kk:
+        bound = np.partition(S[:_PROBE_ROWS], _PROBE_ROWS - kk, axis=0)[_PROBE_ROWS - kk]
+        # NaN never passes a comparison; a -inf bound must still exclude masked cells
+        bound = np.where(np.isneginf(bound), np.finfo(np.float64).min, bound)
+        r, c = divmod(np.flatnonzero(S >= bound[None, :]), m)
+        if not np.isnan(bound).any() and len(r) <= 32 * kk * m:
+            order = np.lexsort((r, -S[r, c], c))
+            r, c = r[order], c[order]
+            starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
+            pos = np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)]))
+            keep = pos < kk
+            return r[keep], c[keep]
     S[np.isnan(S)] = -np.inf
-    n = S.shape[0]
-    if n > kk:
-        kth = np.partition(S, n - kk, axis=0)[n - kk][None, :]
-        above = S > kth
-        tie = S == kth
-        need = kk - above.sum(axis=0)
-        cand = above | tie
-        excess = np.flatnonzero(tie.sum(axis=0) > need)  # columns with more ties than slots
-        if len(excess):
-            sub = tie[:, excess]
-            cand[:, excess] = above[:, excess] | (sub & (np.cumsum(sub, axis=0) <= need[excess][None, :]))
-        cand &= S > -np.inf
-    else:
-        cand = S > -np.inf
+    if n <= kk:
+        return np.nonzero(S > -np.inf)
+    kth = np.partition(S, n - kk, axis=0)[n - kk][None, :]
+    above = S > kth
+    tie = S == kth
+    need = kk - above.sum(axis=0)
+    cand = above | tie
+    excess = np.flatnonzero(tie.sum(axis=0) > need)  # columns with more ties than slots
+    if len(excess):
+        sub = tie[:, excess]
+        cand[:, excess] = above[:, excess] | (sub & (np.cumsum(sub, axis=0) <= need[excess][None, :]))
+    cand &= S > -np.inf
     return np.nonzero(cand)
 
 
