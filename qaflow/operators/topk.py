@@ -109,7 +109,7 @@ def _candidates(S: np.ndarray, kk: int):
     kk-th score plus the first tied cells needed (running count down the column).
     """
     n, m = S.shape
-    if n > 2 * _PROBE_ROWS and n > kk:
+    if n > 2 * _PROBE_ROWS and kk < _PROBE_ROWS:
         bound = np.partition(S[:_PROBE_ROWS], _PROBE_ROWS - kk, axis=0)[_PROBE_ROWS - kk]
         # NaN never passes a comparison; a -inf bound must still exclude masked cells
         bound = np.where(np.isneginf(bound), np.finfo(np.float64).min, bound)
