@@ -41,7 +41,11 @@ def main() -> None:
             t0 = time.time()
             Q[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             store[name] = round(time.time() - t0, 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf: float | str = float(name)
+    except ValueError:
+        sf = name
     print(json.dumps({"metric": "total_headline_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cold": cold}))
     spark.stop()
