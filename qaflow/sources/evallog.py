@@ -61,8 +61,8 @@ def metrics_wide(records_df: DataFrame, names=None) -> DataFrame:
 
 def latest_of_day(spark: SparkSession, view: str, day: str) -> DataFrame:
     """the monitoring query as written (orders by the id text, so by its uuid part)."""
-    return spark.sql(f"SELECT event_id, log FROM {view} WHERE event_id LIKE '%{day}%' "
-                     f"ORDER BY event_id DESC LIMIT 1")
+    return spark.sql("SELECT event_id, log FROM IDENTIFIER(:view) WHERE event_id LIKE :pattern "
+                     "ORDER BY event_id DESC LIMIT 1", args={"view": view, "pattern": f"%{day}%"})
 
 
 def latest_by_ts(records_df: DataFrame, day: str) -> DataFrame:
