@@ -277,12 +277,24 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
             if len(run_q):
                 yield pd.DataFrame({key: qkeys[run_q], pid: run_id, "score": run_s})
 
-        results.append(scan.mapInPandas(kernel, out_schema))
+        block_topk = _global_topk(scan.mapInPandas(kernel, out_schema), key, pid, kk, offset)
+        if n_blocks == 1:
+            return block_topk
+        # several blocks: finish each block in its own job and materialise it, so only one
+        # block's broadcast is alive at a time (then destroyed) and lineage is cut
+        results.append(block_topk.checkpoint(eager=True))
+        bc.destroy()
     if not results:
         return None
-    cands = results[0]
+    out = results[0]
     for r in results[1:]:
-        cands = cands.unionByName(r)
+        out = out.unionByName(r)
+    return out
+
+
+def _global_topk(cands: DataFrame, key: str, pid: str, kk: int, offset: int) -> DataFrame:
+    """Per-task candidates -> global top-kk per question (``row_number``; the planner adds a
+    partial ``WindowGroupLimit`` before the shuffle), minus the first ``offset``."""
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(pid).asc())
     ranked = cands.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= kk)
     return ranked.where(F.col("_rn") > offset).select(
