@@ -33,7 +33,8 @@ def embedding_log(vec: Column) -> Column:
 
 
 def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
-                      point_id: str = "id", broadcast_hits: bool = False) -> DataFrame:
+                      point_id: str = "id", broadcast_hits: bool = False,
+                      broadcast_payload: bool = False) -> DataFrame:
     """Join the payload back to the top-k hits (only k rows per question travel).
 
     Hits are a small, bounded side (k per question); hinting them as the build side
@@ -43,6 +44,8 @@ def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
     pay = points.select(F.col(point_id).alias("_pid"), F.col("doc_id").cast("string").alias("doc_id"), "text",
                         meta.alias("meta"))
     h = F.broadcast(hits) if broadcast_hits else hits
+    if broadcast_payload and not broadcast_hits:
+        pay = F.broadcast(pay)
     j = h.join(pay, h[point_id] == pay["_pid"], "inner")
     has_meta = F.coalesce(F.size("meta") > 0, F.lit(False))
     return j.select(
@@ -87,12 +90,24 @@ def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: s
                            filter_keys=filter_keys, must=must, should=should, search_params=search_params,
                            metric=metric, max_broadcast_bytes=max_broadcast_bytes, info=info)
     fit = hits_fit(info, k, max_broadcast_bytes)
-    return contexts_per_event(hits_with_payload(hits, points, key=key, broadcast_hits=fit), key=key)
+    small_payload = not fit and payload_fits(info, points, max_broadcast_bytes)
+    return contexts_per_event(hits_with_payload(hits, points, key=key, broadcast_hits=fit,
+                                                broadcast_payload=small_payload), key=key)
 
 
 _HIT_BYTES = 96
 
 
+def payload_fits(info: dict, points: DataFrame, budget: int, point_id: str = "id") -> bool:
+    """In the broadcast-collection plan the collection has few rows (it passed the bounded
+    probe); if its texts also fit the budget (one aggregate over those rows), the payload
+    is broadcast and the possibly huge hit table is never shuffled for the join."""
+    if info.get("plan") != "broadcast_points":
+        return False
+    row = points.select(F.sum(F.coalesce(F.length("text"), F.lit(0)) + F.lit(64)).alias("b")).first()
+    return row is not None and (row["b"] or 0) <= budget
+
+
 def hits_fit(info: dict, k: int, budget: int) -> bool:
     """Broadcast the hits into the collection scan when they are provably small.
 

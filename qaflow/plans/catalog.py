@@ -53,7 +53,8 @@ def _ctx_long(spark, d, k, **kw):
     info: dict = {}
     hits = _hits(spark, d, k, points=pts, info=info, **kw)
     fit = R.hits_fit(info, k, 64 << 20)
-    return R.hits_with_payload(hits, pts, broadcast_hits=fit)
+    small_payload = not fit and R.payload_fits(info, pts, 64 << 20)
+    return R.hits_with_payload(hits, pts, broadcast_hits=fit, broadcast_payload=small_payload)
 
 
 def _pipeline_state(spark, d, cfg=None, **kw):
