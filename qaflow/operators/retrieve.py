@@ -88,9 +88,10 @@ def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: s
     info: dict = {}
     hits = similarity_topk(q, points, k, key=key, query_vector=query_vector, metadata_filter=spec,
                            filter_keys=filter_keys, must=must, should=should, search_params=search_params,
-                           metric=metric, max_broadcast_bytes=max_broadcast_bytes, info=info)
+                           metric=metric, max_broadcast_bytes=max_broadcast_bytes, info=info,
+                           payload_bytes=payload_bytes(points))
     fit = hits_fit(info, k, max_broadcast_bytes)
-    small_payload = not fit and payload_fits(info, points, max_broadcast_bytes)
+    small_payload = not fit and payload_fits(info, max_broadcast_bytes)
     return contexts_per_event(hits_with_payload(hits, points, key=key, broadcast_hits=fit,
                                                 broadcast_payload=small_payload), key=key)
 
@@ -98,14 +99,16 @@ def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: s
 _HIT_BYTES = 96
 
 
-def payload_fits(info: dict, points: DataFrame, budget: int, point_id: str = "id") -> bool:
+def payload_bytes(points: DataFrame) -> Column:
+    """Per-point payload size, measured inside the top-k probe (no extra job)."""
+    return F.coalesce(F.length("text"), F.lit(0)) + F.lit(64)
+
+
+def payload_fits(info: dict, budget: int) -> bool:
     """In the broadcast-collection plan the collection has few rows (it passed the bounded
-    probe); if its texts also fit the budget (one aggregate over those rows), the payload
-    is broadcast and the possibly huge hit table is never shuffled for the join."""
-    if info.get("plan") != "broadcast_points":
-        return False
-    row = points.select(F.sum(F.coalesce(F.length("text"), F.lit(0)) + F.lit(64)).alias("b")).first()
-    return row is not None and (row["b"] or 0) <= budget
+    probe); if its texts also fit the budget (summed in that same probe), the payload is
+    broadcast and the possibly huge hit table is never shuffled for the join."""
+    return info.get("plan") == "broadcast_points" and info.get("payload_bytes", budget + 1) <= budget
 
 
 def hits_fit(info: dict, k: int, budget: int) -> bool:

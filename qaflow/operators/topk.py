@@ -370,7 +370,7 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
                     point_id: str = "id", vector: str = "vector", filter_keys: list[str] | None = None,
                     must=(), should=(), search_params: dict | None = None, metric: str = "dot",
                     max_broadcast_bytes: int = 64 << 20, side: str = "auto", dim_hint: int | None = None,
-                    info: dict | None = None) -> DataFrame:
+                    info: dict | None = None, payload_bytes=None) -> DataFrame:
     """Top-k points per question: ``(key, rank, point_id, score)``; rank starts at 1.
 
     * ``metadata_filter``: column of canonical must-specs per question (see
@@ -379,6 +379,8 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
     * ``search_params``: ``offset`` and ``score_threshold`` (others raise).
     * ``info``: filled with the chosen plan and, for the block plan, the question count
       (an upper bound for the hits is then ``n_questions * k``).
+    * ``payload_bytes``: optional per-point size Column; when the collection is broadcast
+      its total is measured in the same bounded probe (``info["payload_bytes"]``).
     """
     info = info if info is not None else {}
     if k <= 0:
@@ -394,8 +396,12 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
                                  T.StructField(point_id, points.schema[point_id].dataType),
                                  T.StructField("score", T.DoubleType())])
     if side in ("auto", "points"):
-        probe = points.select(point_id, vector, *filter_keys).where(F.col(vector).isNotNull())
+        extra = [payload_bytes.alias("_payload_bytes")] if payload_bytes is not None else []
+        probe = points.select(point_id, vector, *filter_keys, *extra).where(F.col(vector).isNotNull())
         ppdf = _bounded_probe(probe, vector, max_broadcast_bytes, 16 * len(filter_keys), dim_hint)
+        if ppdf is not None and extra:
+            info["payload_bytes"] = int(ppdf["_payload_bytes"].fillna(0).sum())
+            ppdf = ppdf.drop(columns=["_payload_bytes"])
         if ppdf is None and side == "points":
             raise MemoryError("the collection does not fit max_broadcast_bytes; use side='questions'")
         if ppdf is not None:

@@ -51,9 +51,9 @@ def _hits(spark, d, k, label_filter=True, **kw):
 def _ctx_long(spark, d, k, **kw):
     pts = _points(spark, d)
     info: dict = {}
-    hits = _hits(spark, d, k, points=pts, info=info, **kw)
+    hits = _hits(spark, d, k, points=pts, info=info, payload_bytes=R.payload_bytes(pts), **kw)
     fit = R.hits_fit(info, k, 64 << 20)
-    small_payload = not fit and R.payload_fits(info, pts, 64 << 20)
+    small_payload = not fit and R.payload_fits(info, 64 << 20)
     return R.hits_with_payload(hits, pts, broadcast_hits=fit, broadcast_payload=small_payload)
 
 
