@@ -107,3 +107,17 @@ def test_metadata_without_title_takes_the_error_path(spark):
     assert r.m_relevant_document_ids_scores == "1:6.000000"
     # the other-error fallback goes on to CONSOLIDATE (formatted there), then GENERATE
     assert r.contexts[0].text == K.OTHER_ERROR_PREFIX + K.FALLBACK_TAIL + "\n"
+
+
+def test_pipeline_answers_do_not_depend_on_the_plan(spark):
+    from qaflow.config import RetrievalConfig
+    from qaflow.sources import tables as TB
+    from tests.conftest import SF_SMALL
+    pts, qs = TB.collection_points(spark, SF_SMALL), TB.questions(spark, SF_SMALL)
+    default, _ = Pipeline(points=pts, filter_keys=["label"]).run(qs)
+    # a tiny budget: the collection cannot be broadcast, questions go in several blocks
+    tiny = PipelineConfig(retrieval=RetrievalConfig(max_broadcast_bytes=40_000))
+    blocks, _ = Pipeline(points=pts, config=tiny, filter_keys=["label"]).run(qs)
+    a = {r.event_id: (r.response, r.m_prompt) for r in default.collect()}
+    b = {r.event_id: (r.response, r.m_prompt) for r in blocks.collect()}
+    assert a == b and len(a) == qs.count()
