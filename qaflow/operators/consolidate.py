@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions.text import char_tokens, format_context
 
 
@@ -130,5 +129,3 @@ def consolidate_array(ctx: Column, strategy: str = "simple", token_limit: int =
 
     return _let(with_len, body)
 
-
-CONTEXT_WINDOW_ERROR = K.CONTEXT_WINDOW_ERROR

@@ -122,7 +122,3 @@ def patch_from_labels(documents: DataFrame, labels: DataFrame, benchmark: DataFr
         F.lit("benchmark").alias("created_by"), F.lit(None).cast("timestamp").alias("created_date"),
         F.lit(3).alias("seq"))
     return deletes.unionByName(updates).unionByName(inserts)
-
-
-def quoted_key(c: Column) -> Column:
-    return F.concat(F.lit("'"), c, F.lit("'"))
