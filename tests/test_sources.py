@@ -1,7 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from qaflow.session import shared_path
 from qaflow.sources import articles as A
