@@ -258,18 +258,22 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
 
 def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """``sig, doc, n, most, comp`` of the signatures whose documents are in two or more components."""
-    placed = shared.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc").select("sig", "doc", "n", "most", "comp")
+    """``shared`` with ``comp``, for the signatures whose documents are in two or more components."""
+    placed = shared.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     mixed_sigs = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
     return placed.join(mixed_sigs, "sig", "left_semi")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after the components that ``links`` join have become one."""
-    by = labels.select(F.col("node"), F.col("component").alias("c"))
-    ends = links.join(by.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(by.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
-    moved = components(ends.select("ca", "cb"), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return saved(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+def _stars(apart: DataFrame, degree: DataFrame | None) -> DataFrame:
+    """``a, b``: each document and the pivot of another component that it shares most signatures with.
+
+    The pivot of a signature is its document with most links so far, the smallest id among equals."""
+    placed = apart.withColumn("deg", F.lit(0)) if degree is None else apart.join(degree, "doc", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+    pivots = placed.groupBy("sig").agg(F.max(F.struct("deg", (-F.col("doc")).alias("minus"), "n", "most", "comp")).alias("p"))
+    tried = apart.join(pivots, "sig").filter(F.col("comp") != F.col("p.comp")).filter(_possible("n", "most", "p.n", "p.most"))
+    tried = tried.groupBy(F.col("doc").alias("a"), (-F.col("p.minus")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    best = tried.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("minus"))).alias("m"))
+    return best.select("a", (-F.col("m.minus")).alias("b"))
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -280,44 +284,43 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     frequent = RARE + 2 * int(counts.mean())
     sketch = spark.sparkContext.broadcast(counts)
     described = saved(_described(docs, sketch, frequent, width).withColumn("kind", F.when(F.col("sig").isNull(), 0).otherwise(1)), "shingle-signatures")
-    rows_all = described.filter("kind = 0").select("doc_id", "n", "key", "rare")
-    rows = rows_all.select("doc_id", "n", "key")
-    smallest = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    rows = described.filter("kind = 0").select("doc_id", "n", "key", "rare")
     sigs = described.filter("kind = 1").select("sig", "doc_id", "n", "members", "sizes")
     shared = sigs.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_runs, "sig bigint, doc bigint, n int")
     shared = saved(shared, "shared-signatures")
-    copies = rows.join(smallest, "key").filter("doc_id <> rep").select(F.col("doc_id").alias("node"), F.col("rep").alias("component"))
-    copies = components(copies, "node", "component")
-    # all signatures of single tokens less those that another document has too: tokens that no other holder of pairs shares
+    # signatures of single tokens less those that another document has too: tokens that no other holder of pairs shares
     common = shared.groupBy("doc").agg(F.count(F.when(F.col("sig") % 2 == 0, 1)).alias("common"))
-    own = rows_all.groupBy(F.col("doc_id").alias("doc")).agg(F.min("rare").alias("rare"))
-    most = saved(common.join(own, "doc").select("doc", F.greatest(F.lit(0), F.col("rare") - F.col("common")).alias("lone")), "lone-tokens")
+    own = rows.filter("rare IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.min("rare").alias("rare"))
+    most = common.join(own, "doc").select("doc", F.greatest(F.lit(0), F.col("rare") - F.col("common")).alias("lone"))
     shared = saved(shared.join(most, "doc").withColumn("most", F.col("n") - F.col("lone")).select("sig", "doc", "n", "most"), "shared-sized")
-    labels = saved(most.select(F.col("doc").alias("node")).join(copies, "node", "left").withColumn("component", F.coalesce("component", "node")), "labels")
-    degree = spark.createDataFrame([], "doc bigint, deg bigint")
-    # stars: each document against the member of a signature with most links so far that is in another component
+    # equal sets: the holders of one key, a task each
+    holders = rows.filter("rare IS NOT NULL").select(F.col("doc_id").alias("a"), "key")
+    firsts = holders.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("last")).filter("b <> last").select("key", "b")
+    edges = holders.join(firsts, "key").filter("a <> b").select("a", "b")
+    # stars, repeated while most of them hold
+    apart, degree = shared.withColumn("comp", F.col("doc")), None
     while True:
-        apart = _apart(shared, labels).join(degree, "doc", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-        apart = saved(apart, "apart")
-        pivots = apart.groupBy("sig").agg(F.max(F.struct("deg", (-F.col("doc")).alias("minus"), "n", "most", "comp")).alias("p"))
-        tried = apart.join(pivots, "sig").filter(F.col("comp") != F.col("p.comp")).filter(_possible("n", "most", "p.n", "p.most"))
-        tried = tried.groupBy(F.col("doc").alias("a"), (-F.col("p.minus")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        best = tried.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("minus"))).alias("m")).select("a", (-F.col("m.minus")).alias("b"))
-        best = saved(best, "stars")
+        best = saved(_stars(apart, degree), "stars")
         links = verified(docs, best, width)
-        new, asked = links.count(), best.count()
-        labels = _merged(labels, links) if new else labels
-        degree = saved(degree.unionByName(links.select(F.col("b").alias("doc"), F.lit(1).cast("bigint").alias("deg"))).groupBy("doc").agg(F.sum("deg").alias("deg")), "degree")
-        if new * 20 <= asked:
+        edges = saved(edges.unionByName(links), "edges")
+        labels = components(edges, "a", "b")
+        apart = saved(_apart(shared, labels), "apart")
+        if links.count() * 2 <= best.count():
             break
+        degree = edges.groupBy(F.col("b").alias("doc")).agg(F.count(F.lit(1)).alias("deg"))
     # the pairs across components that share a signature
-    apart = saved(_apart(shared, labels), "apart")
     other = apart.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("comp").alias("comp_b"))
     across = apart.withColumnRenamed("doc", "a").join(other, "sig").filter(F.col("comp") < F.col("comp_b")).filter(_possible("n", "most", "n_b", "most_b"))
-    labels = _merged(labels, verified(docs, saved(across.select("a", "b").distinct(), "across"), width))
-    named = smallest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, "key", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce(F.when(F.col("key").isNull(), F.col("doc_id")), "component").alias("component_id"))
-    return out
+    links = verified(docs, saved(across.select("a", "b").distinct(), "across"), width)
+    labels = components(edges.unionByName(links), "a", "b").select(F.col("node").alias("a"), "component")
+    # from holders to keys; a component is named by the smallest id of any of its rows
+    placed = holders.join(labels, "a", "left").groupBy("key").agg(F.min(F.coalesce("component", "a")).alias("label"))
+    named = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")).join(placed, "key", "left")
+    named = named.withColumn("label", F.coalesce("label", "rep"))
+    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(names, "label").select("key", "component_id")
+    out = rows.join(named, "key", "left")
+    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
