@@ -27,9 +27,11 @@ DEPTH, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 3, 3, 0.8
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, th, pos, norm, n, leaf`` of every line of ``MIN_TOKENS`` or more tokens."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    d = d.withColumn("norm", F.trim(F.regexp_replace("line", r"\s+", " ")))
-    d = d.withColumn("norm", F.when(F.col("norm").rlike("[0-9]"), F.regexp_replace("norm", r"\S*[0-9]\S*", "<*>")).otherwise(F.col("norm")))
+    text = F.when(F.col("text").rlike(r"  |[\t\x0B\f\r]"), F.regexp_replace("text", r"[ \t\x0B\f\r]+", " ")).otherwise(F.col("text"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), text.alias("norm"))
+    d = d.withColumn("norm", F.when(F.col("norm").rlike("[0-9]"), F.regexp_replace("norm", r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")).otherwise(F.col("norm")))
+    # prepared before the lines are laid out, where no filter can make it run twice
+    d = d.select("doc_id", "th", F.posexplode(F.transform(F.split("norm", "\n"), F.trim)).alias("pos", "norm"))
     d = d.withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1)
     return d.filter(F.col("n") >= MIN_TOKENS).select("doc_id", "th", "pos", "norm", "n", F.xxhash64("n", F.substring_index("norm", " ", DEPTH)).alias("leaf"))
 
