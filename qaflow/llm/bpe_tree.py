@@ -32,7 +32,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import SAFE_CUT, small_batches
+from .common import SAFE_CUT, safe_words, small_batches
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 LEAF_CHARS, LEAF_BYTES, CACHE_WORDS = 1 << 15, 32, 400_000
@@ -128,7 +128,7 @@ class TreeBPE:
             else:
                 last = l2
             return f1, m1 + b"".join(map(self.word, seam)) + m2, last
-        first, *rest = SAFE_CUT.split(text)
+        first, *rest = safe_words(text)
         if not rest:
             return first, b"", None
         word = self.word

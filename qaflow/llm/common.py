@@ -12,6 +12,14 @@ from ..session import shared_path
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A blank with no white space on either side: every GPT-2 style pattern ends a match before it, whatever stands around.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SPACES = re.compile(r"\s\s")
+
+
+def safe_words(text: str) -> list[str]:
+    """The stretches between safe cuts; all but the first have lost their leading blank."""
+    if _SPACES.search(text) or text[:1] == " " or text[-1:] == " ":
+        return SAFE_CUT.split(text)
+    return text.split(" ")  # every blank is a safe cut: the quick way
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

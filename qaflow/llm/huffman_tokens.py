@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .common import SAFE_CUT, saved, small_batches
+from .common import safe_words, saved, small_batches
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
-MAX_LEN, CHECKPOINT, CHUNK_IDS, CACHE_WORDS = 16, 1024, 1 << 18, 400_000
+MAX_LEN, CHECKPOINT, CHUNK_IDS, CACHE_WORDS = 16, 1024, 1 << 18, 1_200_000
 
 _TOKENIZERS: dict = {}
 
 
 class WordIds:
-    """Ids of stretches between safe cuts, each encoded once by the tokenizers library (see :data:`SAFE_CUT`)."""
+    """Ids of stretches between safe cuts, each encoded once by the tokenizers library (see :func:`safe_words`; all but a text's first begin with a blank)."""
 
     def __init__(self, path: str):
         import os
@@ -51,15 +51,16 @@ class WordIds:
         self.known: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        words = []
-        for t in texts:
-            first, *rest = SAFE_CUT.split(t)
-            words.append([first, *[" " + w for w in rest]])
+        words = [safe_words(t) for t in texts]
         known = self.known
+        firsts = [ws.pop(0) for ws in words]
         new = list({w for ws in words for w in ws if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
+        for k in range(0, len(new), 10_000):
+            some = new[k : k + 10_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        starts = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
+        out = [np.frombuffer(s + b"".join([known[w] for w in ws]), "<u4") for s, ws in zip(starts, words, strict=True)]
         if len(known) > CACHE_WORDS:
             known.clear()
         return out
@@ -170,7 +171,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         def chunk() -> pa.RecordBatch:
             nonlocal seq, start
             ids = np.concatenate(parts)
-            used, count = np.unique(ids, return_counts=True)
+            count = np.bincount(ids)
+            used = np.flatnonzero(count)
+            count = count[used]
             row = {
                 "pid": [pid], "seq": [seq], "start": [start], "doc_ids": [list(doc_ids)], "sizes": [[len(p) for p in parts]],
                 "used": [used.astype(np.int32)], "count": [count], "wide": [bool(ids.max(initial=0) > 0xFFFF)],
