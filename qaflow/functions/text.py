@@ -23,20 +23,19 @@ def _java_replacement(token: str) -> str:
     return token.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def redact(text: Column, redaction_map: dict | None) -> Column:
-    """Replace every account number by the configured token (H1, H2).
+def redact(text: Column, redaction_map: dict | None, patterns: dict[str, str] | None = None) -> Column:
+    """Replace every match of each kind's pattern by the configured token (H1, H2).
 
-    ``(?U)`` gives Unicode ``\\d`` and ``\\b`` like Python's ``re``. A missing map or a
-    missing financial token raises before any plan is built (H3).
+    ``patterns`` adds kinds to the shipped ones. ``(?U)`` gives Unicode ``\\d`` and ``\\b`` like Python's ``re``.
+    A map that is missing, or lacks a string token for a kind with a pattern, raises before any plan is built (H3).
     """
-    if not redaction_map or "Financial information" not in redaction_map:
-        raise SecurityServiceError("redaction map lacks a token for 'Financial information'")
+    patterns = REDACTION_PATTERNS | (patterns or {})
+    for kind in patterns:
+        if not isinstance((redaction_map or {}).get(kind), str):
+            raise SecurityServiceError(f"redaction map lacks a token for {kind!r}")
     out = text
-    for kind, pattern in REDACTION_PATTERNS.items():
-        token = redaction_map.get(kind)
-        if token is None:
-            continue
-        out = F.regexp_replace(out, "(?U)" + pattern, _java_replacement(token))
+    for kind, pattern in patterns.items():
+        out = F.regexp_replace(out, "(?U)" + pattern, _java_replacement(redaction_map[kind]))
     return out
 
 

@@ -30,13 +30,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set one only when unset (tests)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; set one only when unset (tests, local master)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         configured = os.path.join("/tmp", "qaflow-checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

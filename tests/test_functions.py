@@ -101,3 +101,18 @@ def test_model_factory_in_generation(spark):
     df = spark.createDataFrame([("a",), (None,), ("bc",)], "prompt string")
     got = [(r.llm.text, r.llm.token_count) for r in call_model(df, ModelFactory(factory)).collect()]
     assert got == [("A", 1), (None, None), ("BC", 2)]
+
+
+@pytest.mark.parametrize("bad", [None, {}, {"Financial information": None}, {"Financial information": 7}, {"Persons names": "<name>"}])
+def test_redaction_fails_closed(bad):
+    from qaflow.functions import text as T
+
+    with pytest.raises(T.SecurityServiceError):
+        T.redact(F.lit("card 1234 5678 9012 3456"), bad)
+
+
+def test_second_redaction_kind(spark):
+    from qaflow.functions import text as T
+
+    col = T.redact(F.lit("mail a@b.cc"), {"Financial information": "<n>", "Mail": "<m>"}, {"Mail": r"\S+@\S+"})
+    assert spark.range(1).select(col).first()[0] == "mail <m>"
