@@ -11,8 +11,10 @@ emits too.
 
 Shared signatures give candidates, but never all their pairs:
  1. every document is verified against one pivot of another component that it shares most signatures with, the pivot
-    of a signature being its document with most links so far; this repeats while one in twenty finds a link;
- 2. among signatures whose documents are still in different components, the pairs across components are verified.
+    of a signature being its document with most links so far; this repeats while more than half find a link;
+ 2. among signatures whose documents are still in different components, the pairs across components are verified, less
+    those that a bitmap rules out: each document has the parities of its tokens in ``64 * LANES`` buckets, a token that
+    one set has and the other lacks flips one parity, so the parities that differ bound the size of the difference.
 A pair that shares a frequent signature has all its rare tokens in both prefixes: those that no other document emits are
 missing in the other set, which bounds the overlap and spares most verifications among copies that are too far apart.
 Pairs within a component cannot change it, so the components are exact.
@@ -43,6 +45,7 @@ WIDTH, NUM, DEN = 5, 4, 5  # words in a shingle; similarity of NUM / DEN
 SKETCH_BITS, SLICE = 20, 1 << 14
 RARE, CLASS_TOKENS = 64, 4
 FLUSH = 1 << 22
+LANES = 16  # longs of a bitmap
 ODD = np.uint64(1)
 BROADCAST_BYTES = 64 << 20
 
@@ -80,6 +83,12 @@ def sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(h, end[:-1])] if len(end) else []
 
 
+def parities(tokens: np.ndarray) -> list[int]:
+    """Parity of the number of tokens in each of ``64 * LANES`` buckets, as longs."""
+    odd = np.bincount((mixed(tokens) % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def overlap_links(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b):
         return False
@@ -149,7 +158,7 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
 def _described(docs: DataFrame, sketch, frequent: int, width: int) -> DataFrame:
     """``doc_id, key, n`` of every document (``sig`` null), and, for each signature of a task, its smallest document with the others as ``members``."""
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("rare", pa.int32()), ("sig", pa.int64()), ("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("rare", pa.int32()), ("bits", pa.list_(pa.int64())), ("sig", pa.int64()), ("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -170,7 +179,7 @@ def _described(docs: DataFrame, sketch, frequent: int, width: int) -> DataFrame:
             held.clear(), seen.clear()
             none = pa.nulls(len(first), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc[first], pa.int64()), pa.array(size[first], pa.int32()), none, pa.nulls(len(first), pa.int32()), pa.array(sig[first], pa.int64()),
+                [pa.array(doc[first], pa.int64()), pa.array(size[first], pa.int32()), none, pa.nulls(len(first), pa.int32()), pa.nulls(len(first), schema.field("bits").type), pa.array(sig[first], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(doc[rest], pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(size[rest], pa.int32()))],
                 schema=schema,
             )
@@ -180,7 +189,7 @@ def _described(docs: DataFrame, sketch, frequent: int, width: int) -> DataFrame:
             ids = batch.column("doc_id").to_pylist()
             all_sets = sets(batch.column("text").to_pylist(), width)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in all_sets]
-            n, rare = len(ids), []
+            n, rare, bits = len(ids), [], []
             for d, k, s in zip(ids, keys, all_sets, strict=True):
                 own = None
                 if d is not None and k is not None and k not in seen:
@@ -190,9 +199,10 @@ def _described(docs: DataFrame, sketch, frequent: int, width: int) -> DataFrame:
                     pairs = int((held[-1][2] & ODD).sum())
                     own = len(held[-1][2]) - pairs if pairs else 0
                 rare.append(own)
+                bits.append(None if own is None else parities(s))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in all_sets], pa.int32()), pa.array(keys, pa.binary()), pa.array(rare, pa.int32()),
-                 pa.nulls(n, pa.int64()), pa.nulls(n, schema.field("members").type), pa.nulls(n, schema.field("sizes").type)], schema=schema)
+                 pa.array(bits, schema.field("bits").type), pa.nulls(n, pa.int64()), pa.nulls(n, schema.field("members").type), pa.nulls(n, schema.field("sizes").type)], schema=schema)
             if total >= FLUSH:
                 yield flush()
                 total = 0
@@ -200,7 +210,7 @@ def _described(docs: DataFrame, sketch, frequent: int, width: int) -> DataFrame:
             yield flush()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n int, key binary, rare int, sig bigint, members array<bigint>, sizes array<int>"
+        run, "doc_id bigint, n int, key binary, rare int, bits array<bigint>, sig bigint, members array<bigint>, sizes array<int>"
     )
 
 
@@ -232,6 +242,16 @@ def _possible(n: str, most: str, n2: str, most2: str):
     return shared * DEN >= (F.col(n) + F.col(n2) - shared) * NUM
 
 
+def _not_ruled_out(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those rows ``a, b`` of ``pairs`` whose bitmaps differ in no more places than two similar sets may."""
+    bits = rows.filter("rare IS NOT NULL").select("doc_id", "n", "bits").distinct()
+    of = lambda c: bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, LANES)), F.bit_count(F.col("bits_a")[0].bitwiseXOR(F.col("bits_b")[0])))
+    # similar: difference * (DEN + NUM) <= (DEN - NUM) * (sum of the sizes)
+    return both.filter(differ * (DEN + NUM) <= (F.col("n_a") + F.col("n_b")) * (DEN - NUM)).select("a", "b").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """Those rows ``a, b`` of ``pairs`` whose documents are similar enough."""
     spark = docs.sparkSession
@@ -284,7 +304,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     frequent = RARE + 2 * int(counts.mean())
     sketch = spark.sparkContext.broadcast(counts)
     described = saved(_described(docs, sketch, frequent, width).withColumn("kind", F.when(F.col("sig").isNull(), 0).otherwise(1)), "shingle-signatures")
-    rows = described.filter("kind = 0").select("doc_id", "n", "key", "rare")
+    rows = described.filter("kind = 0").select("doc_id", "n", "key", "rare", "bits")
     sigs = described.filter("kind = 1").select("sig", "doc_id", "n", "members", "sizes")
     shared = sigs.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_runs, "sig bigint, doc bigint, n int")
     shared = saved(shared, "shared-signatures")
@@ -311,7 +331,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # the pairs across components that share a signature
     other = apart.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("comp").alias("comp_b"))
     across = apart.withColumnRenamed("doc", "a").join(other, "sig").filter(F.col("comp") < F.col("comp_b")).filter(_possible("n", "most", "n_b", "most_b"))
-    links = verified(docs, saved(across.select("a", "b").distinct(), "across"), width)
+    links = verified(docs, saved(_not_ruled_out(across.select("a", "b").distinct(), rows), "across"), width)
     labels = components(edges.unionByName(links), "a", "b").select(F.col("node").alias("a"), "component")
     # from holders to keys; a component is named by the smallest id of any of its rows
     placed = holders.join(labels, "a", "left").groupBy("key").agg(F.min(F.coalesce("component", "a")).alias("label"))
@@ -319,7 +339,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     named = named.withColumn("label", F.coalesce("label", "rep"))
     names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(names, "label").select("key", "component_id")
-    out = rows.join(named, "key", "left")
+    out = rows.select("doc_id", "n", "key").join(named, "key", "left")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -220,3 +220,14 @@ def test_html_blocks_and_field(spark):
     assert out[1] == ("", 0) and out[2] == ("", 0) and out[4] == ("T One two. Three four.", 22)
     assert [b[1] for b in html_crf.blocks("<p>a&amp;b <b>c</b>d<br>e</p")] == ["a&b cd e"]
     assert html_crf.extract(pages.limit(0), field).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_linked_pair():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(2, 3000)), dtype=np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[: int(len(a) * rng.uniform(0.7, 1))], rng.integers(0, 1 << 63, int(len(a) * rng.uniform(0, 0.2)), dtype=np.uint64)]))
+        differ = sum((int(x) ^ int(y)).bit_count() if (x ^ y) >= 0 else ((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(jaccard_join.parities(a), jaccard_join.parities(b), strict=True))
+        assert differ <= len(np.setxor1d(a, b))
+        if jaccard_join.overlap_links(a, b):
+            assert differ * 9 <= len(a) + len(b)
