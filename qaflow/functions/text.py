@@ -43,7 +43,8 @@ def format_context(text: Column, title: Column, url: Column, has_meta: Column) -
     """H6: ``[title: '{title}', url: '{url}']\\n{text}\\n`` or ``{text}\\n``."""
     with_meta = F.concat(
         F.lit(K.CONTEXT_META_OPEN), F.coalesce(title, F.lit("None")), F.lit(K.CONTEXT_META_URL),
-        F.coalesce(url, F.lit("")), F.lit(K.CONTEXT_META_CLOSE), text, F.lit(K.CONTEXT_END),
+        F.coalesce(url, F.lit("")), F.lit(K.CONTEXT_META_CLOSE), F.coalesce(text, F.lit("None")),
+        F.lit(K.CONTEXT_END),
     )
     plain = F.concat(F.coalesce(text, F.lit("None")), F.lit(K.CONTEXT_END))
     return F.when(has_meta, with_meta).otherwise(plain)

@@ -68,10 +68,22 @@ def hash_encoder(dim: int = 64):
     return _encode
 
 
+def _encode_rows(model, texts: list[str], dim: int) -> list:
+    """Vectors of a batch; a failing batch is halved until the failing texts stand alone: they get None."""
+    try:
+        return list(np.asarray(model.encode(texts), dtype=np.float32).reshape(len(texts), dim))
+    except Exception:  # noqa: BLE001 - a failing row has no vector and takes the embedding fallback
+        if len(texts) == 1:
+            return [None]
+    half = len(texts) // 2
+    return _encode_rows(model, texts[:half], dim) + _encode_rows(model, texts[half:], dim)
+
+
 def model_encoder(factory, dim: int):
     """K2 plug point for a real sentence model: ``factory()`` builds an object with
     ``encode(list[str]) -> array (n, dim)``; it is called once per task (iterator pandas
-    UDF), then every Arrow batch of the partition is encoded with it."""
+    UDF), then every Arrow batch of the partition is encoded with it. A text that the model
+    fails on gets a null vector; the other rows are not affected."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
@@ -79,7 +91,7 @@ def model_encoder(factory, dim: int):
             valid = texts.notna().to_numpy()
             out = [None] * len(texts)
             if valid.any():
-                vecs = np.asarray(model.encode(texts[valid].tolist()), dtype=np.float32).reshape(-1, dim)
+                vecs = _encode_rows(model, texts[valid].tolist(), dim)
                 for j, i in enumerate(np.flatnonzero(valid)):
                     out[i] = vecs[j]
             yield pd.Series(out)

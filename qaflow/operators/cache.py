@@ -13,18 +13,17 @@ from .. import constants as K
 from .topk import similarity_topk
 
 
-def cache_lookup(questions: DataFrame, cache: DataFrame, cfg) -> DataFrame:
+def cache_lookup(questions: DataFrame, cache: DataFrame, cfg, key: str = "event_id") -> DataFrame:
     """Nearest cache entry per question by cosine distance; hits within tolerance only.
 
-    Returns ``(event_id, cache_id, distance, contexts, response)``.
+    Returns ``(key, cache_id, distance, contexts, response)``.
     """
-    metric = "cosine" if cfg.metric == "cosine" else "dot"
-    best = similarity_topk(questions, cache, 1, key="event_id", query_vector="qvec", point_id="cache_id",
-                           vector="cvec", metric=metric)
-    dist = (F.lit(1.0) - F.col("score")) if metric == "cosine" else -F.col("score")
+    best = similarity_topk(questions, cache, 1, key=key, query_vector="qvec", point_id="cache_id",
+                           vector="cvec", metric=cfg.metric)
+    dist = (F.lit(1.0) - F.col("score")) if cfg.metric == "cosine" else -F.col("score")
     hits = best.withColumn("distance", dist).where(F.col("distance") <= F.lit(cfg.match_tolerance))
     return hits.join(cache.select("cache_id", "contexts", "response"), "cache_id", "inner") \
-        .select("event_id", "cache_id", "distance", "contexts", "response")
+        .select(key, "cache_id", "distance", "contexts", "response")
 
 
 def cache_misses(questions: DataFrame, hits: DataFrame) -> DataFrame:

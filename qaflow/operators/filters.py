@@ -80,17 +80,19 @@ def spec_items(spec_json: str | None) -> tuple:
     """Canonical spec text -> ((key, typed value), ...)."""
     if not spec_json:
         return ()
-    d = json.loads(spec_json)
-    return tuple(sorted((k, parse_literal(v)) for k, v in d.items()))
+    d = {k: parse_literal(v) for k, v in json.loads(spec_json).items()}
+    # only scalars can match a column: a list or an object is treated as null, which matches nothing
+    return tuple((k, d[k] if isinstance(d[k], (str, int, float, bool)) else None) for k in sorted(d))
 
 
 def search_options(options: dict | None) -> tuple[int, float | None]:
-    """Understood extra options are ``offset`` and ``score_threshold``."""
+    """Understood extra options are ``offset`` and ``score_threshold``; ``with_vectors`` is taken and
+    changes nothing, as hits carry no vectors here."""
     options = dict(options or {})
     clash = set(options) & set(K.RESERVED_SEARCH_KEYS)
     if clash:
         raise SearchArgumentsError(f"Conflicting keys found in search_kwargs: {', '.join(sorted(clash))}")
-    unknown = set(options) - {"offset", "score_threshold"}
+    unknown = set(options) - {"offset", "score_threshold", "with_vectors"}
     if unknown:
         raise SearchArgumentsError(f"Unsupported search options: {', '.join(sorted(unknown))}")
     offset = int(options.get("offset", 0) or 0)

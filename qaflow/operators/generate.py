@@ -44,21 +44,26 @@ MODEL_RESULT = T.StructType([
 ])
 
 
-def _call_rows(model, prompts: pd.Series) -> pd.DataFrame:
-    """Call the model on a batch; if the batch fails, isolate failing rows."""
+def _result_rows(model, prompts: pd.Series) -> list[tuple]:
+    """Call the model on a batch; a failing batch is halved until the failing rows stand alone,
+    so one bad prompt costs a logarithmic number of extra calls, not one per row."""
     try:
         res = model(prompts)
-        return pd.DataFrame({"text": list(res["text"]), "token_count": list(res["token_count"]),
-                             "error_type": None, "error_message": None})
-    except Exception:  # noqa: BLE001 - per-row isolation below
-        rows = []
-        for p in prompts:
-            try:
-                r = model(pd.Series([p]))
-                rows.append((r["text"].iloc[0], r["token_count"].iloc[0], None, None))
-            except Exception as e:  # noqa: BLE001 - a failing row becomes an error entry
-                rows.append((None, None, type(e).__name__, str(e)))
-        return pd.DataFrame(rows, columns=["text", "token_count", "error_type", "error_message"])
+        texts, counts = list(res["text"]), list(res["token_count"])
+        if len(texts) != len(prompts):
+            raise ValueError(f"the model returned {len(texts)} rows for {len(prompts)} prompts")
+        return [(t, c, None, None) for t, c in zip(texts, counts)]
+    except Exception as e:  # noqa: BLE001 - a failing row becomes an error entry
+        if len(prompts) == 1:
+            return [(None, None, type(e).__name__, str(e))]
+    half = len(prompts) // 2
+    parts = (prompts.iloc[:half], prompts.iloc[half:])
+    return [row for part in parts for row in _result_rows(model, part.reset_index(drop=True))]
+
+
+def _call_rows(model, prompts: pd.Series) -> pd.DataFrame:
+    columns = ["text", "token_count", "error_type", "error_message"]
+    return pd.DataFrame(_result_rows(model, prompts), columns=columns, dtype=object)
 
 
 def call_model(df: DataFrame, model, prompt_col: str = "prompt", out_col: str = "llm") -> DataFrame:

@@ -40,7 +40,7 @@ def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
     Hits are a small, bounded side (k per question); hinting them as the build side
     keeps the collection scan un-shuffled when they fit the broadcast threshold.
     """
-    meta = FL.hit_metadata(F.col("payload")) if "payload" in points.columns else F.create_map()
+    meta = FL.hit_metadata(F.col("payload")) if "payload" in points.columns else F.create_map().cast("map<string,string>")
     pay = points.select(F.col(point_id).alias("_pid"), F.col("doc_id").cast("string").alias("doc_id"), "text",
                         meta.alias("meta"))
     h = F.broadcast(hits) if broadcast_hits else hits
@@ -75,17 +75,34 @@ def fallback_context(prefix: str) -> Column:
         F.lit(None).cast("string").alias("url"), F.lit(False).alias("has_meta")))
 
 
+SEARCH_KEY = "_search"
+
+
+def search_key(query_vector: str = "qvec", metadata: str | None = "metadata") -> Column:
+    """128 bits over all that a search depends on: the vector and the filter. Rows are matched with their
+    hits by it, not by the event id, so repeated and null event ids keep their own contexts."""
+    parts = [F.col(query_vector)] + ([F.to_json(F.array_sort(F.map_entries(metadata)))] if metadata else [])
+    return F.concat_ws(":", F.xxhash64(*parts).cast("string"), F.xxhash64(F.lit(1), *parts).cast("string"))
+
+
 def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: str = "event_id",
                       query_vector: str = "qvec", metadata: str | None = "metadata",
                       filter_keys=None, search_params=None, must=(), should=(),
-                      max_broadcast_bytes: int = 64 << 20, metric: str = "dot") -> DataFrame:
-    """Questions -> ``(key, contexts, hit_log, bad_title)`` for questions with at least one hit."""
+                      max_broadcast_bytes: int = 64 << 20, metric: str = "dot", info: dict | None = None) -> DataFrame:
+    """Questions -> ``(key, contexts, hit_log, bad_title)``: one row for each ``key`` with at least one hit.
+    Without ``filter_keys`` metadata may name any plain column of ``points`` but its text."""
     q = questions
     spec = None
     if metadata is not None:
         q = q.withColumn("_spec", FL.metadata_must(F.col(metadata)))
         spec = "_spec"
-    info: dict = {}
+        if filter_keys is None:
+            filter_keys = [f.name for f in points.schema if isinstance(f.dataType, T.AtomicType) and f.name not in ("id", "text")]
+    q = q.dropDuplicates([key])
+    info = info if info is not None else {}
+    # what is broadcast below is what was measured: the same filters hold
+    static = FL.must_should_predicate(points, must, should)
+    points = points.where(F.col("vector").isNotNull()) if static is None else points.where(F.col("vector").isNotNull() & static)
     hits = similarity_topk(q, points, k, key=key, query_vector=query_vector, metadata_filter=spec,
                            filter_keys=filter_keys, must=must, should=should, search_params=search_params,
                            metric=metric, max_broadcast_bytes=max_broadcast_bytes, info=info,
@@ -101,7 +118,8 @@ _HIT_BYTES = 96
 
 def payload_bytes(points: DataFrame) -> Column:
     """Per-point payload size, measured inside the top-k probe (no extra job)."""
-    return F.coalesce(F.length("text"), F.lit(0)) + F.lit(64)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)
+    return size + F.coalesce(F.octet_length(F.to_json("payload")), F.lit(0)) if "payload" in points.columns else size
 
 
 def payload_fits(info: dict, budget: int) -> bool:

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from ..session import spread_for_cpu
 from . import filters as FL
 
+METRICS = ("dot", "cosine")
 # rows x questions score cells held at once by one task (float64)
 _CELL_BUDGET = 1 << 22
 _ROW_OVERHEAD = 64
@@ -225,8 +226,6 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
         pdf = part.toPandas()
         if len(pdf) == 0:
             continue
-        if len(pdf) * bytes_per_q > 2 * budget:
-            raise MemoryError(f"question block {b} holds {len(pdf)} rows, over twice the broadcast budget")
         Q = _matrix(pdf[qvec].tolist(), dim)
         if metric == "cosine":
             Q = _unit(Q)
@@ -385,6 +384,8 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
     info = info if info is not None else {}
     if k <= 0:
         raise ValueError("k must be positive")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
     offset, threshold = FL.search_options(search_params)
     spark = questions.sparkSession
     static = FL.must_should_predicate(points, must, should)
@@ -406,10 +407,20 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
             raise MemoryError("the collection does not fit max_broadcast_bytes; use side='questions'")
         if ppdf is not None:
             info.update(plan="broadcast_points", n_points=len(ppdf))
+            if len(ppdf):
+                info["dim"] = len(ppdf[vector].iloc[0])
+                questions = questions.where(F.size(query_vector) == info["dim"])
             return _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, query_vector,
                                           metadata_filter, point_id, vector, filter_keys, metric,
                                           questions.schema[key].dataType, points.schema[point_id].dataType)
-    n_q, dim_q = _side_stats(questions.where(F.col(query_vector).isNotNull()), query_vector)
+    some = points.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    if some is None:
+        info.update(plan="broadcast_questions", n_questions=0)
+        return spark.createDataFrame([], empty_schema)
+    info["dim"] = some[0]
+    # a vector of another size has no score and no hits
+    questions = questions.where(F.size(query_vector) == some[0])
+    n_q, dim_q = _side_stats(questions, query_vector)
     info.update(plan="broadcast_questions", n_questions=n_q)
     if n_q == 0:
         return spark.createDataFrame([], empty_schema)

@@ -762,7 +762,7 @@ def retrieve_error_fallback(spark, d):
 def retrieve_bad_search_option(spark, d):
     """G2, other error: a search option the store does not take -> every question gets the
     "Sorry something went wrong. " context and goes on to the next stage (CONSOLIDATE formats it)."""
-    cfg = PipelineConfig(retrieval=RetrievalConfig(search_params={"with_vectors": True}))
+    cfg = PipelineConfig(retrieval=RetrievalConfig(search_params={"limit": 5}))
     p = Pipeline(points=_points(spark, d), config=cfg, filter_keys=["label"], stages=["RETRIEVE", "CONSOLIDATE"])
     s, _ = p.run(_questions(spark, d))
     return s.select("event_id", F.element_at("contexts", 1)["text"].alias("context"), _error_types().alias("error_types"))

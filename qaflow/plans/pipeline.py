@@ -61,40 +61,51 @@ def rewrite_stage(rewriter=None) -> Stage:
     return Stage(K.REWRITE, apply)
 
 
+def encoded(state: DataFrame, encoder) -> DataFrame:
+    """``qvec`` filled for gated rows that lack it; the encoder sees null for all other rows and skips them."""
+    if encoder is None:
+        return state
+    wanting = F.when(F.col(GATE) & F.col("qvec").isNull(), F.col("user_query"))
+    return state.withColumn("qvec", F.coalesce("qvec", encoder(wanting)))
+
+
 def retrieve_stage(points: DataFrame, cfg, encoder=None, filter_keys=None) -> Stage:
     """C1/E1/B3-B8/G1/G2/D2/D3 on gated rows."""
 
     def apply(state: DataFrame, nxt):
         gate = F.col(GATE)
-        if encoder is not None:
-            state = state.withColumn("qvec", F.when(gate & F.col("qvec").isNull(), encoder(F.col("user_query")))
-                                     .otherwise(F.col("qvec")))
+        state = encoded(state, encoder)
         has_vec = F.col("qvec").isNotNull()
+        metadata = "metadata" if cfg.filter_on_user_metadata else None
+        info: dict = {}
         try:
             FL.search_options(cfg.search_params)
             bad_args = None
         except FL.SearchArgumentsError as e:
             bad_args = str(e)
         if bad_args is None:
-            questions = state.where(gate & has_vec).select("event_id", "qvec", "metadata")
+            state = state.withColumn(R.SEARCH_KEY, F.when(gate & has_vec, R.search_key("qvec", metadata)))
+            questions = state.where(gate & has_vec).select(R.SEARCH_KEY, "qvec", "metadata")
             ctx = R.retrieve_contexts(
-                questions, points, cfg.top_k, metadata="metadata" if cfg.filter_on_user_metadata else None,
+                questions, points, cfg.top_k, key=R.SEARCH_KEY, metadata=metadata, info=info,
                 filter_keys=filter_keys, search_params=cfg.search_params,
                 must=cfg.search_filters.get("must", ()), should=cfg.search_filters.get("should", ()),
                 max_broadcast_bytes=cfg.max_broadcast_bytes, metric=cfg.metric)
-            ctx = ctx.select("event_id", F.col("contexts").alias("_r_ctx"), F.col("hit_log").alias("_r_log"),
+            ctx = ctx.select(R.SEARCH_KEY, F.col("contexts").alias("_r_ctx"), F.col("hit_log").alias("_r_log"),
                              F.col("bad_title").alias("_r_bad"))
-            state = state.join(ctx, "event_id", "left")
+            state = state.join(ctx, R.SEARCH_KEY, "left").drop(R.SEARCH_KEY)
         else:
             state = state.withColumn("_r_ctx", F.lit(None).cast(R.CONTEXTS_TYPE)) \
                 .withColumn("_r_log", F.lit(None).cast("string")).withColumn("_r_bad", F.lit(None).cast("boolean"))
         embed_failed = ~has_vec
-        args_failed = F.lit(bad_args is not None) & has_vec
+        bad_size = F.size("qvec") != info["dim"] if "dim" in info else F.lit(False)
+        args_failed = (F.lit(bad_args is not None) | bad_size) & has_vec
         no_hits = has_vec & ~args_failed & F.col("_r_ctx").isNull()
         bad_title = has_vec & F.coalesce(F.col("_r_bad"), F.lit(False))
         errors = F.col("errors")
         errors = append_error(errors, embed_failed, K.RETRIEVE, K.EMBED_TIMEOUT_ERROR, "query could not be embedded")
-        errors = append_error(errors, args_failed, K.RETRIEVE, K.SEARCH_ARGUMENTS_ERROR, bad_args or "")
+        errors = append_error(errors, args_failed, K.RETRIEVE, K.SEARCH_ARGUMENTS_ERROR,
+                              bad_args or "the vector's size is not the collection's")
         errors = append_error(errors, no_hits, K.RETRIEVE, K.NO_DOCUMENTS_ERROR, "No relevant documents found")
         errors = append_error(errors, bad_title, K.RETRIEVE, "KeyError", "'title'")
         contexts = (F.when(embed_failed, R.fallback_context(K.EMBED_ERROR_PREFIX))
@@ -168,13 +179,11 @@ def cache_read_stage(cache: DataFrame | None, cfg, encoder=None) -> Stage:
     def apply(state: DataFrame, nxt):
         if cache is None:
             return gated(state, {}, next_or_end(nxt))
-        gate = F.col(GATE)
-        if encoder is not None:
-            state = state.withColumn("qvec", F.when(gate & F.col("qvec").isNull(), encoder(F.col("user_query")))
-                                     .otherwise(F.col("qvec")))
-        q = state.where(gate & F.col("qvec").isNotNull()).select("event_id", "qvec")
-        hits = C.cache_lookup(q, cache, cfg).select("event_id", F.col("contexts").alias("_k_ctx"))
-        state = state.join(hits, "event_id", "left")
+        asks = F.col(GATE) & F.col("qvec").isNotNull()
+        state = encoded(state, encoder).withColumn(R.SEARCH_KEY, F.when(asks, R.search_key("qvec", None)))
+        q = state.where(asks).select(R.SEARCH_KEY, "qvec").dropDuplicates([R.SEARCH_KEY])
+        hits = C.cache_lookup(q, cache, cfg, key=R.SEARCH_KEY).select(R.SEARCH_KEY, F.col("contexts").alias("_k_ctx"))
+        state = state.join(hits, R.SEARCH_KEY, "left").drop(R.SEARCH_KEY)
         hit = F.col("_k_ctx").isNotNull()
         state = gated(state, {"contexts": F.when(hit, F.col("_k_ctx")).otherwise(F.col("contexts")),
                               "cache_hit": hit},

@@ -47,13 +47,21 @@ def trim_articles(articles: DataFrame, order_col: str, head: int = 700, max_char
 
 
 def build_collection(articles: DataFrame, encoder, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A2: point per article: id from a stable key, vector = encoder(text), payload = the whole item."""
+    """A2: point per article: id from a stable key (a number as it is, a text by its 64-bit hash), vector =
+    encoder(text), payload = every other column of the item as text, nulls left out."""
     from ..session import spread_for_cpu
 
     payload_cols = [c for c in articles.columns if c not in (key,)]
-    return spread_for_cpu(articles).select(
-        F.col(key).cast("long").alias("id"), encoder(F.col(text)).alias("vector"),
+    point_id = F.coalesce(F.col(key).try_cast("long"), F.xxhash64(F.col(key).cast("string")))
+    out = spread_for_cpu(articles).select(
+        point_id.alias("id"), encoder(F.col(text)).alias("vector"),
         F.col(key).cast("string").alias("doc_id"), *[F.col(c) for c in payload_cols if c != "doc_id"])
+    if "payload" in articles.columns:
+        return out
+    kept = [c for c in payload_cols if c not in (text, "doc_id") and isinstance(articles.schema[c].dataType, T.AtomicType)]
+    entries = [x for c in kept for x in (F.lit(c), F.col(c).cast("string"))]
+    whole = F.map_filter(F.create_map(*entries), lambda _k, v: v.isNotNull()) if entries else F.create_map()
+    return out.withColumn("payload", whole.cast("map<string,string>"))
 
 
 def last_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:

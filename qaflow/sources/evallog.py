@@ -52,11 +52,12 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def metrics_wide(records_df: DataFrame, names=None) -> DataFrame:
-    """One row per event, one column per metric (first value)."""
+    """One row per event, one column per metric: the value of the earliest record, the
+    smallest among records of one time, so that repeats give the same row in any layout."""
     names = list(names or K.METRIC_NAMES)
     long = records_df.select("event_id", json_field(F.col("log"), "metric").alias("metric"),
-                             json_field(F.col("log"), "value").alias("value"))
-    return long.groupBy("event_id").pivot("metric", names).agg(F.first("value"))
+                             json_field(F.col("log"), "value").alias("value"), "ts")
+    return long.groupBy("event_id").pivot("metric", names).agg(F.min_by("value", F.struct("ts", "value")))
 
 
 def latest_of_day(spark: SparkSession, view: str, day: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``user_query`` must be a JSON string (a number or a missing field is rejected, as
 the request model does); ``metadata`` defaults to an empty map and must be an
-object of scalars. Valid rows go on, the others are kept apart with a reason.
+object of scalars, whose JSON types are kept (``"1"`` and ``1`` stay apart). Valid rows go on, the
+others are kept apart with a reason.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ def validate_json_requests(lines: DataFrame, value_col: str = "value") -> DataFr
     meta_v = F.try_variant_get(v, "$.metadata", "variant")
     meta_type = F.schema_of_variant(meta_v)
     meta_ok = meta_v.isNull() | meta_type.startswith("OBJECT")
-    meta = F.when(meta_v.isNotNull() & meta_ok,
-                  F.from_json(F.to_json(meta_v), "map<string,string>"))
+    values = F.try_variant_get(v, "$.metadata", "map<string,variant>")
+    nested = F.exists(F.map_values(values), lambda x: F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"))
+    meta = F.when(meta_v.isNotNull() & meta_ok, F.transform_values(values, lambda _k, x: F.to_json(x)))
     reason = (F.when(v.isNull(), F.lit("malformed JSON"))
               .when(uq_type.isNull() | (uq_type == "NULL"), F.lit("user_query is required"))
               .when(uq_type != "STRING", F.lit("user_query must be a string"))
-              .when(~meta_ok, F.lit("metadata must be an object")))
+              .when(~meta_ok, F.lit("metadata must be an object"))
+              .when(F.coalesce(nested, F.lit(False)), F.lit("metadata values must be scalars")))
     return lines.withColumn("reason", reason) \
         .withColumn("valid", F.col("reason").isNull()) \
         .withColumn("user_query", F.when(F.col("valid"), uq)) \

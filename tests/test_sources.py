@@ -59,7 +59,9 @@ def test_request_validation(spark):
     got = [(r.valid, r.user_query, r.metadata) for r in validate_json_requests(lines).collect()]
     assert got[0] == (True, "hi", {})
     assert got[1][0] is False and got[2][0] is False and got[4][0] is False and got[5][0] is False
-    assert got[3] == (True, "x", {"region": "NZ", "n": "1"})
+    assert got[3] == (True, "x", {"region": '"NZ"', "n": "1"})
+    nested = spark.createDataFrame([('{"user_query": "z", "metadata": {"a": [1]}}',), ('{"user_query": "z", "metadata": {"a": "1"}}',)], "value string")
+    assert [(r.valid, r.metadata) for r in validate_json_requests(nested).collect()] == [(False, None), (True, {"a": '"1"'})]
 
 
 def test_hot_key_patch_is_combined_map_side(spark):
