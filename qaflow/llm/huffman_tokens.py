@@ -32,7 +32,7 @@ from ..session import shared_path
 from .common import safe_words, saved, small_batches
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
-MAX_LEN, CHECKPOINT, CHUNK_IDS, CACHE_WORDS = 16, 1024, 1 << 18, 1_200_000
+MAX_LEN, CHECKPOINT, CHUNK_IDS, CACHE_WORDS, JOINED_WORDS = 16, 1024, 1 << 18, 1_200_000, 1000
 
 _TOKENIZERS: dict = {}
 
@@ -49,16 +49,27 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        # ids whose bytes begin with a blank, which the vocabulary writes as U+0120
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.begins[[k for w, k in self.tokenizer.get_vocab().items() if w[0] == "\u0120"]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words without blanks, many in a text: the ids that begin with a blank tell where each word starts."""
+        for k in range(0, len(words), JOINED_WORDS):
+            some = words[k : k + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at, raw = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
+            self.known.update(zip(some, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         words = [safe_words(t) for t in texts]
         known = self.known
         firsts = [ws.pop(0) for ws in words]
         new = list({w for ws in words for w in ws if w not in known})
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn([w for w in new if " " not in w])
+        for w in new:
+            if " " in w:
+                known[w] = np.array(self.tokenizer.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes()
         starts = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
         out = [np.frombuffer(s + b"".join([known[w] for w in ws]), "<u4") for s, ws in zip(starts, words, strict=True)]
         if len(known) > CACHE_WORDS:
