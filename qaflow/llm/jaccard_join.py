@@ -242,14 +242,18 @@ def _possible(n: str, most: str, n2: str, most2: str):
     return shared * DEN >= (F.col(n) + F.col(n2) - shared) * NUM
 
 
-def _not_ruled_out(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those rows ``a, b`` of ``pairs`` whose bitmaps differ in no more places than two similar sets may."""
-    bits = rows.filter("rare IS NOT NULL").select("doc_id", "n", "bits").distinct()
-    of = lambda c: bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, LANES)), F.bit_count(F.col("bits_a")[0].bitwiseXOR(F.col("bits_b")[0])))
+def _across(apart: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, b``: documents of different components that share a signature, less those whose bitmaps differ in more places than two similar sets may.
+
+    The bitmaps are compared in the condition of the join: pairs that they rule out never become rows."""
+    bits = rows.filter("rare IS NOT NULL").select(F.col("doc_id").alias("doc"), "bits").dropDuplicates(["doc", "bits"])
+    left = apart.join(bits, "doc")
+    right = left.select(F.col("sig").alias("sig_b"), F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("comp").alias("comp_b"), F.col("bits").alias("bits_b"))
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, LANES)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
     # similar: difference * (DEN + NUM) <= (DEN - NUM) * (sum of the sizes)
-    return both.filter(differ * (DEN + NUM) <= (F.col("n_a") + F.col("n_b")) * (DEN - NUM)).select("a", "b").distinct()
+    close = differ * (DEN + NUM) <= (F.col("n") + F.col("n_b")) * (DEN - NUM)
+    pairs = left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("comp") < F.col("comp_b")) & _possible("n", "most", "n_b", "most_b") & close)
+    return pairs.select(F.col("doc").alias("a"), "b").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -329,9 +333,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             break
         degree = edges.groupBy(F.col("b").alias("doc")).agg(F.count(F.lit(1)).alias("deg"))
     # the pairs across components that share a signature
-    other = apart.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("comp").alias("comp_b"))
-    across = apart.withColumnRenamed("doc", "a").join(other, "sig").filter(F.col("comp") < F.col("comp_b")).filter(_possible("n", "most", "n_b", "most_b"))
-    links = verified(docs, saved(_not_ruled_out(across.select("a", "b").distinct(), rows), "across"), width)
+    links = verified(docs, saved(_across(apart, rows), "across"), width)
     labels = components(edges.unionByName(links), "a", "b").select(F.col("node").alias("a"), "component")
     # from holders to keys; a component is named by the smallest id of any of its rows
     placed = holders.join(labels, "a", "left").groupBy("key").agg(F.min(F.coalesce("component", "a")).alias("label"))
