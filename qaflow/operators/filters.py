@@ -91,7 +91,7 @@ def search_options(options: dict | None) -> tuple[int, float | None]:
     options = dict(options or {})
     clash = set(options) & set(K.RESERVED_SEARCH_KEYS)
     if clash:
-        raise SearchArgumentsError(f"Conflicting keys found in search_kwargs: {', '.join(sorted(clash))}")
+        raise SearchArgumentsError(f"reserved search options: {', '.join(sorted(clash))}")
     unknown = set(options) - {"offset", "score_threshold", "with_vectors"}
     if unknown:
         raise SearchArgumentsError(f"Unsupported search options: {', '.join(sorted(unknown))}")

@@ -37,7 +37,6 @@ METRICS = ("dot", "cosine")
 # rows x questions score cells held at once by one task (float64)
 _CELL_BUDGET = 1 << 22
 _ROW_OVERHEAD = 64
-_MAX_PUSHED_SPECS = 256
 # broadcast collections at least this large spread narrow question inputs over all cores
 _SPREAD_MIN_POINTS = 4096
 
@@ -100,32 +99,50 @@ def _select_topk(q: np.ndarray, ids: np.ndarray, s: np.ndarray, kk: int):
 _PROBE_ROWS = 1024
 
 
-def _candidates(S: np.ndarray, kk: int):
-    """Exactly the top-``kk`` cells of every column (score desc, then row order).
+def _slack(P: np.ndarray, Q: np.ndarray) -> np.ndarray:
+    """Per question: how far two sums of the same products in another order can lie apart.
 
-    Rows must be in ascending point-id order, so the row order breaks score ties like
-    the id does. Fast path: the kk-th best score among the first rows is a lower bound of
-    the column's true kk-th score, so one comparison pass keeps a small superset that is
-    then cut exactly. Heavy ties (or tiny blocks) take the exact path: cells above the
-    kk-th score plus the first tied cells needed (running count down the column).
+    A matrix product adds in an order that depends on its shape. Sums of small integers are exact in any order."""
+    if not P.size or not Q.size:
+        return np.zeros(len(Q))
+    top = np.abs(P).max() * np.abs(Q).max() * P.shape[1]
+    if top < 2.0 ** 53 and (P == np.rint(P)).all() and (Q == np.rint(Q)).all():
+        return np.zeros(len(Q))
+    with np.errstate(invalid="ignore", over="ignore"):
+        out = 4 * P.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(P, axis=1).max() * np.linalg.norm(Q, axis=1)
+    return np.where(np.isfinite(out), out, np.finfo(np.float64).max)
+
+
+def _candidates(S: np.ndarray, kk: int, slack: np.ndarray):
+    """A superset of the top-``kk`` cells of every column: the cells within ``slack`` of the ``kk``-th best score.
+
+    Without slack exactly ``kk`` cells stay: rows must be in ascending point-id order, so the row
+    order breaks score ties like the id does. Fast path: the kk-th best score among the first rows
+    is a lower bound of the column's true kk-th score, so one comparison pass keeps a small
+    superset that is then cut. Heavy ties (or tiny blocks) take the exact path.
     """
     n, m = S.shape
     if n > 2 * _PROBE_ROWS and kk < _PROBE_ROWS:
-        bound = np.partition(S[:_PROBE_ROWS], _PROBE_ROWS - kk, axis=0)[_PROBE_ROWS - kk]
+        bound = np.partition(S[:_PROBE_ROWS], _PROBE_ROWS - kk, axis=0)[_PROBE_ROWS - kk] - slack
         # NaN never passes a comparison; a -inf bound must still exclude masked cells
         bound = np.where(np.isneginf(bound), np.finfo(np.float64).min, bound)
         r, c = divmod(np.flatnonzero(S >= bound[None, :]), m)
-        if not np.isnan(bound).any() and len(r) <= 32 * kk * m:
+        if len(r) and not np.isnan(bound).any() and len(r) <= 32 * kk * m:
             order = np.lexsort((r, -S[r, c], c))
             r, c = r[order], c[order]
+            s = S[r, c]
             starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
-            pos = np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)]))
-            keep = pos < kk
+            count = np.diff(np.r_[starts, len(c)])
+            pos = np.arange(len(c)) - np.repeat(starts, count)
+            kth = np.repeat(s[starts + np.minimum(kk, count) - 1], count)
+            keep = (pos < kk) | ((slack[c] > 0) & (s >= kth - slack[c]))
             return r[keep], c[keep]
     S[np.isnan(S)] = -np.inf
     if n <= kk:
         return np.nonzero(S > -np.inf)
     kth = np.partition(S, n - kk, axis=0)[n - kk][None, :]
+    if slack.any():
+        return np.nonzero((S >= kth - slack[None, :]) & (S > -np.inf))
     above = S > kth
     tie = S == kth
     need = kk - above.sum(axis=0)
@@ -138,6 +155,27 @@ def _candidates(S: np.ndarray, kk: int):
     return np.nonzero(cand)
 
 
+def _best(P: np.ndarray, Q: np.ndarray, ids: np.ndarray, masked, threshold: float | None, kk: int):
+    """The best ``kk`` of a block per question: index, id, score and position.
+
+    The matrix product finds the candidates; their scores are then summed in the order of the
+    dimensions, so score and rank of a pair are the same in every block, plan and partitioning."""
+    S = P @ Q.T
+    masked(S)
+    slack = _slack(P, Q)
+    if threshold is not None:
+        S[S < threshold - slack[None, :]] = -np.inf
+    r, c = _candidates(S, kk, slack)
+    s = S[r, c]
+    if slack.any():
+        s = np.zeros(len(r))
+        for d in range(P.shape[1]):
+            s += P[r, d] * Q[c, d]
+        ok = ~np.isnan(s) if threshold is None else s >= threshold
+        r, c, s = r[ok], c[ok], s[ok]
+    return _select_topk(c, ids[r], s, kk)
+
+
 # ----------------------------------------------------------------------------- helpers
 
 def _spec_groups(specs) -> dict:
@@ -172,18 +210,9 @@ def _bounded_probe(probe: DataFrame, vector: str, budget: int, extra_bytes: int,
     return None
 
 
-def _fewer_scan_tasks(scan: DataFrame, per_core: int = 4) -> DataFrame:
-    """Each scan task emits up to k candidates per question of the block, so candidates
-    grow with the number of tasks. A collection split into far more tasks than cores is
-    coalesced (no shuffle) to ``per_core`` tasks per core: the same work in bigger tasks,
-    whose running top-k then covers more rows before anything is shuffled."""
-    target = per_core * scan.sparkSession.sparkContext.defaultParallelism
-    return scan.coalesce(target) if scan.rdd.getNumPartitions() > target else scan
-
-
 def _union_predicate(points: DataFrame, groups: dict):
     """Pushdown: a point can only match some question's spec (skipped if any spec is empty)."""
-    if () in groups or len(groups) > _MAX_PUSHED_SPECS or not groups:
+    if () in groups or not groups:
         return None
     keys = {tuple(k for k, _ in spec) for spec in groups}
     if len(keys) == 1 and len(next(iter(keys))) == 1:  # one key everywhere: key IN (...)
@@ -193,10 +222,14 @@ def _union_predicate(points: DataFrame, groups: dict):
         dtype = points.schema[key].dataType
         values = [spec[0][1] for spec in groups if FL.type_matches(dtype, spec[0][1])]
         return F.col(key).isin(values) if values else F.lit(False)
-    preds = [FL.must_should_predicate(points, must=list(spec)) for spec in groups]
-    out = preds[0]
-    for p in preds[1:]:
-        out = out | p
+    # several keys: a match has one of the values of some key set, each a key IN (...); the kernel tests the combinations
+    out = F.lit(False)
+    for names in keys:
+        one = F.lit(True)
+        for i, key in enumerate(names):
+            alone = {(spec[i],): None for spec in groups if tuple(k for k, _ in spec) == names}
+            one = one & _union_predicate(points, alone)
+        out = out | one
     return out
 
 
@@ -235,7 +268,6 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
         pushed = _union_predicate(scan, groups)
         if pushed is not None:
             scan = scan.where(pushed)
-        scan = _fewer_scan_tasks(scan)
 
         def kernel(batches, bc=bc):
             data = bc.value
@@ -259,19 +291,16 @@ def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, ke
                 step = max(1, _CELL_BUDGET // max(1, len(pdf_p)))
                 for lo in range(0, m, step):
                     hi = min(m, lo + step)
-                    S = P @ Qm[lo:hi].T
-                    for spec, qidx in grp.items():
-                        if not spec:
-                            continue
-                        sel_q = qidx[(qidx >= lo) & (qidx < hi)] - lo
-                        if len(sel_q):
-                            S[np.ix_(~masks[spec], sel_q)] = -np.inf
-                    if threshold is not None:
-                        S[S < threshold] = -np.inf
-                    r, c = _candidates(S, kk)
-                    run_q = np.concatenate([run_q, c + lo])
-                    run_id = np.concatenate([run_id, ids[r]])
-                    run_s = np.concatenate([run_s, S[r, c]])
+                    def masked(S, lo=lo, hi=hi):
+                        for spec, qidx in grp.items():
+                            sel_q = qidx[(qidx >= lo) & (qidx < hi)] - lo
+                            if spec and len(sel_q):
+                                S[np.ix_(~masks[spec], sel_q)] = -np.inf
+
+                    q, i, s, _ = _best(P, Qm[lo:hi], ids, masked, threshold, kk)
+                    run_q = np.concatenate([run_q, q + lo])
+                    run_id = np.concatenate([run_id, i])
+                    run_s = np.concatenate([run_s, s])
                 run_q, run_id, run_s, _ = _select_topk(run_q, run_id, run_s, kk)
             if len(run_q):
                 yield pd.DataFrame({key: qkeys[run_q], pid: run_id, "score": run_s})
@@ -319,8 +348,8 @@ def _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, qv
         data = bc.value
         Pm, ids, cols = data["P"], data["ids"], data["cols"]
         n = Pm.shape[0]
-        masks = {}
         for qpdf in batches:
+            masks = {}  # of the filters of this batch
             qpdf = qpdf[qpdf[qvec].notna()]
             if len(qpdf) == 0 or n == 0:
                 continue
@@ -334,19 +363,17 @@ def _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, qv
             out_q, out_id, out_s, out_pos = [], [], [], []
             for lo in range(0, len(qpdf), step):
                 hi = min(len(qpdf), lo + step)
-                S = (Pm @ Q[lo:hi].T)
-                for spec, qidx in groups.items():
-                    if not spec:
-                        continue
-                    if spec not in masks:
-                        masks[spec] = _spec_mask(cols, spec, n)
-                    sel_q = qidx[(qidx >= lo) & (qidx < hi)] - lo
-                    if len(sel_q):
+                def masked(S, lo=lo, hi=hi):
+                    for spec, qidx in groups.items():
+                        sel_q = qidx[(qidx >= lo) & (qidx < hi)] - lo
+                        if not spec or not len(sel_q):
+                            continue
+                        if spec not in masks:
+                            masks[spec] = _spec_mask(cols, spec, n)
                         S[np.ix_(~masks[spec], sel_q)] = -np.inf
-                if threshold is not None:
-                    S[S < threshold] = -np.inf
-                r, c = _candidates(S, kk)
-                q, i, s, pos = _select_topk(c + lo, ids[r], S[r, c], kk)
+
+                q, i, s, pos = _best(Pm, Q[lo:hi], ids, masked, threshold, kk)
+                q = q + lo
                 out_q.append(q), out_id.append(i), out_s.append(s), out_pos.append(pos)
             q = np.concatenate(out_q)
             pos = np.concatenate(out_pos)

@@ -34,7 +34,7 @@ STATE_METRICS = ["m_cleaned_request", "m_user_query_embedding", "m_relevant_docu
 def security_stage(redaction_map: dict | None) -> Stage:
     """H1-H3 + B9: redact the query; a missing map raises here, before any job runs."""
     if not redaction_map or "Financial information" not in redaction_map:
-        raise SecurityServiceError("Could not remove sensitive information. Aborting.")
+        raise SecurityServiceError("no redaction token for financial information: nothing is passed on")
 
     def apply(state: DataFrame, nxt):
         null_text = F.col("user_query").isNull()

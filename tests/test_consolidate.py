@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,8 @@ from qaflow.functions.text import word_tokens
 from qaflow.operators import consolidate as CO
 from tests.fixtures import contexts_df, meta, plain
 
-HELLO = [plain("id1", "hello", 1), plain("id2", "world", 2), plain("id3", "goodbye", 3)]
+# formatted lengths 4, 8 and 11: with the line end each gains one
+ROWS = [plain("p", "tea", 1), plain("q", "saffron", 2), plain("r", "cinnamon s", 3)]
 
 
 def _arr(spark, rows, strategy, limit, counter=None):
@@ -24,70 +26,59 @@ def _long(spark, rows, strategy, limit):
 
 
 @pytest.mark.parametrize("form", [_arr, _long])
-def test_all_fit(spark, form):
-    got, err = form(spark, HELLO, "simple", 100)
-    assert got == [("id1", "hello\n"), ("id2", "world\n"), ("id3", "goodbye\n")] and err is None
+@pytest.mark.parametrize("limit", [23, 400])
+def test_all_fit(spark, form, limit):
+    assert form(spark, ROWS, "simple", limit) == ([("p", "tea\n"), ("q", "saffron\n"), ("r", "cinnamon s\n")], None)
 
 
 @pytest.mark.parametrize("form", [_arr, _long])
-def test_nothing_fits_is_an_error(spark, form):
-    got, err = form(spark, HELLO, "simple", 1)
-    assert err is not None and err.startswith("token_limit=1 Documents: (i='id1' length=6)")
-    assert [d for d, _ in got] == ["id1", "id2", "id3"]  # passed on in retrieval order
+@pytest.mark.parametrize("limit", [0, 3, 11])
+def test_an_overflow_before_the_last_is_an_error(spark, form, limit):
+    got, err = form(spark, ROWS, "simple", limit)
+    assert err == f"token_limit={limit} Documents: (i='p' length=4),(i='q' length=8),(i='r' length=11)"
+    # in retrieval order; those that were placed are formatted
+    assert got == [("p", "tea\n" if limit >= 4 else "tea"), ("q", "saffron"), ("r", "cinnamon s")]
 
 
 @pytest.mark.parametrize("form", [_arr, _long])
-def test_last_one_dropped(spark, form):
-    got, err = form(spark, HELLO, "simple", 13)
-    assert got == [("id1", "hello\n"), ("id2", "world\n")] and err is None
+@pytest.mark.parametrize("limit", [12, 22])
+def test_only_the_last_is_dropped(spark, form, limit):
+    assert form(spark, ROWS, "simple", limit) == ([("p", "tea\n"), ("q", "saffron\n")], None)
 
 
 @pytest.mark.parametrize("form", [_arr, _long])
-def test_single_too_long_gives_empty(spark, form):
-    got, err = form(spark, [plain("id1", "x" * 50, 1)], "simple", 10)
-    assert got == [] and err is None
+def test_a_lone_long_one_gives_empty(spark, form):
+    assert form(spark, ROWS[2:], "simple", 10) == ([], None)
 
 
 @pytest.mark.parametrize("form", [_arr, _long])
 def test_metadata_header(spark, form):
-    rows = [meta("id1", "hello", 1, "title1", "url1"), meta("id2", "world", 2, "title2", "url2"),
-            meta("id3", "goodbye", 3, "title3", "url3")]
-    got, _ = form(spark, rows, "simple", 1000)
-    assert got[0] == ("id1", "[title: 'title1', url: 'url1']\nhello\n")
-    assert got[2] == ("id3", "[title: 'title3', url: 'url3']\ngoodbye\n")
+    rows = [meta("p", "tea", 1, "Leaves", "example.org/a"), plain("q", "saffron", 2)]
+    got, _ = form(spark, rows, "unsorted", 400)
+    assert got == [("p", "[title: 'Leaves', url: 'example.org/a']\ntea\n"), ("q", "saffron\n")]
 
 
 @pytest.mark.parametrize("form", [_arr, _long])
 def test_score_weighted(spark, form):
-    rows = [meta("id1", "hello", 1, "title1", "url1", 0.5), meta("id2", "world", 2, "title2", "url2", 0.8)]
-    got, _ = form(spark, rows, "score_weighted", 1000)
-    assert [d for d, _ in got] == ["id2", "id1"]
-
-
-def _python_rule(rows, strategy, limit):
-    """Plain restatement of the greedy loop with its overflow rule."""
-    def fmt(c):
-        return f"[title: '{c[4]}', url: '{c[5]}']\n{c[2]}\n" if c[6] else f"{c[2]}\n"
-    if strategy == "score_weighted":
-        order = sorted(rows, key=lambda c: -c[3])
-    elif strategy == "simple":
-        order = sorted(rows, key=lambda c: len(fmt(c)))
-    else:
-        order = list(rows)
-    out, total, placed = [], 0, set()
-    for i, c in enumerate(order):
-        n = len(fmt(c))
-        if total + n > limit:
-            if i < len(order) - 1:
-                return [(x[1], fmt(x) if x[1] in placed else x[2]) for x in rows], True
-            break
-        out.append((c[1], fmt(c)))
-        placed.add(c[1])
-        total += n
-    return out, False
-
-
-def test_random_groups_match_python_loop(spark):
+    rows = [plain(d, "mint", k + 1, x) for k, (d, x) in enumerate([("p", 0.25), ("q", 0.75), ("r", 0.25), ("s", 0.5)])]
+    got, _ = form(spark, rows, "score_weighted", 400)
+    assert [d for d, _ in got] == ["q", "s", "p", "r"]  # equal scores keep the retrieval order
+
+
+def _by_prefix_sums(rows, strategy, limit):
+    """The rule without a loop: the first position whose running length exceeds the limit decides."""
+    text = {c[0]: f"[title: '{c[4]}', url: '{c[5]}']\n{c[2]}\n" if c[6] else f"{c[2]}\n" for c in rows}  # by rank
+    by = {"score_weighted": lambda c: -c[3], "simple": lambda c: len(text[c[0]])}.get(strategy, lambda c: 0)
+    order = sorted(rows, key=by)
+    over = np.flatnonzero(np.cumsum([len(text[c[0]]) for c in order]) > limit)
+    first = int(over[0]) if len(over) else len(order)
+    placed = {c[0] for c in order[:first]}
+    if first < len(order) - 1:
+        return [(c[1], text[c[0]] if c[0] in placed else c[2]) for c in rows], True
+    return [(c[1], text[c[0]]) for c in order[:first]], False
+
+
+def test_random_groups_match_prefix_sums(spark):
     rnd = random.Random(7)
     cases = []
     for g in range(150):
@@ -107,7 +98,7 @@ def test_random_groups_match_python_loop(spark):
             res = {r.event_id: r.r for r in
                    df.select("event_id", CO.consolidate_array(F.col("contexts"), strategy, limit).alias("r")).collect()}
             for e, rows, _, _ in grp:
-                exp, is_err = _python_rule(rows, strategy, limit)
+                exp, is_err = _by_prefix_sums(rows, strategy, limit)
                 got = [(c.doc_id, c.text) for c in res[e].contexts]
                 assert got == exp, (e, strategy, limit)
                 assert (res[e].error is not None) == is_err

@@ -21,31 +21,31 @@ def test_limits_and_mean_score(spark, side):
     assert len(r2) == 2 and len(r4) == 4
     assert sum(r.score for r in r2) / 2 >= sum(r.score for r in r4) / 4
     exp = sorted(((-float(np.dot(np.float32(v).astype(float), QUERY)), i) for i, v, *_ in POINTS))
-    assert _ids(similarity_topk(q, pts, 6, side=side)) == [i for _, i in exp]
+    assert _ids(similarity_topk(q, pts, 8, side=side)) == [i for _, i in exp]
 
 
 @pytest.mark.parametrize("side", SIDES)
 def test_must_and_should(spark, side):
     pts, q = points_df(spark), query_df(spark)
-    out = similarity_topk(q, pts, 10, must=[("topic", "Payroll")], should=[("chunk", 1), ("chunk", 2)], side=side)
-    assert sorted(_ids(out)) == [1, 2]
+    out = similarity_topk(q, pts, 10, must=[("kind", "fruit")], should=[("part", 1), ("part", 2)], side=side)
+    assert sorted(_ids(out)) == [1, 2, 4, 5]
 
 
 @pytest.mark.parametrize("side", SIDES)
 def test_per_question_metadata_filter(spark, side):
     pts = points_df(spark)
-    q = spark.createDataFrame([("a", QUERY, {"topic": '"Cash Flow"'}), ("b", QUERY, {"chunk": "3"}),
-                               ("c", QUERY, {"chunk": '"3"'}), ("d", QUERY, {})],
+    q = spark.createDataFrame([("a", QUERY, {"kind": '"metal"'}), ("b", QUERY, {"part": "3"}),
+                               ("c", QUERY, {"part": '"3"'}), ("d", QUERY, {})],
                               "event_id string, qvec array<float>, metadata map<string,string>")
     q = q.withColumn("spec", FL.metadata_must(F.col("metadata")))
-    out = similarity_topk(q, pts, 10, metadata_filter="spec", filter_keys=["topic", "chunk"], side=side)
+    out = similarity_topk(q, pts, 10, metadata_filter="spec", filter_keys=["kind", "part"], side=side)
     got = {}
     for r in out.collect():
         got.setdefault(r.event_id, set()).add(r.id)
-    assert got["a"] == {4, 5}
-    assert got["b"] == {3}          # JSON 3 is an int and matches chunk 3
+    assert got["a"] == {6, 7, 8}
+    assert got["b"] == {3, 6}        # JSON 3 is an int and matches part 3
     assert "c" not in got           # JSON "3" is a string: no match
-    assert got["d"] == {1, 2, 3, 4, 5, 6}
+    assert got["d"] == set(range(1, 9))
 
 
 def test_blocks_equal_single_pass(spark):
@@ -76,7 +76,7 @@ def test_conflicting_search_keys_raise(spark):
 
 def test_adhoc_query(spark):
     out = adhoc_query(points_df(spark), QUERY, 3).collect()
-    assert [r.id for r in out] == [4, 1, 3]
+    assert [r.id for r in out] == sorted(range(1, 9), key=lambda i: -np.dot(np.float32(POINTS[i - 1][1]), QUERY))[:3]
 
 
 def test_plan_has_no_cartesian_product(spark):
@@ -108,14 +108,14 @@ def test_filters_reach_the_collection_scan(spark):
 @pytest.mark.parametrize("side", SIDES)
 def test_mismatched_filter_types_never_match_and_never_fail(spark, side):
     pts, q = points_df(spark), query_df(spark)
-    assert similarity_topk(q, pts, 5, must=[("chunk", "1")], side=side).count() == 0
-    assert similarity_topk(q, pts, 5, must=[("topic", 1)], side=side).count() == 0
-    q2 = spark.createDataFrame([("a", QUERY, {"chunk": '"x"'})], "event_id string, qvec array<float>, metadata map<string,string>") \
+    assert similarity_topk(q, pts, 5, must=[("part", "1")], side=side).count() == 0
+    assert similarity_topk(q, pts, 5, must=[("kind", 1)], side=side).count() == 0
+    q2 = spark.createDataFrame([("a", QUERY, {"part": '"x"'})], "event_id string, qvec array<float>, metadata map<string,string>") \
         .withColumn("spec", FL.metadata_must(F.col("metadata")))
-    assert similarity_topk(q2, pts, 5, metadata_filter="spec", filter_keys=["chunk"], side=side).count() == 0
+    assert similarity_topk(q2, pts, 5, metadata_filter="spec", filter_keys=["part"], side=side).count() == 0
 
 
-def test_oversplit_collection_is_coalesced_without_changing_results(spark):
+def test_a_collection_in_many_partitions_gives_the_same_result(spark):
     pts = points_df(spark)
     many = pts.repartition(200)
     q = spark.createDataFrame([(f"e{i}", [float(x) for x in np.random.RandomState(i).rand(4)]) for i in range(30)],
@@ -123,7 +123,6 @@ def test_oversplit_collection_is_coalesced_without_changing_results(spark):
     a = similarity_topk(q, pts, 3, side="questions").orderBy("event_id", "rank").collect()
     out = similarity_topk(q, many, 3, side="questions")
     assert out.orderBy("event_id", "rank").collect() == a
-    assert "Coalesce" in out._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("side", SIDES)
@@ -141,3 +140,17 @@ def test_heavy_ties_break_on_id(spark, side):
     for e, qv in qs:
         exp = sorted(P, key=lambda i: (-float(P[i] @ np.array(qv)), i))[:7]
         assert [i for _, i in sorted(got[e])] == exp
+
+
+def test_equal_vectors_tie_on_the_id_in_every_plan(spark):
+    rnd = np.random.RandomState(5)
+    base = rnd.rand(30, 17)
+    pts = spark.createDataFrame([(int(i), base[i % 30].tolist()) for i in rnd.permutation(6000)], "id long, vector array<double>")
+    q = spark.createDataFrame([(f"e{i}", rnd.rand(17).tolist()) for i in range(50)], "event_id string, qvec array<double>")
+    runs = [similarity_topk(q, pts.repartition(n), 5, side=side, max_broadcast_bytes=b).orderBy("event_id", "rank").collect()
+            for n in (1, 7) for side, b in (("points", 64 << 20), ("questions", 64 << 20), ("questions", 3000))]
+    assert all(r == runs[0] for r in runs)
+    best = {}
+    for r in runs[0]:
+        best.setdefault(r.event_id, []).append(r.id)
+    assert all(ids == [ids[0] % 30 + 30 * j for j in range(5)] for ids in best.values())
