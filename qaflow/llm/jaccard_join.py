@@ -194,10 +194,12 @@ def _described(docs: DataFrame, sketch, frequent: int, width: int) -> DataFrame:
                 own = None
                 if d is not None and k is not None and k not in seen:
                     seen.add(k)
-                    held.append((d, len(s), signatures(s, counts, frequent)))
-                    total += len(held[-1][2])
-                    pairs = int((held[-1][2] & ODD).sum())
-                    own = len(held[-1][2]) - pairs if pairs else 0
+                    sigs = signatures(s, counts, frequent)
+                    if len(sigs):  # one token has none: only equal sets, found by their key, are linked with it
+                        held.append((d, len(s), sigs))
+                    total += len(sigs)
+                    pairs = int((sigs & ODD).sum())
+                    own = len(sigs) - pairs if pairs else 0
                 rare.append(own)
                 bits.append(None if own is None else parities(s))
             yield pa.RecordBatch.from_arrays(

@@ -128,6 +128,14 @@ def test_jaccard_edges(docs, texts):
     assert sorted(map(tuple, jaccard_join.similar_groups(docs).collect()), key=key) == sorted(want, key=key)
 
 
+def test_jaccard_short_texts_only(spark):
+    rows = [(5, "two words"), (2, "Two  words"), (3, "other"), (4, "")]
+    for part in (rows[:1], rows):
+        docs = spark.createDataFrame(part, "doc_id bigint, text string").coalesce(1)
+        want = [(5, 1, 5)] if len(part) == 1 else [(2, 1, 2), (3, 1, 3), (4, 0, 4), (5, 1, 2)]
+        assert sorted(map(tuple, jaccard_join.similar_groups(docs).collect())) == want
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     sketch = np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint32)
