@@ -136,6 +136,23 @@ def test_jaccard_short_texts_only(spark):
         assert sorted(map(tuple, jaccard_join.similar_groups(docs).collect())) == want
 
 
+def test_jaccard_rows_without_ids_and_repeated_rows(spark):
+    a = [f"a{i}" for i in range(60)]
+    near, far = " ".join([*a, "x"]), " ".join([*a, "x", *(f"y{i}" for i in range(14))])
+    other, again = " ".join(f"o{i}" for i in range(30)), " ".join(f"p{i}" for i in range(30))
+    # 7 and 4 are linked through a row without an id only; 9 has two texts that have nothing in common
+    rows = [(7, " ".join(a)), (None, near), (4, far), (9, other), (9, again), (None, " ".join(f"n{i}" for i in range(40))), (8, ""), (None, None)]
+    rows.append((None, rows[5][1] + " end"))
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows * 2)], "doc_id bigint, text string, rid int").repartition(4)
+    got = sorted(map(tuple, jaccard_join.similar_groups(docs).collect()), key=key)
+    want = [(7, 56, 4), (None, 57, 4), (4, 71, 4), (9, 26, 9), (9, 26, 9), (None, 36, None), (8, 0, 8), (None, 0, None), (None, 37, None)] * 2
+    assert got == sorted(want, key=key)
+    kept = jaccard_join.one_of_each(docs)
+    kept_rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and sorted(d for d, t in kept_rows if d is not None) == [4, 8, 9, 9]
+    assert sum(d is None and t is not None for d, t in kept_rows) == 1 and sum(t is None for _, t in kept_rows) == 2
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     sketch = np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint32)
