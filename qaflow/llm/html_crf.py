@@ -11,7 +11,8 @@ and at most ``SAMPLE`` real pages (smallest id hash) in which an ``article`` ele
 article inside it, unless an ancestor is one of ``ASIDE``. Training sees no label at extraction time.
 
 Defined cases: a null, empty or text-free html gives an empty text; broken markup is read as browsers would roughly do
-(unknown end tags are ignored, open elements end with their parent, a cut-off tag is text-free); repeated rows give
+(unknown end tags are ignored, open elements end with their parent, controls and objects also where a section starts,
+a cut-off tag is text-free); repeated rows give
 equal rows; null ids and urls are passed through; empty tables give empty results; other columns are dropped. Work is
 linear in the page, whatever its length.
 """
@@ -31,15 +32,20 @@ from pyspark.sql import functions as F
 from .common import or_empty, small_batches
 
 SAMPLE, MADE, EPOCHS, RATE, SEED = 200, 500, 6, 0.1, 7
-SKIP = "script|style|noscript|template|svg|iframe|object|textarea|select|option|button"
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<({SKIP})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S | re.I)
+#: Their content is no markup: all up to the end tag is skipped, but a self-closed tag skips only itself.
+RAW = "script|style|textarea"
+#: Their text is left out until they or their parent end.
+HIDDEN = frozenset("noscript template svg iframe object select option button".split())
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<({RAW})(?:/>|(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=[\s\"']/)>|(?<![\s\"']/)>.*?(?:</\1(?=[\s/>])[^>]*(?:>|$)|$)))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del br input".split())
 #: A start tag ends an open element of these names (up to the nearest list, table or other container).
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
-CLOSES |= dict.fromkeys("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split(), ("p",))
-WALLS = frozenset("article aside blockquote body dl div footer form header html main nav ol section table ul td th".split())
+CLOSES["p"] = ("svg", "p")
+CLOSES |= dict.fromkeys("address blockquote div dl fieldset figure form h1 h2 h3 h4 h5 h6 hr ol pre table ul".split(), ("svg", "p"))
+CLOSES |= dict.fromkeys("article aside footer header main nav section".split(), ("svg", "option", "select", "button", "object", "p"))  # none of these holds a section
+WALLS = frozenset("article aside blockquote body dl div footer foreignobject form header html main nav ol section table template ul td th".split())
 ASIDE = frozenset(
     "nav menu navbar header footer aside sidebar form ad ads advert advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search "
     "comment comments respond reply discussion disqus reactions related recommended share sharing social breadcrumb breadcrumbs pagination pager widget toolbar copyright legal disclaimer".split()
@@ -62,10 +68,13 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
     out: list[Block] = []
     now: Block | None = None
     links = 0
+    hidden = 0  # depth of the outermost hidden element
     at = 0
 
     def add(piece: str) -> None:
         nonlocal now
+        if hidden:
+            return
         if now is None:
             if not piece.strip():
                 return
@@ -83,24 +92,29 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "br" and now is not None:
+        if tag == "br" and now is not None and not hidden:
             now.parts.append(" ")
-        if tag not in INLINE:
-            now = None
+        was = hidden
         if m[2]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or tag in INLINE and stack[i][0] in WALLS), None)
             if depth is not None and stack[depth][0] == tag:
                 del stack[depth:]
+                hidden = hidden if len(stack) >= hidden else 0
         elif tag not in VOID:
             for name in CLOSES.get(tag, ()):
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in WALLS), None)
+                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in WALLS or name == "p" and stack[i][0] in HIDDEN), None)
                 if depth is not None and stack[depth][0] == name:
                     del stack[depth:]
+                    hidden = hidden if len(stack) >= hidden else 0
             if not m[4].endswith("/"):
                 words: tuple[str, ...] = ()
                 if "=" in m[4]:
                     words = tuple(w for a in ATTRIBUTE.finditer(m[4]) for w in re.findall(r"[a-z]+", (a[2] or a[3] or a[4] or "").lower()))
                 stack.append((tag, words))
+                if not hidden and tag in HIDDEN:
+                    hidden = len(stack)
+        if tag not in INLINE and tag not in HIDDEN and not (was and hidden):
+            now = None
         links = any(t == "a" for t, _ in stack) if tag == "a" or links else 0
     if at < len(page):
         add(page[at:])

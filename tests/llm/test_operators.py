@@ -247,6 +247,18 @@ def test_html_blocks_and_field(spark):
     assert html_crf.extract(pages.limit(0), field).count() == 0
 
 
+def test_html_hidden_elements_end():
+    article = "<article><p>One two.</p><p>Three.</p></article>"
+    for before in ('<svg class="i"/>', "<svg/>", "<svg-icon name=x></svg-icon>", "<button-group></button-group>", "<select-box>", "<div><button>Menu</div>", "<button>Menu", "<object data=x>old",
+                   "<select><option>a<option>b</select>", "<select><option>a", "<div><template><p>no</div>", "<div><iframe src=x></div>", '<iframe src="x"/>', '<script src="x"/>', "<svg><title>no</title>",
+                   "<svg><g><p></p></svg>", "<noscript><img src=x></noscript>", "<style>p{}</style >", "<textarea><p>no</textarea>", "<scripted></scripted>", "<svg><foreignObject><div>no</div></foreignObject></svg>"):
+        for page in (f"<body>{before}{article}</body>", f"<body><header>{before}</header>{article}</body>"):
+            assert [b[1] for b in html_crf.blocks(page)] == ["One two.", "Three."], page
+    assert [b[1] for b in html_crf.blocks("<p>a <button><b>x</b><p>y</button>b<svg><path/><a>z</a></svg> c</p>d")] == ["a b c", "d"]
+    assert [b[1] for b in html_crf.blocks("<p>a <button><b>x</b></button>b<svg><path/><a>z</a></svg> c</p><script>x</script>d")] == ["a b c", "d"]
+    assert [b[1] for b in html_crf.blocks("<p>a</p><script>var b = '<p>c'")] == ["a"]
+
+
 def test_bitmaps_never_rule_out_a_linked_pair():
     rng = np.random.default_rng(5)
     for _ in range(300):
