@@ -5,11 +5,15 @@ fixed depth: token count, then the first ``DEPTH`` tokens; a leaf holds the line
 leaf a position is constant for a line if its token stands there in at least ``min_docs`` lines, else it is a
 variable field. Lines with the same constants have one template. A template is *recurring* if at least
 ``similarity`` of its positions are constant and its lines come from ``min_docs`` or more documents; its lines are
-dropped from every document but the first (smallest ``doc_id``, then text hash), so no content is lost.
+dropped from every document but the first (smallest ``doc_id``, then text hash).
 
 Leaves below ``min_docs`` lines are left aside before any token is looked at, equal lines are counted once, tokens
 travel as 64-bit hashes, and templates are combined by aggregates, never collected.
 
+:func:`drop_lines` follows the SQL, where ``<*>`` counts as a constant: lines of figures only share one template, so
+lines of other contents go too. :func:`without_repeated_lines`, the stage of the pipeline, counts literal tokens only
+(``literal``); lines with fewer of them are dropped only if they are equal, digits and all.
+
 Defined cases: a null text stays null (no lines); blank lines and lines below ``MIN_TOKENS`` tokens stay; documents
 are told apart by ``doc_id`` and text, so repeated rows count as one document and are treated alike; a null ``doc_id``
 sorts first; empty tables give empty results; other columns are kept as they are, ``n_chars`` follows the text.
@@ -36,31 +40,52 @@ def _lines(docs: DataFrame) -> DataFrame:
     return d.filter(F.col("n") >= MIN_TOKENS).select("doc_id", "th", "pos", "norm", "n", F.xxhash64("n", F.substring_index("norm", " ", DEPTH)).alias("leaf"))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def _equal(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, pos, template`` of every line of ``MIN_TOKENS`` or more tokens; equal lines (but for the blanks) have one template."""
+    text = F.regexp_replace("text", r"[ \t\x0B\f\r]+", " ")
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.transform(F.split(text, "\n"), F.trim)).alias("pos", "line"))
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    return d.filter(n >= MIN_TOKENS).select("doc_id", "th", "pos", F.xxhash64("line").alias("template"))
+
+
+def _later(placed: DataFrame, min_docs: int) -> DataFrame:
+    """``doc_id, th, pos`` of the lines whose template is in ``min_docs`` documents, in all but the first of these."""
+    seen = placed.groupBy("template", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
+    recurring = seen.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "th")).alias("first")).filter(F.col("docs") >= min_docs)
+    later = ~F.struct("doc_id", "th").eqNullSafe(F.col("first"))
+    return placed.join(recurring, "template").filter(later).select("doc_id", "th", "pos")
+
+
+def _counts(token, literal: bool):
+    """Whether a constant token counts towards the similarity."""
+    return token != "<*>" if literal else F.lit(True)
+
+
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, literal: bool = False) -> DataFrame:
     """``doc_id, th, positions``: the lines to drop of each document that has some (0-based, no repeats)."""
     lines = _lines(docs)
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_docs).select("leaf")
     held = saved(lines.join(leaves, "leaf", "left_semi").withColumn("h", F.xxhash64("norm")), "template-lines")
     equal = held.groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("c"), F.min("norm").alias("norm"))
     tokens = equal.select("leaf", "h", "c", F.posexplode(F.slice(F.split("norm", " "), F.lit(DEPTH + 1), F.lit(1 << 30))).alias("at", "token"))
-    tokens = tokens.select("leaf", "h", "c", F.xxhash64("leaf", "at", "token").alias("field"))
+    tokens = tokens.select("leaf", "h", "c", F.xxhash64("leaf", "at", "token").alias("field"), _counts(F.col("token"), literal).alias("counts"))
     constant = tokens.groupBy("field").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_docs).select("field")
     # what is not constant adds nothing to the template
-    kept = tokens.join(constant, "field").groupBy("leaf", "h").agg(F.bit_xor(F.xxhash64("field")).alias("x"), F.count(F.lit(1)).alias("k"))
-    sizes = held.select("leaf", "h", "n", "doc_id", "th", "pos").join(kept, ["leaf", "h"], "left")
-    enough = F.coalesce("k", F.lit(0)) + F.least("n", F.lit(DEPTH)) >= F.col("n") * similarity
+    kept = tokens.join(constant, "field").groupBy("leaf", "h").agg(F.bit_xor(F.xxhash64("field")).alias("x"), F.count(F.when(F.col("counts"), 1)).alias("k"))
+    lead = F.size(F.filter(F.split(F.substring_index("norm", " ", DEPTH), " "), lambda t: _counts(t, literal))) if literal else F.least("n", F.lit(DEPTH))
+    sizes = held.select("leaf", "h", "n", "doc_id", "th", "pos", lead.alias("lead")).join(kept, ["leaf", "h"], "left")
+    enough = F.coalesce("k", F.lit(0)) + F.col("lead") >= F.col("n") * similarity
     placed = sizes.filter(enough).select("doc_id", "th", "pos", F.xxhash64("leaf", F.coalesce("x", F.lit(0))).alias("template"))
     placed = saved(placed, "placed-lines")
-    seen = placed.groupBy("template", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
-    recurring = seen.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "th")).alias("first")).filter(F.col("docs") >= min_docs)
-    later = ~F.struct("doc_id", "th").eqNullSafe(F.col("first"))
-    out = placed.join(recurring, "template").filter(later)
+    out = _later(placed, min_docs)
+    if literal:
+        out = out.unionByName(_later(saved(_equal(docs), "equal-lines"), min_docs))
     return out.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("positions"))
 
 
-def _after(docs: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+def _after(docs: DataFrame, min_docs: int, similarity: float, literal: bool = False) -> DataFrame:
     """``docs`` with ``_lines``, ``_gone`` (positions, or null) and ``_new`` (the text after the drop)."""
-    gone = dropped_lines(docs, min_docs, similarity).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("positions").alias("_gone"))
+    gone = dropped_lines(docs, min_docs, similarity, literal).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("positions").alias("_gone"))
     marked = docs.withColumn("_text_hash", F.xxhash64("text"))
     both = marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_text_hash"] == gone["_th"]), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
@@ -78,7 +103,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SI
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with shortened texts (``n_chars`` follows); a document that loses all it has goes."""
-    out = _after(docs, min_docs, similarity).filter(F.col("_gone").isNull() | (F.trim("_new") != ""))
+    out = _after(docs, min_docs, similarity, literal=True).filter(F.col("_gone").isNull() | (F.trim("_new") != ""))
     length = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_new")) if "n_chars" in docs.columns else None
     return out.select(*[F.col("_new").alias(c) if c == "text" else length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

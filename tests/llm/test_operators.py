@@ -110,6 +110,14 @@ def test_line_templates_edges(docs):
     assert kept.columns == docs.columns and line_templates.drop_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_figures_stay(spark):
+    rows = [(i, f"{i} 30 45 6\n2021-01-0{i} 00:1{i} 41 {i}7 x\nsame 2021 07 line\nvalue {i} of the day\nshare this page  now") for i in range(1, 5)]
+    rows += [(i, f"{i} {i * 7} 0.{i}") for i in range(5, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_repeated_lines(docs).collect()}
+    assert got == {1: rows[0][1]} | {i: "\n".join(t.split("\n")[:2]) if i < 5 else t for i, t in rows[1:]}
+
+
 def test_jaccard_edges(docs, texts):
     sets = []
     for _, t in texts:
