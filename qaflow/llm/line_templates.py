@@ -12,7 +12,8 @@ travel as 64-bit hashes, and templates are combined by aggregates, never collect
 
 :func:`drop_lines` follows the SQL, where ``<*>`` counts as a constant: lines of figures only share one template, so
 lines of other contents go too. :func:`without_repeated_lines`, the stage of the pipeline, counts literal tokens only
-(``literal``); lines with fewer of them are dropped only if they are equal, digits and all.
+(``literal``); lines with fewer of them, and long lines without blanks, are dropped only if they are equal, digits and
+all.
 
 Defined cases: a null text stays null (no lines); blank lines and lines below ``MIN_TOKENS`` tokens stay; documents
 are told apart by ``doc_id`` and text, so repeated rows count as one document and are treated alike; a null ``doc_id``
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 3, 3, 0.8
+SOLID_CHARS = 16  # a line without blanks (Chinese, Japanese) counts as MIN_TOKENS tokens from so many characters on
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,11 +43,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _equal(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, pos, template`` of every line of ``MIN_TOKENS`` or more tokens; equal lines (but for the blanks) have one template."""
+    """``doc_id, th, pos, template`` of every line of ``MIN_TOKENS`` tokens or ``SOLID_CHARS`` characters without a blank; equal lines (but for the blanks) have one template."""
     text = F.regexp_replace("text", r"[ \t\x0B\f\r]+", " ")
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.transform(F.split(text, "\n"), F.trim)).alias("pos", "line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return d.filter(n >= MIN_TOKENS).select("doc_id", "th", "pos", F.xxhash64("line").alias("template"))
+    return d.filter((n >= MIN_TOKENS) | (n == 1) & (F.length("line") >= SOLID_CHARS)).select("doc_id", "th", "pos", F.xxhash64("line").alias("template"))
 
 
 def _later(placed: DataFrame, min_docs: int) -> DataFrame:

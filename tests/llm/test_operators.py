@@ -118,6 +118,13 @@ def test_lines_of_figures_stay(spark):
     assert got == {1: rows[0][1]} | {i: "\n".join(t.split("\n")[:2]) if i < 5 else t for i, t in rows[1:]}
 
 
+def test_long_lines_without_blanks_are_dropped(spark):
+    line = "このページをあなたの友達と共有してください。"
+    docs = spark.createDataFrame([(i, f"Les.\n{line}\n{i} {chr(97 + i) * 20}") for i in range(1, 5)], "doc_id bigint, text string")
+    got = {r.doc_id: line in r.text for r in line_templates.without_repeated_lines(docs).collect() if "Les." in r.text}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+
+
 def test_jaccard_edges(docs, texts):
     sets = []
     for _, t in texts:
