@@ -192,6 +192,28 @@ def test_simhash_edges(docs, texts):
     assert simhash.compare(docs.limit(0)).count() == 0
 
 
+def test_simhash_columns(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    rows = {i: " ".join(rng.choices(words, k=rng.randint(1, 80))) for i in range(0, 160, 10)}
+    rows |= {3: rows[50], 104: rows[100] + " w1", 7: ""}
+    ids = sorted(rows)
+    follows = {i: rows[ids[(k + 1) % len(ids)]] for k, i in enumerate(ids)}
+    edited = {i: t[: len(t) - len(t) // 2] + follows[i][: len(t) // 2] for i, t in rows.items()}
+    make = lambda texts: {r.doc_id: r for r in simhash.compare(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    got, again = make(rows), make(edited)
+    fp = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    differ = lambda a, b: (a ^ b).bit_count()
+    for k, i in enumerate(ids):
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(rows[i]), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert r.edited_fingerprint == again[i].fingerprint
+        assert r.near_edited == 1 - differ(fp[i], int(r.edited_fingerprint, 16)) / 64
+        assert r.near_next == 1 - differ(fp[i], fp[ids[(k + 1) % len(ids)]]) / 64
+        assert r.n_near == (sum(differ(fp[i], f) <= 3 for f in fp.values()) - 1 if i % 50 == 0 else None)
+    assert got[50].n_near >= 1
+
+
 def test_simhash_search_is_exact(spark):
     rng = random.Random(2)
     fps = [rng.getrandbits(63) for _ in range(60)]
