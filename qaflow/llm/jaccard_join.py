@@ -299,12 +299,12 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
 def _stars(apart: DataFrame, degree: DataFrame | None) -> DataFrame:
     """``a, b``: each document and the pivot of another component that it shares most signatures with.
 
-    The pivot of a signature is its document with most links so far, the smallest node among equals."""
+    The pivot of a signature is its document with most links so far, the smallest id among equals: an original mostly comes before its copies."""
     placed = apart.withColumn("deg", F.lit(0)) if degree is None else apart.join(degree, "doc", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-    pivots = placed.groupBy("sig").agg(F.max(F.struct("deg", F.bitwise_not("doc").alias("minus"), "n", "most", "comp")).alias("p"))
+    pivots = placed.groupBy("sig").agg(F.max(F.struct("deg", F.bitwise_not("id").alias("first"), F.bitwise_not("doc").alias("minus"), "n", "most", "comp")).alias("p"))
     tried = apart.join(pivots, "sig").filter(F.col("comp") != F.col("p.comp")).filter(_possible("n", "most", "p.n", "p.most"))
-    tried = tried.groupBy(F.col("doc").alias("a"), F.bitwise_not("p.minus").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    best = tried.groupBy("a").agg(F.max(F.struct("c", F.bitwise_not("b").alias("minus"))).alias("m"))
+    tried = tried.groupBy(F.col("doc").alias("a"), F.bitwise_not("p.minus").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("p.first").alias("first"))
+    best = tried.groupBy("a").agg(F.max(F.struct("c", "first", F.bitwise_not("b").alias("minus"))).alias("m"))
     return best.select("a", F.bitwise_not("m.minus").alias("b"))
 
 
@@ -322,9 +322,9 @@ def _groups(docs: DataFrame, width: int) -> DataFrame:
     shared = saved(shared, "shared-signatures")
     # signatures of single tokens less those that another document has too: tokens that no other holder of pairs shares
     common = shared.groupBy("doc").agg(F.count(F.when(F.col("sig") % 2 == 0, 1)).alias("common"))
-    own = rows.filter("rare IS NOT NULL").groupBy(F.col("node").alias("doc")).agg(F.min("rare").alias("rare"))
-    most = common.join(own, "doc").select("doc", F.greatest(F.lit(0), F.col("rare") - F.col("common")).alias("lone"))
-    shared = saved(shared.join(most, "doc").withColumn("most", F.col("n") - F.col("lone")).select("sig", "doc", "n", "most"), "shared-sized")
+    own = rows.filter("rare IS NOT NULL").groupBy(F.col("node").alias("doc")).agg(F.min("rare").alias("rare"), F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("id"))
+    most = common.join(own, "doc").select("doc", "id", F.greatest(F.lit(0), F.col("rare") - F.col("common")).alias("lone"))
+    shared = saved(shared.join(most, "doc").withColumn("most", F.col("n") - F.col("lone")).select("sig", "doc", "n", "most", "id"), "shared-sized")
     # equal sets: the holders of one key, a task each
     holders = rows.filter("rare IS NOT NULL").select(F.col("node").alias("a"), "key")
     firsts = holders.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("last")).filter("b <> last").select("key", "b")
