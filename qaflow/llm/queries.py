@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, decontaminate, html_crf, huffman_tokens, jaccard_join, kd_shards, line_templates, simhash, toxicity, warc
+from . import bpe_tree, decontaminate, html_crf, huffman_tokens, jaccard_join, kd_shards, line_templates, simhash, toxicity, warc, whitening
 from .common import table
 
 
@@ -53,8 +53,13 @@ def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 Q = {
     f.__name__: f
-    for f in (op1_line_templates, op2_huffman_tokens, op3_decontaminate, op4_warc, op5_kd_shards, op6_jaccard_join, op7_bpe_tree, op8_simhash, op9_toxicity, op10_html_crf)
+    for f in (op1_line_templates, op2_huffman_tokens, op3_decontaminate, op4_warc, op5_kd_shards, op6_jaccard_join, op7_bpe_tree, op8_simhash, op9_toxicity, op10_html_crf, op11_whitening)
 }
 ORACLES = {"op1_line_templates": line_templates.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op6_jaccard_join": jaccard_join.ORACLE}
