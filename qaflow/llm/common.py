@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +49,15 @@ def or_empty(col: str = "text"):
 def ascii_lower(col):
     """A-Z only, as the contracts of the word operators ask."""
     return F.translate(col, UPPER, LOWER)
+
+
+def byte_slices(batch: pa.RecordBatch, col: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in order, in slices of about ``limit`` bytes of one column, so that what is made of them stays small however long the texts are."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        stop = min(stop, at + 10_000)
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, decontaminate, html_crf, huffman_tokens, jaccard_join, kd_shards, line_templates, simhash, toxicity, warc, whitening
+from . import bpe_tree, decontaminate, html_crf, huffman_tokens, jaccard_join, kd_shards, line_templates, phrases, simhash, superminhash, toxicity, warc, whitening
 from .common import table
 
 
@@ -58,8 +58,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.col("deviation").cast("bigint"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 Q = {
     f.__name__: f
-    for f in (op1_line_templates, op2_huffman_tokens, op3_decontaminate, op4_warc, op5_kd_shards, op6_jaccard_join, op7_bpe_tree, op8_simhash, op9_toxicity, op10_html_crf, op11_whitening)
+    for f in (op1_line_templates, op2_huffman_tokens, op3_decontaminate, op4_warc, op5_kd_shards, op6_jaccard_join, op7_bpe_tree, op8_simhash, op9_toxicity, op10_html_crf, op11_whitening, op12_phrases, op13_superminhash)
 }
-ORACLES = {"op1_line_templates": line_templates.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op6_jaccard_join": jaccard_join.ORACLE}
+ORACLES = {"op1_line_templates": line_templates.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op6_jaccard_join": jaccard_join.ORACLE, "op12_phrases": phrases.ORACLE, "op13_superminhash": superminhash.ORACLE}
