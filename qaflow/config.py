@@ -11,6 +11,8 @@ from . import constants as K
 class RedactionConfig:
     # kind of private information -> replacement token; None models a missing map
     redaction_map: dict | None = field(default_factory=lambda: dict(K.REDACTION_TOKENS))
+    # further kinds: kind -> pattern that finds it; each needs a token in the map
+    patterns: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -21,8 +23,10 @@ class RetrievalConfig:
     search_params: dict = field(default_factory=dict)
     # static filters applied to every question: {"must": [(key, value)], "should": [...]}
     search_filters: dict = field(default_factory=dict)
-    # bytes allowed for the broadcast side of the similarity join
+    # bytes of hits that are broadcast to fetch their texts
     max_broadcast_bytes: int = 64 << 20
+    # bytes of vectors on either side of a cell of the similarity join
+    block_bytes: int = 8 << 20
     metric: str = "dot"
 
 

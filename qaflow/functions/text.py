@@ -33,6 +33,9 @@ def redact(text: Column, redaction_map: dict | None, patterns: dict[str, str] |
     for kind in patterns:
         if not isinstance((redaction_map or {}).get(kind), str):
             raise SecurityServiceError(f"redaction map lacks a token for {kind!r}")
+    for kind in redaction_map:
+        if kind not in patterns and kind not in K.REDACTION_TOKENS:  # the shipped kinds have tokens, not all of them a matcher
+            raise SecurityServiceError(f"no pattern finds {kind!r}, which has a token")
     out = text
     for kind, pattern in patterns.items():
         out = F.regexp_replace(out, "(?U)" + pattern, _java_replacement(redaction_map[kind]))

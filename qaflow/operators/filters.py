@@ -85,6 +85,69 @@ def spec_items(spec_json: str | None) -> tuple:
     return tuple((k, d[k] if isinstance(d[k], (str, int, float, bool)) else None) for k in sorted(d))
 
 
+def canonical(value: Column, data_type: T.DataType) -> Column:
+    """A column's values as text that is equal for equal values; null for types that no literal matches."""
+    if isinstance(data_type, T.StringType):
+        return value
+    if isinstance(data_type, T.BooleanType):
+        return value.cast("string")
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(value), (value + F.lit(0).cast(data_type)).cast("string"))
+    if isinstance(data_type, _NUMERIC):
+        return value.try_cast("decimal(38,18)").cast("string")
+    return F.lit(None).cast("string")
+
+
+def restored(text: str, data_type: T.DataType) -> Column:
+    """A canonical value as a constant of the column's type (a fraction asked of whole numbers is cut, which matches too much, never too little)."""
+    value = F.lit(text)
+    if isinstance(data_type, _NUMERIC) and not isinstance(data_type, (T.FloatType, T.DoubleType)):
+        value = value.cast("decimal(38,18)")
+    return value.try_cast(data_type)
+
+
+def _literal_as(literal: Column, data_type: T.DataType) -> Column:
+    """A metadata literal (JSON, or plain text) in the canonical form of a column's type; null if it is of another type."""
+    parsed = F.try_parse_json(literal)
+    kind = F.schema_of_variant(parsed)
+    if isinstance(data_type, T.StringType):
+        return F.when(parsed.isNull(), literal).when(kind == "STRING", F.try_variant_get(parsed, "$", "string"))
+    if isinstance(data_type, T.BooleanType):
+        return F.when(kind == "BOOLEAN", F.trim(literal))
+    if isinstance(data_type, _NUMERIC):
+        number = F.trim(literal).try_cast(data_type if isinstance(data_type, (T.FloatType, T.DoubleType)) else "decimal(38,18)")
+        return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), canonical(number, number_type(data_type)))
+    return F.lit(None).cast("string")
+
+
+def number_type(data_type: T.DataType) -> T.DataType:
+    return data_type if isinstance(data_type, (T.FloatType, T.DoubleType)) else T.DecimalType(38, 18)
+
+
+def no_group() -> Column:
+    """The group of a question without a filter: all points."""
+    return F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("vals"))
+
+
+def spec_group(spec: str, schema: T.StructType, filter_keys: list[str]) -> Column:
+    """A must-spec as ``struct<keys, vals>``, the keys sorted and the values in the canonical form of the collection's columns.
+
+    Null if it can match no point: a key that the collection lacks, or a value of another type than its column."""
+    entries = F.map_entries(F.from_json(F.col(spec), "map<string,string>"))
+    entries = F.array_sort(entries)
+    keys = F.transform(entries, lambda e: e["key"])
+
+    def value(e: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name in filter_keys:
+            out = F.when(e["key"] == name, _literal_as(e["value"], schema[name].dataType)).otherwise(out)
+        return out
+
+    group = F.struct(keys.alias("keys"), F.transform(entries, value).alias("vals"))
+    sound = F.forall(group["vals"], lambda v: v.isNotNull())
+    return F.when(F.col(spec).isNull(), no_group()).when(sound, group)
+
+
 def search_options(options: dict | None) -> tuple[int, float | None]:
     """Understood extra options are ``offset`` and ``score_threshold``; ``with_vectors`` is taken and
     changes nothing, as hits carry no vectors here."""

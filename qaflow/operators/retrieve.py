@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from . import filters as FL
-from .topk import similarity_topk
+from .topk import BLOCK_BYTES, similarity_topk
 
 CONTEXT_TYPE = T.StructType([
     T.StructField("rank", T.IntegerType()),
@@ -33,8 +33,7 @@ def embedding_log(vec: Column) -> Column:
 
 
 def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
-                      point_id: str = "id", broadcast_hits: bool = False,
-                      broadcast_payload: bool = False) -> DataFrame:
+                      point_id: str = "id", broadcast_hits: bool = False) -> DataFrame:
     """Join the payload back to the top-k hits (only k rows per question travel).
 
     Hits are a small, bounded side (k per question); hinting them as the build side
@@ -44,8 +43,6 @@ def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
     pay = points.select(F.col(point_id).alias("_pid"), F.col("doc_id").cast("string").alias("doc_id"), "text",
                         meta.alias("meta"))
     h = F.broadcast(hits) if broadcast_hits else hits
-    if broadcast_payload and not broadcast_hits:
-        pay = F.broadcast(pay)
     j = h.join(pay, h[point_id] == pay["_pid"], "inner")
     has_meta = F.coalesce(F.size("meta") > 0, F.lit(False))
     return j.select(
@@ -85,10 +82,17 @@ def search_key(query_vector: str = "qvec", metadata: str | None = "metadata") ->
     return F.concat_ws(":", F.xxhash64(*parts).cast("string"), F.xxhash64(F.lit(1), *parts).cast("string"))
 
 
+def state_key(asks: Column, key: Column) -> Column:
+    """``key`` for the rows that search; the others get one of many values that no search has, so that they
+    do not meet in one task when the results are joined back."""
+    return F.when(asks, key).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("event_id", "user_query"), F.lit(1 << 20)).cast("string")))
+
+
 def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: str = "event_id",
                       query_vector: str = "qvec", metadata: str | None = "metadata",
                       filter_keys=None, search_params=None, must=(), should=(),
-                      max_broadcast_bytes: int = 64 << 20, metric: str = "dot", info: dict | None = None) -> DataFrame:
+                      max_broadcast_bytes: int = 64 << 20, block_bytes: int = BLOCK_BYTES, metric: str = "dot",
+                      info: dict | None = None) -> DataFrame:
     """Questions -> ``(key, contexts, hit_log, bad_title)``: one row for each ``key`` with at least one hit.
     Without ``filter_keys`` metadata may name any plain column of ``points`` but its text."""
     q = questions
@@ -100,43 +104,21 @@ def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: s
             filter_keys = [f.name for f in points.schema if isinstance(f.dataType, T.AtomicType) and f.name not in ("id", "text")]
     q = q.dropDuplicates([key])
     info = info if info is not None else {}
-    # what is broadcast below is what was measured: the same filters hold
-    static = FL.must_should_predicate(points, must, should)
-    points = points.where(F.col("vector").isNotNull()) if static is None else points.where(F.col("vector").isNotNull() & static)
     hits = similarity_topk(q, points, k, key=key, query_vector=query_vector, metadata_filter=spec,
                            filter_keys=filter_keys, must=must, should=should, search_params=search_params,
-                           metric=metric, max_broadcast_bytes=max_broadcast_bytes, info=info,
-                           payload_bytes=payload_bytes(points))
-    fit = hits_fit(info, k, max_broadcast_bytes)
-    small_payload = not fit and payload_fits(info, max_broadcast_bytes)
-    return contexts_per_event(hits_with_payload(hits, points, key=key, broadcast_hits=fit,
-                                                broadcast_payload=small_payload), key=key)
+                           metric=metric, block_bytes=block_bytes, info=info)
+    return contexts_per_event(hits_with_payload(hits, points, key=key, broadcast_hits=hits_fit(info, k, max_broadcast_bytes)), key=key)
 
 
 _HIT_BYTES = 96
 
 
-def payload_bytes(points: DataFrame) -> Column:
-    """Per-point payload size, measured inside the top-k probe (no extra job)."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)
-    return size + F.coalesce(F.octet_length(F.to_json("payload")), F.lit(0)) if "payload" in points.columns else size
-
-
-def payload_fits(info: dict, budget: int) -> bool:
-    """In the broadcast-collection plan the collection has few rows (it passed the bounded
-    probe); if its texts also fit the budget (summed in that same probe), the payload is
-    broadcast and the possibly huge hit table is never shuffled for the join."""
-    return info.get("plan") == "broadcast_points" and info.get("payload_bytes", budget + 1) <= budget
-
-
 def hits_fit(info: dict, k: int, budget: int) -> bool:
     """Broadcast the hits into the collection scan when they are provably small.
 
-    The block plan (large collection) knows the question count, so the hits are at most
-    ``n * k`` rows of (key, rank, id, score): broadcasting them keeps the large collection
-    and its texts from being shuffled for the payload join. In the broadcast-collection
-    plan the collection is small by construction (its row count passed the bounded probe)
-    and the question side may be huge, so the join is left to the planner and AQE.
+    The top-k counts the questions, so the hits are at most ``n * k`` rows of (key, rank, id, score):
+    broadcasting them keeps the collection and its texts from being shuffled for the payload join. Beyond the
+    budget the join is left to the planner and AQE.
     """
     n = info.get("n_questions")
     return n is not None and n * k * _HIT_BYTES <= budget

@@ -1,56 +1,51 @@
-"""Exact top-k similarity join, without cross joins or all-pairs rows.
-
-Plan (chosen by measured side sizes):
-
-* **broadcast points** -- when the filtered collection fits ``max_broadcast_bytes``:
-  the collection's (id, vector, filter columns) is broadcast once and the question
-  table is scored in Arrow batches with ``mapInPandas``; each question's top-k is
-  final inside its task, so there is no shuffle at all.
-* **broadcast questions** -- otherwise: questions are cut into blocks whose size is
-  checked against the budget; each block is broadcast and the collection scan is
-  scored by a block matrix product with a running per-question top-k inside each
-  task (map-side pre-aggregation). Only ``k`` candidates per question and task are
-  shuffled, then a ``row_number`` window on the question key (planned with a
-  partial ``WindowGroupLimit``) keeps the global top-k.
-
-Scores are exact dot products (or cosine) in float64. Ties are cut by point id
-ascending in both plans. Per-question must-filters (request metadata) are applied
-as masks inside the product, and the union of the block's filters is pushed into
-the collection scan as a plain predicate.
+"""Exact top-k similarity join as a grid of blocks.
+
+Neither side passes through the driver and no pair becomes a row:
+
+1. *Groups.* A question meets only the points of its *group*: the same vector size and, if it carries metadata
+   filters, the same values of the filtered keys. A point is laid out once for each set of keys that questions
+   filter on (mostly one), so the filter is an equality of the shuffle key, not a mask after the product.
+2. *Blocks.* The two sides of a group are counted. Each side is cut by hash into blocks of at most ``block_bytes``;
+   a large group (one value may hold a third of all rows) thus becomes a grid of cells, a small one is one cell.
+   Questions are copied to the cells of their row, points to those of their column.
+3. *Cells.* A cogroup on (group, row, column) brings the two blocks of a cell together in a task, which multiplies
+   them and keeps the ``k`` best of each question.
+4. ``row_number`` over the cells of a question (with a partial ``WindowGroupLimit``) leaves the global top-k.
+
+The shuffle carries ``2 * questions * points / block`` vectors besides one copy of each side, whatever the skew; only
+counts of groups reach the driver (at most ``GROUPS`` rows; beyond that they stay a table and are joined).
+
+Scores are exact dot products (or cosine) in float64, summed in the order of the dimensions. Ties are cut by point id.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread_for_cpu
 from . import filters as FL
 
 METRICS = ("dot", "cosine")
+BLOCK_BYTES = 8 << 20
+# groups whose counts are read by the driver
+GROUPS = 10_000
+# values of a filtered key that are pushed into the collection's scan
+_PUSHED = 1000
 # rows x questions score cells held at once by one task (float64)
 _CELL_BUDGET = 1 << 22
 _ROW_OVERHEAD = 64
-# broadcast collections at least this large spread narrow question inputs over all cores
-_SPREAD_MIN_POINTS = 4096
+_GROUP = ["keys", "vals", "dim"]
 
 
 # ----------------------------------------------------------------------------- numpy kernels
 
-def _matrix(vectors, dim: int | None) -> np.ndarray:
-    rows = [np.asarray(v, dtype=np.float64) for v in vectors]
-    if not rows:
-        return np.zeros((0, dim or 0))
-    m = np.stack(rows)
-    if dim is not None and m.shape[1] != dim:
-        raise ValueError(f"vector size {m.shape[1]} does not match the collection's {dim}")
-    return m
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one size as rows; a null entry is NaN and gives no score."""
+    flat = pa.chunked_array([c.flatten() for c in column.chunks], type=column.type.value_type)
+    return flat.to_numpy().astype(np.float64).reshape(len(column), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -59,31 +54,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return m / n
 
 
-def _eq_mask(values: np.ndarray, value) -> np.ndarray:
-    """Typed equality: 1 never equals "1", True never equals 1."""
-    if value is None:
-        return np.zeros(len(values), dtype=bool)
-    kind = values.dtype.kind
-    if kind in "iuf":
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
-            return np.zeros(len(values), dtype=bool)
-        return values == value
-    if kind == "b":
-        return values == value if isinstance(value, bool) else np.zeros(len(values), dtype=bool)
-    if isinstance(value, str):  # object column: only equal strings match (vectorised)
-        return np.asarray(values == value, dtype=bool)
-    return np.fromiter(((type(x) is type(value)) and x == value for x in values), dtype=bool, count=len(values))
-
-
-def _spec_mask(cols: dict, spec: tuple, n: int) -> np.ndarray:
-    mask = np.ones(n, dtype=bool)
-    for key, value in spec:
-        if key not in cols:
-            return np.zeros(n, dtype=bool)
-        mask &= _eq_mask(cols[key], value)
-    return mask
-
-
 def _select_topk(q: np.ndarray, ids: np.ndarray, s: np.ndarray, kk: int):
     """Keep the best ``kk`` (score desc, id asc) per question index ``q``."""
     if len(q) == 0:
@@ -155,13 +125,13 @@ def _candidates(S: np.ndarray, kk: int, slack: np.ndarray):
     return np.nonzero(cand)
 
 
-def _best(P: np.ndarray, Q: np.ndarray, ids: np.ndarray, masked, threshold: float | None, kk: int):
-    """The best ``kk`` of a block per question: index, id, score and position.
+def _best(P: np.ndarray, Q: np.ndarray, threshold: float | None, kk: int):
+    """The best ``kk`` rows of ``P`` (which are in the order of their ids) per question: question, row and score.
 
     The matrix product finds the candidates; their scores are then summed in the order of the
-    dimensions, so score and rank of a pair are the same in every block, plan and partitioning."""
-    S = P @ Q.T
-    masked(S)
+    dimensions, so score and rank of a pair are the same in every grid and partitioning."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        S = P @ Q.T
     slack = _slack(P, Q)
     if threshold is not None:
         S[S < threshold - slack[None, :]] = -np.inf
@@ -173,240 +143,87 @@ def _best(P: np.ndarray, Q: np.ndarray, ids: np.ndarray, masked, threshold: floa
             s += P[r, d] * Q[c, d]
         ok = ~np.isnan(s) if threshold is None else s >= threshold
         r, c, s = r[ok], c[ok], s[ok]
-    return _select_topk(c, ids[r], s, kk)
+    return _select_topk(c, r, s, kk)[:3]
 
 
-# ----------------------------------------------------------------------------- helpers
+def _cell(kk: int, threshold: float | None, metric: str, key: str, point_id: str, key_type: pa.DataType, id_type: pa.DataType):
+    """One cell of the grid: two blocks of vectors -> the ``kk`` best points of each question."""
+    schema = pa.schema([(key, key_type), (point_id, id_type), ("score", pa.float64())])
 
-def _spec_groups(specs) -> dict:
-    groups = defaultdict(list)
-    for i, sj in enumerate(specs):
-        groups[FL.spec_items(sj)].append(i)
-    return {k: np.asarray(v, dtype=np.int64) for k, v in groups.items()}
+    def run(questions: pa.Table, points: pa.Table) -> pa.Table:
+        if not questions.num_rows or not points.num_rows:
+            return schema.empty_table()
+        points = points.sort_by("p_id")
+        P, Q = _matrix(points.column("p_vec")), _matrix(questions.column("q_vec"))
+        if metric == "cosine":
+            P, Q = _unit(P), _unit(Q)
+        step = max(1, _CELL_BUDGET // len(P))
+        found = []
+        for lo in range(0, len(Q), step):
+            q, r, s = _best(P, Q[lo:lo + step], threshold, kk)
+            found.append((q + lo, r, s))
+        q, r, s = (np.concatenate(x) for x in zip(*found))
+        return pa.Table.from_arrays([questions.column("q_key").take(pa.array(q)), points.column("p_id").take(pa.array(r)),
+                                     pa.array(s, pa.float64())], schema=schema)
 
+    return run
 
-def _side_stats(df: DataFrame, vec_col: str) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    return int(row["n"] or 0), int(row["d"] or 0)
 
+# ----------------------------------------------------------------------------- the grid
 
-def _bounded_probe(probe: DataFrame, vector: str, budget: int, extra_bytes: int, dim_hint: int | None):
-    """Collect the collection only if it fits ``budget``; never more than ~budget bytes.
+def _key_sets(counts: list) -> list[list[str]]:
+    return sorted({tuple(r["keys"]) for r in counts if r["keys"] is not None})
 
-    The first read assumes wide vectors (``dim_hint`` or 1024 floats), so it returns at
-    most ``budget / row`` rows; if it came back whole, the collection fits. Otherwise the
-    real width of the returned rows sizes a second bounded read.
-    """
-    dim = dim_hint or 1024
-    for _ in range(2):
-        cap = max(1, budget // (dim * 8 + _ROW_OVERHEAD + extra_bytes))
-        pdf = probe.limit(cap + 1).toPandas()
-        real = max((len(v) for v in pdf[vector].head(16)), default=0)
-        if len(pdf) <= cap:
-            return pdf if len(pdf) * (real * 8 + _ROW_OVERHEAD + extra_bytes) <= budget else None
-        if real >= dim:
-            return None
-        dim = max(real, 1)
-    return None
-
-
-def _union_predicate(points: DataFrame, groups: dict):
-    """Pushdown: a point can only match some question's spec (skipped if any spec is empty)."""
-    if () in groups or not groups:
-        return None
-    keys = {tuple(k for k, _ in spec) for spec in groups}
-    if len(keys) == 1 and len(next(iter(keys))) == 1:  # one key everywhere: key IN (...)
-        key = next(iter(keys))[0]
-        if key not in points.columns:
-            return F.lit(False)
-        dtype = points.schema[key].dataType
-        values = [spec[0][1] for spec in groups if FL.type_matches(dtype, spec[0][1])]
-        return F.col(key).isin(values) if values else F.lit(False)
-    # several keys: a match has one of the values of some key set, each a key IN (...); the kernel tests the combinations
-    out = F.lit(False)
-    for names in keys:
-        one = F.lit(True)
-        for i, key in enumerate(names):
-            alone = {(spec[i],): None for spec in groups if tuple(k for k, _ in spec) == names}
-            one = one & _union_predicate(points, alone)
-        out = out | one
-    return out
 
-
-# ----------------------------------------------------------------------------- plans
-
-def _plan_broadcast_questions(spark, questions, points, k, offset, threshold, key, qvec, spec_col,
-                              pid, vec, filter_keys, metric, budget, n_q, dim):
-    bytes_per_q = dim * 8 + _ROW_OVERHEAD
-    n_blocks = max(1, math.ceil(n_q * bytes_per_q / budget))
-    kk = k + offset
-    key_type = questions.schema[key].dataType
-    id_type = points.schema[pid].dataType
-    out_schema = T.StructType([T.StructField(key, key_type), T.StructField(pid, id_type),
-                               T.StructField("score", T.DoubleType())])
-    sel = [key, qvec] + ([spec_col] if spec_col else [])
-    staged = questions.select(*sel)
-    if n_blocks > 1:
-        # every block reads the questions again: materialise them once (reliable checkpoint
-        # in spark.checkpoint.dir, which also cuts the upstream lineage)
-        # blocks hash the row, not only the key, so even a key repeated on a third of the
-        # rows spreads evenly; the checkpoint fixes the assignment for every later read
-        row = F.monotonically_increasing_id()
-        staged = staged.withColumn("_blk", F.pmod(F.xxhash64(F.col(key), row), F.lit(n_blocks))).checkpoint()
-    results = []
-    for b in range(n_blocks):
-        part = staged.where(F.col("_blk") == b).drop("_blk") if n_blocks > 1 else staged
-        pdf = part.toPandas()
-        if len(pdf) == 0:
-            continue
-        Q = _matrix(pdf[qvec].tolist(), dim)
-        if metric == "cosine":
-            Q = _unit(Q)
-        groups = _spec_groups(pdf[spec_col].tolist() if spec_col else [None] * len(pdf))
-        bc = spark.sparkContext.broadcast({"keys": pdf[key].to_numpy(), "Q": Q, "groups": groups})
-        scan = points.select(pid, vec, *filter_keys)
-        pushed = _union_predicate(scan, groups)
-        if pushed is not None:
-            scan = scan.where(pushed)
-
-        def kernel(batches, bc=bc):
-            data = bc.value
-            Qm, qkeys, grp = data["Q"], data["keys"], data["groups"]
-            m = Qm.shape[0]
-            run_q = np.zeros(0, dtype=np.int64)
-            run_id = np.zeros(0, dtype=np.int64)
-            run_s = np.zeros(0)
-            for pdf_p in batches:
-                pdf_p = pdf_p[pdf_p[vec].notna()]
-                if len(pdf_p) == 0:
-                    continue
-                order = np.argsort(pdf_p[pid].to_numpy(dtype=np.int64), kind="stable")
-                pdf_p = pdf_p.iloc[order]
-                P = _matrix(pdf_p[vec].tolist(), Qm.shape[1])
-                if metric == "cosine":
-                    P = _unit(P)
-                ids = pdf_p[pid].to_numpy(dtype=np.int64)
-                cols = {c: pdf_p[c].to_numpy() for c in filter_keys}
-                masks = {spec: _spec_mask(cols, spec, len(pdf_p)) for spec in grp if spec}
-                step = max(1, _CELL_BUDGET // max(1, len(pdf_p)))
-                for lo in range(0, m, step):
-                    hi = min(m, lo + step)
-                    def masked(S, lo=lo, hi=hi):
-                        for spec, qidx in grp.items():
-                            sel_q = qidx[(qidx >= lo) & (qidx < hi)] - lo
-                            if spec and len(sel_q):
-                                S[np.ix_(~masks[spec], sel_q)] = -np.inf
-
-                    q, i, s, _ = _best(P, Qm[lo:hi], ids, masked, threshold, kk)
-                    run_q = np.concatenate([run_q, q + lo])
-                    run_id = np.concatenate([run_id, i])
-                    run_s = np.concatenate([run_s, s])
-                run_q, run_id, run_s, _ = _select_topk(run_q, run_id, run_s, kk)
-            if len(run_q):
-                yield pd.DataFrame({key: qkeys[run_q], pid: run_id, "score": run_s})
-
-        block_topk = _global_topk(scan.mapInPandas(kernel, out_schema), key, pid, kk, offset)
-        if n_blocks == 1:
-            return block_topk
-        # several blocks: finish each block in its own job and materialise it, so only one
-        # block's broadcast is alive at a time (then destroyed) and lineage is cut
-        results.append(block_topk.checkpoint(eager=True))
-        bc.destroy()
-    if not results:
+def _pushed(points: DataFrame, counts: list) -> Column | None:
+    """Values that some question asks for, as a plain predicate on the scan; None if a question asks for all points."""
+    if not counts or any(not r["keys"] for r in counts) or len(counts) > _PUSHED:
         return None
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
+    out = None
+    for keys in _key_sets(counts):
+        one = None
+        for i, name in enumerate(keys):
+            values = sorted({r["vals"][i] for r in counts if tuple(r["keys"]) == keys})
+            test = F.col(name).isin([FL.restored(v, points.schema[name].dataType) for v in values])
+            one = test if one is None else one & test
+        out = one if out is None else out | one
     return out
 
 
-def _global_topk(cands: DataFrame, key: str, pid: str, kk: int, offset: int) -> DataFrame:
-    """Per-task candidates -> global top-kk per question (``row_number``; the planner adds a
-    partial ``WindowGroupLimit`` before the shuffle), minus the first ``offset``."""
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(pid).asc())
-    ranked = cands.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= kk)
-    return ranked.where(F.col("_rn") > offset).select(
-        key, (F.col("_rn") - offset).alias("rank"), pid, "score")
+def _laid_out(points: DataFrame, sets: list[tuple]) -> Column:
+    """A point's groups: for each set of keys, the keys and the point's values (null if one is missing)."""
+    kinds = "struct<keys:array<string>,vals:array<string>>"
+    groups = []
+    for keys in sets:
+        vals = [FL.canonical(F.col(k), points.schema[k].dataType) for k in keys]
+        whole = F.lit(True)
+        for v in vals:
+            whole = whole & v.isNotNull()
+        both = F.struct(F.array(*map(F.lit, keys)).cast("array<string>").alias("keys"), F.array(*vals).cast("array<string>").alias("vals"))
+        groups.append(F.when(whole, both).cast(kinds))
+    return F.filter(F.array(*groups), lambda g: g.isNotNull())
 
 
-def _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, qvec, spec_col,
-                           pid, vec, filter_keys, metric, key_type, id_type):
-    kk = k + offset
-    ppdf = ppdf.iloc[np.argsort(ppdf[pid].to_numpy(dtype=np.int64), kind="stable")]
-    P = _matrix(ppdf[vec].tolist(), None)
-    if metric == "cosine":
-        P = _unit(P)
-    bc = spark.sparkContext.broadcast({
-        "P": P, "ids": ppdf[pid].to_numpy(dtype=np.int64),
-        "cols": {c: ppdf[c].to_numpy() for c in filter_keys},
-    })
-    out_schema = T.StructType([T.StructField(key, key_type), T.StructField("rank", T.IntegerType()),
-                               T.StructField(pid, id_type), T.StructField("score", T.DoubleType())])
-    sel = [key, qvec] + ([spec_col] if spec_col else [])
-
-    def kernel(batches):
-        data = bc.value
-        Pm, ids, cols = data["P"], data["ids"], data["cols"]
-        n = Pm.shape[0]
-        for qpdf in batches:
-            masks = {}  # of the filters of this batch
-            qpdf = qpdf[qpdf[qvec].notna()]
-            if len(qpdf) == 0 or n == 0:
-                continue
-            Q = _matrix(qpdf[qvec].tolist(), Pm.shape[1] if n else None)
-            if metric == "cosine":
-                Q = _unit(Q)
-            specs = qpdf[spec_col].tolist() if spec_col else [None] * len(qpdf)
-            groups = _spec_groups(specs)
-            keys = qpdf[key].to_numpy()
-            step = max(1, _CELL_BUDGET // max(1, n))
-            out_q, out_id, out_s, out_pos = [], [], [], []
-            for lo in range(0, len(qpdf), step):
-                hi = min(len(qpdf), lo + step)
-                def masked(S, lo=lo, hi=hi):
-                    for spec, qidx in groups.items():
-                        sel_q = qidx[(qidx >= lo) & (qidx < hi)] - lo
-                        if not spec or not len(sel_q):
-                            continue
-                        if spec not in masks:
-                            masks[spec] = _spec_mask(cols, spec, n)
-                        S[np.ix_(~masks[spec], sel_q)] = -np.inf
-
-                q, i, s, pos = _best(Pm, Q[lo:hi], ids, masked, threshold, kk)
-                q = q + lo
-                out_q.append(q), out_id.append(i), out_s.append(s), out_pos.append(pos)
-            q = np.concatenate(out_q)
-            pos = np.concatenate(out_pos)
-            keep = pos >= offset
-            yield pd.DataFrame({
-                key: keys[q[keep]], "rank": (pos[keep] - offset + 1).astype(np.int32),
-                pid: np.concatenate(out_id)[keep], "score": np.concatenate(out_s)[keep],
-            })
-
-    scored = questions.select(*sel)
-    if len(ppdf) >= _SPREAD_MIN_POINTS:
-        # every question costs a pass over a sizeable collection: give the scoring at
-        # least one task per core even when the question input is a single file
-        scored = spread_for_cpu(scored)
-    return scored.mapInPandas(kernel, out_schema)
+def _blocks(n: str, budget: int) -> Column:
+    """Blocks of at most ``budget`` bytes for ``n`` vectors of ``dim`` numbers."""
+    return F.ceil(F.col(n) * (F.col("dim") * 8 + _ROW_OVERHEAD) / F.lit(budget)).cast("int")
 
 
 def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str = "event_id",
                     query_vector: str = "qvec", metadata_filter: str | None = None,
                     point_id: str = "id", vector: str = "vector", filter_keys: list[str] | None = None,
                     must=(), should=(), search_params: dict | None = None, metric: str = "dot",
-                    max_broadcast_bytes: int = 64 << 20, side: str = "auto", dim_hint: int | None = None,
-                    info: dict | None = None, payload_bytes=None) -> DataFrame:
-    """Top-k points per question: ``(key, rank, point_id, score)``; rank starts at 1.
+                    block_bytes: int = BLOCK_BYTES, info: dict | None = None) -> DataFrame:
+    """Top-k points per question: ``(key, rank, point_id, score)``; rank starts at 1. ``key`` is unique among questions.
 
     * ``metadata_filter``: column of canonical must-specs per question (see
       :func:`filters.metadata_must`), matched against ``filter_keys`` columns of points.
     * ``must`` / ``should``: static filters for every question (pushed to the scan).
     * ``search_params``: ``offset`` and ``score_threshold`` (others raise).
-    * ``info``: filled with the chosen plan and, for the block plan, the question count
-      (an upper bound for the hits is then ``n_questions * k``).
-    * ``payload_bytes``: optional per-point size Column; when the collection is broadcast
-      its total is measured in the same bounded probe (``info["payload_bytes"]``).
+    * ``info``: filled with the number of questions (the hits are at most ``n_questions * k``), of cells, and the
+      collection's vector size ``dim``.
+
+    A question whose vector is null, empty, or of a size that no point has, has no hits.
     """
     info = info if info is not None else {}
     if k <= 0:
@@ -418,43 +235,66 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
     static = FL.must_should_predicate(points, must, should)
     if static is not None:
         points = points.where(static)
+    points = points.where(F.size(vector) > 0)
     filter_keys = [c for c in (filter_keys or []) if c in points.columns]
-    empty_schema = T.StructType([T.StructField(key, questions.schema[key].dataType),
-                                 T.StructField("rank", T.IntegerType()),
-                                 T.StructField(point_id, points.schema[point_id].dataType),
-                                 T.StructField("score", T.DoubleType())])
-    if side in ("auto", "points"):
-        extra = [payload_bytes.alias("_payload_bytes")] if payload_bytes is not None else []
-        probe = points.select(point_id, vector, *filter_keys, *extra).where(F.col(vector).isNotNull())
-        ppdf = _bounded_probe(probe, vector, max_broadcast_bytes, 16 * len(filter_keys), dim_hint)
-        if ppdf is not None and extra:
-            info["payload_bytes"] = int(ppdf["_payload_bytes"].fillna(0).sum())
-            ppdf = ppdf.drop(columns=["_payload_bytes"])
-        if ppdf is None and side == "points":
-            raise MemoryError("the collection does not fit max_broadcast_bytes; use side='questions'")
-        if ppdf is not None:
-            info.update(plan="broadcast_points", n_points=len(ppdf))
-            if len(ppdf):
-                info["dim"] = len(ppdf[vector].iloc[0])
-                questions = questions.where(F.size(query_vector) == info["dim"])
-            return _plan_broadcast_points(spark, questions, ppdf, k, offset, threshold, key, query_vector,
-                                          metadata_filter, point_id, vector, filter_keys, metric,
-                                          questions.schema[key].dataType, points.schema[point_id].dataType)
-    some = points.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
-    if some is None:
-        info.update(plan="broadcast_questions", n_questions=0)
+    key_type, id_type = questions.schema[key].dataType, points.schema[point_id].dataType
+    empty_schema = T.StructType([T.StructField(key, key_type), T.StructField("rank", T.IntegerType()),
+                                 T.StructField(point_id, id_type), T.StructField("score", T.DoubleType())])
+    group = FL.spec_group(metadata_filter, points.schema, filter_keys) if metadata_filter else FL.no_group()
+    q = questions.where(F.size(query_vector) > 0).select(F.col(key).alias("q_key"), F.col(query_vector).alias("q_vec"), group.alias("g")) \
+        .where("g IS NOT NULL").select("q_key", "q_vec", "g.keys", "g.vals", F.size("q_vec").alias("dim"))
+    asked = q.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("nq"))
+    counts = asked.limit(GROUPS + 1).collect()
+    few = len(counts) <= GROUPS
+    sets = _key_sets(counts if few else asked.select("keys").distinct().collect())  # bounded by the columns of the collection
+    pushed = _pushed(points, counts) if few else None
+    p = (points if pushed is None else points.where(pushed)).select(
+        F.col(point_id).alias("p_id"), F.col(vector).alias("p_vec"), F.size(vector).alias("dim"), F.explode(_laid_out(points, sets)).alias("g")) \
+        .select("p_id", "p_vec", "g.keys", "g.vals", "dim") if sets else None
+    if p is None:
+        info.update(n_questions=0, cells=0)
         return spark.createDataFrame([], empty_schema)
-    info["dim"] = some[0]
-    # a vector of another size has no score and no hits
-    questions = questions.where(F.size(query_vector) == some[0])
-    n_q, dim_q = _side_stats(questions, query_vector)
-    info.update(plan="broadcast_questions", n_questions=n_q)
-    if n_q == 0:
+    if few:
+        asked = F.broadcast(spark.createDataFrame(counts, asked.schema))
+    sizes = p.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("np")).join(asked, _GROUP)
+    sizes = sizes.select(*_GROUP, "nq", _blocks("nq", block_bytes).alias("rows"), _blocks("np", block_bytes).alias("cols"))
+    info.update(n_questions=sum(r["nq"] for r in counts) if few else None)
+    if few:
+        found = sizes.collect()  # at most a row for each row of counts
+        info["cells"] = sum(r["rows"] * r["cols"] for r in found)
+        dims = {r["dim"] for r in found}
+        if len({r["dim"] for r in counts}) == 1 and dims:
+            info["dim"] = dims.pop()
+        sizes = F.broadcast(spark.createDataFrame(found, sizes.schema))
+    if "dim" not in info:
+        some = points.select(F.size(vector)).first()
+        if some is not None:
+            info["dim"] = some[0]
+    if few and not found:
         return spark.createDataFrame([], empty_schema)
-    out = _plan_broadcast_questions(spark, questions, points, k, offset, threshold, key, query_vector,
-                                    metadata_filter, point_id, vector, filter_keys, metric,
-                                    max_broadcast_bytes, n_q, dim_q)
-    return out if out is not None else spark.createDataFrame([], empty_schema)
+    # the salt is of the row, so equal ids or vectors do not meet in one block
+    row = F.pmod(F.xxhash64("q_key", "q_vec"), F.col("rows")).cast("int")
+    col = F.pmod(F.xxhash64("p_id"), F.col("cols")).cast("int")
+    cell = [*_GROUP, "row", "col"]
+    left = q.join(sizes, _GROUP).select("q_key", "q_vec", *_GROUP, row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
+    right = p.join(sizes, _GROUP).select("p_id", "p_vec", *_GROUP, col.alias("col"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    right = right.select("p_id", "p_vec", *[F.col(c).alias(f"p_{c}") for c in cell])
+    kk = k + offset
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out_schema = T.StructType([T.StructField(key, key_type), T.StructField(point_id, id_type), T.StructField("score", T.DoubleType())])
+    run = _cell(kk, threshold, metric, key, point_id, to_arrow_type(key_type), to_arrow_type(id_type))
+    best = left.groupBy(*cell).cogroup(right.groupBy(*[f"p_{c}" for c in cell])).applyInArrow(run, out_schema)
+    return _global_topk(best, key, point_id, kk, offset)
+
+
+def _global_topk(cands: DataFrame, key: str, pid: str, kk: int, offset: int) -> DataFrame:
+    """Per-cell candidates -> global top-kk per question (``row_number``; the planner adds a
+    partial ``WindowGroupLimit`` before the shuffle), minus the first ``offset``."""
+    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(pid).asc())
+    ranked = cands.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= kk)
+    return ranked.where(F.col("_rn") > offset).select(
+        key, (F.col("_rn") - offset).alias("rank"), pid, "score")
 
 
 def adhoc_query(points: DataFrame, query: list[float], limit: int = 3, *, point_id: str = "id",

@@ -51,10 +51,8 @@ def _hits(spark, d, k, label_filter=True, **kw):
 def _ctx_long(spark, d, k, **kw):
     pts = _points(spark, d)
     info: dict = {}
-    hits = _hits(spark, d, k, points=pts, info=info, payload_bytes=R.payload_bytes(pts), **kw)
-    fit = R.hits_fit(info, k, 64 << 20)
-    small_payload = not fit and R.payload_fits(info, 64 << 20)
-    return R.hits_with_payload(hits, pts, broadcast_hits=fit, broadcast_payload=small_payload)
+    hits = _hits(spark, d, k, points=pts, info=info, **kw)
+    return R.hits_with_payload(hits, pts, broadcast_hits=R.hits_fit(info, k, 64 << 20))
 
 
 def _pipeline_state(spark, d, cfg=None, **kw):
@@ -604,7 +602,7 @@ def trim_articles(spark, d):
 def build_collection(spark, d):
     """A2: hashed-bag-of-words vectors for every document, written (overwrite) and read back."""
     docs = TB.table(spark, d, "documents").select("doc_id", "text")
-    coll = A.build_collection(docs, V.hash_encoder(64))
+    coll = A.build_collection(docs, V.hash_encoder(64), spread=True)
     path = shared_path(spark, "collection")
     coll.write.mode("overwrite").parquet(path)
     back = spark.read.parquet(path)

@@ -25,20 +25,22 @@ from ..operators import filters as FL
 from ..operators import generate as G
 from ..operators import rerank as RR
 from ..operators import retrieve as R
+from ..session import materialised
 from .routing import GATE, Stage, append_error, gated, next_or_end, run_stages, start
 
 STATE_METRICS = ["m_cleaned_request", "m_user_query_embedding", "m_relevant_document_ids_scores",
                  "m_prompt", "m_response_text", "m_response_token_count"]
 
 
-def security_stage(redaction_map: dict | None) -> Stage:
-    """H1-H3 + B9: redact the query; a missing map raises here, before any job runs."""
+def security_stage(redaction_map: dict | None, patterns: dict[str, str] | None = None) -> Stage:
+    """H1-H3 + B9: redact the query; a missing map or token raises here, before any job runs."""
     if not redaction_map or "Financial information" not in redaction_map:
         raise SecurityServiceError("no redaction token for financial information: nothing is passed on")
+    redact(F.lit(""), redaction_map, patterns)
 
     def apply(state: DataFrame, nxt):
         null_text = F.col("user_query").isNull()
-        cleaned = redact(F.col("user_query"), redaction_map)
+        cleaned = redact(F.col("user_query"), redaction_map, patterns)
         state = gated(state, {
             "user_query": cleaned,
             "m_cleaned_request": cleaned,
@@ -62,11 +64,14 @@ def rewrite_stage(rewriter=None) -> Stage:
 
 
 def encoded(state: DataFrame, encoder) -> DataFrame:
-    """``qvec`` filled for gated rows that lack it; the encoder sees null for all other rows and skips them."""
+    """``qvec`` filled for gated rows that lack it; the encoder sees null for all other rows and skips them.
+
+    The vectors are used by the search and by the join that brings its results back, so the rows are
+    written once behind the encoder: it runs once for a row."""
     if encoder is None:
         return state
     wanting = F.when(F.col(GATE) & F.col("qvec").isNull(), F.col("user_query"))
-    return state.withColumn("qvec", F.coalesce("qvec", encoder(wanting)))
+    return materialised(state.withColumn("qvec", F.coalesce("qvec", encoder(wanting))), "encoded")
 
 
 def retrieve_stage(points: DataFrame, cfg, encoder=None, filter_keys=None) -> Stage:
@@ -84,13 +89,13 @@ def retrieve_stage(points: DataFrame, cfg, encoder=None, filter_keys=None) -> St
         except FL.SearchArgumentsError as e:
             bad_args = str(e)
         if bad_args is None:
-            state = state.withColumn(R.SEARCH_KEY, F.when(gate & has_vec, R.search_key("qvec", metadata)))
+            state = state.withColumn(R.SEARCH_KEY, R.state_key(gate & has_vec, R.search_key("qvec", metadata)))
             questions = state.where(gate & has_vec).select(R.SEARCH_KEY, "qvec", "metadata")
             ctx = R.retrieve_contexts(
                 questions, points, cfg.top_k, key=R.SEARCH_KEY, metadata=metadata, info=info,
                 filter_keys=filter_keys, search_params=cfg.search_params,
                 must=cfg.search_filters.get("must", ()), should=cfg.search_filters.get("should", ()),
-                max_broadcast_bytes=cfg.max_broadcast_bytes, metric=cfg.metric)
+                max_broadcast_bytes=cfg.max_broadcast_bytes, block_bytes=cfg.block_bytes, metric=cfg.metric)
             ctx = ctx.select(R.SEARCH_KEY, F.col("contexts").alias("_r_ctx"), F.col("hit_log").alias("_r_log"),
                              F.col("bad_title").alias("_r_bad"))
             state = state.join(ctx, R.SEARCH_KEY, "left").drop(R.SEARCH_KEY)
@@ -180,7 +185,7 @@ def cache_read_stage(cache: DataFrame | None, cfg, encoder=None) -> Stage:
         if cache is None:
             return gated(state, {}, next_or_end(nxt))
         asks = F.col(GATE) & F.col("qvec").isNotNull()
-        state = encoded(state, encoder).withColumn(R.SEARCH_KEY, F.when(asks, R.search_key("qvec", None)))
+        state = encoded(state, encoder).withColumn(R.SEARCH_KEY, R.state_key(asks, R.search_key("qvec", None)))
         q = state.where(asks).select(R.SEARCH_KEY, "qvec").dropDuplicates([R.SEARCH_KEY])
         hits = C.cache_lookup(q, cache, cfg, key=R.SEARCH_KEY).select(R.SEARCH_KEY, F.col("contexts").alias("_k_ctx"))
         state = state.join(hits, R.SEARCH_KEY, "left").drop(R.SEARCH_KEY)
@@ -217,7 +222,7 @@ class Pipeline:
         cfg = self.config
         names = self.stages or ["SECURITY", "RETRIEVE", "CONSOLIDATE", "GENERATE"]
         make = {
-            "SECURITY": lambda: security_stage(cfg.redaction.redaction_map),
+            "SECURITY": lambda: security_stage(cfg.redaction.redaction_map, cfg.redaction.patterns),
             "RCACHE": lambda: cache_read_stage(self.cache, cfg.cache, self.encoder),
             "REWRITE": lambda: rewrite_stage(self.rewriter),
             "RETRIEVE": lambda: retrieve_stage(self.points, cfg.retrieval, self.encoder, self.filter_keys),

@@ -50,13 +50,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialised(df, name: str):
+    """Compute ``df`` once: write it to the shared folder and read it back, which also cuts its lineage."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_for_cpu(df):
-    """Give CPU-heavy Python stages at least one task per core.
-
-    A scan of one small file is one task; the Arrow-batched kernels (scoring, encoder,
-    model) would then use one core. Only when the input has fewer partitions than the
-    cluster's default parallelism is it round-robin repartitioned; at scale (many
-    files/row groups) this is a no-op and adds no shuffle.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    """Deal rows evenly over all cores before a stage that costs far more per row than a shuffle (a model).
+
+    The number of partitions ``df`` has is not asked for: that would run the stages before it."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

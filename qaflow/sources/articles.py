@@ -46,14 +46,14 @@ def trim_articles(articles: DataFrame, order_col: str, head: int = 700, max_char
     return first.where(F.coalesce(F.length("text"), F.lit(0)) < max_chars)
 
 
-def build_collection(articles: DataFrame, encoder, key: str = "doc_id", text: str = "text") -> DataFrame:
+def build_collection(articles: DataFrame, encoder, key: str = "doc_id", text: str = "text", spread: bool = False) -> DataFrame:
     """A2: point per article: id from a stable key (a number as it is, a text by its 64-bit hash), vector =
     encoder(text), payload = every other column of the item as text, nulls left out."""
     from ..session import spread_for_cpu
 
     payload_cols = [c for c in articles.columns if c not in (key,)]
     point_id = F.coalesce(F.col(key).try_cast("long"), F.xxhash64(F.col(key).cast("string")))
-    out = spread_for_cpu(articles).select(
+    out = (spread_for_cpu(articles) if spread else articles).select(
         point_id.alias("id"), encoder(F.col(text)).alias("vector"),
         F.col(key).cast("string").alias("doc_id"), *[F.col(c) for c in payload_cols if c != "doc_id"])
     if "payload" in articles.columns:

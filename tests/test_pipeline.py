@@ -115,8 +115,8 @@ def test_pipeline_answers_do_not_depend_on_the_plan(spark):
     from tests.conftest import SF_SMALL
     pts, qs = TB.collection_points(spark, SF_SMALL), TB.questions(spark, SF_SMALL)
     default, _ = Pipeline(points=pts, filter_keys=["label"]).run(qs)
-    # a tiny budget: the collection cannot be broadcast, questions go in several blocks
-    tiny = PipelineConfig(retrieval=RetrievalConfig(max_broadcast_bytes=40_000))
+    # tiny budgets: a grid of many cells, and hits that are not broadcast
+    tiny = PipelineConfig(retrieval=RetrievalConfig(max_broadcast_bytes=100, block_bytes=4_000))
     blocks, _ = Pipeline(points=pts, config=tiny, filter_keys=["label"]).run(qs)
     a = {r.event_id: (r.response, r.m_prompt) for r in default.collect()}
     b = {r.event_id: (r.response, r.m_prompt) for r in blocks.collect()}

@@ -6,39 +6,40 @@ from qaflow.operators import filters as FL
 from qaflow.operators.topk import adhoc_query, similarity_topk
 from tests.fixtures import POINTS, QUERY, points_df, query_df
 
-SIDES = ["points", "questions"]
+# one cell, and a grid of many: the budget of a block in bytes
+BLOCKS = [8 << 20, 200]
 
 
 def _ids(df):
     return [r.id for r in df.orderBy("event_id", "rank").collect()]
 
 
-@pytest.mark.parametrize("side", SIDES)
-def test_limits_and_mean_score(spark, side):
+@pytest.mark.parametrize("block", BLOCKS)
+def test_limits_and_mean_score(spark, block):
     pts, q = points_df(spark), query_df(spark)
-    r2 = similarity_topk(q, pts, 2, side=side).collect()
-    r4 = similarity_topk(q, pts, 4, side=side).collect()
+    r2 = similarity_topk(q, pts, 2, block_bytes=block).collect()
+    r4 = similarity_topk(q, pts, 4, block_bytes=block).collect()
     assert len(r2) == 2 and len(r4) == 4
     assert sum(r.score for r in r2) / 2 >= sum(r.score for r in r4) / 4
     exp = sorted(((-float(np.dot(np.float32(v).astype(float), QUERY)), i) for i, v, *_ in POINTS))
-    assert _ids(similarity_topk(q, pts, 8, side=side)) == [i for _, i in exp]
+    assert _ids(similarity_topk(q, pts, 8, block_bytes=block)) == [i for _, i in exp]
 
 
-@pytest.mark.parametrize("side", SIDES)
-def test_must_and_should(spark, side):
+@pytest.mark.parametrize("block", BLOCKS)
+def test_must_and_should(spark, block):
     pts, q = points_df(spark), query_df(spark)
-    out = similarity_topk(q, pts, 10, must=[("kind", "fruit")], should=[("part", 1), ("part", 2)], side=side)
+    out = similarity_topk(q, pts, 10, must=[("kind", "fruit")], should=[("part", 1), ("part", 2)], block_bytes=block)
     assert sorted(_ids(out)) == [1, 2, 4, 5]
 
 
-@pytest.mark.parametrize("side", SIDES)
-def test_per_question_metadata_filter(spark, side):
+@pytest.mark.parametrize("block", BLOCKS)
+def test_per_question_metadata_filter(spark, block):
     pts = points_df(spark)
     q = spark.createDataFrame([("a", QUERY, {"kind": '"metal"'}), ("b", QUERY, {"part": "3"}),
                                ("c", QUERY, {"part": '"3"'}), ("d", QUERY, {})],
                               "event_id string, qvec array<float>, metadata map<string,string>")
     q = q.withColumn("spec", FL.metadata_must(F.col("metadata")))
-    out = similarity_topk(q, pts, 10, metadata_filter="spec", filter_keys=["kind", "part"], side=side)
+    out = similarity_topk(q, pts, 10, metadata_filter="spec", filter_keys=["kind", "part"], block_bytes=block)
     got = {}
     for r in out.collect():
         got.setdefault(r.event_id, set()).add(r.id)
@@ -52,20 +53,22 @@ def test_blocks_equal_single_pass(spark):
     pts = points_df(spark)
     q = spark.createDataFrame([(f"e{i}", [float(x) for x in np.random.RandomState(i).rand(4)]) for i in range(40)],
                               "event_id string, qvec array<float>")
-    one = similarity_topk(q, pts, 3, side="questions").orderBy("event_id", "rank").collect()
-    many = similarity_topk(q, pts, 3, side="questions", max_broadcast_bytes=1500).orderBy("event_id", "rank").collect()
-    pts_side = similarity_topk(q, pts, 3, side="points").orderBy("event_id", "rank").collect()
-    assert one == many == pts_side
+    info: dict = {}
+    one = similarity_topk(q, pts, 3, info=info).orderBy("event_id", "rank").collect()
+    assert info == {"n_questions": 40, "cells": 1, "dim": 4}
+    many = similarity_topk(q, pts, 3, block_bytes=300, info=info).orderBy("event_id", "rank").collect()
+    assert info["cells"] == 13 * 3
+    assert one == many
 
 
-@pytest.mark.parametrize("side", SIDES)
-def test_offset_and_threshold(spark, side):
+@pytest.mark.parametrize("block", BLOCKS)
+def test_offset_and_threshold(spark, block):
     pts, q = points_df(spark), query_df(spark)
-    full = similarity_topk(q, pts, 6, side=side).orderBy("rank").collect()
-    off = similarity_topk(q, pts, 2, side=side, search_params={"offset": 1}).orderBy("rank").collect()
+    full = similarity_topk(q, pts, 6, block_bytes=block).orderBy("rank").collect()
+    off = similarity_topk(q, pts, 2, block_bytes=block, search_params={"offset": 1}).orderBy("rank").collect()
     assert [r.id for r in off] == [r.id for r in full[1:3]] and [r.rank for r in off] == [1, 2]
     t = full[2].score
-    thr = similarity_topk(q, pts, 6, side=side, search_params={"score_threshold": t}).collect()
+    thr = similarity_topk(q, pts, 6, block_bytes=block, search_params={"score_threshold": t}).collect()
     assert len(thr) == 3
 
 
@@ -80,10 +83,10 @@ def test_adhoc_query(spark):
 
 
 def test_plan_has_no_cartesian_product(spark):
-    out = similarity_topk(query_df(spark, 3), points_df(spark), 2, side="questions")
+    out = similarity_topk(query_df(spark, 3), points_df(spark), 2)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
-    assert "MapInPandas" in plan
+    assert "FlatMapCoGroupsInArrow" in plan and "WindowGroupLimit" in plan
 
 
 def test_filters_reach_the_collection_scan(spark):
@@ -92,27 +95,27 @@ def test_filters_reach_the_collection_scan(spark):
     pts = TB.collection_points(spark, SF_SMALL)
     q = TB.questions(spark, SF_SMALL).withColumn("spec", FL.metadata_must(F.col("metadata")))
     out = similarity_topk(q, pts, 2, metadata_filter="spec", filter_keys=["label"], must=[("lang", "en")],
-                          should=[("source", "src1"), ("source", "src2")], side="questions")
+                          should=[("source", "src1"), ("source", "src2")])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and "Or(EqualTo(source,src1),EqualTo(source,src2))" in plan
     assert "In(label," in plan  # the union of the questions' must-filters
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
     rows = out.collect()
     got = {(r.event_id, r.rank): r.id for r in rows}
-    # same answer when the collection is broadcast instead
+    # same answer in a grid of many cells
     alt = similarity_topk(q, pts, 2, metadata_filter="spec", filter_keys=["label"], must=[("lang", "en")],
-                          should=[("source", "src1"), ("source", "src2")], side="points").collect()
+                          should=[("source", "src1"), ("source", "src2")], block_bytes=4000).collect()
     assert got == {(r.event_id, r.rank): r.id for r in alt}
 
 
-@pytest.mark.parametrize("side", SIDES)
-def test_mismatched_filter_types_never_match_and_never_fail(spark, side):
+@pytest.mark.parametrize("block", BLOCKS)
+def test_mismatched_filter_types_never_match_and_never_fail(spark, block):
     pts, q = points_df(spark), query_df(spark)
-    assert similarity_topk(q, pts, 5, must=[("part", "1")], side=side).count() == 0
-    assert similarity_topk(q, pts, 5, must=[("kind", 1)], side=side).count() == 0
+    assert similarity_topk(q, pts, 5, must=[("part", "1")], block_bytes=block).count() == 0
+    assert similarity_topk(q, pts, 5, must=[("kind", 1)], block_bytes=block).count() == 0
     q2 = spark.createDataFrame([("a", QUERY, {"part": '"x"'})], "event_id string, qvec array<float>, metadata map<string,string>") \
         .withColumn("spec", FL.metadata_must(F.col("metadata")))
-    assert similarity_topk(q2, pts, 5, metadata_filter="spec", filter_keys=["part"], side=side).count() == 0
+    assert similarity_topk(q2, pts, 5, metadata_filter="spec", filter_keys=["part"], block_bytes=block).count() == 0
 
 
 def test_a_collection_in_many_partitions_gives_the_same_result(spark):
@@ -120,13 +123,13 @@ def test_a_collection_in_many_partitions_gives_the_same_result(spark):
     many = pts.repartition(200)
     q = spark.createDataFrame([(f"e{i}", [float(x) for x in np.random.RandomState(i).rand(4)]) for i in range(30)],
                               "event_id string, qvec array<float>")
-    a = similarity_topk(q, pts, 3, side="questions").orderBy("event_id", "rank").collect()
-    out = similarity_topk(q, many, 3, side="questions")
+    a = similarity_topk(q, pts, 3).orderBy("event_id", "rank").collect()
+    out = similarity_topk(q, many, 3)
     assert out.orderBy("event_id", "rank").collect() == a
 
 
-@pytest.mark.parametrize("side", SIDES)
-def test_heavy_ties_break_on_id(spark, side):
+@pytest.mark.parametrize("block", BLOCKS)
+def test_heavy_ties_break_on_id(spark, block):
     rnd = np.random.RandomState(3)
     ids = rnd.permutation(400) + 1000
     pts = spark.createDataFrame([(int(i), [float(x) for x in rnd.randint(0, 2, 3)]) for i in ids],
@@ -134,7 +137,7 @@ def test_heavy_ties_break_on_id(spark, side):
     qs = [(f"q{j}", [float(x) for x in rnd.randint(0, 2, 3)]) for j in range(25)]
     q = spark.createDataFrame(qs, "event_id string, qvec array<float>")
     got = {}
-    for r in similarity_topk(q, pts, 7, side=side).collect():
+    for r in similarity_topk(q, pts, 7, block_bytes=block).collect():
         got.setdefault(r.event_id, []).append((r.rank, r.id))
     P = {int(r.id): np.array(r.vector) for r in pts.collect()}
     for e, qv in qs:
@@ -147,10 +150,56 @@ def test_equal_vectors_tie_on_the_id_in_every_plan(spark):
     base = rnd.rand(30, 17)
     pts = spark.createDataFrame([(int(i), base[i % 30].tolist()) for i in rnd.permutation(6000)], "id long, vector array<double>")
     q = spark.createDataFrame([(f"e{i}", rnd.rand(17).tolist()) for i in range(50)], "event_id string, qvec array<double>")
-    runs = [similarity_topk(q, pts.repartition(n), 5, side=side, max_broadcast_bytes=b).orderBy("event_id", "rank").collect()
-            for n in (1, 7) for side, b in (("points", 64 << 20), ("questions", 64 << 20), ("questions", 3000))]
+    runs = [similarity_topk(q, pts.repartition(n), 5, block_bytes=b).orderBy("event_id", "rank").collect()
+            for n, b in ((1, 8 << 20), (7, 8 << 20), (7, 4000), (200, 150_000))]
     assert all(r == runs[0] for r in runs)
     best = {}
     for r in runs[0]:
         best.setdefault(r.event_id, []).append(r.id)
     assert all(ids == [ids[0] % 30 + 30 * j for j in range(5)] for ids in best.values())
+
+
+def test_a_hot_filter_value_and_mixed_filters(spark):
+    """A third of both sides on one value, filters on one key, on two keys and none, vectors of other sizes: as a plain loop."""
+    rnd = np.random.RandomState(9)
+    pts = [(int(i), rnd.randint(-9, 10, 5).astype(float).tolist(), "hot" if i % 3 == 0 else f"t{i % 7}", int(i % 4), bool(i % 2), float(i % 3) / 2) for i in range(600)]
+    pts += [(1000, None, "hot", 1, True, 0.5), (1001, [1.0, 2.0], "hot", 1, True, 0.5), (1002, [1.0] * 5, None, None, None, None)]
+    points = spark.createDataFrame(pts, "id long, vector array<double>, topic string, part long, flag boolean, ratio double")
+    specs = [{}, {"topic": '"hot"'}, {"topic": "hot"}, {"part": "2"}, {"part": "2.0"}, {"part": '"2"'}, {"topic": '"hot"', "part": "1"}, {"flag": "true"}, {"flag": "1"}, {"ratio": "0.5"},
+             {"ratio": "1"}, {"nokey": "1"}, {"topic": "null"}, {"topic": "[1]"}, {"topic": '"t1"', "flag": "false", "part": "3"}]
+    qs = [(f"e{i}", rnd.randint(-9, 10, 5).astype(float).tolist(), specs[1] if i % 3 == 0 else specs[i % len(specs)]) for i in range(120)]
+    qs += [("none", None, {}), ("empty", [], {}), ("short", [1.0, 1.0], {}), ("long", [1.0] * 9, {})]
+    q = spark.createDataFrame(qs, "event_id string, qvec array<double>, metadata map<string,string>").withColumn("spec", FL.metadata_must(F.col("metadata")))
+    at = {"topic": 2, "part": 3, "flag": 4, "ratio": 5}
+
+    def value(text):
+        got = FL.parse_literal(text)
+        return got
+
+    def fits(p, spec):
+        for name, text in spec.items():
+            v, own = value(text), p[at[name]] if name in at else None
+            if own is None or isinstance(v, bool) != isinstance(own, bool) or isinstance(v, str) != isinstance(own, str) or v != own:
+                return False
+        return True
+
+    want = {}
+    for e, v, spec in qs:
+        best = sorted(((-float(np.dot(p[1], v)), p[0]) for p in pts if v and p[1] and len(p[1]) == len(v) and fits(p, spec)))[:4]
+        want.update({(e, r + 1): (i, -s) for r, (s, i) in enumerate(best)})
+    for n, b in ((1, 8 << 20), (5, 2000), (60, 700)):
+        out = similarity_topk(q.repartition(n), points.repartition(n), 4, metadata_filter="spec", filter_keys=["topic", "part", "flag", "ratio"], block_bytes=b)
+        assert {(r.event_id, r["rank"]): (r.id, r.score) for r in out.collect()} == want
+
+
+def test_more_groups_than_the_driver_reads(spark, monkeypatch):
+    from qaflow.operators import topk
+
+    pts = spark.range(300).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"), (F.col("id") % 90).alias("part"))
+    q = spark.range(200).select(F.concat(F.lit("e"), "id").alias("event_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("qvec"),
+                                F.create_map(F.lit("part"), (F.col("id") % 100).cast("string")).alias("metadata"))
+    q = q.withColumn("spec", FL.metadata_must(F.col("metadata")))
+    few = similarity_topk(q, pts, 2, metadata_filter="spec", filter_keys=["part"]).orderBy("event_id", "rank").collect()
+    monkeypatch.setattr(topk, "GROUPS", 10)
+    assert similarity_topk(q, pts, 2, metadata_filter="spec", filter_keys=["part"]).orderBy("event_id", "rank").collect() == few
+    assert len(few) == 2 * 180
