@@ -6,20 +6,100 @@ contexts array<context>, response string, ts timestamp_ntz``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
-from .topk import similarity_topk
+from .topk import BLOCK_BYTES, _global_topk, asked_groups, grid, similarity_topk
+
+
+PIVOTS = 32
+# beyond this cosine distance a ball reaches most cells, so the plain grid is as good
+WIDE = 0.3
+
+
+def _cells(side: str, pivots: np.ndarray, radius: float, key: str, vec: str):
+    """Arrow batches of vectors with their cells of the pivot partition: one for a cached vector, all that its ball may meet for a question."""
+    sq = (pivots * pivots).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(vec)
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, pivots.shape[1])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            at = np.flatnonzero(np.isfinite(x).all(1))  # no direction, no cosine
+            away = np.sqrt(np.maximum((x[at] * x[at]).sum(1)[:, None] + sq[None, :] - 2 * x[at] @ pivots.T, 0))
+            near = away.argmin(1) if len(at) else np.zeros(0, np.int64)
+            if side == "p":
+                row, cell = np.arange(len(at)), near
+                ring = np.floor(away[row, cell] / radius).astype(np.int64)
+            else:
+                # a vector within the radius of the question may be in cell j only if d(q, j) - d(q, nearest) <= 2 r, and is within r of d(q, j)
+                row, cell = np.nonzero(away <= away.min(1, initial=np.inf)[:, None] + 2 * radius)
+                low = np.maximum(np.floor((away[row, cell] - radius) / radius), 0).astype(np.int64)
+                many = np.floor((away[row, cell] + radius) / radius).astype(np.int64) - low + 1
+                begin = np.cumsum(many) - many
+                ring = np.repeat(low - begin, many) + np.arange(int(many.sum()))
+                row, cell = np.repeat(row, many), np.repeat(cell, many)
+            take = pa.array(at[row])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(take), v.take(take), pa.array(cell.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(np.full(len(row), pivots.shape[1], np.int32))],
+                names=[f"{side}_{'key' if side == 'q' else 'id'}", f"{side}_vec", "cell", "ring", "dim"])
+
+    return run
+
+
+def nearest_within(questions: DataFrame, cache: DataFrame, tolerance: float, key: str = "event_id",
+                   block_bytes: int = BLOCK_BYTES, info: dict | None = None) -> DataFrame | None:
+    """C4: the nearest cache entry of a question by cosine, exact for entries within ``tolerance``: ``(key, rank, cache_id, score)``.
+
+    On unit vectors a cosine distance of t is a Euclidean one of sqrt(2 t), a metric. Cached vectors are dealt to the nearest
+    of ``PIVOTS`` pivots (cache entries, chosen by hash) and to rings of the ball's radius around it; by the triangle inequality
+    a question meets three rings of the cells that its ball can reach, and no others. The cells are then searched as the
+    groups of :func:`topk.grid`, so a cell or ring that holds most of the cache is cut into blocks like any other.
+    ``info["pruned"]``: the share of all pairs that is never scored. None if the cache is empty."""
+    info = info if info is not None else {}
+    cached = cache.where(F.size("cvec") > 0).select("cache_id", "cvec")
+    sample = cached.orderBy(F.xxhash64("cache_id", F.lit(7)), "cache_id").limit(PIVOTS).collect()  # PIVOTS rows
+    if not sample:
+        return None
+    dim = len(sample[0]["cvec"])
+    pivots = np.array([r["cvec"] for r in sample if len(r["cvec"]) == dim and None not in r["cvec"]], np.float64).reshape(-1, dim)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+    pivots = pivots[np.isfinite(pivots).all(1)]
+    if not len(pivots):
+        return similarity_topk(questions, cache, 1, key=key, point_id="cache_id", vector="cvec", metric="cosine", block_bytes=block_bytes, info=info)
+    radius = (2 * max(tolerance, 0.0)) ** 0.5 + 1e-6
+    group = ["cell", "ring", "dim"]
+    key_type, id_type = questions.schema[key].dataType, cache.schema["cache_id"].dataType
+    ask = questions.where(F.size("qvec") == dim).select(key, "qvec")
+    q = ask.mapInArrow(_cells("q", pivots, radius, key, "qvec"), f"q_key {key_type.simpleString()}, q_vec {questions.schema['qvec'].dataType.simpleString()}, cell int, ring int, dim int")
+    p = cached.where(F.size("cvec") == dim).mapInArrow(_cells("p", pivots, radius, "cache_id", "cvec"), f"p_id {id_type.simpleString()}, p_vec {cache.schema['cvec'].dataType.simpleString()}, cell int, ring int, dim int")
+    best = grid(q, p, group, asked_groups(q, group), 1, None, "cosine", (key, key_type), ("cache_id", id_type), block_bytes, info)
+    if "pairs" in info:
+        every = ask.count() * cached.count()
+        info["pruned"] = 1 - info["pairs"] / every if every else 0.0
+    return None if best is None else _global_topk(best, key, "cache_id", 1, 0)
 
 
-def cache_lookup(questions: DataFrame, cache: DataFrame, cfg, key: str = "event_id") -> DataFrame:
+def cache_lookup(questions: DataFrame, cache: DataFrame, cfg, key: str = "event_id", info: dict | None = None) -> DataFrame:
     """Nearest cache entry per question by cosine distance; hits within tolerance only.
 
     Returns ``(key, cache_id, distance, contexts, response)``.
     """
-    best = similarity_topk(questions, cache, 1, key=key, query_vector="qvec", point_id="cache_id",
-                           vector="cvec", metric=cfg.metric)
+    if cfg.metric == "cosine" and cfg.match_tolerance <= WIDE:
+        best = nearest_within(questions, cache, cfg.match_tolerance, key, info=info)
+    else:
+        best = similarity_topk(questions, cache, 1, key=key, point_id="cache_id", vector="cvec", metric=cfg.metric, info=info)
+    if best is None:
+        best = questions.sparkSession.createDataFrame([], T.StructType([questions.schema[key], cache.schema["cache_id"], T.StructField("score", T.DoubleType())]))
     dist = (F.lit(1.0) - F.col("score")) if cfg.metric == "cosine" else -F.col("score")
     hits = best.withColumn("distance", dist).where(F.col("distance") <= F.lit(cfg.match_tolerance))
     return hits.join(cache.select("cache_id", "contexts", "response"), "cache_id", "inner") \

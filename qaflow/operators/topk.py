@@ -20,11 +20,14 @@ Scores are exact dot products (or cosine) in float64, summed in the order of the
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import filters as FL
 
@@ -243,49 +246,68 @@ def similarity_topk(questions: DataFrame, points: DataFrame, k: int, *, key: str
     group = FL.spec_group(metadata_filter, points.schema, filter_keys) if metadata_filter else FL.no_group()
     q = questions.where(F.size(query_vector) > 0).select(F.col(key).alias("q_key"), F.col(query_vector).alias("q_vec"), group.alias("g")) \
         .where("g IS NOT NULL").select("q_key", "q_vec", "g.keys", "g.vals", F.size("q_vec").alias("dim"))
-    asked = q.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("nq"))
-    counts = asked.limit(GROUPS + 1).collect()
-    few = len(counts) <= GROUPS
-    sets = _key_sets(counts if few else asked.select("keys").distinct().collect())  # bounded by the columns of the collection
-    pushed = _pushed(points, counts) if few else None
+    asked = asked_groups(q, _GROUP)
+    sets = _key_sets(asked.rows if asked.few else asked.df.select("keys").distinct().collect())  # bounded by the columns of the collection
+    pushed = _pushed(points, asked.rows) if asked.few else None
     p = (points if pushed is None else points.where(pushed)).select(
         F.col(point_id).alias("p_id"), F.col(vector).alias("p_vec"), F.size(vector).alias("dim"), F.explode(_laid_out(points, sets)).alias("g")) \
         .select("p_id", "p_vec", "g.keys", "g.vals", "dim") if sets else None
-    if p is None:
-        info.update(n_questions=0, cells=0)
-        return spark.createDataFrame([], empty_schema)
-    if few:
-        asked = F.broadcast(spark.createDataFrame(counts, asked.schema))
-    sizes = p.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("np")).join(asked, _GROUP)
-    sizes = sizes.select(*_GROUP, "nq", _blocks("nq", block_bytes).alias("rows"), _blocks("np", block_bytes).alias("cols"))
-    info.update(n_questions=sum(r["nq"] for r in counts) if few else None)
-    if few:
-        found = sizes.collect()  # at most a row for each row of counts
-        info["cells"] = sum(r["rows"] * r["cols"] for r in found)
-        dims = {r["dim"] for r in found}
-        if len({r["dim"] for r in counts}) == 1 and dims:
-            info["dim"] = dims.pop()
-        sizes = F.broadcast(spark.createDataFrame(found, sizes.schema))
+    best = p is not None and grid(q, p, _GROUP, asked, k + offset, threshold, metric, (key, key_type), (point_id, id_type), block_bytes, info)
+    info.setdefault("n_questions", 0)
     if "dim" not in info:
         some = points.select(F.size(vector)).first()
         if some is not None:
             info["dim"] = some[0]
-    if few and not found:
-        return spark.createDataFrame([], empty_schema)
-    # the salt is of the row, so equal ids or vectors do not meet in one block
+    return _global_topk(best, key, point_id, k + offset, offset) if best else spark.createDataFrame([], empty_schema)
+
+
+@dataclass
+class Asked:
+    """The groups of a question table and the questions in each; ``rows`` holds them if they are ``few``."""
+
+    df: DataFrame
+    rows: list
+    few: bool
+
+
+def asked_groups(q: DataFrame, group: list[str]) -> Asked:
+    df = q.groupBy(*group).agg(F.count(F.lit(1)).alias("nq"))
+    rows = df.limit(GROUPS + 1).collect()
+    few = len(rows) <= GROUPS
+    return Asked(F.broadcast(q.sparkSession.createDataFrame(rows, df.schema)) if few else df, rows, few)
+
+
+def grid(q: DataFrame, p: DataFrame, group: list[str], asked: Asked, kk: int, threshold: float | None, metric: str,
+         key: tuple, point: tuple, block_bytes: int, info: dict) -> DataFrame | None:
+    """The ``kk`` best points of each question in each cell. ``q``: q_key, q_vec and the columns of ``group`` (with
+    ``dim``, the vector's size); ``p``: p_id, p_vec and the same. None if no group has rows on both sides."""
+    spark = q.sparkSession
+    sizes = p.groupBy(*group).agg(F.count(F.lit(1)).alias("np")).join(asked.df, group)
+    sizes = sizes.select(*group, "nq", "np", _blocks("nq", block_bytes).alias("rows"), _blocks("np", block_bytes).alias("cols"))
+    if asked.few:
+        info["n_questions"] = sum(r["nq"] for r in asked.rows)
+        found = sizes.collect()  # at most a row for each group that is asked for
+        info["cells"] = sum(r["rows"] * r["cols"] for r in found)
+        info["pairs"] = sum(r["nq"] * r["np"] for r in found)
+        dims = {r["dim"] for r in found}
+        if len({r["dim"] for r in asked.rows}) == 1 and dims:
+            info["dim"] = dims.pop()
+        if not found:
+            return None
+        sizes = F.broadcast(spark.createDataFrame(found, sizes.schema))
+    else:
+        info["n_questions"] = None
+    # a block is chosen by the whole row, so equal ids or vectors do not meet in one
     row = F.pmod(F.xxhash64("q_key", "q_vec"), F.col("rows")).cast("int")
     col = F.pmod(F.xxhash64("p_id"), F.col("cols")).cast("int")
-    cell = [*_GROUP, "row", "col"]
-    left = q.join(sizes, _GROUP).select("q_key", "q_vec", *_GROUP, row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
-    right = p.join(sizes, _GROUP).select("p_id", "p_vec", *_GROUP, col.alias("col"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    cell = [*group, "row", "col"]
+    left = q.join(sizes, group).select("q_key", "q_vec", *group, row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
+    right = p.join(sizes, group).select("p_id", "p_vec", *group, col.alias("col"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
     right = right.select("p_id", "p_vec", *[F.col(c).alias(f"p_{c}") for c in cell])
-    kk = k + offset
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out_schema = T.StructType([T.StructField(key, key_type), T.StructField(point_id, id_type), T.StructField("score", T.DoubleType())])
-    run = _cell(kk, threshold, metric, key, point_id, to_arrow_type(key_type), to_arrow_type(id_type))
-    best = left.groupBy(*cell).cogroup(right.groupBy(*[f"p_{c}" for c in cell])).applyInArrow(run, out_schema)
-    return _global_topk(best, key, point_id, kk, offset)
+    (key_name, key_type), (id_name, id_type) = key, point
+    schema = T.StructType([T.StructField(key_name, key_type), T.StructField(id_name, id_type), T.StructField("score", T.DoubleType())])
+    run = _cell(kk, threshold, metric, key_name, id_name, to_arrow_type(key_type), to_arrow_type(id_type))
+    return left.groupBy(*cell).cogroup(right.groupBy(*[f"p_{c}" for c in cell])).applyInArrow(run, schema)
 
 
 def _global_topk(cands: DataFrame, key: str, pid: str, kk: int, offset: int) -> DataFrame:
