@@ -641,12 +641,37 @@ _ARTICLES_SQL = ("WITH cur AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, s
                  "UNION ALL SELECT doc_id, text, created_by FROM last WHERE text IS NOT NULL AND text <> '')\n")
 
 
+def _article_store(spark, d, name):
+    store = A.ArticleStore(spark, shared_path(spark, name), buckets=16)
+    store.append(A.articles_from_documents(TB.table(spark, d, "documents")))
+    return store
+
+
+def _patch(spark, d):
+    return A.patch_from_labels(TB.table(spark, d, "documents"), TB.table(spark, d, "labels"), TB.table(spark, d, "benchmark"))
+
+
 @register("patch_articles", _ARTICLES_SQL + "SELECT doc_id, text, created_by FROM newv")
 def patch_articles(spark, d):
-    docs = TB.table(spark, d, "documents")
-    cur = A.articles_from_documents(docs)
-    patch = A.patch_from_labels(docs, TB.table(spark, d, "labels"), TB.table(spark, d, "benchmark"))
-    return A.apply_patch(cur, patch).select("doc_id", "text", "created_by")
+    """The patch as changes of a versioned store, merged on read."""
+    store = _article_store(spark, d, "articles")
+    store.apply(_patch(spark, d))
+    return store.read().select("doc_id", "text", "created_by")
+
+
+@register("compact_articles", _ARTICLES_SQL + """SELECT doc_id, text, created_by FROM newv WHERE NOT starts_with(doc_id, 'b')
+UNION ALL SELECT doc_id, text || ' (again)', 'second' FROM newv WHERE starts_with(doc_id, 'b')""")
+def compact_articles(spark, d):
+    """Two patches, the second over the first (each new article is sent again), then compaction and removal of the old files."""
+    store = _article_store(spark, d, "articles-compact")
+    patch = _patch(spark, d)
+    store.apply(patch)
+    store.compact()
+    again = patch.where(F.col("doc_id").startswith("b")).withColumn("text", F.concat("text", F.lit(" (again)"))).withColumn("created_by", F.lit("second"))
+    store.apply(again)
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "text", "created_by")
 
 
 @register("get_article", "SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, d.text, d.source AS created_by, "
@@ -661,39 +686,58 @@ def get_article(spark, d):
 _EVAL_SQL = (f"WITH rec AS (SELECT {_EVENT_ID_SQL} AS event_id, event_type, value, ts FROM events)\n")
 
 
+def _eval_log(spark, d, name):
+    log = EL.EvalLog(spark, shared_path(spark, name), buckets=2)
+    log.append(EL.from_events(TB.table(spark, d, "events")))
+    return log
+
+
+_METRIC = TX.json_field(F.col("log"), "metric").alias("metric")
+
+
 @register("eval_log_read", _EVAL_SQL + "SELECT event_id, event_type AS metric, value FROM rec")
 def eval_log_read(spark, d):
-    """Eval records (from ``events``) written to the log folder and read back whole."""
-    path = shared_path(spark, "evallog")
-    EL.write(EL.from_events(TB.table(spark, d, "events")), path)
-    back = EL.read(spark, path)
-    return back.select("event_id", TX.json_field(F.col("log"), "metric").alias("metric"),
-                       TX.json_field(F.col("log"), "value").cast("double").alias("value"))
+    """Eval records (from ``events``) appended to the log and read back whole."""
+    return _eval_log(spark, d, "evallog").read().select("event_id", _METRIC, TX.json_field(F.col("log"), "value").cast("double").alias("value"))
 
 
 @register("eval_log_delete", _EVAL_SQL + "SELECT event_id, event_type AS metric FROM rec WHERE event_type <> 'error'")
 def eval_log_delete(spark, d):
-    """A10: delete every record of the events of type ``error`` (an anti join on event ids)."""
+    """A10: tombstones for every event of type ``error``, applied on read."""
+    log = _eval_log(spark, d, "evallog-delete")
+    log.delete(log.read().where(TX.json_field(F.col("log"), "metric") == "error"))
+    return log.read().select("event_id", _METRIC)
+
+
+@register("eval_log_lifecycle", _EVAL_SQL + """SELECT event_id, event_type AS metric, value FROM rec WHERE event_type <> 'error'
+UNION ALL SELECT event_id, 'late', value FROM rec WHERE event_type = 'error'""")
+def eval_log_lifecycle(spark, d):
+    """A batch is sent twice, deleted events are written again later, the log is compacted and the old files removed."""
+    log = EL.EvalLog(spark, shared_path(spark, "evallog-life"), buckets=2)
     recs = EL.from_events(TB.table(spark, d, "events"))
-    metric = TX.json_field(F.col("log"), "metric")
-    doomed = recs.where(metric == "error").select("event_id")
-    return EL.delete(recs, doomed).select("event_id", metric.alias("metric"))
+    for _ in range(2):
+        log.append(recs, batch="first")
+    errors = recs.where(TX.json_field(F.col("log"), "metric") == "error")
+    log.delete(errors)
+    log.compact()
+    log.append(errors.withColumn("log", F.to_json(F.struct(F.lit("late").alias("metric"), TX.json_field(F.col("log"), "value").cast("double").alias("value")))), batch="second")
+    log.vacuum()
+    return log.read().select("event_id", _METRIC, TX.json_field(F.col("log"), "value").cast("double").alias("value"))
 
 
 @register("eval_latest_of_day", _EVAL_SQL + "SELECT event_id, json_object('metric', event_type, 'value', value) AS log "
           "FROM rec WHERE event_id LIKE '%2024-01-01%' ORDER BY event_id DESC LIMIT 1")
 def eval_latest_of_day(spark, d):
-    recs = EL.from_events(TB.table(spark, d, "events"))
     name = "eval_records_view"
-    recs.createOrReplaceTempView(name)
+    _eval_log(spark, d, "evallog-day").of_day("2024-01-01").createOrReplaceTempView(name)
     return EL.latest_of_day(spark, name, "2024-01-01")
 
 
 @register("eval_latest_by_ts", _EVAL_SQL + "SELECT event_id, event_type AS metric FROM rec "
           "WHERE CAST(ts AS DATE) = DATE '2024-01-01' ORDER BY ts DESC, event_id DESC LIMIT 1")
 def eval_latest_by_ts(spark, d):
-    recs = EL.from_events(TB.table(spark, d, "events"))
-    return EL.latest_by_ts(recs, "2024-01-01").select("event_id", TX.json_field(F.col("log"), "metric").alias("metric"))
+    recs = _eval_log(spark, d, "evallog-ts").of_day("2024-01-01")
+    return EL.latest_by_ts(recs, "2024-01-01").select("event_id", _METRIC)
 
 
 @register("validate_requests", "SELECT conv_id, turn, role = 'user' AS valid, CASE WHEN role = 'user' THEN text END AS user_query "
@@ -781,15 +825,10 @@ def stream_answers(spark, d):
 
 @register("stream_patches", _ARTICLES_SQL + "SELECT doc_id, text, created_by FROM newv")
 def stream_patches(spark, d):
-    """The article patch feed as a stream; each batch writes a new table version, the
-    last of which equals the batch patch result."""
-    from ..streaming.streams import latest_version, patch_stream
-    docs = TB.table(spark, d, "documents")
-    base = shared_path(spark, "articles-v0")
-    A.articles_from_documents(docs).write.parquet(base)
+    """The article patch feed as a stream into the store; the last version equals the batch patch result."""
+    from ..streaming.streams import patch_stream
+    store = _article_store(spark, d, "articles-stream")
     src = shared_path(spark, "patches-in")
-    A.patch_from_labels(docs, TB.table(spark, d, "labels"), TB.table(spark, d, "benchmark")) \
-        .withColumn("seq", F.col("seq").cast("long")).write.json(src)
-    versions, ck = shared_path(spark, "articles-versions"), shared_path(spark, "patch-ck")
-    patch_stream(spark, src, base, versions, ck).awaitTermination()
-    return latest_version(spark, base, versions).select("doc_id", "text", "created_by")
+    _patch(spark, d).withColumn("seq", F.col("seq").cast("long")).write.json(src)
+    patch_stream(spark, src, store, shared_path(spark, "patch-ck")).awaitTermination()
+    return store.read().select("doc_id", "text", "created_by")

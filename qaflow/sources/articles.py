@@ -1,7 +1,8 @@
 """Article ingest and maintenance.
 
-Plain parquet tables take no DELETE/MERGE, so a patch produces a new version
-(anti join + union), written by the caller to a fresh folder.
+:class:`ArticleStore` keeps the articles as a versioned table in hash buckets: a patch writes the patched rows
+only and is merged on read; compaction rewrites the buckets that it touched. :func:`apply_patch` is the same
+semantics on two DataFrames.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .versioned import VersionedTable, bucket
+
 ARTICLE_JSON_SCHEMA = T.StructType([
     T.StructField("doc_id", T.StringType()),
     T.StructField("text", T.StringType()),
@@ -105,6 +108,23 @@ def get_articles(articles: DataFrame, ids: DataFrame | str, key: str = "doc_id")
     return articles.join(ids.select(F.col(key)).distinct(), key, "left_semi").select(*cols)
 
 
+class ArticleStore(VersionedTable):
+    """Articles by ``doc_id``."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        super().__init__(spark, root, ARTICLE_TYPE, "doc_id", [bucket(buckets)])
+
+    def apply(self, patch: DataFrame, order_col: str = "seq", batch: str | None = None) -> int:
+        """Insert new ids, replace existing ones, delete those without text; the last one of an id wins."""
+        return self.patch(patch, F.coalesce(F.col("text"), F.lit("")) == "", F.col(order_col), batch)
+
+    def get(self, ids: list[str] | DataFrame) -> DataFrame:
+        """Articles by id; a list of ids reads their buckets only."""
+        if isinstance(ids, DataFrame):
+            return get_articles(self.read(), ids)
+        return self.read(where=self.of_keys(ids)).where(F.col("doc_id").isin(ids))
+
+
 def articles_from_documents(documents: DataFrame) -> DataFrame:
     """Article table from ``documents``: doc_id as text, created_by = source."""
     return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text",

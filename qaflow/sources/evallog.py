@@ -1,18 +1,21 @@
 """Eval log sink and its reads.
 
 Records: ``event_id string, log string`` (JSON ``{"metric", "value"}``) plus ``ts``
-parsed from the event id. Appends go to a parquet folder; deletes write a new
-version (parquet takes no DELETE).
+parsed from the event id. :class:`EvalLog` keeps them by the day in the event id and by
+buckets of event ids, with versions: a batch is appended once, a delete writes tombstones,
+and reads of an event or of a day read their partitions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import event_id as make_event_id
 from ..functions.text import event_time, json_field
+from .versioned import Part, VersionedTable, bucket
 
 
 def records(metrics: DataFrame) -> DataFrame:
@@ -21,18 +24,39 @@ def records(metrics: DataFrame) -> DataFrame:
     return metrics.select("event_id", log.alias("log"), event_time(F.col("event_id")).alias("ts"))
 
 
+RECORD_TYPE = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("log", T.StringType()), T.StructField("ts", T.TimestampType())])
+NO_DAY = "none"
+
+
+def day_of(event_id: Column) -> Column:
+    """The day inside an event id, as text; ``none`` for ids without one."""
+    day = F.substring(event_id, 37, 10)
+    return F.when(day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), day).otherwise(F.lit(NO_DAY))
+
+
+class EvalLog(VersionedTable):
+    """Eval records in partitions of day and event bucket."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 8) -> None:
+        super().__init__(spark, root, RECORD_TYPE, "event_id", [Part("day", T.StringType(), day_of), bucket(buckets)])
+
+    def of_event(self, event_id: str) -> DataFrame:
+        return self.read(where=self.of_keys([event_id])).where(F.col("event_id") == F.lit(event_id))
+
+    def of_day(self, day: str) -> DataFrame:
+        """The records of a day, with those whose ids have no day: the partitions in which an id may name the day."""
+        return self.read(where=F.col("day").isin(day, NO_DAY))
+
+
 def write(records_df: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append; with ``batch_id`` a replayed batch overwrites its own folder."""
-    if batch_id is None:
-        records_df.write.mode("append").parquet(path)
-    else:
-        records_df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    """Append; with ``batch_id`` a batch that is replayed is written once."""
+    EvalLog(records_df.sparkSession, path).append(records_df, None if batch_id is None else str(batch_id))
 
 
 def read(spark: SparkSession, path: str, event_id: str | None = None) -> DataFrame:
-    """All records, or those of one event (pushed down to the scan)."""
-    df = spark.read.parquet(path).select("event_id", "log", "ts")
-    return df if event_id is None else df.where(F.col("event_id") == F.lit(event_id))
+    """All records, or those of one event (its partition only)."""
+    log = EvalLog(spark, path)
+    return log.read() if event_id is None else log.of_event(event_id)
 
 
 def delete(records_df: DataFrame, event_ids: DataFrame | str | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Each micro-batch runs the batch operators inside ``foreachBatch`` (windows such as
 the top-k ``row_number`` are not allowed directly on a stream). Every write is keyed
-by ``batch_id`` and overwrites its own folder, so a replayed batch after a failure
-replaces its output instead of doubling it.
+by ``batch_id``: answers overwrite the batch's own folder, eval records, patches and cache entries
+are committed once, so a batch that is replayed after a failure does not double its output.
 """
 
 from __future__ import annotations
@@ -50,38 +50,17 @@ def answer_stream(spark: SparkSession, source_dir: str, pipeline: Pipeline, out_
     return writer.start()
 
 
-def patch_stream(spark: SparkSession, source_dir: str, base_path: str, versions_path: str, checkpoint: str,
-                 available_now: bool = True):
-    """Article patches per micro-batch -> a new table version folder ``v=<batch_id>``.
-
-    The batch reads the newest earlier version (or ``base_path``), applies C3 and
-    writes its own version; replays overwrite the same version.
-    """
+def patch_stream(spark: SparkSession, source_dir: str, store: A.ArticleStore, checkpoint: str, available_now: bool = True,
+                 compact_every: int = 16):
+    """Article patches per micro-batch -> changes in the store, once for each batch id; the buckets that were
+    touched are compacted every ``compact_every`` batches."""
     stream = spark.readStream.schema(PATCH_STREAM_SCHEMA).json(source_dir)
 
     def run_batch(df: DataFrame, batch_id: int) -> None:
-        current = latest_version(spark, base_path, versions_path, before=batch_id)
-        A.apply_patch(current, df).write.mode("overwrite").parquet(f"{versions_path.rstrip('/')}/v={batch_id}")
+        store.apply(df, batch=f"patches-{batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            store.compact()
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
-
-
-def latest_version(spark: SparkSession, base_path: str, versions_path: str, before: int | None = None) -> DataFrame:
-    """The newest written version folder (``v=<n>``, n < before), else the base table."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(versions_path)
-    fs = path.getFileSystem(conf)
-    best = None
-    if fs.exists(path):
-        for st in fs.listStatus(path):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                n = int(name[2:])
-                if (before is None or n < before) and (best is None or n > best):
-                    best = n
-    if best is None:
-        return spark.read.parquet(base_path)
-    return spark.read.parquet(f"{versions_path.rstrip('/')}/v={best}")

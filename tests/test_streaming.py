@@ -3,8 +3,10 @@ import os
 
 from qaflow.plans.pipeline import Pipeline
 from qaflow.session import shared_path
+from qaflow.sources import evallog as EL
 from qaflow.sources import tables as TB
-from qaflow.streaming.streams import answer_stream, latest_version, patch_stream
+from qaflow.sources.articles import ArticleStore
+from qaflow.streaming.streams import answer_stream, patch_stream
 from tests.conftest import SF_SMALL
 
 
@@ -26,19 +28,20 @@ def test_answer_stream_available_now(spark):
     answer_stream(spark, src, p, out, ck, eval_path=ev).awaitTermination(300)
     got = spark.read.parquet(out)
     assert got.count() == 20 and got.where("generated_text IS NULL").count() == 0
-    assert spark.read.parquet(ev).select("event_id").distinct().count() == 20
+    assert EL.read(spark, ev).select("event_id").distinct().count() == 20
 
 
 def test_patch_stream_versions(spark):
-    base = shared_path(spark, "base")
-    spark.createDataFrame([("1", "a", None, None), ("2", "b", None, None)],
-                          "doc_id string, text string, created_by string, created_date timestamp").write.parquet(base)
+    store = ArticleStore(spark, shared_path(spark, "store"), buckets=4)
+    store.append(spark.createDataFrame([("1", "a", None, None), ("2", "b", None, None)],
+                                       "doc_id string, text string, created_by string, created_date timestamp"))
     src = shared_path(spark, "patch-src")
     os.makedirs(_local(src), exist_ok=True)
     with open(os.path.join(_local(src), "p.json"), "w") as f:
         f.write(json.dumps({"doc_id": "1", "text": "", "seq": 1}) + "\n")
         f.write(json.dumps({"doc_id": "3", "text": "c", "seq": 1}) + "\n")
-    versions, ck = shared_path(spark, "versions"), shared_path(spark, "ck2")
-    patch_stream(spark, src, base, versions, ck).awaitTermination(300)
-    cur = latest_version(spark, base, versions)
-    assert {r.doc_id: r.text for r in cur.collect()} == {"2": "b", "3": "c"}
+    patch_stream(spark, src, store, shared_path(spark, "ck2")).awaitTermination(300)
+    assert {r.doc_id: r.text for r in store.read().collect()} == {"2": "b", "3": "c"}
+    # the feed is read again from the start: its batches are known
+    patch_stream(spark, src, store, shared_path(spark, "ck3")).awaitTermination(300)
+    assert store.version() == 1
