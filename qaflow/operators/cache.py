@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..sources.versioned import VersionedTable, bucket
+from .retrieve import CONTEXTS_TYPE
 from .topk import BLOCK_BYTES, _global_topk, asked_groups, grid, similarity_topk
 
 
@@ -129,6 +131,32 @@ def cache_write(cache: DataFrame, entries: DataFrame, size: int | None = None) -
     new = last_per_key(entries, "cache_id", "ts").select(*entries.columns) \
         .join(cache.select("cache_id"), "cache_id", "left_anti")
     out = cache.unionByName(new)
-    if size is not None:
-        out = out.orderBy(F.col("ts").desc(), F.col("cache_id").asc()).limit(int(size))
-    return out
+    return out if size is None else newest(out, size)
+
+
+def newest(cache: DataFrame, size: int) -> DataFrame:
+    return cache.orderBy(F.col("ts").desc(), F.col("cache_id").asc()).limit(int(size))
+
+
+class CacheStore(VersionedTable):
+    """The cache as a versioned table; what one batch writes, the next one reads."""
+
+    def __init__(self, spark: SparkSession, root: str, dim_type: T.DataType | None = None, buckets: int = 16) -> None:
+        schema = T.StructType([
+            T.StructField("cache_id", T.LongType()), T.StructField("cvec", T.ArrayType(dim_type or T.FloatType())),
+            T.StructField("user_query", T.StringType()), T.StructField("contexts", CONTEXTS_TYPE),
+            T.StructField("response", T.StringType()), T.StructField("ts", T.TimestampNTZType())])
+        super().__init__(spark, root, schema, "cache_id", [bucket(buckets)])
+
+    def keep(self, entries: DataFrame, size: int | None = None, batch: str | None = None) -> int:
+        """Add the entries whose id is not there; with ``size`` the oldest ones beyond it go."""
+        if self.done(batch):
+            return self.version()
+        new = cache_write(self.read().limit(0), entries).join(self.read().select("cache_id"), "cache_id", "left_anti")
+        version = self.patch(new.select(*self.schema.fieldNames()), F.lit(False), batch=batch)
+        if size is not None:
+            now = self.read()
+            gone = now.select("cache_id").join(newest(now, size).select("cache_id"), "cache_id", "left_anti")
+            if not gone.isEmpty():
+                version = self.delete(gone)
+        return version

@@ -514,6 +514,50 @@ def cache_write(spark, d):
     return C.cache_write(cache, entries, size=300).select("cache_id", "ts")
 
 
+_MOVED_SQL = "list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + CASE WHEN i = 1 THEN 0.2 ELSE 0 END)"
+
+
+def _moved(vec):
+    """The vector with its first number moved by 0.2: near the old one, not equal to it."""
+    return F.transform(vec, lambda x, i: x.cast("double") + F.when(i == 0, 0.2).otherwise(0.0))
+
+
+@register("cache_hits_near", f"""WITH cache AS (SELECT vec_id AS cache_id, embedding AS cvec FROM embeddings WHERE label < 5),
+q AS (SELECT 'q' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS event_id, {_MOVED_SQL} AS qvec FROM embeddings),
+sc AS (SELECT q.event_id, c.cache_id, {O.DOT.format(a='q.qvec', b='c.cvec')} / (sqrt({O.DOT.format(a='q.qvec', b='q.qvec')}) *
+              sqrt({O.DOT.format(a='c.cvec', b='c.cvec')})) AS sim FROM q JOIN cache c ON TRUE)
+SELECT event_id, cache_id, round(1 - sim, 6) AS distance FROM sc
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY sim DESC, cache_id ASC) = 1 AND 1 - sim <= 0.05""")
+def cache_hits_near(spark, d):
+    """C4 with questions that are near their cached vectors but not equal to them."""
+    from ..config import CacheConfig
+    q = _questions(spark, d).select("event_id", _moved(F.col("qvec")).alias("qvec"))
+    h = C.cache_lookup(q, _cache_table(spark, d), CacheConfig())
+    return h.select("event_id", "cache_id", F.round("distance", 6).alias("distance"))
+
+
+@register("cache_two_batches", O.pipeline() + f""",
+vec AS (SELECT 'q' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS event_id, vec_id, embedding AS cvec, {_MOVED_SQL} AS qvec FROM embeddings),
+cached AS (SELECT p.event_id, p.context_ids, v.cvec FROM pipe p JOIN vec v ON v.event_id = p.event_id WHERE v.vec_id % 2 = 0 AND p.has_hits),
+sc AS (SELECT v.event_id, c.event_id AS cached_id, c.context_ids, {O.DOT.format(a='v.qvec', b='c.cvec')} / (sqrt({O.DOT.format(a='v.qvec', b='v.qvec')}) *
+              sqrt({O.DOT.format(a='c.cvec', b='c.cvec')})) AS sim FROM vec v JOIN cached c ON TRUE),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY sim DESC) = 1 AND 1 - sim <= 0.05)
+SELECT v.event_id, b.event_id IS NOT NULL AS cache_hit, b.context_ids AS cached_context_ids, '>The answer is 42.' AS response
+FROM vec v LEFT JOIN best b ON b.event_id = v.event_id""")
+def cache_two_batches(spark, d):
+    """C4 + C5: a first batch (every second question) answers and fills the cache; the second (all questions, moved a little)
+    finds it: hits skip to GENERATE with the cached contexts, the rest takes all stages."""
+    store = C.CacheStore(spark, shared_path(spark, "cache"))
+    cfg = PipelineConfig(generate=GenerateConfig(model=G.echo_model()))
+    p = Pipeline(points=_points(spark, d), config=cfg, filter_keys=["label"], cache_store=store,
+                 stages=["SECURITY", "RCACHE", "RETRIEVE", "CONSOLIDATE", "GENERATE", "WCACHE"])
+    q = _questions(spark, d)
+    p.run(q.where(F.substring("event_id", 2, 9).cast("long") % 2 == 0), batch="first")
+    s, _ = p.run(q.withColumn("qvec", _moved(F.col("qvec"))), batch="second")
+    ids = F.array_join(F.transform("contexts", lambda c: c["doc_id"]), ",")
+    return s.select("event_id", "cache_hit", F.when(F.col("cache_hit"), ids).alias("cached_context_ids"), "response")
+
+
 # ------------------------------------------------------------------------------ routing
 
 _STAGE_SQL_FULL = " || ".join(f"' > {K.STAGE_NAMES[s]}'" for s in range(8))
@@ -823,6 +867,36 @@ def stream_answers(spark, d):
     return spark.read.parquet(out).select("event_id", "generated_text")
 
 
+_SENT_SQL = "TIMESTAMP '2024-05-01 08:00:00' + to_seconds(conv_id * 100 + turn)"
+
+
+@register("stream_intake", "WITH req AS (SELECT conv_id, turn, role, text, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS event_id, "
+          + _SENT_SQL + " AS ts FROM conversations)\n"
+          f"SELECT {_EVENT_ID_SQL} AS event_id, role = 'user' AND text IS NOT NULL AS answered, CASE WHEN NOT (role = 'user' AND text IS NOT NULL) THEN "
+          "CASE WHEN role = 'user' THEN 'user_query is required' ELSE 'user_query must be a string' END END AS reason, "
+          "CASE WHEN role = 'user' AND text IS NOT NULL THEN CAST(ts AS DATE) END AS record_day FROM req")
+def stream_intake(spark, d):
+    """A13 + H11 + J1 + J2: all turns of ``conversations`` as request lines (turns that are not of the user send a number), each
+    sent twice: answered once, the others are in the quarantine once, and the eval records have the time of their event id."""
+    from ..streaming.streams import intake_stream
+    c = TB.table(spark, d, "conversations")
+    stamp = F.lit("2024-05-01 08:00:00").cast("timestamp_ntz") + F.make_interval(secs=(F.col("conv_id") * 100 + F.col("turn")).cast("double"))
+    head = [F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("sent_at")]
+    body = F.when(F.col("role") == "user", F.to_json(F.struct(*head, F.col("text").alias("user_query")))) \
+        .otherwise(F.to_json(F.struct(*head, F.col("turn").alias("user_query"))))
+    lines = c.select(body.alias("value"))
+    src, out, bad = (shared_path(spark, x) for x in ("intake-in", "intake-out", "intake-bad"))
+    ev = shared_path(spark, "intake-eval")
+    p = Pipeline(points=_points(spark, d), encoder=V.hash_encoder(64))
+    for _ in range(2):  # the second time, all lines are replays in new files
+        lines.write.mode("append").text(src)
+        intake_stream(spark, src, p, out, bad, src + "-checkpoint", eval_path=ev).awaitTermination()
+    got = spark.read.parquet(out).select("event_id", F.lit(True).alias("answered"), F.lit(None).cast("string").alias("reason"))
+    none = spark.read.parquet(bad).select("event_id", F.lit(False).alias("answered"), "reason")
+    days = EL.read(spark, ev).where(_METRIC == "prompt").select("event_id", F.to_date("ts").alias("record_day"))
+    return got.unionByName(none).join(days, "event_id", "left")
+
+
 @register("stream_patches", _ARTICLES_SQL + "SELECT doc_id, text, created_by FROM newv")
 def stream_patches(spark, d):
     """The article patch feed as a stream into the store; the last version equals the batch patch result."""

@@ -199,7 +199,7 @@ def cache_read_stage(cache: DataFrame | None, cfg, encoder=None) -> Stage:
 
 
 def cache_write_stage() -> Stage:
-    """C5 marker: the write itself is a sink (:func:`operators.cache.cache_write`)."""
+    """Where answered rows are marked to be cached; :meth:`Pipeline.run` writes them once the answers are there."""
 
     def apply(state: DataFrame, nxt):
         return gated(state, {}, next_or_end(nxt))
@@ -214,6 +214,8 @@ class Pipeline:
     encoder: object | None = None
     filter_keys: list | None = None
     cache: DataFrame | None = None
+    # read by RCACHE and written by WCACHE; what a run writes, the next one reads
+    cache_store: C.CacheStore | None = None
     rewriter: object | None = None
     rerank_scorer: object | None = None
     stages: list[str] | None = None  # names; default = the shipped four
@@ -223,7 +225,7 @@ class Pipeline:
         names = self.stages or ["SECURITY", "RETRIEVE", "CONSOLIDATE", "GENERATE"]
         make = {
             "SECURITY": lambda: security_stage(cfg.redaction.redaction_map, cfg.redaction.patterns),
-            "RCACHE": lambda: cache_read_stage(self.cache, cfg.cache, self.encoder),
+            "RCACHE": lambda: cache_read_stage(self.cache if self.cache_store is None else self.cache_store.read(), cfg.cache, self.encoder),
             "REWRITE": lambda: rewrite_stage(self.rewriter),
             "RETRIEVE": lambda: retrieve_stage(self.points, cfg.retrieval, self.encoder, self.filter_keys),
             "RERANK": lambda: rerank_stage(cfg.rerank, self.rerank_scorer),
@@ -249,8 +251,11 @@ class Pipeline:
         extra.update({m: F.lit(None).cast("string") for m in STATE_METRICS})
         return s.withColumns(extra)
 
-    def run(self, requests: DataFrame, timed: bool = False) -> tuple[DataFrame, dict]:
-        """Returns the final state and per-stage wall seconds (``timed`` checkpoints each stage)."""
+    def run(self, requests: DataFrame, timed: bool = False, batch: str | None = None) -> tuple[DataFrame, dict]:
+        """Returns the final state and per-stage wall seconds (``timed`` checkpoints each stage).
+
+        With WCACHE and a ``cache_store`` the state is computed, and the answers that no error or hit stands behind are
+        added to the cache: once for each ``batch``, so a replay writes nothing anew."""
         stages = self.build()
         state = self.initial_state(requests, stages[0].stage)
         seconds: dict[str, float] = {}
@@ -265,7 +270,11 @@ class Pipeline:
             clock[0] = now
             return df
 
-        return run_stages(state, stages, linked=True, after_stage=after), seconds
+        state = run_stages(state, stages, linked=True, after_stage=after)
+        if self.cache_store is not None and any(st.stage == K.WCACHE for st in stages):
+            state = materialised(state, "answered")
+            self.cache_store.keep(C.cache_entries(state), self.config.cache.size, batch)
+        return state, seconds
 
 
 def answers(state: DataFrame) -> DataFrame:

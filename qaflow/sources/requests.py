@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import event_id
+
 REQUEST_SCHEMA = "user_query string, metadata map<string,string>"
 
 
@@ -42,3 +44,21 @@ def valid_requests(validated: DataFrame) -> DataFrame:
 
 def quarantine(validated: DataFrame) -> DataFrame:
     return validated.where("NOT valid")
+
+
+def intake(lines: DataFrame, within: str = "1 day") -> DataFrame:
+    """A13 + H11 on a stream (or table) of request lines: ``event_id, sent_at`` and the columns of the validation, each request once.
+
+    The event id is made of what the sender says: ``request_id`` and ``sent_at``; without them, of the file and the line,
+    and of the file's time. A request that is sent again, in any file and batch, thus has the same id and is dropped while its
+    id is kept as state: ``within`` of its arrival. The watermark is on the arrival, so no request is ever too late."""
+    parsed = F.try_parse_json(F.col("value"))
+    sent = F.coalesce(F.try_variant_get(parsed, "$.sent_at", "timestamp"), F.col("_metadata.file_modification_time"))
+    name = F.coalesce(F.try_variant_get(parsed, "$.request_id", "string"), F.sha2(F.concat_ws("|", F.col("_metadata.file_path"), F.col("value")), 256))
+    rows = lines.select("value", sent.alias("sent_at"), name.alias("request_id"), F.current_timestamp().alias("arrived"))
+    rows = rows.withColumn("event_id", event_id(F.col("request_id"), F.col("sent_at")))
+    if rows.isStreaming:
+        rows = rows.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["event_id"])
+    else:
+        rows = rows.dropDuplicates(["event_id"])
+    return validate_json_requests(rows).drop("arrived")

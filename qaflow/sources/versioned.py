@@ -131,7 +131,8 @@ class VersionedTable:
         if commits[-1]["version"] < gone:
             raise ValueError(f"version {version} of {self.root} was removed by vacuum")
         columns = self.schema.fieldNames()
-        base = self._scan("base").where(self._live(commits, ("base", "compact")))
+        written = any(c["kind"] in ("base", "compact") for c in commits)
+        base = self._scan("base").where(self._live(commits, ("base", "compact"))) if written else self.spark.createDataFrame([], self.full)
         if where is not None:
             base = base.where(where)
         if not self._changed(commits):

@@ -52,3 +52,24 @@ def test_equals_the_full_scan(spark, tolerance):
     if tolerance <= 0.05:
         assert info["pruned"] > 0.5
     assert C.cache_lookup(q, cache.limit(0), CacheConfig()).count() == 0
+
+
+def test_store_size_and_replays(spark):
+    from pyspark.sql import functions as F
+
+    from qaflow.session import shared_path
+
+    store = C.CacheStore(spark, shared_path(spark, "cache"), buckets=4)
+    assert store.read().count() == 0
+
+    def entries(ids, text):
+        rows = spark.createDataFrame([(i, [float(i), 1.0], "q", [(1, "d", text, 1.0, None, None, False)], text) for i in ids], CACHE.replace(", ts timestamp_ntz", "").replace("double", "float"))
+        return rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(secs=F.col("cache_id").cast("double")))
+
+    store.keep(entries([1, 2, 2, 3], "old"), batch="a")
+    store.keep(entries([9], "replayed"), batch="a")
+    store.keep(entries([3, 4, 5], "new"), size=3, batch="b")
+    assert {r.cache_id: r.response for r in store.read().collect()} == {3: "old", 4: "new", 5: "new"}
+    store.compact()
+    store.vacuum()
+    assert {r.cache_id: r.contexts[0].text for r in store.read().collect()} == {3: "old", 4: "new", 5: "new"}
