@@ -167,7 +167,8 @@ def linked(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
             if len(seen) > FLUSH:
                 seen.clear()
 
-    found = saved(texts.mapInArrow(make, "node binary, set binary"), "verified-sets", compression="none").groupBy("node").agg(F.max("set").alias("set"))
+    # written behind the aggregate, so that the joins with it have exchanges of their own, which a hot pivot's rows may be split over
+    found = saved(texts.mapInArrow(make, "node binary, set binary").groupBy("node").agg(F.max("set").alias("set")), "verified-sets", compression="none")
     both = pairs.join(found.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(found.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
