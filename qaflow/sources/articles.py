@@ -7,10 +7,11 @@ semantics on two DataFrames.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialised, spread_for_cpu
 from .versioned import VersionedTable, bucket
 
 ARTICLE_JSON_SCHEMA = T.StructType([
@@ -49,15 +50,27 @@ def trim_articles(articles: DataFrame, order_col: str, head: int = 700, max_char
     return first.where(F.coalesce(F.length("text"), F.lit(0)) < max_chars)
 
 
-def build_collection(articles: DataFrame, encoder, key: str = "doc_id", text: str = "text", spread: bool = False) -> DataFrame:
-    """A2: point per article: id from a stable key (a number as it is, a text by its 64-bit hash), vector =
-    encoder(text), payload = every other column of the item as text, nulls left out."""
-    from ..session import spread_for_cpu
+def with_positions(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """0 to n-1 in the order of some columns, without a task that sees all rows: ranges are counted, then numbered from
+    what stands before them. The rows are written once, so that both passes see the same ranges."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = materialised(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
 
-    payload_cols = [c for c in articles.columns if c not in (key,)]
-    point_id = F.coalesce(F.col(key).try_cast("long"), F.xxhash64(F.col(key).cast("string")))
-    out = (spread_for_cpu(articles) if spread else articles).select(
-        point_id.alias("id"), encoder(F.col(text)).alias("vector"),
+def build_collection(articles: DataFrame, encoder, key: str = "doc_id", text: str = "text", spread: bool = False,
+                     order: list[str] | None = None) -> DataFrame:
+    """A2: point per article: id = 0-based position (in the order of the columns ``order``, or of the key), vector =
+    encoder(text), payload = every other column of the item as text, nulls left out."""
+    order = order or [key]
+    payload_cols = [c for c in articles.columns if c not in (key, *order)]
+    numbered = with_positions(articles, order, "_id")
+    out = (spread_for_cpu(numbered) if spread else numbered).select(
+        F.col("_id").alias("id"), encoder(F.col(text)).alias("vector"),
         F.col(key).cast("string").alias("doc_id"), *[F.col(c) for c in payload_cols if c != "doc_id"])
     if "payload" in articles.columns:
         return out
