@@ -33,7 +33,7 @@ def embedding_log(vec: Column) -> Column:
 
 
 def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
-                      point_id: str = "id", broadcast_hits: bool = False) -> DataFrame:
+                      point_id: str = "id", broadcast_hits: bool = False, vector: str | None = None) -> DataFrame:
     """Join the payload back to the top-k hits (only k rows per question travel).
 
     Hits are a small, bounded side (k per question); hinting them as the build side
@@ -41,7 +41,7 @@ def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
     """
     meta = FL.hit_metadata(F.col("payload")) if "payload" in points.columns else F.create_map().cast("map<string,string>")
     pay = points.select(F.col(point_id).alias("_pid"), F.col("doc_id").cast("string").alias("doc_id"), "text",
-                        meta.alias("meta"))
+                        meta.alias("meta"), *([F.col(vector).cast("array<double>").alias("vector")] if vector else []))
     h = F.broadcast(hits) if broadcast_hits else hits
     j = h.join(pay, h[point_id] == pay["_pid"], "inner")
     has_meta = F.coalesce(F.size("meta") > 0, F.lit(False))
@@ -49,19 +49,24 @@ def hits_with_payload(hits: DataFrame, points: DataFrame, key: str = "event_id",
         key, "rank", "score", "doc_id", "text",
         F.when(has_meta, F.col("meta").getItem("title")).alias("title"),
         F.when(has_meta, F.coalesce(F.col("meta").getItem("url"), F.lit(""))).alias("url"),
-        has_meta.alias("has_meta"),
+        has_meta.alias("has_meta"), *(["vector"] if vector else []),
     )
 
 
 def contexts_per_event(hits_payload: DataFrame, key: str = "event_id") -> DataFrame:
     """Long hits -> one row per event with contexts in rank order and the D2 log text."""
     ctx = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CONTEXT_TYPE.fields])
-    agg = hits_payload.groupBy(key).agg(F.array_sort(F.collect_list(ctx)).alias("contexts"))
+    parts = [F.array_sort(F.collect_list(ctx)).alias("contexts")]
+    extra = []
+    if "vector" in hits_payload.columns:  # for a reranker: in the order of the contexts
+        parts.append(F.array_sort(F.collect_list(F.struct("rank", "vector"))).alias("_v"))
+        extra = [F.transform("_v", lambda x: x["vector"]).alias("vectors")]
+    agg = hits_payload.groupBy(key).agg(*parts)
     # A context with metadata must have a title, else the event takes the error path
     bad_title = F.exists("contexts", lambda c: c["has_meta"] & c["title"].isNull())
     log = F.array_join(F.transform("contexts", lambda c: F.concat(c["doc_id"], F.lit(":"), score_text(c["score"]))),
                        ",")
-    return agg.select(key, "contexts", log.alias("hit_log"), bad_title.alias("bad_title"))
+    return agg.select(key, "contexts", log.alias("hit_log"), bad_title.alias("bad_title"), *extra)
 
 
 def fallback_context(prefix: str) -> Column:
@@ -92,8 +97,8 @@ def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: s
                       query_vector: str = "qvec", metadata: str | None = "metadata",
                       filter_keys=None, search_params=None, must=(), should=(),
                       max_broadcast_bytes: int = 64 << 20, block_bytes: int = BLOCK_BYTES, metric: str = "dot",
-                      info: dict | None = None) -> DataFrame:
-    """Questions -> ``(key, contexts, hit_log, bad_title)``: one row for each ``key`` with at least one hit.
+                      info: dict | None = None, with_vectors: bool = False) -> DataFrame:
+    """Questions -> ``(key, contexts, hit_log, bad_title)`` (and ``vectors``, those of the contexts): one row for each ``key`` with at least one hit.
     Without ``filter_keys`` metadata may name any plain column of ``points`` but its text."""
     q = questions
     spec = None
@@ -107,7 +112,8 @@ def retrieve_contexts(questions: DataFrame, points: DataFrame, k: int, *, key: s
     hits = similarity_topk(q, points, k, key=key, query_vector=query_vector, metadata_filter=spec,
                            filter_keys=filter_keys, must=must, should=should, search_params=search_params,
                            metric=metric, block_bytes=block_bytes, info=info)
-    return contexts_per_event(hits_with_payload(hits, points, key=key, broadcast_hits=hits_fit(info, k, max_broadcast_bytes)), key=key)
+    return contexts_per_event(hits_with_payload(hits, points, key=key, broadcast_hits=hits_fit(info, k, max_broadcast_bytes),
+                                                vector="vector" if with_vectors else None), key=key)
 
 
 _HIT_BYTES = 96

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..config import GenerateConfig, PipelineConfig, RetrievalConfig
+from ..config import GenerateConfig, PipelineConfig, RedactionConfig, RerankConfig, RetrievalConfig
 from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import cache as C
@@ -120,16 +120,26 @@ def eval_metrics_wide(spark, d):
     return wide.select("event_id", "cleaned_request", "prompt", "relevant_document_ids_scores", "response_text")
 
 
-@register("eval_log_write")
+_TIMED = "'clean_sensitive_info_seconds', 'embed_seconds', 'retrieve_seconds', 'query_llm_seconds'"
+
+
+@register("eval_log_write", O.pipeline() + """,
+emb AS (SELECT 'q' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS event_id, array_to_string(list_transform(embedding,
+               lambda x: CAST(CAST(CAST(x AS DOUBLE) AS DECIMAL(18,6)) AS VARCHAR)), ',') AS v FROM embeddings)
+SELECT p.event_id, m.metric, CASE m.metric WHEN 'cleaned_request' THEN cleaned_request WHEN 'user_query_embedding' THEN emb.v
+       WHEN 'relevant_document_ids_scores' THEN relevant_document_ids_scores WHEN 'prompt' THEN prompt ELSE 'seconds' END AS value
+FROM pipe p JOIN emb ON emb.event_id = p.event_id,
+     (VALUES ('clean_sensitive_info_seconds'), ('cleaned_request'), ('embed_seconds'), ('user_query_embedding'), ('retrieve_seconds'),
+             ('relevant_document_ids_scores'), ('prompt')) m(metric)""")
 def eval_log_write(spark, d):
-    """A8 + D7: timed run (a checkpoint per stage), records appended, read back. Rows-only
-    (``*_seconds`` are wall times)."""
+    """A8 + D7: timed run (a checkpoint per stage), records appended, read back. Wall times are only tested to be numbers."""
     p = Pipeline(points=_points(spark, d), filter_keys=["label"])
     state, secs = p.run(_questions(spark, d), timed=True)
     path = shared_path(spark, "eval")
     EL.write(EL.records(metric_rows(state, secs)), path)
-    return EL.read(spark, path).select("event_id", TX.json_field(F.col("log"), "metric").alias("metric"),
-                                       TX.json_field(F.col("log"), "value").alias("value"))
+    value = TX.json_field(F.col("log"), "value")
+    return EL.read(spark, path).select("event_id", TX.json_field(F.col("log"), "metric").alias("metric"), value.alias("v")) \
+        .select("event_id", "metric", F.when(F.expr(f"metric IN ({_TIMED})") & (F.col("v").try_cast("double") >= 0), F.lit("seconds")).otherwise(F.col("v")).alias("value"))
 
 
 @register("generate_with_fallback", O.pipeline() + f"""
@@ -463,6 +473,55 @@ def rerank_svm(spark, d):
     return RR.rerank_long(scored, F.col("margin"), 3).select("event_id", "rank", "doc_id", "margin")
 
 
+@register("rerank_ranking_svm")
+def rerank_ranking_svm(spark, d):
+    """K6 in the pipeline: a ranking SVM learned from pairs of each question's hits (label quality) reorders the contexts in the
+    RERANK stage. Trained, so no SQL: ``ordered`` says that the contexts are in the order of the exported weights."""
+    pts = _points(spark, d)
+    quality = TB.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("relevance"))
+    hits = _hits(spark, d, 5, points=pts).join(pts.select("id", "vector"), "id").join(quality, "id")
+    weights = RR.fit_ranking_svm(hits)
+    cfg = PipelineConfig(retrieval=RetrievalConfig(top_k=5), rerank=RerankConfig(top_k=3))
+    s, _ = Pipeline(points=pts, config=cfg, filter_keys=["label"], rerank_weights=weights, stages=["RETRIEVE", "RERANK"]).run(_questions(spark, d))
+    w = F.array(*[F.lit(x) for x in weights])
+    scores = F.reverse(F.array_sort(F.transform("context_vectors", lambda v: V.dot(v, w))))
+    top = s.select("event_id", "contexts", F.slice(scores, 1, 3).alias("best"))
+    own = top.select("event_id", "best", F.posexplode("contexts").alias("pos", "c")).join(pts.select(F.col("doc_id").alias("of"), V.dot(F.col("vector"), w).alias("score")), F.col("c.doc_id") == F.col("of"))
+    return own.select("event_id", F.col("c.rank").alias("rank"), F.col("c.doc_id").alias("doc_id"), F.round("score", 9).alias("score"),
+                      (F.abs(F.col("score") - F.col("best")[F.col("pos")]) < 1e-9).alias("ordered"))
+
+
+@register("redact_two_kinds", f"WITH {O.QUESTIONS.strip()}\nSELECT event_id, regexp_replace({O.redact('user_query')}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', '<REDACTED: Dates>', 'g') "
+          "AS cleaned_request FROM questions")
+def redact_two_kinds(spark, d):
+    """H2 through the pipeline's config: a second kind with its own pattern and token."""
+    kinds = RedactionConfig(redaction_map=K.REDACTION_TOKENS | {"Dates": "<REDACTED: Dates>"}, patterns={"Dates": "[0-9]{4}-[0-9]{2}-[0-9]{2}"})
+    s, _ = Pipeline(points=_points(spark, d), config=PipelineConfig(redaction=kinds), stages=["SECURITY"]).run(_questions(spark, d))
+    return s.select("event_id", F.col("m_cleaned_request").alias("cleaned_request"))
+
+
+@register("retrieve_bad_vectors", f"""WITH {O.POINTS.strip()}, {O.QUESTIONS.strip()}, {O.hits(2).strip()},
+q AS (SELECT event_id, CAST(substr(event_id, 2) AS BIGINT) % 3 AS kind FROM questions),
+agg AS (SELECT event_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids FROM hits GROUP BY event_id)
+SELECT q.event_id, CASE WHEN kind = 0 THEN coalesce(a.ids, '') ELSE '' END AS context_ids,
+       CASE WHEN kind = 1 THEN {O.lit(K.OTHER_ERROR_PREFIX + K.FALLBACK_TAIL)} WHEN kind = 2 THEN {O.lit(K.EMBED_ERROR_PREFIX + K.FALLBACK_TAIL)} END AS fallback,
+       CASE kind WHEN 1 THEN {O.lit(K.SEARCH_ARGUMENTS_ERROR)} WHEN 2 THEN {O.lit(K.EMBED_TIMEOUT_ERROR)} ELSE '' END AS error_types,
+       CAST(CASE WHEN kind = 2 THEN {K.GENERATE} END AS INTEGER) AS sentinel
+FROM q LEFT JOIN agg a ON a.event_id = q.event_id""")
+def retrieve_bad_vectors(spark, d):
+    """A third of the questions has a vector of another size, a third has none and an encoder that fails; the rest is answered."""
+    class Failing:
+        def encode(self, texts):
+            raise RuntimeError("no model today")
+
+    kind = F.substring("event_id", 2, 9).cast("long") % 3
+    q = _questions(spark, d).withColumn("qvec", F.when(kind == 0, F.col("qvec")).when(kind == 1, F.slice("qvec", 1, 5)))
+    s, _ = Pipeline(points=_points(spark, d), filter_keys=["label"], encoder=V.model_encoder(Failing, 64), stages=["RETRIEVE"]).run(q)
+    failed = F.size("errors") > 0
+    return s.select("event_id", F.when(failed, F.lit("")).otherwise(F.array_join(F.transform("contexts", lambda c: c["doc_id"]), ",")).alias("context_ids"),
+                    F.when(failed, F.element_at("contexts", 1)["text"]).alias("fallback"), _error_types().alias("error_types"), "sentinel")
+
+
 _CACHE_SQL = f"""WITH {O.QUESTIONS.strip()},
 cache AS (SELECT vec_id AS cache_id, embedding AS cvec FROM embeddings WHERE label < 5),
 sc AS (SELECT q.event_id, c.cache_id,
@@ -624,6 +683,24 @@ def scan_articles_json(spark, d):
     return back.select("doc_id", "text", "lang", "source", "url")
 
 
+@register("collection_from_json", """WITH a AS (SELECT d.doc_id, d.text, d.lang, d.source, p.url FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id)
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, '0' || CAST(doc_id AS VARCHAR) AS doc_id, text, lang AS region, '{"name":"' || source || '"}' AS publisher, url,
+       array_to_string(list_transform(string_split(lpad(CAST(doc_id AS VARCHAR), 6, '0'), ''), lambda x: CAST(CAST(x AS FLOAT) AS VARCHAR)), ',') AS vec FROM a""")
+def collection_from_json(spark, d):
+    """A1 + A2: all documents in files of one JSON array each, read in parallel with every key, numbered in the order of the files."""
+    from ..sources import json_array as J
+    docs, pages = TB.table(spark, d, "documents"), TB.table(spark, d, "pages")
+    item = F.to_json(F.struct(F.concat(F.lit("0"), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.col("lang").alias("region"),
+                              F.struct(F.col("source").alias("name")).alias("publisher"), "url", F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("code")))
+    arts = docs.join(pages, docs.doc_id == pages.page_id, "left").select("doc_id", item.alias("item"))
+    path = shared_path(spark, "article-arrays")
+    J.write_json_arrays(arts.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"), path)  # names of part files are in the order of the ranges
+    arts = J.read_articles_array(spark, path).where("valid").withColumn("code", F.col("payload")["code"])
+    coll = A.build_collection(arts, lambda t: TX.digit_encode(t, 6), text="code", order=["path", "block", "idx"])
+    return coll.select("id", "doc_id", "text", F.col("payload")["region"].alias("region"), F.col("payload")["publisher"].alias("publisher"), "url",
+                       F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").alias("vec"))
+
+
 @register("article_defaults", "SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, coalesce(CASE WHEN p.page_id IS NOT NULL THEN "
           "nullif(regexp_extract(p.html, '(?s)<title>(.*?)</title>', 1), '') END, 'Title: ' || CAST(d.doc_id AS VARCHAR)) "
           "AS title, TRUE AS valid FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")
@@ -736,13 +813,14 @@ def _eval_log(spark, d, name):
     return log
 
 
-_METRIC = TX.json_field(F.col("log"), "metric").alias("metric")
+def _metric():
+    return TX.json_field(F.col("log"), "metric").alias("metric")
 
 
 @register("eval_log_read", _EVAL_SQL + "SELECT event_id, event_type AS metric, value FROM rec")
 def eval_log_read(spark, d):
     """Eval records (from ``events``) appended to the log and read back whole."""
-    return _eval_log(spark, d, "evallog").read().select("event_id", _METRIC, TX.json_field(F.col("log"), "value").cast("double").alias("value"))
+    return _eval_log(spark, d, "evallog").read().select("event_id", _metric(), TX.json_field(F.col("log"), "value").cast("double").alias("value"))
 
 
 @register("eval_log_delete", _EVAL_SQL + "SELECT event_id, event_type AS metric FROM rec WHERE event_type <> 'error'")
@@ -750,7 +828,7 @@ def eval_log_delete(spark, d):
     """A10: tombstones for every event of type ``error``, applied on read."""
     log = _eval_log(spark, d, "evallog-delete")
     log.delete(log.read().where(TX.json_field(F.col("log"), "metric") == "error"))
-    return log.read().select("event_id", _METRIC)
+    return log.read().select("event_id", _metric())
 
 
 @register("eval_log_lifecycle", _EVAL_SQL + """SELECT event_id, event_type AS metric, value FROM rec WHERE event_type <> 'error'
@@ -766,7 +844,7 @@ def eval_log_lifecycle(spark, d):
     log.compact()
     log.append(errors.withColumn("log", F.to_json(F.struct(F.lit("late").alias("metric"), TX.json_field(F.col("log"), "value").cast("double").alias("value")))), batch="second")
     log.vacuum()
-    return log.read().select("event_id", _METRIC, TX.json_field(F.col("log"), "value").cast("double").alias("value"))
+    return log.read().select("event_id", _metric(), TX.json_field(F.col("log"), "value").cast("double").alias("value"))
 
 
 @register("eval_latest_of_day", _EVAL_SQL + "SELECT event_id, json_object('metric', event_type, 'value', value) AS log "
@@ -781,7 +859,7 @@ def eval_latest_of_day(spark, d):
           "WHERE CAST(ts AS DATE) = DATE '2024-01-01' ORDER BY ts DESC, event_id DESC LIMIT 1")
 def eval_latest_by_ts(spark, d):
     recs = _eval_log(spark, d, "evallog-ts").of_day("2024-01-01")
-    return EL.latest_by_ts(recs, "2024-01-01").select("event_id", _METRIC)
+    return EL.latest_by_ts(recs, "2024-01-01").select("event_id", _metric())
 
 
 @register("validate_requests", "SELECT conv_id, turn, role = 'user' AS valid, CASE WHEN role = 'user' THEN text END AS user_query "
@@ -893,7 +971,7 @@ def stream_intake(spark, d):
         intake_stream(spark, src, p, out, bad, src + "-checkpoint", eval_path=ev).awaitTermination()
     got = spark.read.parquet(out).select("event_id", F.lit(True).alias("answered"), F.lit(None).cast("string").alias("reason"))
     none = spark.read.parquet(bad).select("event_id", F.lit(False).alias("answered"), "reason")
-    days = EL.read(spark, ev).where(_METRIC == "prompt").select("event_id", F.to_date("ts").alias("record_day"))
+    days = EL.read(spark, ev).where(_metric() == "prompt").select("event_id", F.to_date("ts").alias("record_day"))
     return got.unionByName(none).join(days, "event_id", "left")
 
 

@@ -28,6 +28,7 @@ from ..operators import retrieve as R
 from ..session import materialised
 from .routing import GATE, Stage, append_error, gated, next_or_end, run_stages, start
 
+VECTORS_TYPE = "array<array<double>>"
 STATE_METRICS = ["m_cleaned_request", "m_user_query_embedding", "m_relevant_document_ids_scores",
                  "m_prompt", "m_response_text", "m_response_token_count"]
 
@@ -74,8 +75,8 @@ def encoded(state: DataFrame, encoder) -> DataFrame:
     return materialised(state.withColumn("qvec", F.coalesce("qvec", encoder(wanting))), "encoded")
 
 
-def retrieve_stage(points: DataFrame, cfg, encoder=None, filter_keys=None) -> Stage:
-    """C1/E1/B3-B8/G1/G2/D2/D3 on gated rows."""
+def retrieve_stage(points: DataFrame, cfg, encoder=None, filter_keys=None, with_vectors: bool = False) -> Stage:
+    """C1/E1/B3-B8/G1/G2/D2/D3 on gated rows; ``with_vectors`` keeps the contexts' vectors for a reranker."""
 
     def apply(state: DataFrame, nxt):
         gate = F.col(GATE)
@@ -95,13 +96,15 @@ def retrieve_stage(points: DataFrame, cfg, encoder=None, filter_keys=None) -> St
                 questions, points, cfg.top_k, key=R.SEARCH_KEY, metadata=metadata, info=info,
                 filter_keys=filter_keys, search_params=cfg.search_params,
                 must=cfg.search_filters.get("must", ()), should=cfg.search_filters.get("should", ()),
-                max_broadcast_bytes=cfg.max_broadcast_bytes, block_bytes=cfg.block_bytes, metric=cfg.metric)
+                max_broadcast_bytes=cfg.max_broadcast_bytes, block_bytes=cfg.block_bytes, metric=cfg.metric,
+                with_vectors=with_vectors)
             ctx = ctx.select(R.SEARCH_KEY, F.col("contexts").alias("_r_ctx"), F.col("hit_log").alias("_r_log"),
-                             F.col("bad_title").alias("_r_bad"))
+                             F.col("bad_title").alias("_r_bad"), *([F.col("vectors").alias("_r_vec")] if with_vectors else []))
             state = state.join(ctx, R.SEARCH_KEY, "left").drop(R.SEARCH_KEY)
         else:
             state = state.withColumn("_r_ctx", F.lit(None).cast(R.CONTEXTS_TYPE)) \
-                .withColumn("_r_log", F.lit(None).cast("string")).withColumn("_r_bad", F.lit(None).cast("boolean"))
+                .withColumn("_r_log", F.lit(None).cast("string")).withColumn("_r_bad", F.lit(None).cast("boolean")) \
+                .withColumn("_r_vec", F.lit(None).cast(VECTORS_TYPE))
         embed_failed = ~has_vec
         bad_size = F.size("qvec") != info["dim"] if "dim" in info else F.lit(False)
         args_failed = (F.lit(bad_args is not None) | bad_size) & has_vec
@@ -124,18 +127,22 @@ def retrieve_stage(points: DataFrame, cfg, encoder=None, filter_keys=None) -> St
             "errors": errors,
             "m_user_query_embedding": F.when(has_vec, R.embedding_log(F.col("qvec"))),
             "m_relevant_document_ids_scores": F.when(has_vec & ~args_failed, F.coalesce(F.col("_r_log"), F.lit(""))),
+            **({"context_vectors": F.col("_r_vec")} if with_vectors else {}),
         }, sentinel)
-        return state.drop("_r_ctx", "_r_log", "_r_bad")
+        return state.drop("_r_ctx", "_r_log", "_r_bad", "_r_vec")
 
     return Stage(K.RETRIEVE, apply)
 
 
-def rerank_stage(cfg, scorer=None) -> Stage:
-    """K6: reorder contexts by a per-context score column function; identity without one."""
+def rerank_stage(cfg, scorer=None, weights: list[float] | None = None) -> Stage:
+    """K6: reorder contexts by a per-context score column function, or by a ranking SVM's weights on their vectors; identity without either."""
 
     def apply(state: DataFrame, nxt):
         new = {}
-        if scorer is not None or cfg.top_k is not None:
+        if weights is not None:
+            ranked = RR.rerank_by_weights(F.col("contexts"), F.col("context_vectors"), weights, cfg.top_k)
+            new["contexts"] = F.when(F.size("contexts") == F.size("context_vectors"), ranked).otherwise(F.col("contexts"))
+        elif scorer is not None or cfg.top_k is not None:
             new["contexts"] = RR.rerank_array(F.col("contexts"), scorer, cfg.top_k)
         return gated(state, new, next_or_end(nxt))
 
@@ -218,6 +225,8 @@ class Pipeline:
     cache_store: C.CacheStore | None = None
     rewriter: object | None = None
     rerank_scorer: object | None = None
+    # weights of operators.rerank.fit_ranking_svm, applied to the contexts' vectors by the RERANK stage
+    rerank_weights: list[float] | None = None
     stages: list[str] | None = None  # names; default = the shipped four
 
     def build(self) -> list[Stage]:
@@ -227,8 +236,9 @@ class Pipeline:
             "SECURITY": lambda: security_stage(cfg.redaction.redaction_map, cfg.redaction.patterns),
             "RCACHE": lambda: cache_read_stage(self.cache if self.cache_store is None else self.cache_store.read(), cfg.cache, self.encoder),
             "REWRITE": lambda: rewrite_stage(self.rewriter),
-            "RETRIEVE": lambda: retrieve_stage(self.points, cfg.retrieval, self.encoder, self.filter_keys),
-            "RERANK": lambda: rerank_stage(cfg.rerank, self.rerank_scorer),
+            "RETRIEVE": lambda: retrieve_stage(self.points, cfg.retrieval, self.encoder, self.filter_keys,
+                                               self.rerank_weights is not None),
+            "RERANK": lambda: rerank_stage(cfg.rerank, self.rerank_scorer, self.rerank_weights),
             "CONSOLIDATE": lambda: consolidate_stage(cfg.consolidate),
             "GENERATE": lambda: generate_stage(cfg.generate),
             "WCACHE": cache_write_stage,
@@ -248,6 +258,8 @@ class Pipeline:
             "token_count": F.lit(None).cast("int"), "prompt_too_long": F.lit(None).cast("boolean"),
             "cache_hit": F.lit(False),
         }
+        if self.rerank_weights is not None:
+            extra["context_vectors"] = F.lit(None).cast(VECTORS_TYPE)
         extra.update({m: F.lit(None).cast("string") for m in STATE_METRICS})
         return s.withColumns(extra)
 
