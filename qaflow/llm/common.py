@@ -61,3 +61,12 @@ def byte_slices(batch: pa.RecordBatch, col: str, limit: int = 1 << 20) -> Iterat
         stop = min(stop, at + 10_000)
         yield batch.slice(at, stop - at)
         at = stop
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that no column of a table has (upper and lower case count as one)."""
+    taken = {c.lower() for c in columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]

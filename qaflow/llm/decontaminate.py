@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, or_empty
+from .common import ascii_lower, free, or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -102,21 +102,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, spans: bool
     """The rows of ``docs`` without a hit; with ``spans``, all rows, hit words cut out of the contaminated texts.
 
     The judgement depends on the text alone and joins back by its hash and length beside ``doc_id``."""
-    marked = docs.withColumn("_text_key", F.xxhash64(or_empty(), F.length(or_empty())))
-    dirty = scan(marked.select(F.struct("doc_id", "_text_key").alias("doc_id"), "text"), benchmark, size).filter("contaminated")
-    dirty = dirty.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._text_key").alias("_key"), "hit_spans").dropDuplicates(["_id", "_key"])
-    same = marked["doc_id"].eqNullSafe(dirty["_id"]) & (marked["_text_key"] == dirty["_key"])
+    key, own_id, own_key, spans_at = free(docs.columns, "text_key", "hit_id", "hit_key", "hit_spans")
+    marked = docs.withColumn(key, F.xxhash64(or_empty(), F.length(or_empty())))
+    dirty = scan(marked.select(F.struct("doc_id", F.col(key).alias("text_key")).alias("doc_id"), "text"), benchmark, size).filter("contaminated")
+    dirty = dirty.select(F.col("doc_id.doc_id").alias(own_id), F.col("doc_id.text_key").alias(own_key), F.col("hit_spans").alias(spans_at)).dropDuplicates([own_id, own_key])
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key))
     if not spans:
-        return marked.join(dirty, same, "left_anti").drop("_text_key")
+        return marked.join(dirty, same, "left_anti").drop(key)
     both = marked.join(dirty, same, "left")
     raw = F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     gaps = F.split("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    covered = F.flatten(F.transform("hit_spans", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_raw") - 1), covered)
-    rebuilt = F.concat(F.col("_gaps")[0], F.array_join(F.transform(kept, lambda i: F.concat(F.col("_raw")[i], F.col("_gaps")[i + 1])), ""))
-    out = both.withColumn("_raw", raw).withColumn("_gaps", gaps)
-    out = out.withColumn("text", F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(rebuilt))
-    return out.select(*docs.columns)
+    covered = F.flatten(F.transform(spans_at, lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), covered)
+    rebuilt = F.concat(gaps[0], F.array_join(F.transform(kept, lambda i: F.concat(raw[i], gaps[i + 1])), ""))
+    text = F.when(F.col(spans_at).isNull(), F.col("text")).otherwise(rebuilt).alias("text")
+    return both.select(*[text if c == "text" else F.col(c) for c in docs.columns])
 
 
 ORACLE = r"""

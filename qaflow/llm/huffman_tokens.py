@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import shared_path
 from .common import safe_words, saved, small_batches
@@ -47,7 +48,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         # ids whose bytes begin with a blank, which the vocabulary writes as U+0120
         self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
@@ -214,8 +214,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         if parts:
             yield chunk()
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    # ranges of id and text, so that the rows of one id may lie in several
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(
         run,
         f"pid int, seq int, start bigint, doc_ids array<{kind}>, sizes array<bigint>, used array<int>, count array<bigint>, ids binary, wide boolean",
@@ -262,19 +263,19 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     )
     path = shared_path(spark, "token-files")
     blocks.write.partitionBy("shard").option("compression", "none").parquet(f"{path}/blocks")
-    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/lengths")
+    spark.createDataFrame([(bytearray(lengths.tobytes()), docs.schema["doc_id"].dataType.simpleString())], "lengths binary, kind string").coalesce(1).write.parquet(f"{path}/lengths")
     return path
 
 
 def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files; with ``keep_ids`` also ``ids`` (array of long)."""
-    lengths = np.frombuffer(spark.read.parquet(f"{path}/lengths").first()[0], np.uint8)
+    head = spark.read.parquet(f"{path}/lengths").first()
+    lengths, kind = np.frombuffer(head["lengths"], np.uint8), head["kind"]
     code = spark.sparkContext.broadcast(lengths)
-    blocks = spark.read.parquet(f"{path}/blocks") if _has_rows(spark, path) else None
     small_batches(spark, 8)
-    if blocks is None:
-        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * keep_ids)
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    if not lengths.any():
+        return spark.createDataFrame([], f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * keep_ids)
+    blocks = spark.read.parquet(f"{path}/blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table, length = canonical(code.value)
@@ -294,8 +295,3 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
     return blocks.select("start", "doc_ids", "sizes", "n", "checkpoints", "payload").mapInArrow(
         run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * keep_ids
     )
-
-
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    lengths = np.frombuffer(spark.read.parquet(f"{path}/lengths").first()[0], np.uint8)
-    return bool(lengths.any())

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import free, saved, small_batches
 from .components import components
 
 WIDTH, NUM, DEN = 5, 4, 5  # words in a shingle; similarity of NUM / DEN
@@ -365,9 +365,11 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = saved(_groups(docs, width).select("node", "doc_id", F.col("rep.node").alias("rep")), "grouped-rows")
     gone = rows.filter("node <> rep").select("node").distinct()
     repeated = rows.filter("node = rep OR rep IS NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("node")
-    left = docs.withColumn("node", node()).join(gone, "node", "left_anti")
-    once = left.join(repeated, "node", "left_semi").dropDuplicates(["node"])
-    return left.join(repeated, "node", "left_anti").unionByName(once).select(*docs.columns)
+    (own,) = free(docs.columns, "node")
+    left = docs.withColumn(own, node()).join(gone.withColumnRenamed("node", own), own, "left_anti")
+    repeated = repeated.withColumnRenamed("node", own)
+    once = left.join(repeated, own, "left_semi").dropDuplicates([own])
+    return left.join(repeated, own, "left_anti").unionByName(once).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -13,7 +13,8 @@ travel as 64-bit hashes, and templates are combined by aggregates, never collect
 :func:`drop_lines` follows the SQL, where ``<*>`` counts as a constant: lines of figures only share one template, so
 lines of other contents go too. :func:`without_repeated_lines`, the stage of the pipeline, counts literal tokens only
 (``literal``); lines with fewer of them, and long lines without blanks, are dropped only if they are equal, digits and
-all.
+all. It leaves documents whole that are copies of one other document (``COPY`` of their characters, of similar length):
+the near-duplicate join behind it removes them as documents.
 
 Defined cases: a null text stays null (no lines); blank lines and lines below ``MIN_TOKENS`` tokens stay; documents
 are told apart by ``doc_id`` and text, so repeated rows count as one document and are treated alike; a null ``doc_id``
@@ -25,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free, saved
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SIMILARITY = 3, 3, 3, 0.8
+COPY = 0.8  # share of a document's characters in the lines of one other, from which it is a copy as a whole
 SOLID_CHARS = 16  # a line without blanks (Chinese, Japanese) counts as MIN_TOKENS tokens from so many characters on
 
 
@@ -51,11 +53,11 @@ def _equal(docs: DataFrame) -> DataFrame:
 
 
 def _later(placed: DataFrame, min_docs: int) -> DataFrame:
-    """``doc_id, th, pos`` of the lines whose template is in ``min_docs`` documents, in all but the first of these."""
+    """``doc_id, th, pos, first`` of the lines whose template is in ``min_docs`` documents, in all but the first of these."""
     seen = placed.groupBy("template", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
     recurring = seen.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "th")).alias("first")).filter(F.col("docs") >= min_docs)
     later = ~F.struct("doc_id", "th").eqNullSafe(F.col("first"))
-    return placed.join(recurring, "template").filter(later).select("doc_id", "th", "pos")
+    return placed.join(recurring, "template").filter(later).select("doc_id", "th", "pos", "first")
 
 
 def _counts(token, literal: bool):
@@ -82,32 +84,56 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float =
     out = _later(placed, min_docs)
     if literal:
         out = out.unionByName(_later(saved(_equal(docs), "equal-lines"), min_docs))
-    return out.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("positions"))
-
-
-def _after(docs: DataFrame, min_docs: int, similarity: float, literal: bool = False) -> DataFrame:
-    """``docs`` with ``_lines``, ``_gone`` (positions, or null) and ``_new`` (the text after the drop)."""
-    gone = dropped_lines(docs, min_docs, similarity, literal).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("positions").alias("_gone"))
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    both = marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_text_hash"] == gone["_th"]), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n"))
-    return both.withColumn("_lines", F.split("text", "\n")).withColumn("_new", text)
+    return out.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("positions"), *([F.collect_set(F.struct("pos", "first")).alias("origins")] if literal else []))
+
+
+def _without_copies(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``gone`` less the documents that are copies as a whole: ``COPY`` of their characters or more stand in lines that one and
+    the same document has first, and that document is not much longer. Such a copy is the business of a document-level join;
+    without its lines it could no longer be found there, and its rest would stay as a document of its own."""
+    length = F.coalesce(F.length("text"), F.lit(0))
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("th"), length.alias("size"), F.transform(F.split("text", "\n"), F.length).alias("long")).dropDuplicates(["doc_id", "th"])
+    own = sizes.select(F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "size", "long")
+    lines = gone.join(own, gone["doc_id"].eqNullSafe(own["of"]) & (gone["th"] == own["of_th"])).select("doc_id", "th", "size", F.explode(F.transform("origins", lambda o: F.struct(o["pos"].alias("pos"), o["first"].alias("first"), F.col("long")[o["pos"]].alias("n")))).alias("o"))
+    # a line may have two templates; it counts once for a document that is the first of both
+    lines = lines.groupBy("doc_id", "th", "size", F.col("o.first.doc_id").alias("first"), F.col("o.first.th").alias("first_th"), F.col("o.pos").alias("pos")).agg(F.max("o.n").alias("n"))
+    shares = lines.groupBy("doc_id", "th", "size", "first", "first_th").agg((F.sum("n") + F.count(F.lit(1))).alias("n")).filter((F.col("n") >= F.col("size") * COPY))
+    firsts = sizes.select(F.col("doc_id").alias("f"), F.col("th").alias("f_th"), F.col("size").alias("first_size"))
+    copies = shares.join(firsts, F.col("first").eqNullSafe(F.col("f")) & (F.col("first_th") == F.col("f_th"))).filter(F.col("first_size") * COPY <= F.col("size"))
+    copies = copies.select(F.col("doc_id").alias("c"), F.col("th").alias("c_th")).distinct()
+    return gone.join(copies, gone["doc_id"].eqNullSafe(copies["c"]) & (gone["th"] == copies["c_th"]), "left_anti")
+
+
+def _after(docs: DataFrame, names: list[str], min_docs: int, similarity: float, literal: bool = False) -> DataFrame:
+    """``docs`` with three columns of the given names: its lines, the positions that go (or null), and the text after the drop."""
+    lines, gone_at, new = names
+    own_hash, other_id, other_hash = free([*docs.columns, *names], "text_hash", "line_id", "line_hash")
+    gone = dropped_lines(docs, min_docs, similarity, literal)
+    if literal:
+        gone = _without_copies(docs, saved(gone, "dropped-lines"))
+    gone = gone.select(F.col("doc_id").alias(other_id), F.col("th").alias(other_hash), F.col("positions").alias(gone_at))
+    marked = docs.withColumn(own_hash, F.xxhash64("text"))
+    both = marked.join(gone, F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(own_hash) == F.col(other_hash)), "left").withColumn(lines, F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at)
+    text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines)[i]), "\n"))
+    return both.withColumn(new, text)
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text`` of every row, ``text`` after the drop."""
-    out = _after(docs.select("doc_id", "text"), min_docs, similarity)
-    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines")), F.lit(0)).cast("bigint")
-    n_dropped = F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("bigint")
-    return out.select("doc_id", n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.col("_new").alias("text"))
+    out = _after(docs.select("doc_id", "text"), ["lines", "gone", "new"], min_docs, similarity)
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("bigint")
+    n_dropped = F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("bigint")
+    return out.select("doc_id", n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.col("new").alias("text"))
 
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with shortened texts (``n_chars`` follows); a document that loses all it has goes."""
-    out = _after(docs, min_docs, similarity, literal=True).filter(F.col("_gone").isNull() | (F.trim("_new") != ""))
-    length = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_new")) if "n_chars" in docs.columns else None
-    return out.select(*[F.col("_new").alias(c) if c == "text" else length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """``docs`` with shortened texts (``n_chars`` follows); a document that loses all it has goes, one that is a copy as a whole stays whole."""
+    names = free(docs.columns, "lines", "gone", "new")
+    _, gone, new = names
+    out = _after(docs, names, min_docs, similarity, literal=True).filter(F.col(gone).isNull() | (F.trim(new) != ""))
+    length = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(new)) if "n_chars" in docs.columns else None
+    return out.select(*[F.col(new).alias(c) if c == "text" else length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -105,9 +105,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     graded = "severity" in labels.columns
     y = F.col("severity" if graded else "toxic").cast("int")
     rows = labels.filter(F.col("doc_id").isNotNull() & y.isNotNull()).groupBy("doc_id").agg(F.max(y).alias("y"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # of the labels that name a document: labels of other documents do not use up the sample
+    rows = rows.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     words = F.array_distinct(F.regexp_extract_all(F.lower(or_empty()), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    some = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "y", words.alias("w"))
+    # one row for each id, however often it stands in docs
+    some = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "y", words.alias("w"))
     heads = [F.transform(F.filter("w", lambda x, k=k: F.length(x) > k), lambda x, k=k: F.concat(F.substring(x, 1, k), F.lit("*"))) for k in PREFIXES]
     some = some.withColumn("w", F.array_distinct(F.concat("w", *heads))).persist()
     bad = (F.col("y") > 0).cast("int")

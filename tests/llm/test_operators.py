@@ -76,9 +76,11 @@ def test_huffman_round_trip(n, top):
         assert (huffman_tokens.unpack(payload, k, at, table, size) == ids).all()
 
 
-def test_token_files(spark, docs, texts):
+def test_token_files(spark, texts):
+    # the library's default: the string of a special token is one id
+    texts = [*texts, (21, "end <|endoftext|> of text"), (22, "<|endoftext|>"), (23, "a<|endoftext|>b  <|endoftext|> c\n <|endoftext|>\n"), (24, "x <|endoftext|>y <|endoftext|> <|endoftext|>")]
+    docs = spark.createDataFrame([(d, t, None, "s", None, 0, "z") for d, t in texts], SCHEMA).repartition(3)
     tokenizer = Tokenizer.from_file(public_tokenizers.path(huffman_tokens.TOKENIZER_FILE))
-    tokenizer.encode_special_tokens = True
     want, start = [], 0
     for d, t in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -86,7 +88,10 @@ def test_token_files(spark, docs, texts):
         start += len(ids)
     got = huffman_tokens.read_tokens(spark, huffman_tokens.write_tokens(docs)).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
-    assert huffman_tokens.read_tokens(spark, huffman_tokens.write_tokens(docs.limit(0))).count() == 0
+    empty = huffman_tokens.read_tokens(spark, huffman_tokens.write_tokens(docs.limit(0).withColumn("doc_id", docs["doc_id"].cast("string"))))
+    assert empty.count() == 0 and dict(empty.dtypes)["doc_id"] == "string"
+    named = spark.createDataFrame([("b", "two words"), ("a", "one")], "doc_id string, text string")
+    assert [(r.doc_id, r.start) for r in huffman_tokens.read_tokens(spark, huffman_tokens.write_tokens(named)).orderBy("start").collect()] == [("a", 0), ("b", 2)]
 
 
 def test_decontamination_edges(spark, docs):
