@@ -29,17 +29,12 @@ FALLBACK_TAIL = "The websiteis an excellent resource for many related questions.
 # --- FIXED VALUES: generation -------------------------------------------------
 NO_MODEL_REFERENCES_PREFIX = "Xbot is down. Here are some references that may help you:"
 NO_MODEL_DOCUMENTS_PREFIX = "Xbot is down. Here are some document excerpts that may help you:"
-PROMPT_BASIC_HEAD = "Given a user query, and context documents, generate a response.\nUSER_QUERY:\n'"
-PROMPT_BASIC_MIDDLE = "'\nCONTEXT_ITEMS:\n"
-PROMPT_BASIC_TAIL = "\n"
+PROMPT_BASIC = "Given a user query, and context documents, generate a response.\nUSER_QUERY:\n'{user_query}'\nCONTEXT_ITEMS:\n{context}\n"
 EOS_TOKEN = "<|endoftext|>"
 
 # --- FIXED VALUES: context formats ---------------------------------------------
-# with metadata: "[title: '{title}', url: '{url}']\n{text}\n"; plain: "{text}\n"
-CONTEXT_META_OPEN = "[title: '"
-CONTEXT_META_URL = "', url: '"
-CONTEXT_META_CLOSE = "']\n"
-CONTEXT_END = "\n"
+CONTEXT_WITH_METADATA = "[title: '{title}', url: '{url}']\n{text}\n"
+CONTEXT_PLAIN = "{text}\n"
 
 # --- FIXED VALUES: stages (END is NULL) -----------------------------------------
 START, SECURITY, RCACHE, REWRITE, RETRIEVE, RERANK, CONSOLIDATE, GENERATE, WCACHE = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,14 +43,19 @@ def redact(text: Column, redaction_map: dict | None, patterns: dict[str, str] |
     return out
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A template with columns in its fields; what stands in the columns is never read as a template."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] * bool(text) + ([values[name]] if name else [])
+    return F.concat(*parts)
+
+
 def format_context(text: Column, title: Column, url: Column, has_meta: Column) -> Column:
     """H6: ``[title: '{title}', url: '{url}']\\n{text}\\n`` or ``{text}\\n``."""
-    with_meta = F.concat(
-        F.lit(K.CONTEXT_META_OPEN), F.coalesce(title, F.lit("None")), F.lit(K.CONTEXT_META_URL),
-        F.coalesce(url, F.lit("")), F.lit(K.CONTEXT_META_CLOSE), F.coalesce(text, F.lit("None")),
-        F.lit(K.CONTEXT_END),
-    )
-    plain = F.concat(F.coalesce(text, F.lit("None")), F.lit(K.CONTEXT_END))
+    shown = F.coalesce(text, F.lit("None"))
+    with_meta = filled(K.CONTEXT_WITH_METADATA, title=F.coalesce(title, F.lit("None")), url=F.coalesce(url, F.lit("")), text=shown)
+    plain = filled(K.CONTEXT_PLAIN, text=shown)
     return F.when(has_meta, with_meta).otherwise(plain)
 
 
@@ -71,8 +77,7 @@ def build_prompt(user_query: Column, context: Column, template: str = "basic",
                  eos_token: str = K.EOS_TOKEN) -> Column:
     """H8: template text + EOS. ``concat`` keeps ``%`` and braces in the text intact."""
     if template == "basic":
-        body = F.concat(F.lit(K.PROMPT_BASIC_HEAD), user_query, F.lit(K.PROMPT_BASIC_MIDDLE), context,
-                        F.lit(K.PROMPT_BASIC_TAIL))
+        body = filled(K.PROMPT_BASIC, user_query=user_query, context=context)
     else:
         body = F.concat(user_query, context)
     return F.concat(body, F.lit(eos_token))

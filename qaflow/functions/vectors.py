@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -31,8 +32,8 @@ _WORD = re.compile(r"\w+", re.UNICODE)
 
 
 def _hash_embed_batch(texts: pd.Series, dim: int) -> pd.Series:
-    """Signed hashed bag of words for a batch, vectorised: one regex pass per text, then
-    one hash of all words of the batch and one ``bincount`` into ``rows x dim`` cells."""
+    """Signed hashed bag of words for a batch: one regex pass per text, then one MD5 of each distinct word (its first 32
+    bits choose the cell, the next one the sign) and one ``bincount`` into ``rows x dim`` cells."""
     words, owner = [], []
     valid = texts.notna().to_numpy()
     for i, t in enumerate(texts):
@@ -43,9 +44,10 @@ def _hash_embed_batch(texts: pd.Series, dim: int) -> pd.Series:
     n = len(texts)
     mat = np.zeros((n, dim), dtype=np.float64)
     if words:
-        h = pd.util.hash_array(np.asarray(words, dtype=object), categorize=False)
-        bucket = (h % np.uint64(dim)).astype(np.int64)
-        sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
+        which, distinct = pd.factorize(np.asarray(words, dtype=object))
+        h = np.frombuffer(b"".join(hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:8] for w in distinct), ">u4").reshape(-1, 2)
+        bucket = (h[:, 0].astype(np.int64) % dim)[which]
+        sign = np.where(h[:, 1] >> 31 == 0, 1.0, -1.0)[which]
         cells = np.asarray(owner, dtype=np.int64) * dim + bucket
         mat = np.bincount(cells, weights=sign, minlength=n * dim).reshape(n, dim)
     norms = np.linalg.norm(mat, axis=1, keepdims=True)

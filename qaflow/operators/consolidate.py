@@ -9,27 +9,19 @@ that does not fit and ``n`` the number of contexts:
 * ``i`` is earlier   -> error ``AllDocumentsExceedContextWindowError``; the contexts
   pass on in retrieval order, the ones placed before ``i`` already formatted.
 
-Two forms: :func:`consolidate_long` on one-row-per-context tables (windows
-partitioned by event), and :func:`consolidate_array` on an ``array<struct>`` column
-of one event row (higher-order functions, no shuffle) used by the pipeline.
+Two forms: :func:`consolidate_array` on an ``array<struct>`` column of one event row (higher-order
+functions, no shuffle), used by the pipeline, and :func:`consolidate_long` on one-row-per-context tables, which
+gathers the few contexts of an event and does the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_tokens, format_context
 
 
-def _strategy_order(strategy: str, flen: Column, score: Column, rank: Column) -> list[Column]:
-    if strategy == "score_weighted":  # F1: score descending, stable
-        return [score.desc_nulls_last(), rank.asc()]
-    if strategy == "simple":  # formatted length ascending, stable
-        return [flen.asc(), rank.asc()]
-    return [rank.asc()]  # keep retrieval order
-
-
 def _overflow_piece(doc_id: Column, ntok: Column) -> Column:
     return F.concat(F.lit("(i='"), doc_id, F.lit("' length="), ntok.cast("string"), F.lit(")"))
 
@@ -38,30 +30,14 @@ def consolidate_long(contexts: DataFrame, strategy: str = "simple", token_limit:
                      token_counter=char_tokens, key: str = "event_id") -> DataFrame:
     """Long form: ``(key, rank, doc_id, text, score, title, url, has_meta)`` ->
     ``(key, pos, rank, doc_id, text, error)`` with ``pos`` the 0-based output order.
+
+    An event has few contexts, so they are gathered once (one shuffle), consolidated in the row and laid out again.
     """
-    formatted = format_context(F.col("text"), F.col("title"), F.col("url"), F.col("has_meta"))
-    c = contexts.withColumn("_fmt", formatted) \
-        .withColumn("_flen", F.length("_fmt")) \
-        .withColumn("_ntok", token_counter(F.col("_fmt")))
-    order = _strategy_order(strategy, F.col("_flen"), F.col("score"), F.col("rank"))
-    w_ord = Window.partitionBy(key).orderBy(*order)
-    w_run = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(key)
-    w_full = w_ord.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = c.withColumn("_spos", F.row_number().over(w_ord) - 1) \
-        .withColumn("_cum", F.sum("_ntok").over(w_run)) \
-        .withColumn("_n", F.count(F.lit(1)).over(w_all))
-    c = c.withColumn("_first_over", F.min(F.when(F.col("_cum") > token_limit, F.col("_spos"))).over(w_all))
-    c = c.withColumn("_pieces", F.collect_list(_overflow_piece(F.col("doc_id"), F.col("_ntok"))).over(w_full))
-    fo, n, spos = F.col("_first_over"), F.col("_n"), F.col("_spos")
-    is_error = fo.isNotNull() & (fo < n - 1)
-    keep = fo.isNull() | is_error | (spos < fo)
-    text = F.when(is_error & (spos >= fo), F.col("text")).otherwise(F.col("_fmt"))
-    pos = F.when(is_error, F.row_number().over(Window.partitionBy(key).orderBy("rank")) - 1).otherwise(spos)
-    msg = F.concat(F.lit(f"token_limit={token_limit} Documents: "), F.array_join(F.col("_pieces"), ","))
-    return c.withColumn("_pos", pos).where(keep).select(
-        key, F.col("_pos").cast("int").alias("pos"), "rank", "doc_id", text.alias("text"),
-        F.when(is_error, msg).alias("error"))
+    fields = ["rank", "doc_id", "text", "score", "title", "url", "has_meta"]
+    per = contexts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_ctx"))
+    done = per.select(key, consolidate_array(F.col("_ctx"), strategy, token_limit, token_counter).alias("_r"))
+    laid = done.select(key, F.posexplode("_r.contexts").alias("pos", "_c"), F.col("_r.error").alias("error"))
+    return laid.select(key, F.col("pos").cast("int").alias("pos"), "_c.rank", "_c.doc_id", "_c.text", "error")
 
 
 def _let(value: Column, body) -> Column:
@@ -102,7 +78,7 @@ def consolidate_array(ctx: Column, strategy: str = "simple", token_limit: int =
     def body(w):
         empty_ctx = F.slice(F.transform(w, lambda x: clean(x, x["_fmt"])), 1, 0)
         acc0 = F.struct(empty_ctx.alias("kept"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("fo"),
-                        F.lit(0).alias("i"), F.array().cast("array<string>").alias("pieces"))
+                        F.lit(0).alias("i"))
 
         def step(acc, x):
             i = acc["i"] + 1
@@ -111,8 +87,7 @@ def consolidate_array(ctx: Column, strategy: str = "simple", token_limit: int =
                 F.when(fits, F.concat(acc["kept"], F.array(clean(x, x["_fmt"])))).otherwise(acc["kept"]).alias("kept"),
                 F.when(fits, acc["total"] + x["_ntok"]).otherwise(acc["total"]).alias("total"),
                 F.when((acc["fo"] == 0) & ~fits, i).otherwise(acc["fo"]).alias("fo"),
-                i.alias("i"),
-                F.concat(acc["pieces"], F.array(_overflow_piece(x["doc_id"], x["_ntok"]))).alias("pieces"))
+                i.alias("i"))
 
         def finish(r):
             n = r["i"]
@@ -121,7 +96,9 @@ def consolidate_array(ctx: Column, strategy: str = "simple", token_limit: int =
             passthrough = F.transform(w, lambda x: clean(
                 x, F.when(F.array_contains(placed, x["rank"]), x["_fmt"]).otherwise(x["text"])))
             is_error = (fo > 0) & (fo < n)
-            msg = F.concat(F.lit(f"token_limit={token_limit} Documents: "), F.array_join(r["pieces"], ","))
+            # only events that overflow write their pieces
+            pieces = F.transform(F.array_sort(w, cmp), lambda x: _overflow_piece(x["doc_id"], x["_ntok"]))
+            msg = F.concat(F.lit(f"token_limit={token_limit} Documents: "), F.array_join(pieces, ","))
             return F.struct(F.when(is_error, passthrough).otherwise(r["kept"]).alias("contexts"),
                             F.when(is_error, msg).alias("error"))
 

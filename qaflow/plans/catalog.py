@@ -619,7 +619,8 @@ def cache_two_batches(spark, d):
 
 # ------------------------------------------------------------------------------ routing
 
-_STAGE_SQL_FULL = " || ".join(f"' > {K.STAGE_NAMES[s]}'" for s in range(8))
+def _met_sql(*stages):
+    return "'" + "".join(RT.visited(x) for x in stages) + "'"
 
 
 @register("stage_increment", "SELECT l_orderkey, l_linenumber, CAST(s AS INTEGER) AS sentinel, "
@@ -635,36 +636,38 @@ def stage_increment(spark, d):
 
 
 def _trace_input(spark, d):
-    docs = TB.table(spark, d, "documents")
-    return docs.select("doc_id", "lang", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("text"))
+    return TB.table(spark, d, "documents").select("doc_id", "lang", "text")
+
+
+_ALL = range(K.LAST_STAGE + 1)
 
 
-@register("stage_trace", f"SELECT doc_id, 'doc ' || CAST(doc_id AS VARCHAR) || {_STAGE_SQL_FULL} AS text, "
-          "CAST(NULL AS INTEGER) AS sentinel FROM documents")
+@register("stage_trace", f"SELECT doc_id, text || {_met_sql(*_ALL)} AS text, CAST(NULL AS INTEGER) AS sentinel FROM documents")
 def stage_trace(spark, d):
-    s = RT.start(_trace_input(spark, d), K.SECURITY)
-    s = RT.run_stages(s, RT.all_trace_stages(), linked=False)
+    """I1 + I3: every stage in turn, on the whole texts."""
+    s = RT.run_stages(RT.start(_trace_input(spark, d), K.SECURITY), RT.all_trace_stages(), linked=False)
     return s.select("doc_id", "text", "sentinel")
 
 
-@register("stage_trace_linked", "SELECT doc_id, 'doc ' || CAST(doc_id AS VARCHAR) || ' > SECURITY > GENERATE > WCACHE' "
-          "AS text, CAST(NULL AS INTEGER) AS sentinel FROM documents")
+_SOME = (K.SECURITY, K.REWRITE, K.CONSOLIDATE, K.WCACHE)
+
+
+@register("stage_trace_linked", f"SELECT doc_id, text || {_met_sql(*_SOME)} AS text, CAST(NULL AS INTEGER) AS sentinel FROM documents")
 def stage_trace_linked(spark, d):
-    s = RT.start(_trace_input(spark, d), K.SECURITY)
-    s = RT.run_stages(s, [RT.trace_stage(K.SECURITY), RT.trace_stage(K.GENERATE), RT.trace_stage(K.WCACHE)])
+    """A list of some stages, each linked to the next one of the list."""
+    s = RT.run_stages(RT.start(_trace_input(spark, d), K.SECURITY), [RT.trace_stage(x) for x in _SOME])
     return s.select("doc_id", "text", "sentinel")
 
 
-@register("stage_trace_cache_hit", "SELECT doc_id, 'doc ' || CAST(doc_id AS VARCHAR) || CASE WHEN lang = 'en' "
-          "THEN ' > SECURITY > GENERATE > WCACHE' ELSE " + _STAGE_SQL_FULL.replace("' > RCACHE' || ", "") +
+@register("stage_trace_cache_hit", "SELECT doc_id, text || CASE WHEN lang = 'en' "
+          f"THEN {_met_sql(K.SECURITY, K.GENERATE, K.WCACHE)} ELSE {_met_sql(*[x for x in _ALL if x != K.RCACHE])}"
           " END AS text, CAST(NULL AS INTEGER) AS sentinel FROM documents")
 def stage_trace_cache_hit(spark, d):
     """I4: English documents are cache hits and jump from RCACHE to GENERATE."""
     s = RT.start(_trace_input(spark, d), K.SECURITY).withColumn("_hit", F.col("lang") == "en")
     stages = RT.all_trace_stages()
-    stages[K.RCACHE] = RT.trace_cache_hit_stage(lambda _t: F.col("_hit"))
-    out = RT.run_stages(s, stages, linked=False)
-    return out.select("doc_id", "text", "sentinel")
+    stages[K.RCACHE] = RT.trace_cache_stage(lambda _t: F.col("_hit"))
+    return RT.run_stages(s, stages, linked=False).select("doc_id", "text", "sentinel")
 
 
 # ------------------------------------------------------------------------------ sources / sinks
@@ -739,6 +742,18 @@ def embed_hash(spark, d):
         .select("event_id", F.size("qvec").alias("dim"), F.round(V.norm(F.col("qvec")), 4).alias("norm"))
 
 
+@register("embed_hash_entries", """WITH q AS (SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS event_id, text FROM conversations WHERE role = 'user'),
+w AS (SELECT event_id, md5(unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS h FROM q),
+c AS (SELECT event_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS cell, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS s FROM w GROUP BY ALL),
+n AS (SELECT event_id, sqrt(sum(s * s)) AS norm FROM c GROUP BY event_id)
+SELECT event_id, CAST(cell AS INTEGER) AS cell, round(s / norm, 5) AS value FROM c JOIN n USING (event_id) WHERE s <> 0""")
+def embed_hash_entries(spark, d):
+    """K2: the entries of the default encoder's vectors that are not 0."""
+    q = TB.chat_questions(spark, d)
+    vec = q.select("event_id", V.hash_encoder(64)(F.col("user_query")).alias("qvec")).select("event_id", F.posexplode("qvec").alias("cell", "v"))
+    return vec.where("v <> 0").select("event_id", "cell", F.round(F.col("v").cast("double"), 5).alias("value"))
+
+
 @register("load_points", "SELECT e.vec_id AS id, e.label, d.lang, d.source, len(e.embedding) AS dim FROM embeddings e "
           "JOIN documents d ON d.doc_id = e.vec_id")
 def load_points(spark, d):
@@ -945,6 +960,24 @@ def stream_answers(spark, d):
     return spark.read.parquet(out).select("event_id", "generated_text")
 
 
+@register("stream_eval_records", O.pipeline() + """,
+emb AS (SELECT 'q' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS event_id, array_to_string(list_transform(embedding,
+               lambda x: CAST(CAST(CAST(x AS DOUBLE) AS DECIMAL(18,6)) AS VARCHAR)), ',') AS v FROM embeddings)
+SELECT p.event_id, m.metric, CASE m.metric WHEN 'cleaned_request' THEN cleaned_request WHEN 'user_query_embedding' THEN emb.v
+       WHEN 'relevant_document_ids_scores' THEN relevant_document_ids_scores ELSE prompt END AS value
+FROM pipe p JOIN emb ON emb.event_id = p.event_id, (VALUES ('cleaned_request'), ('user_query_embedding'), ('relevant_document_ids_scores'), ('prompt')) m(metric)""")
+def stream_eval_records(spark, d):
+    """The eval records of the answer stream; the stream runs twice from the start, its batches are written once."""
+    from ..streaming.streams import answer_stream
+    src = shared_path(spark, "records-in")
+    _questions(spark, d).repartition(4).write.json(src)
+    ev = shared_path(spark, "records-eval")
+    p = Pipeline(points=_points(spark, d), filter_keys=["label"])
+    for _ in range(2):
+        answer_stream(spark, src, p, shared_path(spark, "records-out"), shared_path(spark, "records-ck"), eval_path=ev).awaitTermination()
+    return EL.read(spark, ev).select("event_id", _metric(), TX.json_field(F.col("log"), "value").alias("value"))
+
+
 _SENT_SQL = "TIMESTAMP '2024-05-01 08:00:00' + to_seconds(conv_id * 100 + turn)"
 
 

@@ -125,8 +125,9 @@ def ref_line(pos="pos", has_meta="has_meta", title="title", url="url", doc_id="d
 
 def prompt(user_query: str, context: str, template: str = "basic") -> str:
     if template == "basic":
-        body = (f"{lit(K.PROMPT_BASIC_HEAD)} || {user_query} || {lit(K.PROMPT_BASIC_MIDDLE)} || {context} || "
-                f"{lit(K.PROMPT_BASIC_TAIL)}")
+        head, rest = K.PROMPT_BASIC.split("{user_query}")
+        middle, tail = rest.split("{context}")
+        body = f"{lit(head)} || {user_query} || {lit(middle)} || {context} || {lit(tail)}"
     else:
         body = f"{user_query} || {context}"
     return f"({body} || {lit(K.EOS_TOKEN)})"

@@ -103,33 +103,25 @@ def next_or_end(nxt: int | None) -> Column:
 
 # ---------------------------------------------------------------------- trace stages
 
+def visited(stage: int) -> str:
+    """What a trace stage leaves behind a text."""
+    return f"|{stage}"
+
+
 def trace_stage(stage: int, text_col: str = "text") -> Stage:
-    """A stage that appends `` > NAME`` to the text (the routing goldens)."""
-    name = K.STAGE_NAMES[stage]
+    """A stage that leaves its number behind the text, to see which rows it ran on."""
 
     def apply(state: DataFrame, nxt):
-        return gated(state, {text_col: F.concat(F.col(text_col), F.lit(f" > {name}"))}, next_or_end(nxt))
+        return gated(state, {text_col: F.concat(F.col(text_col), F.lit(visited(stage)))}, next_or_end(nxt))
 
     return Stage(stage, apply)
 
 
 def trace_cache_stage(hit: Callable[[Column], Column], text_col: str = "text") -> Stage:
-    """I4: RCACHE that appends its name and jumps to GENERATE on a hit, else the successor."""
-
-    def apply(state: DataFrame, nxt):
-        is_hit = hit(F.col(text_col))
-        return gated(state, {text_col: F.concat(F.col(text_col), F.lit(" > RCACHE"))},
-                     F.when(is_hit, F.lit(K.GENERATE)).otherwise(increment(F.col("sentinel"))))
-
-    return Stage(K.RCACHE, apply)
-
-
-def trace_cache_hit_stage(hit: Callable[[Column], Column], text_col: str = "text") -> Stage:
-    """RCACHE replaced by a bare routing function (no text change), as in the cache-hit golden."""
+    """I4: an RCACHE that only routes: to GENERATE on a hit, else to the successor."""
 
     def apply(state: DataFrame, nxt):
-        is_hit = hit(F.col(text_col))
-        return gated(state, {}, F.when(is_hit, F.lit(K.GENERATE)).otherwise(increment(F.col("sentinel"))))
+        return gated(state, {}, F.when(hit(F.col(text_col)), F.lit(K.GENERATE)).otherwise(increment(F.col("sentinel"))))
 
     return Stage(K.RCACHE, apply)
 
