@@ -121,3 +121,79 @@ def test_pipeline_answers_do_not_depend_on_the_plan(spark):
     a = {r.event_id: (r.response, r.m_prompt) for r in default.collect()}
     b = {r.event_id: (r.response, r.m_prompt) for r in blocks.collect()}
     assert a == b and len(a) == qs.count()
+
+
+def test_the_encoder_sees_each_row_once(spark):
+    import numpy as np
+
+    from qaflow.functions.vectors import model_encoder
+
+    seen = spark.sparkContext.accumulator(0)
+
+    class Model:
+        def encode(self, texts):
+            seen.add(len(texts))
+            return np.array([[float(len(t)), 1.0, 0.0] for t in texts])
+
+    coll = _collection(spark, [(i, f"{100 + i}text", "NZ", None) for i in range(5)])
+    rows = [(f"e{i}", f"question {i}", {}, None if i % 3 else [1.0, 2.0, 3.0]) for i in range(30)] + [("gone", None, {}, None)]
+    req = spark.createDataFrame(rows, "event_id string, user_query string, metadata map<string,string>, qvec array<float>").repartition(3)
+    state, _ = Pipeline(points=coll, encoder=model_encoder(Model, 3)).run(req)
+    got = {r.event_id: r for r in state.collect()}
+    assert seen.value == 20  # 10 bring a vector, one has no text
+    assert len(got) == 31 and all(len(got[f"e{i}"].contexts) > 0 for i in range(30)) and got["gone"].response is None
+
+
+def test_rows_that_do_not_search_are_spread(spark):
+    from qaflow.operators import retrieve as R
+
+    df = spark.range(2000).select(F.col("id").cast("string").alias("event_id"), F.lit("q").alias("user_query"), F.array(F.lit(1.0)).alias("qvec"))
+    keys = df.select(R.state_key(F.col("event_id") == "7", R.search_key("qvec", None)).alias("k"), R.search_key("qvec", None).alias("s"))
+    assert keys.where("k = s").count() == 1 and keys.select("k").distinct().count() > 1900
+
+
+def test_further_redaction_kinds(spark):
+    import pytest
+
+    from qaflow.config import RedactionConfig
+    from qaflow.functions.text import SecurityServiceError
+
+    coll = _collection(spark, [(1, "123text1", "NZ", None)])
+    tokens = dict(K.REDACTION_TOKENS)
+
+    def cleaned(**kinds):
+        p = Pipeline(points=coll, config=PipelineConfig(redaction=RedactionConfig(**kinds)), stages=["SECURITY"])
+        req = spark.createDataFrame([("e", "mail me at ann@example.org, card 1111 2222 3333 4444", {}, None)], "event_id string, user_query string, metadata map<string,string>, qvec array<float>")
+        return p.run(req)[0].first().user_query
+
+    mail = {"Mail": r"\S+@\S+\.\w+"}
+    assert cleaned(redaction_map=tokens | {"Mail": "<$mail>"}, patterns=mail) == "mail me at <$mail>, card <REDACTED: Financial information>"
+    with pytest.raises(SecurityServiceError):
+        cleaned(redaction_map=tokens, patterns=mail)  # a pattern without a token
+    with pytest.raises(SecurityServiceError):
+        cleaned(redaction_map=tokens | {"Mail": "x"})  # a token without a pattern
+
+
+def test_ranking_svm_stage(spark):
+    import numpy as np
+
+    from qaflow.config import RerankConfig, RetrievalConfig
+    from qaflow.operators import rerank as RR
+
+    rnd = np.random.RandomState(4)
+    vectors = rnd.normal(size=(60, 4))
+    hits = spark.createDataFrame([(f"e{i % 12}", vectors[i].tolist(), float(vectors[i, 2] > 0)) for i in range(60)] + [("lone", [9.0, 9.0, 9.0, 9.0], 0.0)],
+                                 "event_id string, vector array<double>, relevance double")
+    pairs = RR.pair_differences(hits).collect()
+    want = sum(2 * sum(vectors[i, 2] > 0 for i in range(e, 60, 12)) * sum(vectors[i, 2] <= 0 for i in range(e, 60, 12)) for e in range(12))
+    assert len(pairs) == want and sum(r.label for r in pairs) == want / 2
+    w = RR.fit_ranking_svm(hits)
+    assert np.argmax(np.abs(w)) == 2 and w[2] > 0
+    pts = spark.createDataFrame([(i, vectors[i].tolist(), str(i), f"text {i}") for i in range(60)], "id long, vector array<double>, doc_id string, text string")
+    cfg = PipelineConfig(retrieval=RetrievalConfig(top_k=8), rerank=RerankConfig(top_k=3))
+    req = spark.createDataFrame([("q", "hello", {}, [1.0, 0.0, 0.0, 0.0]), ("bad", "hello", {}, [1.0])], "event_id string, user_query string, metadata map<string,string>, qvec array<double>")
+    got = {r.event_id: r for r in Pipeline(points=pts, config=cfg, rerank_weights=w, stages=["RETRIEVE", "RERANK"]).run(req)[0].collect()}
+    found = sorted(range(60), key=lambda i: -vectors[i, 0])[:8]
+    best = sorted(found, key=lambda i: -float(vectors[i] @ np.array(w)))[:3]
+    assert [(c.rank, c.doc_id) for c in got["q"].contexts] == [(k + 1, str(i)) for k, i in enumerate(best)]
+    assert got["bad"].errors[0].error_type == K.SEARCH_ARGUMENTS_ERROR and len(got["bad"].contexts) == 1
