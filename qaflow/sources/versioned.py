@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,10 +69,6 @@ class VersionedTable:
         got = self.commits()
         return got[-1]["version"] if got else -1
 
-    def done(self, batch: str | None) -> bool:
-        """Whether a batch has been committed, so that a replay can leave it."""
-        return batch is not None and any(c["batch"] == batch for c in self.commits())
-
     def _commit(self, version: int, kind: str, batch: str | None, parts: list[list[str]]) -> int:
         row = self.spark.createDataFrame([(version, kind, batch, parts)], COMMIT)
         row.coalesce(1).write.mode("append").json(f"{self.root}/commits")
@@ -80,16 +77,23 @@ class VersionedTable:
         return version
 
     def _write(self, rows: DataFrame, folder: str, kind: str, batch: str | None, touched: list[list[str]] | None = None) -> int:
-        version = self.version() + 1
+        commits = self.commits()
+        if batch is not None and any(c["batch"] == batch for c in commits):
+            return commits[-1]["version"]  # a replay
+        version = commits[-1]["version"] + 1 if commits else 0
         path = f"{self.root}/{folder}/v={version}"
         rows = rows.withColumns({p.name: p.of(F.col(self.key)).cast(p.type) for p in self.parts})
         # full partitions are split over tasks and small ones put together, whatever the sizes of the keys
         rows.hint("rebalance", *self.names).write.mode("overwrite").partitionBy(*self.names).parquet(path)
-        return self._commit(version, kind, batch, self._touched(folder, version) if touched is None else touched)
+        return self._commit(version, kind, batch, self._written(path) if touched is None else touched)
 
-    def _touched(self, folder: str, version: int) -> list[list[str]]:
-        rows = self._scan(folder).where(F.col("v") == version).select(*self.names).distinct().collect()  # a row for each partition
-        return [[str(x) for x in r] for r in rows]
+    def _written(self, path: str) -> list[list[str]]:
+        """The partitions of a version, from the names of its files."""
+        found = set()
+        for name in self.spark.read.schema(self.schema).parquet(path).inputFiles():
+            at = dict(x.split("=", 1) for x in name.split("/") if "=" in x)
+            found.add(tuple(unquote(at[n]) for n in self.names))
+        return [list(p) for p in sorted(found)]
 
     # ---------------------------------------------------------------- reading
 
@@ -127,8 +131,7 @@ class VersionedTable:
         commits = self.commits(version)
         if not commits:
             return self.spark.createDataFrame([], self.schema)
-        gone = max((c["version"] for c in self.commits() if c["kind"] == "vacuum"), default=-1)
-        if commits[-1]["version"] < gone:
+        if version is not None and any(c["kind"] == "vacuum" and c["version"] > version for c in self.commits()):
             raise ValueError(f"version {version} of {self.root} was removed by vacuum")
         columns = self.schema.fieldNames()
         written = any(c["kind"] in ("base", "compact") for c in commits)
@@ -167,15 +170,11 @@ class VersionedTable:
 
     def append(self, rows: DataFrame, batch: str | None = None) -> int:
         """New rows as they are; keys may repeat (a log). The first append creates the table."""
-        if self.done(batch):
-            return self.version()
         none = {"_seq": F.lit(None).cast("long"), "_deleted": F.lit(None).cast("boolean")}
         return self._write(rows.select(*self.schema.fieldNames()).withColumns(none), "base", "base", batch)
 
     def patch(self, rows: DataFrame, deleted: Column, order: Column | None = None, batch: str | None = None) -> int:
         """Insert or replace rows by their key, or delete the keys for which ``deleted`` holds. Of several changes of a key the last one counts (``order``, then the other columns)."""
-        if self.done(batch):
-            return self.version()
         others = [c for c in self.schema.fieldNames() if c != self.key]
         seq = (F.lit(0) if order is None else order).cast("long")
         marked = rows.where(F.col(self.key).isNotNull()).withColumns({"_seq": seq, "_deleted": F.coalesce(deleted, F.lit(False))})
@@ -185,8 +184,6 @@ class VersionedTable:
 
     def delete(self, keys: DataFrame, batch: str | None = None) -> int:
         """Tombstones for all rows so far of some keys; ``keys`` has the key column."""
-        if self.done(batch):
-            return self.version()
         none = {f.name: F.lit(None).cast(f.dataType) for f in self.schema.fields if f.name != self.key}
         rows = keys.select(self.key).where(F.col(self.key).isNotNull()).distinct().withColumns(none)
         return self._write(rows.withColumns({"_seq": F.lit(None).cast("long"), "_deleted": F.lit(True)}), "changes", "changes", batch)
@@ -196,7 +193,7 @@ class VersionedTable:
         commits = self.commits()
         touched = self._changed(commits)
         if not touched:
-            return self.version()
+            return commits[-1]["version"] if commits else -1
         none = {"_seq": F.lit(None).cast("long"), "_deleted": F.lit(None).cast("boolean")}
         rows = self.read(where=self._in(touched)).withColumns(none)
         return self._write(rows, "base", "compact", None, touched)
@@ -212,7 +209,7 @@ class VersionedTable:
                for p in c["parts"] if c["version"] < newest.get(tuple(p), -1)]
         if not old:
             return 0
-        self._commit(self.version() + 1, "vacuum", None, [])
+        self._commit(commits[-1]["version"] + 1, "vacuum", None, [])
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         removed = 0
         for folder, v, p in old:
