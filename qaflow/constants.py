@@ -53,7 +53,6 @@ EMBED_TIMEOUT_ERROR = "QueryEmbeddingTimeoutError"
 NO_DOCUMENTS_ERROR = "NoDcoumentsRetrievedError"
 SEARCH_ARGUMENTS_ERROR = "QDRANTArgumentsError"
 CONTEXT_WINDOW_ERROR = "AllDocumentsExceedContextWindowError"
-MODEL_TIMEOUT_ERROR = "LLMTimeoutError"
 
 # --- FIXED VALUES: metric names, in emission order ------------------------------
 METRIC_NAMES = [
