@@ -55,7 +55,7 @@ def test_blocks_equal_single_pass(spark):
                               "event_id string, qvec array<float>")
     info: dict = {}
     one = similarity_topk(q, pts, 3, info=info).orderBy("event_id", "rank").collect()
-    assert info == {"n_questions": 40, "cells": 1, "dim": 4}
+    assert info == {"n_questions": 40, "cells": 1, "dim": 4, "pairs": 320}
     many = similarity_topk(q, pts, 3, block_bytes=300, info=info).orderBy("event_id", "rank").collect()
     assert info["cells"] == 13 * 3
     assert one == many
