@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import shared_path
-from .common import safe_words, saved, small_batches
+from .common import free, safe_words, saved, small_batches
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 MAX_LEN, CHECKPOINT, CHUNK_IDS, CACHE_WORDS, JOINED_WORDS = 16, 1024, 1 << 18, 1_200_000, 1000
@@ -215,8 +215,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield chunk()
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    # ranges of id and text, so that the rows of one id may lie in several
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges of id and hash, so that the rows of one id may lie in several; the driver's sample of the ranges holds no texts
+    (by,) = free(["doc_id", "text"], "hash")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias(by)).repartitionByRange("doc_id", by).sortWithinPartitions("doc_id", by, "text").select("doc_id", "text")
     return ordered.mapInArrow(
         run,
         f"pid int, seq int, start bigint, doc_ids array<{kind}>, sizes array<bigint>, used array<int>, count array<bigint>, ids binary, wide boolean",

@@ -17,8 +17,8 @@ driver is one matrix of d by d numbers.
 Defined cases: vectors that are null, empty or hold a null or non-finite entry are dropped, and so are vectors whose
 size is not the most frequent one (the largest among equals); rows without an id are kept like others; repeated rows
 count as often as they stand there; a component without variance has ``whitened`` 0 and ``explained`` 0; an empty table
-gives no rows; other columns, whatever their names, are dropped. Entries of 2^40 and more are an error (ARITHMETIC_OVERFLOW
-of the sum of a column), as their sums would not be exact.
+gives no rows; other columns, whatever their names, are dropped. If a sum of a dimension passes 64 bits the job fails with
+an overflow, as it would not be exact.
 """
 
 from __future__ import annotations
