@@ -19,8 +19,9 @@ A pair that shares a frequent signature has all its rare tokens in both prefixes
 missing in the other set, which bounds the overlap and spares most verifications among copies that are too far apart.
 Pairs within a component cannot change it, so the components are exact.
 Verification compares the sorted shingle hashes. The only approximation is a collision of 64-bit hashes within
-one compared pair (about 1e-13), of the 128-bit key by which equal sets are collapsed, or of the 64-bit hash of id
-and text by which the join knows a row (*node*; about 3e-6 for ten million rows).
+one compared pair (about 1e-13) or of the 128-bit key by which equal sets are collapsed. The join knows a row by a 64-bit
+hash of id and text (*node*); hashes that different rows share are found beforehand by a second, independent hash, and
+those rows are known by that one, so that rows are mistaken for each other only if both hashes agree.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing (component: their own id);
 fewer than five words make one shingle; equal sets are linked; each row returns, rows of one id are linked by their
@@ -44,6 +45,7 @@ from .components import components
 
 WIDTH, NUM, DEN = 5, 4, 5  # words in a shingle; similarity of NUM / DEN
 SKETCH_BITS, SLICE = 20, 1 << 14
+SKETCH_TASKS, SKETCH_FAN = 1 << 14, 64
 RARE, CLASS_TOKENS = 64, 4
 FLUSH = 1 << 22
 LANES = 16  # longs of a bitmap
@@ -129,13 +131,34 @@ def signatures(tokens: np.ndarray, sketch: np.ndarray, frequent: int) -> np.ndar
 # ------------------------------------------------------------------------------ Spark jobs
 
 
-def node():
-    """What the join knows a row by, with or without an id: rows of equal id and text are one."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+def row_hash(seed: int):
+    """Of id and text, null or not: equal for rows of equal id and text."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), "text")
+
+
+def with_nodes(docs: DataFrame, name: str, shared: DataFrame | None) -> DataFrame:
+    """``docs`` with ``name``, what the join knows a row by: its first hash, or its second where the first is one of ``shared``."""
+    if shared is None:
+        return docs.withColumn(name, row_hash(0))
+    (other,) = free([*docs.columns, name], "other")
+    both = docs.withColumn(name, row_hash(0)).join(shared.withColumnRenamed("hash", name).withColumn(other, F.lit(True)), name, "left")
+    return both.withColumn(name, F.when(F.col(other), row_hash(1)).otherwise(F.col(name))).drop(other)
+
+
+def shared_hashes(docs: DataFrame) -> DataFrame | None:
+    """``hash``: first hashes that stand for rows of different id or text (some 300 expected in 10^11 rows); None without any.
+
+    The table is read back, so that the planner knows its size and takes the join on it for a broadcast only if it is small."""
+    both = docs.select(row_hash(0).alias("hash"), row_hash(1).alias("other")).groupBy("hash").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    found = saved(both.filter("lo <> hi").select("hash"), "shared-hashes")
+    return None if found.isEmpty() else found
 
 
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Counts of all shingles by their low ``SKETCH_BITS`` bits; 4 MB however large the corpus."""
+    """Counts of all shingles by their low ``SKETCH_BITS`` bits; 4 MB however large the corpus.
+
+    Every scan task puts out 4 MB, so these tasks are limited in number (each reads more, in batches) and their slices
+    are added up in two steps: no task reads more than ``SKETCH_TASKS / SKETCH_FAN`` slices of 64 KB."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -154,14 +177,16 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(c, 0xFFFFFFFF).astype("<u4").tobytes() for c in total.values()], pa.binary())], names=["k", "c"])
 
-    sums = docs.select("text").mapInArrow(count, "k int, c binary").repartition("k").mapInArrow(add, "k int, c binary")
+    counted = docs.select("text").coalesce(SKETCH_TASKS).mapInArrow(count, "k int, c binary").withColumn("part", F.spark_partition_id() % SKETCH_FAN)
+    some = counted.repartition("k", "part").select("k", "c").mapInArrow(add, "k int, c binary")
+    sums = some.repartition("k").mapInArrow(add, "k int, c binary")
     out = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE, np.uint32).reshape(-1, SLICE)
     for k, c in sums.collect():  # of fixed size
         out[k] = np.frombuffer(c, "<u4")
     return out.reshape(-1)
 
 
-def _described(docs: DataFrame, sketch, frequent: int, width: int) -> DataFrame:
+def _described(rows: DataFrame, sketch, frequent: int, width: int) -> DataFrame:
     """``node, doc_id, key, n`` of every document (``sig`` null), and, for each signature of a task, its smallest node with the others as ``members``."""
 
     schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("rare", pa.int32()), ("bits", pa.list_(pa.int64())), ("sig", pa.int64()), ("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
@@ -217,7 +242,7 @@ def _described(docs: DataFrame, sketch, frequent: int, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(node().alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+    return rows.mapInArrow(
         run, "node bigint, doc_id bigint, n int, key binary, rare int, bits array<bigint>, sig bigint, members array<bigint>, sizes array<int>"
     )
 
@@ -264,13 +289,12 @@ def _across(apart: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("doc").alias("a"), "b").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """Those rows ``a, b`` of ``pairs`` whose documents are similar enough."""
-    spark = docs.sparkSession
+def verified(rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """Those rows ``a, b`` of ``pairs`` whose documents are similar enough; ``rows`` holds ``node`` and ``text``."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if nodes.count() * 64 <= BROADCAST_BYTES:  # about the bytes of an entry of a hash table
         nodes = F.broadcast(nodes)
-    texts = docs.select(node().alias("node"), "text").join(nodes, "node", "left_semi")
+    texts = rows.select("node", "text").join(nodes, "node", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,14 +332,15 @@ def _stars(apart: DataFrame, degree: DataFrame | None) -> DataFrame:
     return best.select("a", F.bitwise_not("m.minus").alias("b"))
 
 
-def _groups(docs: DataFrame, width: int) -> DataFrame:
+def _groups(docs: DataFrame, width: int, shared_by: DataFrame | None) -> DataFrame:
     """``node, doc_id, n, rep`` for every row of ``docs``; ``rep`` is the ``doc_id, node`` of smallest id in its component, null without shingles."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark, 500)
     counts = frequency_sketch(docs, width)
     frequent = RARE + 2 * int(counts.mean())
     sketch = spark.sparkContext.broadcast(counts)
-    described = saved(_described(docs, sketch, frequent, width).withColumn("kind", F.when(F.col("sig").isNull(), 0).otherwise(1)), "shingle-signatures")
+    noded = with_nodes(docs.select("doc_id", "text"), "node", shared_by).select("node", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    described = saved(_described(noded, sketch, frequent, width).withColumn("kind", F.when(F.col("sig").isNull(), 0).otherwise(1)), "shingle-signatures")
     rows = described.filter("kind = 0").select("node", "doc_id", "n", "key", "rare", "bits")
     sigs = described.filter("kind = 1").select("sig", "node", "n", "members", "sizes")
     shared = sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig bigint, doc bigint, n int")
@@ -333,7 +358,7 @@ def _groups(docs: DataFrame, width: int) -> DataFrame:
     apart, degree = shared.withColumn("comp", F.col("doc")), None
     while True:
         best = saved(_stars(apart, degree), "stars")
-        links = verified(docs, best, width)
+        links = verified(noded, best, width)
         edges = saved(edges.unionByName(links), "edges")
         labels = components(edges, "a", "b")
         apart = saved(_apart(shared, labels), "apart")
@@ -341,7 +366,7 @@ def _groups(docs: DataFrame, width: int) -> DataFrame:
             break
         degree = edges.groupBy(F.col("b").alias("doc")).agg(F.count(F.lit(1)).alias("deg"))
     # the pairs across components that share a signature
-    links = verified(docs, saved(_across(apart, rows), "across"), width)
+    links = verified(noded, saved(_across(apart, rows), "across"), width)
     labels = components(edges.unionByName(links), "a", "b").select(F.col("node").alias("a"), "component")
     # from holders to keys; a component is named by the smallest id of any of its rows
     placed = holders.join(labels, "a", "left").groupBy("key").agg(F.min(F.coalesce("component", "a")).alias("label"))
@@ -355,18 +380,19 @@ def _groups(docs: DataFrame, width: int) -> DataFrame:
 def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("rep.doc_id"))
-    return _groups(docs, width).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
+    return _groups(docs, width, shared_hashes(docs)).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row of ``docs`` for each component, that of the smallest id (if all ids are null, one of these).
 
     Rows without shingles are linked with nothing and stay, save repeats of one id and text."""
-    rows = saved(_groups(docs, width).select("node", "doc_id", F.col("rep.node").alias("rep")), "grouped-rows")
+    shared = shared_hashes(docs)
+    rows = saved(_groups(docs, width, shared).select("node", "doc_id", F.col("rep.node").alias("rep")), "grouped-rows")
     gone = rows.filter("node <> rep").select("node").distinct()
     repeated = rows.filter("node = rep OR rep IS NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("node")
     (own,) = free(docs.columns, "node")
-    left = docs.withColumn(own, node()).join(gone.withColumnRenamed("node", own), own, "left_anti")
+    left = with_nodes(docs, own, shared).join(gone.withColumnRenamed("node", own), own, "left_anti")
     repeated = repeated.withColumnRenamed("node", own)
     once = left.join(repeated, own, "left_semi").dropDuplicates([own])
     return left.join(repeated, own, "left_anti").unionByName(once).select(*docs.columns)

@@ -61,3 +61,25 @@ def test_labels_without_a_document_change_nothing(spark, more):
         labels = labels.unionByName(spark.range(1000, 1000 + more).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic")))
     flagged = {r.doc_id for r in toxicity.score(docs, toxicity.train(docs, labels)).filter("toxic").collect()}
     assert flagged == {i for i in range(400) if i % 4 == 0}
+
+
+def test_rows_with_one_hash_are_told_apart(spark, monkeypatch):
+    rng = random.Random(4)
+    base = prose(rng, 6)
+    rows = [(i, prose(rng, 4)) for i in range(40)] + [(50, base), (51, base), (52, base + "\none more"), (None, base), (60, None), (61, "")]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string").repartition(3)
+    names = lambda: sorted(map(tuple, jaccard_join.similar_groups(docs).collect()), key=str)
+    want, kept = names(), sorted((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect())
+    whole = jaccard_join.row_hash
+    assert jaccard_join.shared_hashes(docs) is None
+    monkeypatch.setattr(jaccard_join, "row_hash", lambda seed: whole(seed) % 5 if seed == 0 else whole(seed))
+    assert jaccard_join.shared_hashes(docs).count() > 5
+    assert names() == want and sorted((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()) == kept
+    assert [d for d, _, c in want if c == 50] == [50, 51, 52, None] and len(kept) == 43
+
+
+def test_sketch_adds_up_over_any_partitions(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, prose(rng, 3)) for i in range(60)], "doc_id bigint, text string")
+    one, many = (jaccard_join.frequency_sketch(docs.repartition(n), 5) for n in (1, 130))
+    assert (one == many).all() and one.sum() == 60 * (36 - 4)
