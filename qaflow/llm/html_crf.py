@@ -13,8 +13,8 @@ article inside it, unless an ancestor is one of ``ASIDE``. Training sees no labe
 Defined cases: a null, empty or text-free html gives an empty text; broken markup is read as browsers would roughly do
 (unknown end tags are ignored, open elements end with their parent, controls and objects also where a section starts,
 a cut-off tag is text-free); repeated rows give
-equal rows; null ids and urls are passed through; empty tables give empty results; other columns are dropped. Work is
-linear in the page, whatever its length.
+equal rows; null ids and urls are passed through; empty tables give empty results; other columns are dropped. Work and
+memory of an extraction are linear in the page, however long or deeply nested it is.
 """
 
 from __future__ import annotations
@@ -36,7 +36,10 @@ SAMPLE, MADE, EPOCHS, RATE, SEED = 200, 500, 6, 0.1, 7
 RAW = "script|style|textarea"
 #: Their text is left out until they or their parent end.
 HIDDEN = frozenset("noscript template svg iframe object select option button".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<({RAW})(?:/>|(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=[\s\"']/)>|(?<![\s\"']/)>.*?(?:</\1(?=[\s/>])[^>]*(?:>|$)|$)))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S | re.I)
+#: What stands in a tag. A quote counts after ``=`` only; one that is never closed is a plain character, and so is one
+#: whose value would hold a ``>`` and end in ``=``: it ran on to the opening quote of a later tag.
+INSIDE = r"""(?:[^>"'=]|=\s*+(?:"[^">]*"|"[^"]*+(?<!=)"|'[^'>]*'|'[^']*+(?<!=)')|[="'])*+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<({RAW})(?:/>|(?=[\s/>]){INSIDE}(?:(?<=[\s"']/)>|(?<![\s"']/)>.*?(?:</\1(?=[\s/>])[^>]*(?:>|$)|$)))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({INSIDE})(?:>|$)""", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del br input".split())
@@ -52,22 +55,80 @@ ASIDE = frozenset(
 )
 
 
+class Element:
+    """An open element; ``fresh`` are those of its features that no element around it has."""
+
+    __slots__ = ("tag", "around", "fresh", "score")
+
+    def __init__(self, tag: str, around: Element | None, fresh: list[str]):
+        self.tag, self.around, self.fresh, self.score = tag, around, fresh, None
+
+    def features(self) -> set[str]:
+        out, at = set(), self
+        while at:
+            out.update(at.fresh)
+            at = at.around
+        return out
+
+
 class Block:
-    __slots__ = ("path", "parts", "linked")
+    __slots__ = ("within", "parts", "linked")
 
-    def __init__(self, path: tuple):
-        self.path, self.parts, self.linked = path, [], 0
+    def __init__(self, within: Element | None):
+        self.within, self.parts, self.linked = within, [], 0
 
     def text(self) -> str:
         return " ".join(entities.unescape("".join(self.parts)).split())
 
 
-def blocks(page: str) -> list[tuple[tuple, str, float]]:
-    """``(ancestors, text, share of the text inside links)``; an ancestor is ``(tag, words)``."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Stack:
+    """The open elements, with the places of each tag and of each feature: a tag is found, opened and closed without a look at the others."""
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.covers: list[int] = []
+        self.seen: set[str] = set()
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        own = dict.fromkeys(f"w:{w}" for w in words)
+        if tag not in ("html", "body"):
+            own[f"a:{tag}"] = None
+        if tag in ASIDE or not ASIDE.isdisjoint(words):
+            own["aside"] = None
+        fresh = [f for f in own if f not in self.seen]
+        self.seen.update(fresh)
+        at = len(self.open)
+        self.places.setdefault(tag, []).append(at)
+        if tag in WALLS:
+            self.walls.append(at)
+        if tag in HIDDEN:
+            self.covers.append(at)
+        self.open.append(Element(tag, self.open[-1] if self.open else None, fresh))
+
+    def close(self, tag: str, inside_walls: bool, uncovered: bool = False) -> bool:
+        """End the innermost element of this tag, with all in it, if no wall (no hidden element) stands before it."""
+        places = self.places.get(tag)
+        if not places or inside_walls and self.walls and self.walls[-1] > places[-1] or uncovered and self.covers and self.covers[-1] > places[-1]:
+            return False
+        stop = places[-1]
+        while len(self.open) > stop:
+            e = self.open.pop()
+            self.places[e.tag].pop()
+            self.seen.difference_update(e.fresh)
+            if e.tag in WALLS:
+                self.walls.pop()
+            if e.tag in HIDDEN:
+                self.covers.pop()
+        return True
+
+
+def blocks(page: str) -> list[tuple[Element | None, str, float]]:
+    """``(innermost element, text, share of the text inside links)``."""
+    stack = Stack()
     out: list[Block] = []
     now: Block | None = None
-    links = 0
     hidden = 0  # depth of the outermost hidden element
     at = 0
 
@@ -78,10 +139,10 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
         if now is None:
             if not piece.strip():
                 return
-            now = Block(tuple(stack))
+            now = Block(stack.open[-1] if stack.open else None)
             out.append(now)
         now.parts.append(piece)
-        if links:
+        if stack.places.get("a"):
             now.linked += len(piece)
 
     for m in TOKEN.finditer(page):
@@ -96,58 +157,45 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
             now.parts.append(" ")
         was = hidden
         if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or tag in INLINE and stack[i][0] in WALLS), None)
-            if depth is not None and stack[depth][0] == tag:
-                del stack[depth:]
-                hidden = hidden if len(stack) >= hidden else 0
+            stack.close(tag, tag in INLINE)
         elif tag not in VOID:
             for name in CLOSES.get(tag, ()):
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in WALLS or name == "p" and stack[i][0] in HIDDEN), None)
-                if depth is not None and stack[depth][0] == name:
-                    del stack[depth:]
-                    hidden = hidden if len(stack) >= hidden else 0
-            if not m[4].endswith("/"):
-                words: tuple[str, ...] = ()
-                if "=" in m[4]:
-                    words = tuple(w for a in ATTRIBUTE.finditer(m[4]) for w in re.findall(r"[a-z]+", (a[2] or a[3] or a[4] or "").lower()))
-                stack.append((tag, words))
-                if not hidden and tag in HIDDEN:
-                    hidden = len(stack)
+                stack.close(name, True, name == "p")
+        if hidden > len(stack.open):
+            hidden = 0
+        if not m[2] and tag not in VOID and not m[4].endswith("/"):
+            words: tuple[str, ...] = ()
+            if "=" in m[4]:
+                words = tuple(w for a in ATTRIBUTE.finditer(m[4]) for w in re.findall(r"[a-z]+", (a[2] or a[3] or a[4] or "").lower()))
+            stack.push(tag, words)
+            if not hidden and tag in HIDDEN:
+                hidden = len(stack.open)
         if tag not in INLINE and tag not in HIDDEN and not (was and hidden):
             now = None
-        links = any(t == "a" for t, _ in stack) if tag == "a" or links else 0
     if at < len(page):
         add(page[at:])
     got = []
     for b in out:
         if text := b.text():
-            got.append((b.path, text, min(1.0, b.linked / max(1, sum(map(len, b.parts))))))
+            got.append((b.within, text, min(1.0, b.linked / max(1, sum(map(len, b.parts))))))
     return got
 
 
-def features(path: tuple, text: str, linked: float, place: int, last: int) -> list[str]:
-    out = {"1", f"t:{path[-1][0] if path else ''}"}
-    for tag, words in path:
-        if tag not in ("html", "body"):
-            out.add(f"a:{tag}")
-        for w in words:
-            out.add(f"w:{w}")
-            if w in ASIDE:
-                out.add("aside")
-        if tag in ASIDE:
-            out.add("aside")
+def features(within: Element | None, text: str, linked: float, place: int, last: int) -> list[str]:
+    """What a block has beside the features of the elements around it."""
+    out = ["1", f"t:{within.tag if within else ''}"]
     n = len(text)
-    out.add("n:" + ("1" if n < 15 else "2" if n < 40 else "3" if n < 100 else "4" if n < 250 else "5"))
-    out.add("l:" + ("0" if linked < 0.1 else "1" if linked < 0.6 else "2"))
+    out.append("n:" + ("1" if n < 15 else "2" if n < 40 else "3" if n < 100 else "4" if n < 250 else "5"))
+    out.append("l:" + ("0" if linked < 0.1 else "1" if linked < 0.6 else "2"))
     if text[-1] in ".!?…\"”»":
-        out.add("stop")
+        out.append("stop")
     if "©" in text:
-        out.add("copy")
+        out.append("copy")
     if place == 0:
-        out.add("first")
+        out.append("first")
     if place == last:
-        out.add("last")
-    return sorted(out)
+        out.append("last")
+    return out
 
 
 class Field:
@@ -161,6 +209,20 @@ class Field:
         w = self.w
         return [sum([w.get(f, 0.0) for f in fs]) for fs in found]
 
+    def page_scores(self, got: list[tuple[Element | None, str, float]]) -> list[float]:
+        """The scores of a page's blocks; those of the elements around them are added up once for each element."""
+        w, out = self.w, []
+        for i, b in enumerate(got):
+            todo, at = [], b[0]
+            while at and at.score is None:
+                todo.append(at)
+                at = at.around
+            total = at.score if at else 0.0
+            for e in reversed(todo):
+                total = e.score = total + sum([w.get(f, 0.0) for f in e.fresh])
+            out.append(total + sum([w.get(f, 0.0) for f in features(*b, i, len(got) - 1)]))
+        return out
+
     def step(self, found: list[list[str]], labels: list[int], rate: float) -> None:
         """One gradient step of the log likelihood of a page."""
         s, n = self.scores(found), len(found)
@@ -188,10 +250,12 @@ class Field:
                 self.pair[a][b] += rate * max(-2.0, min(2.0, grad[a][b]))
 
     def decode(self, found: list[list[str]]) -> list[int]:
-        """Viterbi."""
-        if not found:
+        return self.viterbi(self.scores(found))
+
+    def viterbi(self, s: list[float]) -> list[int]:
+        if not s:
             return []
-        s, p = self.scores(found), self.pair
+        p = self.pair
         a, b, back = 0.0, s[0], []
         for x in s[1:]:
             back.append((int(b + p[1][0] > a + p[0][0]), int(b + p[1][1] > a + p[0][1])))
@@ -202,8 +266,9 @@ class Field:
         return labels[::-1]
 
 
-def found_in(got: list[tuple[tuple, str, float]]) -> list[list[str]]:
-    return [features(*b, i, len(got) - 1) for i, b in enumerate(got)]
+def found_in(got: list[tuple[Element | None, str, float]]) -> list[list[str]]:
+    """All features of each block, for training."""
+    return [sorted({*features(*b, i, len(got) - 1), *(b[0].features() if b[0] else ())}) for i, b in enumerate(got)]
 
 
 # ------------------------------------------------------------------------------ training pages
@@ -288,7 +353,8 @@ def train(pages: DataFrame, sample: int = SAMPLE, made: int = MADE) -> Field:
     some = some.orderBy("h", "page_id").limit(sample).select("page_id").distinct()
     for (page,) in sorted(tuple(r) for r in pages.select("html", "page_id").filter("html IS NOT NULL").join(F.broadcast(some), "page_id").select("html").limit(2 * sample).collect()):
         got = blocks(page)
-        inside = [any(t == "article" for t, _ in p) and not any(t in ASIDE or ASIDE & set(w) for t, w in p) for p, _, _ in got]
+        around = [e.features() if e else set() for e, _, _ in got]
+        inside = ["a:article" in fs and "aside" not in fs for fs in around]
         if any(inside):
             cases.append((found_in(got), [int(x) for x in inside]))
     field = Field()
@@ -301,7 +367,7 @@ def train(pages: DataFrame, sample: int = SAMPLE, made: int = MADE) -> Field:
 
 def main_text(page: str | None, field: Field) -> str:
     got = blocks(page or "")
-    return " ".join(text for (_, text, _), y in zip(got, field.decode(found_in(got)), strict=True) if y)
+    return " ".join(text for (_, text, _), y in zip(got, field.viterbi(field.page_scores(got)), strict=True) if y)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
