@@ -10,7 +10,7 @@ least, so the tables keyed by every pair of blocks find all of them; equal finge
 
 Defined cases: a null text is an empty one; a text without words has fingerprint 0; equal texts have equal
 fingerprints; documents are ordered by ``doc_id`` (null first), then by a hash of the text; repeated rows are one
-document in that order and each returns; the next document of the last, and of a single one, is the first; empty
+document in that order and each returns (a sum holds 2^31 votes: the words of a text times its repeated rows); the next document of the last, and of a single one, is the first; empty
 tables give empty results; other columns are dropped.
 """
 
@@ -56,7 +56,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def near(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fp, found``: for each distinct ``fp`` of ``queries``, how many rows of ``index`` lie within ``radius`` (itself included)."""
+    """``fp, found``: for each distinct ``fp`` of ``queries``, how many rows of ``index`` lie within ``radius`` (itself included); a row counts ``copies`` times, if it has that column."""
     n = radius + 2
     edges = [BITS * k // n for k in range(n + 1)]
     pairs = list(combinations(range(n), 2))
@@ -66,17 +66,18 @@ def near(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFram
         keys = [F.struct(F.lit(t).alias("t"), block[i].alias("x"), block[j].alias("y")) for t, (i, j) in enumerate(pairs)]
         return df.select("*", F.explode(F.array(*keys)).alias("key"))
 
-    held = tables(index.groupBy("fp").agg(F.count(F.lit(1)).alias("c")))
+    rows = F.sum("copies") if "copies" in index.columns else F.count(F.lit(1))
+    held = tables(index.groupBy("fp").agg(rows.alias("c")))
     asked = tables(queries.select("fp").distinct()).withColumnRenamed("fp", "q")
     found = asked.join(held, "key").filter(F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= radius)
     return found.select("q", "fp", "c").distinct().groupBy(F.col("q").alias("fp")).agg(F.sum("c").alias("found"))
 
 
 def following(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, n_chars, next_id, next_th``: each distinct document and the one after it, the first after the last.
+    """``doc_id, th, n_chars, copies, next_id, next_th``: each distinct document, its number of rows, and the one after it, the first after the last.
 
     Rows are range-partitioned; a window runs inside each range, and one row a range bridges to the next."""
-    keys = docs.select("doc_id", F.xxhash64(or_empty()).alias("th"), F.length(or_empty()).cast("bigint").alias("n_chars")).distinct()
+    keys = docs.select("doc_id", F.xxhash64(or_empty()).alias("th"), F.length(or_empty()).cast("bigint").alias("n_chars")).groupBy("doc_id", "th", "n_chars").agg(F.count(F.lit(1)).alias("copies"))
     ranged = saved(keys.repartitionByRange("doc_id", "th").withColumn("part", F.spark_partition_id()), "document-order")
     me = F.struct("doc_id", "th")
     inner = Window.partitionBy("part").orderBy("doc_id", "th")
@@ -85,35 +86,37 @@ def following(docs: DataFrame) -> DataFrame:
     heads = heads.select("part", F.coalesce(F.lead("head").over(over), F.first("head").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))).alias("head"))
     out = ranged.withColumn("next", F.lead(me).over(inner)).join(F.broadcast(heads), "part")  # one row for each range
     out = out.withColumn("next", F.coalesce("next", "head"))
-    return out.select("doc_id", "th", "n_chars", F.col("next.doc_id").alias("next_id"), F.col("next.th").alias("next_th"))
+    return out.select("doc_id", "th", "n_chars", "copies", F.col("next.doc_id").alias("next_id"), F.col("next.th").alias("next_th"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """``rid, doc_id, th, n_chars, text, edited, next_id, next_th``: the last half of each text replaced by the start of the next one's."""
+    """``doc_id, th, n_chars, copies, text, edited, next_id, next_th``: the last half of each text replaced by the start of the next one's. Repeated rows return."""
     order = saved(following(docs), "next-document")
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(or_empty()).alias("h"), or_empty().alias("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     start = order.join(texts, order["next_id"].eqNullSafe(texts["id"]) & (order["next_th"] == texts["h"]))
-    start = start.select(F.col("doc_id"), "th", "n_chars", "next_id", "next_th", F.substring("text", F.lit(1), half).alias("start")).dropDuplicates(["doc_id", "th"])
+    start = start.select(F.col("doc_id"), "th", "n_chars", "copies", "next_id", "next_th", F.substring("text", F.lit(1), half).alias("start")).dropDuplicates(["doc_id", "th"])
     both = texts.join(start, texts["id"].eqNullSafe(start["doc_id"]) & (texts["h"] == start["th"]))
     new = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.col("start"))
-    return both.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", "n_chars", "text", new.alias("edited"), "next_id", "next_th")
+    return both.select("doc_id", "th", "n_chars", "copies", "text", new.alias("edited"), "next_id", "next_th")
 
 
 def compare(docs: DataFrame, radius: int = RADIUS, every: int = 50) -> DataFrame:
     """Fingerprints of all texts and edited texts, their likeness, and the search: ``n_near``, for documents whose id is
     divisible by ``every``, counts the other rows within ``radius``."""
-    keys = ["rid", "doc_id", "th", "n_chars", "sha", "next_id", "next_th"]
+    # repeated rows are known by their id and text, not by a number that a task run again might give otherwise: they vote
+    # together, which leaves the majority as it is, and each returns at the end
+    keys = ["doc_id", "th", "n_chars", "copies", "sha", "next_id", "next_th"]
     e = edited(docs).withColumn("sha", F.unhex(F.sha2("edited", 256)))
     two = e.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"))
     fps = saved(fingerprints(two.select(*keys, F.col("x.v").alias("v"), F.col("x.t").alias("text")), [*keys, "v"]), "fingerprints")
     own = fps.filter("v = 0")
-    new = fps.filter("v = 1").select("rid", F.col("fp").alias("edited_fp"))
-    nexts = own.select(F.col("doc_id").alias("id"), F.col("th").alias("h"), F.col("fp").alias("next_fp")).distinct()
-    out = own.join(new, "rid")
+    new = fps.filter("v = 1").select(F.col("doc_id").alias("e_id"), F.col("th").alias("e_th"), F.col("fp").alias("edited_fp"))
+    nexts = own.select(F.col("doc_id").alias("id"), F.col("th").alias("h"), F.col("fp").alias("next_fp"))
+    out = own.join(new, F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("th") == F.col("e_th")))
     out = out.join(nexts, out["next_id"].eqNullSafe(nexts["id"]) & (out["next_th"] == nexts["h"]))
     found = near(own.filter(F.col("doc_id") % every == 0), own, radius)
-    out = out.join(found, "fp", "left")
+    out = out.join(found, "fp", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     n_near = F.when(F.col("doc_id") % every == 0, F.col("found") - 1)
     return out.select(
         "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_hex("fp").alias("fingerprint"), as_hex("edited_fp").alias("edited_fingerprint"),

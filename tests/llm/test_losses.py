@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from qaflow.llm import decontaminate, jaccard_join, line_templates, toxicity
+from qaflow.llm import decontaminate, jaccard_join, line_templates, simhash, toxicity
 
 CLASH = ["node", "_node", "_new", "_lines", "_gone", "_id", "_th", "_text_hash", "_text_key", "_key", "hit_spans", "_hit_spans", "rid", "lines", "new", "LEAF", "_raw"]
 
@@ -83,3 +83,15 @@ def test_sketch_adds_up_over_any_partitions(spark):
     docs = spark.createDataFrame([(i, prose(rng, 3)) for i in range(60)], "doc_id bigint, text string")
     one, many = (jaccard_join.frequency_sketch(docs.repartition(n), 5) for n in (1, 130))
     assert (one == many).all() and one.sum() == 60 * (36 - 4)
+
+
+def test_repeated_rows_of_one_document_each_return(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 3)) for i in range(0, 300, 50)] + [(7, None), (None, prose(rng, 2)), (None, "")]
+    again = rows + rows[:2] * 3 + rows[-2:]
+    make = lambda rs, n: simhash.compare(spark.createDataFrame(rs, "doc_id bigint, text string").repartition(n)).drop("n_near").collect()
+    once, many = make(rows, 2), make(again, 5)
+    assert len(once) == len(rows) and len(many) == len(again) and set(map(tuple, many)) == set(map(tuple, once))
+    assert [sum(r.doc_id == d for r in many) for d in (0, 50, 100, 7, None)] == [4, 4, 1, 1, 4]
+    near = {r.doc_id: r.n_near for r in simhash.compare(spark.createDataFrame(again, "doc_id bigint, text string")).collect()}
+    assert near[0] == near[50] == 3 and near[100] == 0 and near[7] is None
