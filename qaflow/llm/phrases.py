@@ -6,9 +6,10 @@
    another word. Ids are numbered in parts by hash, with offsets, so no task sees a whole language.
 3. *Counting*: a chunk meets the ids of its words (a row for each distinct word of a chunk, however frequent it is) and
    counts its n-grams of 2 and 3 ids into one filter for each shard (see ``quotient_filter``).
-4. *Merging*: the filters of a shard are merged. Shards are cut by permuted n-grams, so frequent words and large
-   languages are spread evenly, and a shard has a bounded number of bytes however large the corpus is.
-5. *Scoring*: entries with ``least`` or more occurrences leave the filters and are joined with the counts of their parts.
+4. *Merging*: the filters of a shard are merged, and entries with ``least`` or more occurrences leave it in the same task,
+   so a merged filter is neither laid out again nor passed to a second Python worker. Shards are cut by permuted n-grams, so
+   frequent words and large languages are spread evenly, and a shard has a bounded number of bytes however large the corpus is.
+5. *Scoring*: these entries are joined with the counts of their parts.
    The first ``top`` of a language are found in two steps, over salted groups and over what these leave.
 
 Defined cases: a null text has no words, a null language is ``und``; repeated rows count as often as they stand there; a
@@ -97,7 +98,7 @@ def vocabulary(laid: DataFrame, least: int) -> DataFrame:
 
 
 def filters(laid: DataFrame, words: DataFrame, bits: int, shard_bits: int) -> DataFrame:
-    """``lang, shard, filter``: the merged counts of all n-grams of 2 and 3 ids."""
+    """``lang, shard, filter``: the counts of all n-grams of 2 and 3 ids, a filter for each chunk and shard."""
     found = laid.select("chunk", "lang", F.posexplode("words").alias("pos", "word")).join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("of"), F.col("pos").cast("int").alias("pos"), "id")
 
     def count(chunk: pa.Table, ids: pa.Table) -> pa.Table:
@@ -123,32 +124,24 @@ def filters(laid: DataFrame, words: DataFrame, bits: int, shard_bits: int) -> Da
                     out.append((lang, int(shard[a]), qf.build(high[a:b], low[a:b], counts[a:b], bits, shard_bits)))
         return _table(out)
 
-    def merge(rows: pa.Table) -> pa.Table:
-        return _table([(rows.column("lang")[0].as_py(), rows.column("shard")[0].as_py(), qf.merged(rows.column("filter").to_pylist()))])
-
-    schema = "lang string, shard int, filter binary"
-    counted = laid.select("chunk", "lang", "codes").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(count, schema)
-    return counted.groupBy("lang", "shard").applyInArrow(merge, schema)
+    return laid.select("chunk", "lang", "codes").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(count, "lang string, shard int, filter binary")
 
 
 def _table(rows: list[tuple[str, int, bytes]]) -> pa.Table:
     return pa.table({"lang": pa.array([r[0] for r in rows], pa.string()), "shard": pa.array([r[1] for r in rows], pa.int32()), "filter": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def frequent(merged: DataFrame, bits: int, least: int) -> DataFrame:
-    """``lang, w1, w2, w3, a`` of the entries with ``least`` or more occurrences; ``w3`` is 0 for two words."""
+def frequent(counted: DataFrame, bits: int, least: int) -> DataFrame:
+    """``lang, w1, w2, w3, a`` of the entries with ``least`` or more occurrences in the merged filters of a shard; ``w3`` is 0 for two words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, data in zip(batch.column("lang").to_pylist(), batch.column("filter").to_pylist(), strict=True):
-                high, low, counts = qf.entries(data)
-                often = counts >= least
-                ids = qf.restored(high[often], low[often], bits)
-                for at in range(0, len(ids), 1 << 16):
-                    part = ids[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *(pa.array(part[:, k]) for k in range(3)), pa.array(counts[often][at : at + (1 << 16)])], names=["lang", "w1", "w2", "w3", "a"])
-
-    return merged.select("lang", "filter").mapInArrow(run, "lang string, w1 bigint, w2 bigint, w3 bigint, a bigint")
+    def run(rows: pa.Table) -> pa.Table:
+        high, low, counts = qf.summed([memoryview(x.as_buffer()) for x in rows.column("filter")])
+        often = counts >= least
+        ids = qf.restored(high[often], low[often], bits)
+        lang = pa.array([rows.column("lang")[0].as_py()], pa.string()).take(pa.array(np.zeros(len(ids), np.int32)))
+        return pa.Table.from_arrays([lang, *(pa.array(ids[:, k]) for k in range(3)), pa.array(counts[often])], names=["lang", "w1", "w2", "w3", "a"])
+
+    return counted.groupBy("lang", "shard").applyInArrow(run, "lang string, w1 bigint, w2 bigint, w3 bigint, a bigint")
 
 
 def _score(a: str, left: str, right: str):

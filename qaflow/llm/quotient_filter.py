@@ -112,10 +112,16 @@ def entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return high, low, counts
 
 
+def summed(filters: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of all filters of one shard in order, and their counts."""
+    if len(filters) == 1:
+        return entries(filters[0])
+    columns = list(zip(*map(entries, filters), strict=True))
+    low, counts, high = (np.concatenate(columns.pop(k)) for k in (1, 1, 0))  # what is joined is let go
+    return tallied(high, low, counts, struct.unpack_from(HEAD, filters[0])[0])
+
+
 def merged(filters: list[bytes]) -> bytes:
     """One filter with the counts of all; they are of one shard."""
     bits, shard_bits = struct.unpack_from(HEAD, filters[0])[:2]
-    if len(filters) == 1:
-        return filters[0]
-    high, low, counts = (np.concatenate(x) for x in zip(*map(entries, filters), strict=True))
-    return build(*tallied(high, low, counts, bits), bits, shard_bits)
+    return filters[0] if len(filters) == 1 else build(*summed(filters), bits, shard_bits)

@@ -106,3 +106,15 @@ def test_chunks_and_sizes():
     own = P.Chunk()
     own.add(b"A b.c\xc3\x89\tA")
     assert list(own.codes) == [1, 2, 0, 3, 1, 0] and list(own.ids) == [b"\n", b"a", b"b", b"c\xc3\x89"]
+
+
+def test_merged_filters_stay_in_one_python_worker(spark):
+    laid = P.chunks(spark.createDataFrame([(i, "a b c a b", "en") for i in range(20)], "doc_id long, text string, lang string").repartition(3)).localCheckpoint()
+    words = P.vocabulary(laid, 2).localCheckpoint()
+    found = P.frequent(P.filters(laid, words, 2, 1), 2, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapGroupsInArrow", "").replace("FlatMapCoGroupsInArrow", "")
+    ids = {r.word: r.id for r in words.collect()}
+    got = {(r.w1, r.w2, r.w3): r.a for r in found.collect()}
+    a, b, c = ids["a"], ids["b"], ids["c"]
+    assert got == {(a, b, 0): 40, (b, c, 0): 20, (c, a, 0): 20, (a, b, c): 20, (b, c, a): 20, (c, a, b): 20}
