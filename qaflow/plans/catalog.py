@@ -697,7 +697,7 @@ def collection_from_json(spark, d):
                               F.struct(F.col("source").alias("name")).alias("publisher"), "url", F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("code")))
     arts = docs.join(pages, docs.doc_id == pages.page_id, "left").select("doc_id", item.alias("item"))
     path = shared_path(spark, "article-arrays")
-    J.write_json_arrays(arts.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"), path)  # names of part files are in the order of the ranges
+    J.write_json_arrays(arts.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), path)  # names of part files are in the order of the ranges
     arts = J.read_articles_array(spark, path).where("valid").withColumn("code", F.col("payload")["code"])
     coll = A.build_collection(arts, lambda t: TX.digit_encode(t, 6), text="code", order=["path", "block", "idx"])
     return coll.select("id", "doc_id", "text", F.col("payload")["region"].alias("region"), F.col("payload")["publisher"].alias("publisher"), "url",

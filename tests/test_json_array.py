@@ -70,3 +70,28 @@ def test_dense_ids_in_any_partitioning(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).cast("string").alias("doc_id"), F.lit("123").alias("text")).repartition(9)
     ids = {r.doc_id: r.id for r in A.build_collection(df, lambda t: digit_encode(t, 3)).collect()}
     assert [k for k, _ in sorted(ids.items(), key=lambda x: x[1])] == sorted(ids) and sorted(ids.values()) == list(range(500))
+
+
+def test_files_of_the_collection_follow_the_size_of_the_cluster(spark, monkeypatch):
+    from qaflow.plans import catalog
+
+    class Written(Exception):
+        pass
+
+    parts = []
+
+    def write(rows, path):
+        parts.append(rows.rdd.getNumPartitions())
+        raise Written
+
+    monkeypatch.setattr(J, "write_json_arrays", write)
+    monkeypatch.setattr(catalog.TB, "table", lambda s, d, name: s.range(100).selectExpr("id doc_id", "id page_id", "'t' text", "'en' lang", "'s' source", "'u' url").drop(
+        *(["text", "lang", "source", "doc_id"] if name == "pages" else ["url", "page_id"])))
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with pytest.raises(Written):
+            catalog.Q["collection_from_json"](spark, "")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
