@@ -21,6 +21,8 @@ from .topk import BLOCK_BYTES, _global_topk, asked_groups, grid, similarity_topk
 
 
 PIVOTS = 32
+# vectors that are dealt to cells at once, and bytes of the copies that are handed on at once
+_DEALT_ROWS, _DEALT_BYTES = 1024, 2 << 20
 # beyond this cosine distance a ball reaches most cells, so the plain grid is as good
 WIDE = 0.3
 
@@ -28,9 +30,11 @@ WIDE = 0.3
 def _cells(side: str, pivots: np.ndarray, radius: float, key: str, vec: str):
     """Arrow batches of vectors with their cells of the pivot partition: one for a cached vector, all that its ball may meet for a question."""
     sq = (pivots * pivots).sum(1)
+    step = max(1, _DEALT_BYTES // (8 * pivots.shape[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a question has a copy for each ring that its ball may meet, up to some hundred: they are made in small parts
+        for batch in (b.slice(lo, _DEALT_ROWS) for b in batches for lo in range(0, b.num_rows, _DEALT_ROWS)):
             v = batch.column(vec)
             x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, pivots.shape[1])
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -49,10 +53,12 @@ def _cells(side: str, pivots: np.ndarray, radius: float, key: str, vec: str):
                 begin = np.cumsum(many) - many
                 ring = np.repeat(low - begin, many) + np.arange(int(many.sum()))
                 row, cell = np.repeat(row, many), np.repeat(cell, many)
-            take = pa.array(at[row])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(take), v.take(take), pa.array(cell.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(np.full(len(row), pivots.shape[1], np.int32))],
-                names=[f"{side}_{'key' if side == 'q' else 'id'}", f"{side}_vec", "cell", "ring", "dim"])
+            for lo in range(0, len(row), step):
+                some = slice(lo, lo + step)
+                take = pa.array(at[row[some]])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(take), v.take(take), pa.array(cell[some].astype(np.int32)), pa.array(ring[some].astype(np.int32)), pa.array(np.full(len(take), pivots.shape[1], np.int32))],
+                    names=[f"{side}_{'key' if side == 'q' else 'id'}", f"{side}_vec", "cell", "ring", "dim"])
 
     return run
 

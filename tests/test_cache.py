@@ -73,3 +73,15 @@ def test_store_size_and_replays(spark):
     store.compact()
     store.vacuum()
     assert {r.cache_id: r.contexts[0].text for r in store.read().collect()} == {3: "old", 4: "new", 5: "new"}
+
+
+def test_copies_for_cells_are_handed_on_in_small_parts():
+    import pyarrow as pa
+
+    rnd = np.random.RandomState(5)
+    pivots = rnd.normal(size=(32, 64))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    asked = pa.RecordBatch.from_pydict({"event_id": [f"e{i}" for i in range(3000)], "qvec": pa.array(rnd.normal(size=(3000, 64)).tolist())})
+    dealt = list(C._cells("q", pivots, 0.3, "event_id", "qvec")(iter([asked])))
+    assert sum(b.num_rows for b in dealt) > 50_000 and max(b.num_rows for b in dealt) * 64 * 8 <= 2 << 20
+    assert {k for b in dealt for k in b.column("q_key").to_pylist()} == set(asked.column("event_id").to_pylist())
