@@ -37,8 +37,8 @@ BLOCK_BYTES = 8 << 20
 GROUPS = 10_000
 # values of a filtered key that are pushed into the collection's scan
 _PUSHED = 1000
-# rows x questions score cells held at once by one task (float64)
-_CELL_BUDGET = 1 << 22
+# rows x questions score cells held at once by one task (float64); what is made of them takes a few times as much
+_CELL_BUDGET = 1 << 20
 _ROW_OVERHEAD = 64
 _GROUP = ["keys", "vals", "dim"]
 
@@ -99,8 +99,9 @@ def _candidates(S: np.ndarray, kk: int, slack: np.ndarray):
         bound = np.partition(S[:_PROBE_ROWS], _PROBE_ROWS - kk, axis=0)[_PROBE_ROWS - kk] - slack
         # NaN never passes a comparison; a -inf bound must still exclude masked cells
         bound = np.where(np.isneginf(bound), np.finfo(np.float64).min, bound)
-        r, c = divmod(np.flatnonzero(S >= bound[None, :]), m)
-        if len(r) and not np.isnan(bound).any() and len(r) <= 32 * kk * m:
+        above = S >= bound[None, :]
+        if not np.isnan(bound).any() and 0 < np.count_nonzero(above) <= 32 * kk * m:
+            r, c = divmod(np.flatnonzero(above), m)
             order = np.lexsort((r, -S[r, c], c))
             r, c = r[order], c[order]
             s = S[r, c]
@@ -128,14 +129,13 @@ def _candidates(S: np.ndarray, kk: int, slack: np.ndarray):
     return np.nonzero(cand)
 
 
-def _best(P: np.ndarray, Q: np.ndarray, threshold: float | None, kk: int):
+def _best(P: np.ndarray, Q: np.ndarray, threshold: float | None, kk: int, slack: np.ndarray):
     """The best ``kk`` rows of ``P`` (which are in the order of their ids) per question: question, row and score.
 
     The matrix product finds the candidates; their scores are then summed in the order of the
     dimensions, so score and rank of a pair are the same in every grid and partitioning."""
     with np.errstate(invalid="ignore", over="ignore"):
         S = P @ Q.T
-    slack = _slack(P, Q)
     if threshold is not None:
         S[S < threshold - slack[None, :]] = -np.inf
     r, c = _candidates(S, kk, slack)
@@ -161,9 +161,10 @@ def _cell(kk: int, threshold: float | None, metric: str, key: str, point_id: str
         if metric == "cosine":
             P, Q = _unit(P), _unit(Q)
         step = max(1, _CELL_BUDGET // len(P))
+        slack = _slack(P, Q)  # looks at all points, so once for all steps
         found = []
         for lo in range(0, len(Q), step):
-            q, r, s = _best(P, Q[lo:lo + step], threshold, kk)
+            q, r, s = _best(P, Q[lo:lo + step], threshold, kk, slack[lo:lo + step])
             found.append((q + lo, r, s))
         q, r, s = (np.concatenate(x) for x in zip(*found))
         return pa.Table.from_arrays([questions.column("q_key").take(pa.array(q)), points.column("p_id").take(pa.array(r)),
