@@ -31,7 +31,24 @@ def cosine_distance(a: Column, b: Column) -> Column:
 _WORD = re.compile(r"\w+", re.UNICODE)
 
 
+# rows and characters of a batch that are encoded at once
+_ENCODED_ROWS, _ENCODED_CHARS = 1024, 1 << 19
+
+
 def _hash_embed_batch(texts: pd.Series, dim: int) -> pd.Series:
+    """Vectors of a batch, made in slices: the lists of words are many times larger than their texts."""
+    ends = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts], dtype=np.int64)
+    out, at = [], 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + _ENCODED_CHARS, side="right")))
+        stop = min(stop, at + _ENCODED_ROWS)
+        out.extend(_hash_embed_slice(texts.iloc[at:stop], dim))
+        at = stop
+    return pd.Series(out, dtype=object)
+
+
+def _hash_embed_slice(texts: pd.Series, dim: int) -> list:
     """Signed hashed bag of words for a batch: one regex pass per text, then one MD5 of each distinct word (its first 32
     bits choose the cell, the next one the sign) and one ``bincount`` into ``rows x dim`` cells."""
     words, owner = [], []
@@ -53,7 +70,7 @@ def _hash_embed_batch(texts: pd.Series, dim: int) -> pd.Series:
     norms = np.linalg.norm(mat, axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
         mat = np.where(norms > 0, mat / norms, mat).astype(np.float32)
-    return pd.Series([mat[i] if valid[i] else None for i in range(n)])
+    return [mat[i] if valid[i] else None for i in range(n)]
 
 
 def hash_encoder(dim: int = 64):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +68,20 @@ def _call_rows(model, prompts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(_result_rows(model, prompts), columns=columns, dtype=object)
 
 
+def _answered(model, prompts: pd.Series) -> pd.DataFrame:
+    """The result of every prompt; a null one is not passed to the model and has none."""
+    live = prompts.notna().to_numpy()
+    res = pd.DataFrame({f.name: None for f in MODEL_RESULT.fields}, index=prompts.index, dtype=object)
+    if live.any():
+        res.loc[live, :] = _call_rows(model, prompts[live].reset_index(drop=True)).to_numpy(dtype=object)
+    res["token_count"] = pd.array(res["token_count"].tolist(), dtype="Int32")
+    return res
+
+
+# prompts that a model sees at once
+MODEL_ROWS = 1000
+
+
 def call_model(df: DataFrame, model, prompt_col: str = "prompt", out_col: str = "llm") -> DataFrame:
     """K3: ``model(pandas.Series[str]) -> DataFrame{text, token_count}`` run in Arrow batches.
 
@@ -77,32 +93,20 @@ def call_model(df: DataFrame, model, prompt_col: str = "prompt", out_col: str =
             F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("token_count"),
             F.lit("ModelUnavailableError").alias("error_type"),
             F.lit("no language model configured").alias("error_message")))
-    flat = [T.StructField(f"_m_{f.name}", f.dataType) for f in MODEL_RESULT.fields]
-    schema = T.StructType(df.schema.fields + flat)
 
-    def run(batches):
+    @F.pandas_udf(MODEL_RESULT)
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         active = None
-        for pdf in batches:
+        for batch in batches:
             if active is None:  # a factory builds the model once per task, then serves every batch
                 active = model.build() if isinstance(model, ModelFactory) else model
-            pdf = pdf.reset_index(drop=True)
-            live = pdf[prompt_col].notna().to_numpy()
-            res = pd.DataFrame({"text": None, "token_count": None, "error_type": None, "error_message": None},
-                               index=pdf.index, dtype=object)
-            if live.any():
-                got = _call_rows(active, pdf.loc[live, prompt_col].reset_index(drop=True))
-                res.loc[live, :] = got.to_numpy(dtype=object)
-            for f in MODEL_RESULT.fields:
-                col = res[f.name]
-                pdf[f"_m_{f.name}"] = (pd.array(col.tolist(), dtype="Int32") if f.name == "token_count"
-                                       else col.to_numpy(dtype=object))
-            yield pdf
+            parts = [_answered(active, batch.iloc[at:at + MODEL_ROWS].reset_index(drop=True)) for at in range(0, len(batch), MODEL_ROWS)]
+            yield pd.concat(parts, ignore_index=True) if parts else _answered(active, batch)
 
     from ..session import spread_for_cpu
 
-    out = spread_for_cpu(df).mapInPandas(run, schema)
-    return out.withColumn(out_col, F.struct(*[F.col(f"_m_{f.name}").alias(f.name) for f in MODEL_RESULT.fields])) \
-        .drop(*[f"_m_{f.name}" for f in MODEL_RESULT.fields])
+    # only the prompts go to Python, not the contexts beside them; not deterministic: it is called once for a row, wherever its result is used
+    return spread_for_cpu(df).withColumn(out_col, call.asNondeterministic()(F.col(prompt_col)))
 
 
 class ModelFactory:

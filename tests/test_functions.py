@@ -105,3 +105,37 @@ def test_second_redaction_kind(spark):
 
     col = T.redact(F.lit("mail a@b.cc"), {"Financial information": "<n>", "Mail": "<m>"}, {"Mail": r"\S+@\S+"})
     assert spark.range(1).select(col).first()[0] == "mail <m>"
+
+
+def test_encoder_holds_the_words_of_few_texts():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    texts = pd.Series([None if i % 50 == 0 else " ".join(f"word{(i * 7 + j) % 5000}" for j in range(200)) for i in range(4000)])
+    tracemalloc.start()
+    got = V._hash_embed_batch(texts, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20 and len(got) == len(texts)
+    for i in (0, 1, 1023, 1024, 3999):
+        alone = V._hash_embed_batch(texts.iloc[i:i + 1].reset_index(drop=True), 16)[0]
+        assert (got[i] is None and alone is None) or np.array_equal(got[i], alone)
+
+
+def test_a_model_gets_prompts_only_and_few_at_once(spark):
+    import pandas as pd
+
+    from qaflow.operators.generate import call_model
+
+    def model(prompts):
+        return pd.DataFrame({"text": prompts, "token_count": [len(prompts)] * len(prompts)})
+
+    df = spark.range(2500).select("id", F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("prompt"), F.array(F.struct("id")).alias("contexts")).coalesce(1)
+    out = call_model(df, model)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+    got = out.collect()
+    assert len(got) == 2500 and all(r.llm.text == r.prompt and r.contexts[0].id == r.id for r in got)
+    assert max(r.llm.token_count or 0 for r in got) <= 1000 and all((r.llm.token_count is None) == (r.prompt is None) for r in got)
