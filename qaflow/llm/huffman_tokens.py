@@ -18,8 +18,10 @@ one whole text; memory is bounded by the chunk size or the longest text.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,51 +32,110 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import shared_path
-from .common import free, safe_words, saved, small_batches
+from .common import byte_slices, free, saved, small_batches
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
-MAX_LEN, CHECKPOINT, CHUNK_IDS, CACHE_WORDS, JOINED_WORDS = 16, 1024, 1 << 18, 1_200_000, 1000
+MAX_LEN, CHECKPOINT, PACKED, CHUNK_IDS = 16, 256, 1 << 14, 1 << 18  # PACKED: a multiple of CHECKPOINT
+CACHE_WORDS, CACHE_CHARS, JOINED_WORDS, JOINED_TEXTS, SLICE = 800_000, 1 << 25, 32, 32, 4 << 20
 
 _TOKENIZERS: dict = {}
 
 
+#: White space beyond ASCII, as numbers of its UTF-8 bytes
+_WIDE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace() or c == "\u180e"]
+WIDE_SPACES = np.array([int.from_bytes(c) for c in _WIDE])
+
+
+def byte_table(*groups: tuple[bytes, int], rest: int = 0) -> bytes:
+    out = bytearray([rest]) * 256
+    for some, flag in groups:
+        for c in some:
+            out[c] = flag
+    return bytes(out)
+
+
+#: A stretch begins at a byte if it and the one before it share a flag: 1 for a blank behind no white space, 2 for a
+#: mark behind a letter, 4 for a blank behind a byte that may end one of the wide spaces.
+BLANKS = byte_table((b" ", 5))
+BLANKS_MARKS = byte_table((b" \n", 5), (b".,;:!?", 2))
+BEFORE = byte_table(
+    (bytes([*range(9, 14), *range(28, 33)]), 0), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 3), (bytes(c[-1] for c in _WIDE), 4), rest=1
+)
+
+
+def stretches(raw: bytes, starts: np.ndarray, table: bytes) -> np.ndarray:
+    """Where the stretches of joined UTF-8 texts begin: at each text's start, and where no match of the pre-tokenizer can go on, whatever stands around."""
+    flags = np.zeros(len(raw), np.uint8)
+    np.bitwise_and(np.frombuffer(raw.translate(table), np.uint8)[1:], np.frombuffer(raw.translate(BEFORE), np.uint8)[:-1], out=flags[1:])
+    doubtful = np.flatnonzero(flags == 4)  # behind a byte of a longer character, so at least two bytes stand before
+    text = np.frombuffer(raw, np.uint8)
+    two = text[doubtful - 2].astype(np.int64) << 8 | text[doubtful - 1]
+    three = text[np.maximum(doubtful - 3, 0)].astype(np.int64) << 16 | two
+    flags[doubtful[np.isin(two, WIDE_SPACES) | np.isin(three, WIDE_SPACES)]] = 0
+    flags[starts[starts < len(raw)]] = 1
+    return np.flatnonzero(flags != 0)
+
+
 class WordIds:
-    """Ids of stretches between safe cuts, each encoded once by the tokenizers library (see :func:`safe_words`; all but a text's first begin with a blank)."""
+    """Ids of the :func:`stretches` of texts, each encoded once by the tokenizers library.
+
+    No match of a GPT-2 style pattern goes on from another character to a blank. That of GPT-2 itself (byte level with
+    its own pattern) goes neither on to a line feed nor from a letter to a mark; only there stretches begin at those too.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        # ids whose bytes begin with a blank, which the vocabulary writes as U+0120
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+        kind = self.tokenizer.pre_tokenizer
+        own = isinstance(kind, ByteLevel) and kind.use_regex and not kind.add_prefix_space
+        self.table = BLANKS_MARKS if own else BLANKS
+        # stretches of one blank (or line feed) and no other, which can be encoded many in a text
+        self.joined = re.compile(r"[ \n][^ \n]*\S" if own else r" [^ ]*\S").fullmatch
+        # ids whose bytes begin with a blank (line feed), which the vocabulary writes as U+0120 (U+010A)
         self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.begins[[k for w, k in self.tokenizer.get_vocab().items() if w[0] == "\u0120"]] = True
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words without blanks, many in a text: the ids that begin with a blank tell where each word starts."""
-        for k in range(0, len(words), JOINED_WORDS):
-            some = words[k : k + JOINED_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        self.begins[[k for w, k in self.tokenizer.get_vocab().items() if w[0] in ("\u0120\u010a" if own else "\u0120")]] = True
+
+    def learn(self, new: list[str]) -> None:
+        many = [w for w in new if self.joined(w)]
+        for k in range(0, len(many), JOINED_WORDS * JOINED_TEXTS):
+            some = many[k : k + JOINED_WORDS * JOINED_TEXTS]
+            joined = ["".join(some[i : i + JOINED_WORDS]) for i in range(0, len(some), JOINED_WORDS)]
+            ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))), "<u4")
             at, raw = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
             self.known.update(zip(some, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        for w in new:
+            if w not in self.known:
+                self.known[w] = np.array(self.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        words = [safe_words(t) for t in texts]
-        known = self.known
-        firsts = [ws.pop(0) for ws in words]
-        new = list({w for ws in words for w in ws if w not in known})
-        self.learn([w for w in new if " " not in w])
-        for w in new:
-            if " " in w:
-                known[w] = np.array(self.tokenizer.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes()
-        starts = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
-        out = [np.frombuffer(s + b"".join([known[w] for w in ws]), "<u4") for s, ws in zip(starts, words, strict=True)]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        return out
+        coded = [t.encode() for t in texts]
+        raw = b"".join(coded)
+        ends = np.cumsum([len(t) for t in coded], dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        at = stretches(raw, starts, self.table)
+        offsets = pa.py_buffer(np.append(at, len(raw)).astype(np.int64))
+        found = pa.LargeStringArray.from_buffers(len(at), offsets, pa.py_buffer(raw)).dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known, old = self.known, self.old
+        absent = [w for w in words if w not in known]
+        known.update((w, old[w]) for w in absent if w in old)
+        self.learn([w for w in absent if w not in known])
+        ids = pa.array([known[w] for w in words], pa.large_binary()).take(found.indices)
+        _, offsets, values = ids.buffers()
+        cut = np.frombuffer(offsets, np.int64)[np.append(np.searchsorted(at, starts), len(at))] // 4 if len(at) else np.zeros(len(texts) + 1, np.int64)
+        flat = np.frombuffer(values, "<u4") if values and cut[-1] else np.zeros(0, "<u4")
+        self.size += sum(map(len, absent))
+        if len(known) > CACHE_WORDS or self.size > CACHE_CHARS:  # what has not been met since the last time goes
+            self.old, self.known, self.size = known, {}, 0
+        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def word_ids(path: str) -> WordIds:
@@ -137,19 +198,22 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Bits of the ids, and the bit offset of every ``CHECKPOINT``-th."""
-    size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
-    total = int(end[-1]) if len(end) else 0
-    at = end - size
-    words = np.zeros(total // 32 + 3, np.uint64)
-    # a code spans at most two 32-bit words: place it in 64 bits, add the halves (they never overlap)
-    shifted = codes[ids] << (np.uint64(64) - size.astype(np.uint64) - (at & 31).astype(np.uint64))
-    slot = at >> 5
-    if len(ids):
+    lengths, total = lengths.astype(np.int64), 0
+    words = np.zeros(len(ids) * int(lengths.max(initial=1)) // 32 + 3, np.uint64)
+    points = np.zeros(-(-len(ids) // CHECKPOINT), np.int64)
+    for k in range(0, len(ids), PACKED):  # few enough for the processor's cache
+        some = ids[k : k + PACKED].astype(np.intp)
+        size = lengths[some]
+        end = total + np.cumsum(size)
+        at, total = end - size, int(end[-1])
+        # a code spans at most two 32-bit words: place it in 64 bits, add the halves (they never overlap)
+        shifted = codes[some] << (64 - size - (at & 31)).astype(np.uint64)
+        slot = at >> 5
         first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         words[slot[first]] += np.add.reduceat(shifted >> np.uint64(32), first)
         words[slot[first] + 1] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), first)
-    return words.astype(">u4").tobytes()[: total // 8 + 9], at[::CHECKPOINT]
+        points[k // CHECKPOINT : (k + PACKED) // CHECKPOINT] = at[::CHECKPOINT]
+    return words[: total // 32 + 3].astype(">u4").tobytes()[: total // 8 + 9], points
 
 
 def unpack(payload: bytes, n: int, at: np.ndarray, table: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -201,8 +265,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         )
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                some = batch.slice(k, 64)
+            for some in byte_slices(batch, "text", SLICE):
                 texts = [t or "" for t in some.column("text").to_pylist()]
                 for d, ids in zip(some.column("doc_id").to_pylist(), words.batch(texts), strict=True):
                     if parts and held + len(ids) >= CHUNK_IDS:
