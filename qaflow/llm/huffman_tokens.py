@@ -91,8 +91,8 @@ class WordIds:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.size = 0
         kind = self.tokenizer.pre_tokenizer
         own = isinstance(kind, ByteLevel) and kind.use_regex and not kind.add_prefix_space
@@ -103,17 +103,18 @@ class WordIds:
         self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.begins[[k for w, k in self.tokenizer.get_vocab().items() if w[0] in ("\u0120\u010a" if own else "\u0120")]] = True
 
-    def learn(self, new: list[str]) -> None:
-        many = [w for w in new if self.joined(w)]
-        for k in range(0, len(many), JOINED_WORDS * JOINED_TEXTS):
-            some = many[k : k + JOINED_WORDS * JOINED_TEXTS]
-            joined = ["".join(some[i : i + JOINED_WORDS]) for i in range(0, len(some), JOINED_WORDS)]
-            ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))), "<u4")
+    def learn(self, new: list[bytes]) -> None:
+        words = [w.decode() for w in new]
+        some = [k for k, w in enumerate(words) if self.joined(w)]
+        for k in range(0, len(some), JOINED_WORDS * JOINED_TEXTS):
+            part = some[k : k + JOINED_WORDS * JOINED_TEXTS]
+            texts = ["".join([words[j] for j in part[i : i + JOINED_WORDS]]) for i in range(0, len(part), JOINED_WORDS)]
+            ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))), "<u4")
             at, raw = (4 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
-            self.known.update(zip(some, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
-        for w in new:
-            if w not in self.known:
-                self.known[w] = np.array(self.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            self.known.update([(new[j], raw[a:b]) for j, a, b in zip(part, at, [*at[1:], len(raw)], strict=True)])
+        for key, w in zip(new, words, strict=True):
+            if key not in self.known:
+                self.known[key] = np.array(self.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         coded = [t.encode() for t in texts]
@@ -122,13 +123,17 @@ class WordIds:
         starts = np.concatenate([[0], ends[:-1]])
         at = stretches(raw, starts, self.table)
         offsets = pa.py_buffer(np.append(at, len(raw)).astype(np.int64))
-        found = pa.LargeStringArray.from_buffers(len(at), offsets, pa.py_buffer(raw)).dictionary_encode()
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, offsets, pa.py_buffer(raw)]).dictionary_encode()
         words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         known, old = self.known, self.old
-        absent = [w for w in words if w not in known]
+        ids_of = list(map(known.get, words))
+        at_absent = [k for k, x in enumerate(ids_of) if x is None]
+        absent = [words[k] for k in at_absent]
         known.update((w, old[w]) for w in absent if w in old)
         self.learn([w for w in absent if w not in known])
-        ids = pa.array([known[w] for w in words], pa.large_binary()).take(found.indices)
+        for k, w in zip(at_absent, absent, strict=True):
+            ids_of[k] = known[w]
+        ids = pa.array(ids_of, pa.large_binary()).take(found.indices)
         _, offsets, values = ids.buffers()
         cut = np.frombuffer(offsets, np.int64)[np.append(np.searchsorted(at, starts), len(at))] // 4 if len(at) else np.zeros(len(texts) + 1, np.int64)
         flat = np.frombuffer(values, "<u4") if values and cut[-1] else np.zeros(0, "<u4")
@@ -235,20 +240,23 @@ def unpack(payload: bytes, n: int, at: np.ndarray, table: np.ndarray, length: np
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Chunks of whole documents in ascending ``doc_id`` order, with the counts of their ids."""
+    """Chunks of whole documents in ascending ``doc_id`` order; the last of a partition has the counts of all its ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pid, seq, start = word_ids(path), TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         parts: list[np.ndarray] = []
+        counts = np.zeros(0, np.int64)
 
-        def chunk() -> pa.RecordBatch:
-            nonlocal seq, start
+        def chunk(last: bool = False) -> pa.RecordBatch:
+            nonlocal seq, start, counts
             ids = np.concatenate(parts)
-            count = np.bincount(ids)
-            used = np.flatnonzero(count)
-            count = count[used]
+            more = np.bincount(ids, minlength=len(counts))
+            more[: len(counts)] += counts
+            counts = more
+            used = np.flatnonzero(counts) if last else np.zeros(0, np.int64)
+            count = counts[used]
             row = {
                 "pid": [pid], "seq": [seq], "start": [start], "doc_ids": [list(doc_ids)], "sizes": [[len(p) for p in parts]],
                 "used": [used.astype(np.int32)], "count": [count], "wide": [bool(ids.max(initial=0) > 0xFFFF)],
@@ -275,7 +283,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     parts.append(np.concatenate([ids, end]))
                     held += len(parts[-1])
         if parts:
-            yield chunk()
+            yield chunk(last=True)
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     # ranges of id and hash, so that the rows of one id may lie in several; the driver's sample of the ranges holds no texts

@@ -23,7 +23,7 @@ def path():
 def test_a_word_is_encoded_once_whatever_follows_it():
     words = huffman_tokens.WordIds(path())
     words.batch(["One two, one.\nTwo two. One two", "Two; two\nTwo two? two"])
-    assert set(words.known) == {"One", "Two", " two", " one", "\nTwo", " One", ",", ".", ";", "?"}
+    assert set(words.known) == {b"One", b"Two", b" two", b" one", b"\nTwo", b" One", b",", b".", b";", b"?"}
 
 
 @pytest.mark.parametrize("most", [huffman_tokens.CACHE_WORDS, 60])
