@@ -10,14 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
 from ..sources.versioned import VersionedTable, bucket
 from .retrieve import CONTEXTS_TYPE
-from .topk import BLOCK_BYTES, _global_topk, asked_groups, grid, similarity_topk
+from .topk import _ROW_OVERHEAD, BLOCK_BYTES, GROUPS, Asked, _global_topk, asked_groups, grid, similarity_topk
 
 
 PIVOTS = 32
@@ -27,52 +27,179 @@ _DEALT_ROWS, _DEALT_BYTES = 1024, 2 << 20
 WIDE = 0.3
 
 
-def _cells(side: str, pivots: np.ndarray, radius: float, key: str, vec: str):
-    """Arrow batches of vectors with their cells of the pivot partition: one for a cached vector, all that its ball may meet for a question."""
-    sq = (pivots * pivots).sum(1)
+def _units(v: pa.Array, pivots: np.ndarray):
+    """The vectors that have a direction, of length 1, and their places in ``v``."""
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, pivots.shape[1])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    at = np.flatnonzero(np.isfinite(x).all(1))  # no direction, no cosine
+    return x[at], at
+
+
+def _away(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances to the pivots, added in the order of the dimensions: the same for a vector whatever stands beside it, so that all passes agree on its bin."""
+    out = np.zeros((len(x), len(pivots)))
+    for d in range(pivots.shape[1]):
+        out += (x[:, d, None] - pivots[None, :, d]) ** 2
+    return np.sqrt(out)
+
+
+def _bins(side: str, away: np.ndarray, radius: float):
+    """Row, cell and ring: of the bin of each cached vector, of all bins that the ball of each question may meet."""
+    if side == "p":
+        row, cell = np.arange(len(away)), away.argmin(1) if len(away) else np.zeros(0, np.int64)
+        return row, cell, np.floor(away[row, cell] / radius).astype(np.int64)
+    # a vector within the radius of the question may be in cell j only if d(q, j) - d(q, nearest) <= 2 r, and is within r of d(q, j)
+    row, cell = np.nonzero(away <= away.min(1, initial=np.inf)[:, None] + 2 * radius)
+    low = np.maximum(np.floor((away[row, cell] - radius) / radius), 0).astype(np.int64)
+    many = np.floor((away[row, cell] + radius) / radius).astype(np.int64) - low + 1
+    begin = np.cumsum(many) - many
+    ring = np.repeat(low - begin, many) + np.arange(int(many.sum()))
+    return np.repeat(row, many), np.repeat(cell, many), ring
+
+
+class _Packed:
+    """Bins that hold cached vectors, in order, put together to blocks of at most ``block_bytes`` (a larger bin is a block of its own)."""
+
+    def __init__(self, counts: list, dim: int, block_bytes: int) -> None:
+        found = sorted((int(c["cell"]) << 40 | int(c["ring"]), c["n"]) for c in counts)
+        self.code = np.array([c for c, _ in found], np.int64)
+        self.n = [n for _, n in found]
+        self.block, last, held = np.zeros(len(found), np.int64), 0, 0
+        for i, n in enumerate(self.n):
+            size = n * (dim * 8 + _ROW_OVERHEAD)
+            if held and held + size > block_bytes:
+                last, held = last + 1, 0
+            self.block[i], held = last, held + size
+
+    def met(self, row: np.ndarray, cell: np.ndarray, ring: np.ndarray):
+        """The rows and numbers of those bins that hold cached vectors."""
+        code = cell.astype(np.int64) << 40 | ring
+        i = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        there = self.code[i] == code
+        return row[there], i[there]
+
+    def blocks(self, row: np.ndarray, i: np.ndarray):
+        """Each row once for each block of its bins."""
+        width = int(self.block[-1]) + 1
+        both = np.unique(row * width + self.block[i])
+        return both // width, both % width
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(lo, _DEALT_ROWS) for b in batches for lo in range(0, b.num_rows, _DEALT_ROWS))
+
+
+def _counted(side: str, pivots: np.ndarray, radius: float, vec: str, packed: _Packed | None = None):
+    """Arrow batches of vectors -> the number in each bin; with ``packed`` those of the bins by their numbers (``ring``, beside cell -1), and of the blocks (beside cell -2)."""
+
+    def rows(cell, ring):
+        found, n = np.unique(np.stack([cell, ring]), axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int32)), pa.array(found[1].astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "ring", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _dealt(batches):
+            row, cell, ring = _bins(side, _away(_units(batch.column(vec), pivots)[0], pivots), radius)
+            if packed is None:
+                yield rows(cell, ring)
+                continue
+            row, i = packed.met(row, cell, ring)
+            block = packed.blocks(row, i)[1]
+            yield rows(np.r_[np.full(len(i), -1), np.full(len(block), -2)], np.r_[i, block])
+
+    return run
+
+
+def _cells(side: str, pivots: np.ndarray, radius: float, key: str, vec: str, packed: _Packed | None = None):
+    """Arrow batches of vectors with their cells of the pivot partition: one for a cached vector, all that its ball may meet for a question.
+    With ``packed`` with their blocks of it instead, one copy for a block."""
     step = max(1, _DEALT_BYTES // (8 * pivots.shape[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a question has a copy for each ring that its ball may meet, up to some hundred: they are made in small parts
-        for batch in (b.slice(lo, _DEALT_ROWS) for b in batches for lo in range(0, b.num_rows, _DEALT_ROWS)):
+        # a question has a copy for each ring (or block) that its ball may meet, up to some hundred: they are made in small parts
+        for batch in _dealt(batches):
             v = batch.column(vec)
-            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, pivots.shape[1])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            at = np.flatnonzero(np.isfinite(x).all(1))  # no direction, no cosine
-            away = np.sqrt(np.maximum((x[at] * x[at]).sum(1)[:, None] + sq[None, :] - 2 * x[at] @ pivots.T, 0))
-            near = away.argmin(1) if len(at) else np.zeros(0, np.int64)
-            if side == "p":
-                row, cell = np.arange(len(at)), near
-                ring = np.floor(away[row, cell] / radius).astype(np.int64)
+            x, at = _units(v, pivots)
+            row, cell, ring = _bins(side, _away(x, pivots), radius)
+            if packed is not None:
+                row, block = packed.blocks(*packed.met(row, cell, ring))
+                group = {"block": block}
             else:
-                # a vector within the radius of the question may be in cell j only if d(q, j) - d(q, nearest) <= 2 r, and is within r of d(q, j)
-                row, cell = np.nonzero(away <= away.min(1, initial=np.inf)[:, None] + 2 * radius)
-                low = np.maximum(np.floor((away[row, cell] - radius) / radius), 0).astype(np.int64)
-                many = np.floor((away[row, cell] + radius) / radius).astype(np.int64) - low + 1
-                begin = np.cumsum(many) - many
-                ring = np.repeat(low - begin, many) + np.arange(int(many.sum()))
-                row, cell = np.repeat(row, many), np.repeat(cell, many)
+                group = {"cell": cell, "ring": ring}
             for lo in range(0, len(row), step):
                 some = slice(lo, lo + step)
                 take = pa.array(at[row[some]])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).take(take), v.take(take), pa.array(cell[some].astype(np.int32)), pa.array(ring[some].astype(np.int32)), pa.array(np.full(len(take), pivots.shape[1], np.int32))],
-                    names=[f"{side}_{'key' if side == 'q' else 'id'}", f"{side}_vec", "cell", "ring", "dim"])
+                    [batch.column(key).take(take), v.take(take), *[pa.array(c[some].astype(np.int32)) for c in group.values()], pa.array(np.full(len(take), pivots.shape[1], np.int32))],
+                    names=[f"{side}_{'key' if side == 'q' else 'id'}", f"{side}_vec", *group, "dim"])
+
+    return run
+
+
+def _parts(pivots: np.ndarray, radius: float, packed: _Packed, whole: set):
+    """For a cell of the grid, the rows of its points and questions that are scored with one another: those of each bin; all if the bins of a block leave out little."""
+
+    def run(questions: pa.Table, P: np.ndarray, Q: np.ndarray) -> list:
+        if questions.column("block")[0].as_py() in whole:
+            return [(np.arange(len(P)), np.arange(len(Q)))]
+        sides = []
+        for side, x in (("p", P), ("q", Q)):
+            row, i = (np.concatenate(c) for c in zip(*(_offset(packed.met(*_bins(side, _away(x[lo:lo + _DEALT_ROWS], pivots), radius)), lo) for lo in range(0, len(x), _DEALT_ROWS))))
+            order = np.argsort(i, kind="stable")  # within a bin the rows stay in the order of their ids
+            sides.append((row[order], i[order]))
+        (points, p_bin), (asked, q_bin) = sides
+        out = []
+        for b in np.unique(p_bin):
+            (p0, p1), (q0, q1) = np.searchsorted(p_bin, [b, b + 1]), np.searchsorted(q_bin, [b, b + 1])
+            if q1 > q0:
+                out.append((points[p0:p1], asked[q0:q1]))
+        return out
 
     return run
 
 
+def _offset(found, lo: int):
+    return found[0] + lo, found[1]
+
+
+def _pack(ask: DataFrame, cached: DataFrame, pivots: np.ndarray, radius: float, block_bytes: int, info: dict):
+    """The blocks of bins, their sizes on both sides as :func:`topk.grid` takes them, and the blocks that are scored whole. None if the
+    bins are too many to be known by the driver: they are then narrow, and a question meets few."""
+    dim, out = pivots.shape[1], "cell int, ring long, n long"
+    counts = cached.mapInArrow(_counted("p", pivots, radius, "cvec"), out).groupBy("cell", "ring").agg(F.sum("n").alias("n")).limit(GROUPS + 1).collect()
+    if not 0 < len(counts) <= GROUPS:
+        return None
+    packed = _Packed(counts, dim, block_bytes)
+    asked = ask.mapInArrow(_counted("q", pivots, radius, "qvec", packed), out).groupBy("cell", "ring").agg(F.sum("n").alias("n")).collect()  # a row for each bin and block
+    nq = {r["ring"]: r["n"] for r in asked if r["cell"] == -2}
+    met, held = dict.fromkeys(nq, 0), dict.fromkeys(nq, 0)
+    for i, n in enumerate(packed.n):
+        if packed.block[i] in nq:
+            held[int(packed.block[i])] += n
+    for r in asked:
+        if r["cell"] == -1:
+            met[int(packed.block[r["ring"]])] += r["n"] * packed.n[r["ring"]]
+    whole = {b for b in nq if 2 * met[b] > nq[b] * held[b]}
+    info["pairs"] = sum(nq[b] * held[b] if b in whole else met[b] for b in nq)
+    spark = ask.sparkSession
+    rows = [Row(block=b, dim=dim, nq=n) for b, n in sorted(nq.items())]
+    asked_rows = Asked(F.broadcast(spark.createDataFrame(rows, "block int, dim int, nq long")), rows, True)
+    sizes = spark.createDataFrame([(b, dim, n) for b, n in sorted(held.items())], "block int, dim int, np long")
+    return packed, asked_rows, sizes, whole
+
+
 def nearest_within(questions: DataFrame, cache: DataFrame, tolerance: float, key: str = "event_id",
                    block_bytes: int = BLOCK_BYTES, info: dict | None = None) -> DataFrame | None:
     """C4: the nearest cache entry of a question by cosine, exact for entries within ``tolerance``: ``(key, rank, cache_id, score)``.
 
     On unit vectors a cosine distance of t is a Euclidean one of sqrt(2 t), a metric. Cached vectors are dealt to the nearest
     of ``PIVOTS`` pivots (cache entries, chosen by hash) and to rings of the ball's radius around it; by the triangle inequality
-    a question meets three rings of the cells that its ball can reach, and no others. The cells are then searched as the
-    groups of :func:`topk.grid`, so a cell or ring that holds most of the cache is cut into blocks like any other.
-    ``info["pruned"]``: the share of all pairs that is never scored. None if the cache is empty."""
-    info = info if info is not None else {}
+    a question meets three rings of the cells that its ball can reach, and no others. These bins are counted and put together to
+    blocks of ``block_bytes``, so a question is copied once for each block that it may meet, not for each bin: never more often than
+    in the plain grid. The blocks are searched as the groups of :func:`topk.grid`, which cuts a bin that holds most of the cache like
+    any other group; within a block only the bins that a question meets are scored, unless that spares less than half.
+    ``info["pruned"]``: the share of all pairs that is never scored (two further counts). None if the cache is empty."""
+    counting, info = info is not None, info if info is not None else {}
     cached = cache.where(F.size("cvec") > 0).select("cache_id", "cvec")
     sample = cached.orderBy(F.xxhash64("cache_id", F.lit(7)), "cache_id").limit(PIVOTS).collect()  # PIVOTS rows
     if not sample:
@@ -85,13 +212,20 @@ def nearest_within(questions: DataFrame, cache: DataFrame, tolerance: float, key
     if not len(pivots):
         return similarity_topk(questions, cache, 1, key=key, point_id="cache_id", vector="cvec", metric="cosine", block_bytes=block_bytes, info=info)
     radius = (2 * max(tolerance, 0.0)) ** 0.5 + 1e-6
-    group = ["cell", "ring", "dim"]
     key_type, id_type = questions.schema[key].dataType, cache.schema["cache_id"].dataType
-    ask = questions.where(F.size("qvec") == dim).select(key, "qvec")
-    q = ask.mapInArrow(_cells("q", pivots, radius, key, "qvec"), f"q_key {key_type.simpleString()}, q_vec {questions.schema['qvec'].dataType.simpleString()}, cell int, ring int, dim int")
-    p = cached.where(F.size("cvec") == dim).mapInArrow(_cells("p", pivots, radius, "cache_id", "cvec"), f"p_id {id_type.simpleString()}, p_vec {cache.schema['cvec'].dataType.simpleString()}, cell int, ring int, dim int")
-    best = grid(q, p, group, asked_groups(q, group), 1, None, "cosine", (key, key_type), ("cache_id", id_type), block_bytes, info)
-    if "pairs" in info:
+    ask, held = questions.where(F.size("qvec") == dim).select(key, "qvec"), cached.where(F.size("cvec") == dim)
+    packed, asked, sizes, whole = _pack(ask, held, pivots, radius, block_bytes, info) or (None, None, None, None)
+    group = ["cell", "ring", "dim"] if packed is None else ["block", "dim"]
+    columns = ", ".join(f"{c} int" for c in group)
+    q = ask.mapInArrow(_cells("q", pivots, radius, key, "qvec", packed), f"q_key {key_type.simpleString()}, q_vec {questions.schema['qvec'].dataType.simpleString()}, {columns}")
+    p = held.mapInArrow(_cells("p", pivots, radius, "cache_id", "cvec", packed), f"p_id {id_type.simpleString()}, p_vec {cache.schema['cvec'].dataType.simpleString()}, {columns}")
+    scored = info.get("pairs")
+    if packed is None:
+        best = grid(q, p, group, asked_groups(q, group), 1, None, "cosine", (key, key_type), ("cache_id", id_type), block_bytes, info)
+    else:
+        best = grid(q, p, group, asked, 1, None, "cosine", (key, key_type), ("cache_id", id_type), block_bytes, info, sizes, _parts(pivots, radius, packed, whole))
+        info["pairs"] = scored
+    if counting and "pairs" in info:
         every = ask.count() * cached.count()
         info["pruned"] = 1 - info["pairs"] / every if every else 0.0
     return None if best is None else _global_topk(best, key, "cache_id", 1, 0)

@@ -149,8 +149,20 @@ def _best(P: np.ndarray, Q: np.ndarray, threshold: float | None, kk: int, slack:
     return _select_topk(c, r, s, kk)[:3]
 
 
-def _cell(kk: int, threshold: float | None, metric: str, key: str, point_id: str, key_type: pa.DataType, id_type: pa.DataType):
-    """One cell of the grid: two blocks of vectors -> the ``kk`` best points of each question."""
+def _scored(P: np.ndarray, Q: np.ndarray, threshold: float | None, kk: int):
+    """:func:`_best` for as many questions at once as the budget holds."""
+    step = max(1, _CELL_BUDGET // len(P))
+    slack = _slack(P, Q)  # looks at all points, so once for all steps
+    found = []
+    for lo in range(0, len(Q), step):
+        q, r, s = _best(P, Q[lo:lo + step], threshold, kk, slack[lo:lo + step])
+        found.append((q + lo, r, s))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _cell(kk: int, threshold: float | None, metric: str, key: str, point_id: str, key_type: pa.DataType, id_type: pa.DataType, parts=None):
+    """One cell of the grid: two blocks of vectors -> the ``kk`` best points of each question. ``parts(questions, P, Q)`` gives the
+    rows (ascending) of points and questions that are scored with one another; without it all are."""
     schema = pa.schema([(key, key_type), (point_id, id_type), ("score", pa.float64())])
 
     def run(questions: pa.Table, points: pa.Table) -> pa.Table:
@@ -160,13 +172,14 @@ def _cell(kk: int, threshold: float | None, metric: str, key: str, point_id: str
         P, Q = _matrix(points.column("p_vec")), _matrix(questions.column("q_vec"))
         if metric == "cosine":
             P, Q = _unit(P), _unit(Q)
-        step = max(1, _CELL_BUDGET // len(P))
-        slack = _slack(P, Q)  # looks at all points, so once for all steps
-        found = []
-        for lo in range(0, len(Q), step):
-            q, r, s = _best(P, Q[lo:lo + step], threshold, kk, slack[lo:lo + step])
-            found.append((q + lo, r, s))
-        q, r, s = (np.concatenate(x) for x in zip(*found))
+        if parts is None:
+            q, r, s = _scored(P, Q, threshold, kk)
+        else:
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for rows, asked in parts(questions, P, Q):
+                q, r, s = _scored(P[rows], Q[asked], threshold, kk)
+                found.append((asked[q], rows[r], s))
+            q, r, s = _select_topk(*(np.concatenate(x) for x in zip(*found)), kk)[:3]
         return pa.Table.from_arrays([questions.column("q_key").take(pa.array(q)), points.column("p_id").take(pa.array(r)),
                                      pa.array(s, pa.float64())], schema=schema)
 
@@ -279,11 +292,13 @@ def asked_groups(q: DataFrame, group: list[str]) -> Asked:
 
 
 def grid(q: DataFrame, p: DataFrame, group: list[str], asked: Asked, kk: int, threshold: float | None, metric: str,
-         key: tuple, point: tuple, block_bytes: int, info: dict) -> DataFrame | None:
+         key: tuple, point: tuple, block_bytes: int, info: dict, counted: DataFrame | None = None, parts=None) -> DataFrame | None:
     """The ``kk`` best points of each question in each cell. ``q``: q_key, q_vec and the columns of ``group`` (with
-    ``dim``, the vector's size); ``p``: p_id, p_vec and the same. None if no group has rows on both sides."""
+    ``dim``, the vector's size); ``p``: p_id, p_vec and the same. None if no group has rows on both sides.
+    ``counted``: the points of each group (``np``) if they are known; ``parts``: see :func:`_cell`."""
     spark = q.sparkSession
-    sizes = p.groupBy(*group).agg(F.count(F.lit(1)).alias("np")).join(asked.df, group)
+    counted = p.groupBy(*group).agg(F.count(F.lit(1)).alias("np")) if counted is None else counted
+    sizes = counted.join(asked.df, group)
     sizes = sizes.select(*group, "nq", "np", _blocks("nq", block_bytes).alias("rows"), _blocks("np", block_bytes).alias("cols"))
     if asked.few:
         info["n_questions"] = sum(r["nq"] for r in asked.rows)
@@ -307,7 +322,7 @@ def grid(q: DataFrame, p: DataFrame, group: list[str], asked: Asked, kk: int, th
     right = right.select("p_id", "p_vec", *[F.col(c).alias(f"p_{c}") for c in cell])
     (key_name, key_type), (id_name, id_type) = key, point
     schema = T.StructType([T.StructField(key_name, key_type), T.StructField(id_name, id_type), T.StructField("score", T.DoubleType())])
-    run = _cell(kk, threshold, metric, key_name, id_name, to_arrow_type(key_type), to_arrow_type(id_type))
+    run = _cell(kk, threshold, metric, key_name, id_name, to_arrow_type(key_type), to_arrow_type(id_type), parts)
     return left.groupBy(*cell).cogroup(right.groupBy(*[f"p_{c}" for c in cell])).applyInArrow(run, schema)
 
 

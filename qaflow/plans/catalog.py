@@ -19,7 +19,7 @@ from ..operators import generate as G
 from ..operators import rerank as RR
 from ..operators import retrieve as R
 from ..operators.topk import adhoc_query, similarity_topk
-from ..session import shared_path
+from ..session import materialised, shared_path
 from ..sources import articles as A
 from ..sources import evallog as EL
 from ..sources import tables as TB
@@ -608,7 +608,8 @@ def cache_two_batches(spark, d):
     finds it: hits skip to GENERATE with the cached contexts, the rest takes all stages."""
     store = C.CacheStore(spark, shared_path(spark, "cache"))
     cfg = PipelineConfig(generate=GenerateConfig(model=G.echo_model()))
-    p = Pipeline(points=_points(spark, d), config=cfg, filter_keys=["label"], cache_store=store,
+    points = materialised(_points(spark, d), "points")  # read by both batches, several times each
+    p = Pipeline(points=points, config=cfg, filter_keys=["label"], cache_store=store,
                  stages=["SECURITY", "RCACHE", "RETRIEVE", "CONSOLIDATE", "GENERATE", "WCACHE"])
     q = _questions(spark, d)
     p.run(q.where(F.substring("event_id", 2, 9).cast("long") % 2 == 0), batch="first")

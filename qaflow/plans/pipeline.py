@@ -186,13 +186,17 @@ def generate_stage(cfg) -> Stage:
 
 
 def cache_read_stage(cache: DataFrame | None, cfg, encoder=None) -> Stage:
-    """C4 on gated rows: a hit within tolerance brings cached contexts and jumps to GENERATE."""
+    """C4 on gated rows: a hit within tolerance brings cached contexts and jumps to GENERATE.
+
+    The rows are written once before the lookup, which reads them several times, and once with its hits, which the
+    stages behind it read several times: neither the requests nor the lookup are made anew for each."""
 
     def apply(state: DataFrame, nxt):
         if cache is None:
             return gated(state, {}, next_or_end(nxt))
         asks = F.col(GATE) & F.col("qvec").isNotNull()
-        state = encoded(state, encoder).withColumn(R.SEARCH_KEY, R.state_key(asks, R.search_key("qvec", None)))
+        state = materialised(state, "asked") if encoder is None else encoded(state, encoder)
+        state = state.withColumn(R.SEARCH_KEY, R.state_key(asks, R.search_key("qvec", None)))
         q = state.where(asks).select(R.SEARCH_KEY, "qvec").dropDuplicates([R.SEARCH_KEY])
         hits = C.cache_lookup(q, cache, cfg, key=R.SEARCH_KEY).select(R.SEARCH_KEY, F.col("contexts").alias("_k_ctx"))
         state = state.join(hits, R.SEARCH_KEY, "left").drop(R.SEARCH_KEY)
@@ -200,7 +204,7 @@ def cache_read_stage(cache: DataFrame | None, cfg, encoder=None) -> Stage:
         state = gated(state, {"contexts": F.when(hit, F.col("_k_ctx")).otherwise(F.col("contexts")),
                               "cache_hit": hit},
                       F.when(hit, F.lit(K.GENERATE)).otherwise(next_or_end(nxt)))
-        return state.drop("_k_ctx")
+        return materialised(state.drop("_k_ctx"), "looked_up")
 
     return Stage(K.RCACHE, apply)
 

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shuffles_removed
+
 COMMIT = "version long, kind string, batch string, parts array<array<string>>"
 
 
@@ -84,7 +86,8 @@ class VersionedTable:
         path = f"{self.root}/{folder}/v={version}"
         rows = rows.withColumns({p.name: p.of(F.col(self.key)).cast(p.type) for p in self.parts})
         # full partitions are split over tasks and small ones put together, whatever the sizes of the keys
-        rows.hint("rebalance", *self.names).write.mode("overwrite").partitionBy(*self.names).parquet(path)
+        with shuffles_removed(self.spark):
+            rows.hint("rebalance", *self.names).write.mode("overwrite").partitionBy(*self.names).parquet(path)
         return self._commit(version, kind, batch, self._written(path) if touched is None else touched)
 
     def _written(self, path: str) -> list[list[str]]:
@@ -141,6 +144,8 @@ class VersionedTable:
         if not self._changed(commits):
             return base.select(*columns)
         last = self._last(commits, where)
+        if not written:
+            return last.where(~F.col("_deleted")).select(*columns)
         marks = last.select(F.col(self.key).alias("_key"), F.col("v").alias("_cv"))
         kept = base.join(marks, (F.col(self.key) == F.col("_key")) & (F.col("_cv") > F.col("v")), "left_anti")
         return kept.select(*columns).unionByName(last.where(~F.col("_deleted")).select(*columns))
@@ -158,6 +163,8 @@ class VersionedTable:
         rows = self._scan("changes").where(self._live(commits, ("changes",)))
         rows = rows if where is None else rows.where(where)
         others = [c for c in self.schema.fieldNames() if c != self.key]
+        if sum(c["kind"] == "changes" for c in commits) == 1:  # one version has a key once: nothing to combine, and columns that are not asked for are not read
+            return rows.select(self.key, *others, "v", "_deleted")
         picked = F.max(F.struct("v", "_seq", "_deleted", *others)).alias("m")
         return rows.groupBy(self.key).agg(picked).select(self.key, *[F.col(f"m.{c}").alias(c) for c in others], F.col("m.v").alias("v"), F.col("m._deleted").alias("_deleted"))
 

@@ -1,5 +1,7 @@
 """The tolerance join against a full scan, and the life of cache entries over two batches."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -85,3 +87,98 @@ def test_copies_for_cells_are_handed_on_in_small_parts():
     dealt = list(C._cells("q", pivots, 0.3, "event_id", "qvec")(iter([asked])))
     assert sum(b.num_rows for b in dealt) > 50_000 and max(b.num_rows for b in dealt) * 64 * 8 <= 2 << 20
     assert {k for b in dealt for k in b.column("q_key").to_pylist()} == set(asked.column("event_id").to_pylist())
+
+
+@pytest.mark.parametrize("block_bytes", [3000, 60_000, 8 << 20])
+def test_a_question_is_copied_once_for_a_block(spark, block_bytes):
+    rnd = np.random.RandomState(7)
+    cached = [(i, rnd.normal(size=8).tolist()) for i in range(300)]
+    asked = [(f"e{i}", (np.array(cached[i % 300][1]) + rnd.normal(size=8) * rnd.choice([0.02, 0.1, 1])).tolist()) for i in range(150)]
+    cache = spark.createDataFrame([(i, v, "q", [], "a", None) for i, v in cached], CACHE).repartition(3)
+    q = spark.createDataFrame(asked, "event_id string, qvec array<double>").repartition(2)
+    info: dict = {}
+    got = {r.event_id: (r.cache_id, r.score) for r in C.nearest_within(q, cache, 0.05, block_bytes=block_bytes, info=info).collect()}
+    want = full_scan(cached, asked, 0.05)
+    assert 0 < len(want) < len(asked)
+    for e, (d, i) in want.items():
+        assert got[e][0] == i and abs(1 - got[e][1] - d) < 1e-9
+    if block_bytes >= 8 << 20:
+        assert info["cells"] == 1  # one block holds the whole cache, so each vector is sent once
+
+
+def test_bins_of_a_block_are_scored_by_themselves():
+    rnd = np.random.RandomState(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, P, Q = (unit(rnd.normal(size=(n, 5))) for n in (6, 500, 1500))
+    radius = 0.1
+    _, cell, ring = C._bins("p", C._away(P, pivots), radius)
+    bins, n = np.unique(np.stack([cell, ring]), axis=1, return_counts=True)
+    packed = C._Packed([{"cell": c, "ring": r, "n": k} for (c, r), k in zip(bins.T, n)], 5, 1 << 14)
+    assert len(set(packed.block)) > 1 and all(np.diff(packed.block) >= 0)
+
+    class Block:
+        def column(self, name):
+            import pyarrow as pa
+            return pa.array([0])
+
+    parts = C._parts(pivots, radius, packed, set())(Block(), P, Q)
+    scored = {(int(p), int(q)) for points, asked in parts for p in points for q in asked}
+    assert sum(len(p) * len(q) for p, q in parts) == len(scored) < 0.5 * len(P) * len(Q)
+    near = np.argwhere(np.linalg.norm(P[:, None] - Q[None], axis=2) <= radius - 1e-6)
+    assert len(near) and {(int(p), int(q)) for p, q in near} <= scored
+    assert [len(x) for x in C._parts(pivots, radius, packed, {0})(Block(), P, Q)[0]] == [500, 1500]
+
+
+def test_requests_are_read_once_and_shuffles_of_a_write_go(spark):
+    from pyspark.sql import functions as F
+
+    from qaflow.plans.pipeline import Pipeline
+    from qaflow.session import materialised, shared_path
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(f"e{i}", "what is it?", {"label": str(i % 2)}, [1.0 + i, 2.0, -1.0 * i]) for i in range(20)]
+    schema = "event_id string, user_query string, metadata map<string,string>, qvec array<double>"
+    asked = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    points = spark.createDataFrame([(i, [1.0 + i, 2.0, -1.0 * i], f"d{i}", f"text {i}", i % 2) for i in range(20)],
+                                   "id long, vector array<double>, doc_id string, text string, label int")
+    store = C.CacheStore(spark, shared_path(spark, "cache"), buckets=2)
+    entry = spark.createDataFrame([(1, [1.0, 2.0, 0.0], "q", [(1, "d0", "cached", 1.0, None, None, False)], "a")], CACHE.replace(", ts timestamp_ntz", "").replace("double", "float"))
+    store.keep(entry.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), batch="a")
+    p = Pipeline(points=points, filter_keys=["label"], cache_store=store, stages=["SECURITY", "RCACHE", "RETRIEVE", "CONSOLIDATE", "GENERATE", "WCACHE"])
+    state, _ = p.run(asked, batch="b")
+    hits = {r.event_id: r.cache_hit for r in state.collect()}
+    assert len(hits) == 20 and hits["e0"] and not hits["e19"]
+    assert read.value == 20
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    before = files()
+    written = materialised(spark.range(100).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "written")
+    left = lambda: {f for f in files() - before if f.startswith("shuffle_")}
+    until = time.time() + 20
+    while left() and time.time() < until:
+        time.sleep(0.2)
+    assert not left() and written.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
+
+
+def test_one_version_of_changes_is_read_without_a_shuffle(spark):
+    from qaflow.session import shared_path
+
+    def entries(ids, text):
+        from pyspark.sql import functions as F
+        rows = spark.createDataFrame([(i, [float(i), 1.0], "q", [(1, "d", text, 1.0, None, None, False)], text) for i in ids], CACHE.replace(", ts timestamp_ntz", "").replace("double", "float"))
+        return rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+
+    store = C.CacheStore(spark, shared_path(spark, "cache"), buckets=2)
+    store.keep(entries([1, 2, 2, 3], "a"), batch="a")
+    assert "Exchange" not in store.read()._jdf.queryExecution().toString()
+    assert sorted(r.cache_id for r in store.read().collect()) == [1, 2, 3]
+    store.delete(store.read().where("cache_id = 2"))
+    store.keep(entries([4], "b"), batch="b")
+    assert sorted(r.cache_id for r in store.read().collect()) == [1, 3, 4]
